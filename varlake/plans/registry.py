@@ -1,4 +1,8 @@
 """Named queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import calling, expression, functions, models, scores, variants
+from .register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "calling", "expression", "functions", "models", "scores", "variants"]
