@@ -97,15 +97,26 @@ def _sets(words: int):
     return run
 
 
+def _errors(a: Column, b: Column, chunk: int) -> Column:
+    """Symbols of a chunk in which two signatures differ."""
+    x = a[chunk].bitwiseXOR(b[chunk])
+    for s in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, s))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101)))
+
+
 def distance(a: Column, b: Column) -> Column:
     """Symbols in which two signatures differ."""
-    total = F.lit(0)
-    for i in range(CHUNKS):
-        x = a[i].bitwiseXOR(b[i])
-        for s in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101)))
-    return total
+    return sum((_errors(a, b, c) for c in range(1, CHUNKS)), _errors(a, b, 0))
+
+
+def _meets_here(key: Column, a: Column, b: Column) -> Column:
+    """Whether this bucket is the first that two signatures share, so that a pair comes once from all its buckets: the
+    first chunk with at most one error, and there, of chunks without any, the first deletion."""
+    slot = F.shiftright(key, 40)
+    first = F.coalesce(*(F.when(_errors(a, b, c) <= 1, F.lit(c)) for c in range(CHUNKS)))
+    exact = F.element_at(a, (first + 1).cast("int")) == F.element_at(b, (first + 1).cast("int"))
+    return (F.floor(slot / WIDTH) == first) & (~exact | (slot % WIDTH == 0))
 
 
 def _index(nodes: DataFrame) -> DataFrame:
@@ -171,9 +182,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("ga"))
     right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("gb"))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (distance(F.col("ga"), F.col("gb")) <= FARTHEST)
-    pairs = scratch.save(pairs.join(left, "a").join(right, "b").filter(near).select("a", "b").distinct(), "pairs")
-    links = _confirmed(pairs, docs, words, percent, scratch, "first")
+    pairs = scratch.save(pairs.join(left, "a").join(right, "b").filter(near).select("a", "b"), "pairs")
+    # one link for each node at first: within a group it settles most of what the other pairs would say again
+    first = scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")), "firsts")
+    links = _confirmed(first, docs, words, percent, scratch, "first")
     comps = components(links, scratch, "comps")
+    at = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = scratch.save(rest.join(first, ["a", "b"], "left_anti"), "rest")
 
     # what two leaders did not settle: buckets of several components, without their leaders
     placed = keys.join(led, "key").join(comps, "node", "left").select("key", "node", "lead", "lead2", F.coalesce("comp", "node").alias("comp"))
@@ -184,8 +200,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     open_ = scratch.save(open_, "open")
     a = open_.filter("comp <> low").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("sig").alias("ga"))
     b = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("gb"))
-    more = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & near)
-    more = scratch.save(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    more = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & near & _meets_here(a["key"], F.col("ga"), F.col("gb")))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(rest)
+    more = scratch.save(more.distinct(), "more")
     scratch.drop("placed", "mixed", "open")
     if not more.isEmpty():
         links = links.union(_confirmed(more, docs, words, percent, scratch, "second"))
