@@ -33,7 +33,7 @@ def _text(data: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, scratch: Scratch, id_col: str, uri_col: str, payload: Column) -> tuple[DataFrame, DataFrame]:
-    """(records with exact header blocks, winners: the id whose record carries each payload)."""
+    """(records with exact header blocks, the rows' ids and addresses)."""
     light = pages.select(
         F.col(id_col).cast("long").alias("rid"),
         F.col(uri_col).cast("string").alias("uri"),
@@ -57,20 +57,24 @@ def plan_records(pages: DataFrame, scratch: Scratch, id_col: str, uri_col: str,
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(first, F.col("n")).otherwise(0).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    return joined.select("rid", "address", header.alias("header")), winners
+    return joined.select("rid", "address", header.alias("header")), light
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
-    """Write one record per row to the archive at `path`. Payloads shuffle once, after a map-side step that keeps one
-    copy per task of what many rows share."""
+    """Write one record per row to the archive at `path`. Only payloads that several rows share are shuffled, after a
+    map-side step that keeps one copy per task; the table of their addresses is written first, so that Spark knows its
+    size: it is broadcast if small and joined by a shuffle if not."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    records, _ = plan_records(pages, scratch, id_col, uri_col, payload)
+    records, light = plan_records(pages, scratch, id_col, uri_col, payload)
     records.write.option("compression", "zstd").parquet(f"{path}/headers")
+    shared = scratch.save(light.groupBy("address").agg(F.count("*").alias("copies")).filter("copies > 1").select("address"), "shared")
     stored = pages.select(F.sha2(payload, 256).alias("address"), payload.alias("payload"))
-    stored.groupBy("address").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    scratch.drop("light", "winners")
+    once = stored.join(shared, "address", "left_anti")
+    many = stored.join(shared, "address", "left_semi").groupBy("address").agg(F.first("payload").alias("payload"))
+    once.unionByName(many).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    scratch.drop("light", "winners", "shared")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
