@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from varlake.plans import registry
@@ -29,7 +30,7 @@ def test_same_rows(spark, sf, duck, name):
     got = registry.QUERIES[name](spark, sf).toPandas()
     want = duck.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda d: sorted((tuple(plain(None if v is None or v != v else v) for v in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False)), key=repr)
+    rows = lambda d: sorted((tuple(plain(None if pd.isna(v) else v) for v in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False)), key=repr)
     assert rows(got) == rows(want)
 
 

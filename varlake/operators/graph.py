@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folder import shared_folder
+
 EDGE = ["celltype", "sample"]
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a temporary one only in local mode."""
+    """Cut the lineage in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        if spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        elif spark.sparkContext.master.startswith("local["):
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="varlake-"))
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "graph"))
     return df.checkpoint()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calling, expression, functions, models, scores, variants
+from . import calling, expression, files, functions, models, scores, variants
 from .register import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "calling", "expression", "functions", "models", "scores", "variants"]
+__all__ = ["ORACLE_SQL", "QUERIES", "calling", "expression", "files", "functions", "models", "scores", "variants"]

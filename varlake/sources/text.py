@@ -96,6 +96,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", r"^(\S*)", 1).alias("contig"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")).alias("sequence"))
 
 
+def reference_bases(fasta: DataFrame, width: int = 1000) -> DataFrame:
+    """chrom, chunk, bases: the reference in chunks, to be joined by (chrom, (pos - 1) div width)."""
+    chunks = F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / width))
+    rows = fasta.filter("sequence <> ''").select(F.col("contig").alias("chrom"), "sequence", F.explode(chunks).alias("chunk"))
+    return rows.select("chrom", "chunk", F.substring("sequence", (F.col("chunk") * width + 1).cast("int"), F.lit(width)).alias("bases"))
+
+
+def with_reference(bases: DataFrame, fasta: DataFrame, width: int = 1000) -> DataFrame:
+    """bases (chrom, pos) with ref, the reference base; positions beyond the reference go."""
+    rows = bases.withColumn("chunk", F.floor((F.col("pos") - 1) / width))
+    rows = rows.join(reference_bases(fasta, width), ["chrom", "chunk"])
+    return rows.withColumn("ref", F.substring("bases", (F.col("pos") - F.col("chunk") * width).cast("int"), F.lit(1))).filter("ref <> ''").drop("chunk", "bases")
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of SAM text: name, flag, chrom, start, map_q, cigar, seq, qual, barcode (CB) and umi (UB)."""
     rows = spark.read.text(path).filter("not startswith(value, '@')").select("value", F.split("value", "\t").alias("t")).filter(F.size("t") >= 11)

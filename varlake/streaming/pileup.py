@@ -6,13 +6,11 @@ a run arrive within a known time."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reads as rd
+from ..sources.folder import shared_folder
 
 BY = ["sample", "barcode", *rd.SITE]
 
@@ -27,10 +25,7 @@ def streamed_counts(reads: DataFrame) -> DataFrame:
 
 def counts_of_stream(spark: SparkSession, reads: DataFrame, files: int = 4) -> DataFrame:
     """Deal reads to files, read them as a stream file by file, and return the final counts."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="varlake-") if spark.sparkContext.master.startswith("local[") else None)
-    if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     reads.repartition(files).write.parquet(f"{base}/in")
     source = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
