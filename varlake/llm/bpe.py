@@ -70,7 +70,10 @@ class WordBPE:
         self.codes, self.code_ranks = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         # only tokens that merge to themselves may be proposed
         self.ids = {s: i for s, i in self.ids.items() if self.rank[i] < 0 or self.merged(self.symbols(s)) == [i]}
-        self.longest = max(map(len, self.ids))
+        # how long tokens with the same first three characters get, so that a proposal tries few lengths
+        self.reach: dict[str, int] = {}
+        for t in self.ids:
+            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
         self.rights, self.lefts = self.spine(self.right), self.spine(self.left)
         self.good, self.memo = {}, {}
 
@@ -95,7 +98,26 @@ class WordBPE:
         return out
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Exact merging: lowest rank first, leftmost of equals."""
+        """Exact merging: lowest rank first, leftmost of equals. Short words go through a list, long ones a heap."""
+        return self._merged_heap(ids) if len(ids) > 200 else self._merged_list(ids)
+
+    def _merged_list(self, ids: list[int]) -> list[int]:
+        ids, get, none = [*ids], self.merges.get, (FAR, -1)
+        found = [get(p, none) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i:i + 2] = [best[1]]
+            del found[i]
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+        return ids
+
+    def _merged_heap(self, ids: list[int]) -> list[int]:
         nxt, prev = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(len(ids) - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -115,11 +137,12 @@ class WordBPE:
         return [t for t, a in zip(ids, alive) if a]
 
     def proposed(self, word: str) -> list[int]:
-        out, at, ids = [], 0, self.ids
-        while at < len(word):
-            for end in range(min(len(word), at + self.longest), at, -1):
-                if (t := ids.get(word[at:end])) is not None and end != len(word) - 1:
-                    break
+        """Longest tokens from the left; the end mark never stands alone."""
+        out, at, n, get, reach = [], 0, len(word), self.ids.get, self.reach.get
+        while at < n:
+            end = min(n, at + reach(word[at:at + 3], 2))
+            while (t := get(word[at:end])) is None or end == n - 1:
+                end -= 1
             out.append(t)
             at = end
         return out
@@ -142,16 +165,17 @@ class WordBPE:
 
     def learn(self, words: list[str]) -> None:
         """Put new words into the memo: ids, the ids as text, the tokens as text."""
-        mapped = ["".join(map(self.bytes.__getitem__, w.encode("utf-8", "surrogatepass"))) + END for w in words]
+        plain = lambda w: w if w.isascii() and w.isprintable() else "".join(map(self.bytes.__getitem__, w.encode("utf-8", "surrogatepass")))
+        mapped = [plain(w) + END for w in words]
         cuts = [self.proposed(w) for w in mapped]
-        pairs = np.array(sorted({(a, b) for c in cuts for a, b in zip(c, c[1:])} - self.good.keys()), np.int64).reshape(-1, 2)
+        if len(self.good) > MEMO_MOST:
+            self.good.clear()
+        borders = [[*zip(c, c[1:])] for c in cuts]
+        pairs = np.array([*set().union(*borders).difference(self.good)], np.int64).reshape(-1, 2)
         if len(pairs):
-            if len(self.good) > MEMO_MOST:
-                self.good.clear()
-                pairs = np.array(sorted({(a, b) for c in cuts for a, b in zip(c, c[1:])}), np.int64)
             self.good.update(zip(map(tuple, pairs.tolist()), self.compatible(pairs[:, 0], pairs[:, 1]).tolist()))
-        for word, m, cut in zip(words, mapped, cuts):
-            if not all(self.good[p] for p in zip(cut, cut[1:])):
+        for word, m, cut, border in zip(words, mapped, cuts, borders):
+            if not all(map(self.good.__getitem__, border)):
                 cut = self.merged(self.symbols(m))
             self.memo[word] = (cut, " ".join(map(str, cut)), " ".join(map(self.text.__getitem__, cut)))
 
@@ -169,10 +193,11 @@ class WordBPE:
         """For each text the memo's entries of its words and special tokens, in order."""
         for at in range(0, len(texts), 256):
             cut = [self.pieces(t) for t in texts[at:at + 256]]
-            new = {w for pieces in cut for p in pieces if isinstance(p, list) for w in p} - self.memo.keys()
+            words = set().union(*(p for pieces in cut for p in pieces if isinstance(p, list)))
+            new = words.difference(self.memo)
             if len(self.memo) + len(new) > MEMO_MOST:
                 self.memo.clear()
-                new = {w for pieces in cut for p in pieces if isinstance(p, list) for w in p}
+                new = words
             self.learn(list(new))
             for pieces in cut:
                 out = []
