@@ -28,8 +28,25 @@ from .shared import table
 
 FAR = np.iinfo(np.int64).max
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The file's split pattern with its \s written out, for Python's \s has four more characters.
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+# Code points that newer Unicode tables call letters or numbers and the tokenizers library does not, and
+# capitals whose small letters only its newer case table knows (first, last, distance).
+NOT_WORDS = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"
+    r"\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f"
+    r"\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    r"\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    r"\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    r"\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f")
+NEW_CASES = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+             (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+LOWERED = {c: c + by for first, last, by in NEW_CASES for c in range(first, last + 1)}
+# The file's split pattern with its \s written out, for Python's \s has four more characters; the plain one serves texts
+# without code points from U+0500 on other than common punctuation.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+"
+WORDS = _SPLIT.format(r"\p{L}", r"\p{N}", SPACE)
+RARE = "[\u0500-\u1fff\u2070-\u209f\u2c00-\U0010ffff]"
+RARE_WORDS = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{NOT_WORDS}]]+|[\p{{N}}--[{NOT_WORDS}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{NOT_WORDS}])+"
 END = "\ue000"  # stands for the word-end suffix; byte symbols never use it
 MEMO_MOST = 300_000
 
@@ -51,7 +68,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: t for t, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.words = regex.compile(WORDS)
+        self.words, self.rare, self.rare_words = regex.compile(WORDS), regex.compile(RARE), regex.compile(RARE_WORDS)
         self.bytes = {i: s for i, s in enumerate(byte_symbols())}
         ends = lambda t: t[:-len(suffix)] + END if t.endswith(suffix) and t != suffix else t
         vocab = model["vocab"]
@@ -186,7 +203,8 @@ class WordBPE:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out.append(self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()))
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                out.append(self.rare_words.findall(part.translate(LOWERED)) if self.rare.search(part) else self.words.findall(part))
         return out
 
     def results(self, texts: list[str | None]) -> Iterator[list[tuple[list[int], str, str]]]:
