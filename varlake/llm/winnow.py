@@ -71,9 +71,10 @@ def ranges_of(rows: DataFrame, id_col: str, range_rows: int = RANGE_ROWS) -> Col
     return coarse * (FANOUT + 1) + below(F.element_at(fine, coarse + 1))
 
 
-def with_next(rows: DataFrame, id_col: str, fields: list[str], ties: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, fields: list[str], ties: list[str], range_rows: int = RANGE_ROWS, derived: dict[str, Column] | None = None) -> DataFrame:
     """rows with next_<field> of the row that follows by descending id; after the last comes the first. Rows with a null
-    id come last. The head of each range also stands, marked, at the end of the range before it, and is left out again."""
+    id come last. The head of each range also stands, marked, at the end of the range before it, and is left out again.
+    derived: further columns, computed for rows and heads only and before their fields are looked ahead."""
     rows = rows.withColumn("seq_id", F.coalesce(F.col(id_col), F.lit(-(2**63))))
     rows = rows.withColumn("seq_range", ranges_of(rows, "seq_id", range_rows))
     heads = rows.groupBy("seq_range").agg(F.max("seq_id").alias("head"))
@@ -81,7 +82,7 @@ def with_next(rows: DataFrame, id_col: str, fields: list[str], ties: list[str],
     every = Window.orderBy(F.desc("seq_range"))
     follow = heads.select(F.coalesce(F.lead("head").over(every), F.max("head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("seq_id"), F.col("seq_range").alias("seq_before"))
     copies = rows.join(F.broadcast(follow), "seq_id").withColumn("seq_range", F.col("seq_before")).drop("seq_before")
-    both = rows.withColumn("seq_copy", F.lit(0)).unionByName(copies.withColumn("seq_copy", F.lit(1)))
+    both = rows.withColumn("seq_copy", F.lit(0)).unionByName(copies.withColumn("seq_copy", F.lit(1))).withColumns(derived or {})
     order = Window.partitionBy("seq_range").orderBy("seq_copy", F.desc("seq_id"), *ties)
     for f in fields:
         both = both.withColumn(f"next_{f}", F.lead(f).over(order))
@@ -90,8 +91,7 @@ def with_next(rows: DataFrame, id_col: str, fields: list[str], ties: list[str],
 
 def winnow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = docs.withColumn("kept", winnowed(grams(F.col("text"))))
-    rows = with_next(rows, "doc_id", ["text", "kept"], ["text"])
+    rows = with_next(docs, "doc_id", ["text", "kept"], ["text"], derived={"kept": winnowed(grams(F.col("text")))})
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
