@@ -25,7 +25,6 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(docs)
     gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    # rows that repeat a doc_id with its text are copies too
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

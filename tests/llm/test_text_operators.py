@@ -144,6 +144,7 @@ def test_html(spark, sf):
     assert mainhtml.main_text("<" * 50000 + "<a b='" * 5000) is not None
     plain = "<div class=menu><a>Home</a></div><div id=c><p>A long first paragraph of the text.</p><p>short</p><p>Another long paragraph here.</p></div><div class=footer>imprint</div>"
     assert mainhtml.main_text(plain) == "A long first paragraph of the text.\nshort\nAnother long paragraph here."
+    assert mainhtml.main_text("<article><p>a</p><p style='display: none'>b</p><div class='discussion'>c</div><div class=note>d</div></article>") == "a\nd"
     rows = queries.QUERIES["op9_html_text"](spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     import html as h

@@ -31,11 +31,11 @@ FURNITURE = frozenset("nav header footer aside form menu dialog button select la
 P_ENDS = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option optgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog status".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|newsletter|subscribe"
-    r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscribe"
+    r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|responses|discussion|share|sharing|social"
     r"|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|disclaimer|skip-link)(?:$|[\s_-]|\d)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 def _marks(name: str, attributes: str) -> tuple[bool, bool]:
@@ -49,6 +49,8 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
                 main |= value.lower() in ("main", "article")
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 furniture = True
+            elif key == "style":
+                furniture |= "display:none" in value.replace(" ", "").lower()
             elif key == "itemprop":
                 main |= value == "articleBody"
             elif name not in ("html", "body", "article", "main"):
