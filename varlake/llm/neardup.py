@@ -6,9 +6,12 @@ indexed under each of its five one-symbol deletions. At a similarity of 0.8 a pa
 (1 - 0.737) ** 10 = 1.6e-6. Every pair that meets and whose signatures differ in at most 27 symbols is a candidate;
 links are confirmed on the full shingle sets (64-bit hashes).
 
-All pairs of a group are never made. Equal sets are one node. Within each index bucket all nodes are first held against
-two leaders; confirmed links give components. Of buckets that still hold several components, nodes outside the first
-component are held against the rest. Pairs inside a component are left out: they cannot change the result.
+All pairs of a group are never made. Equal sets are one node. Within each index bucket all nodes are held against two
+leaders; of these candidate pairs one per node is confirmed first, then those that lead out of a component. Near signatures
+alone join nodes into families, by leaders and then, where a bucket still spans several, by its other pairs, each in the
+first bucket that it shares. Within a family, nodes outside the largest component are held against the rest by a join whose
+condition is the exact one, so that it returns links and not candidates. Pairs inside a component are left out: they cannot
+change the result.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; rows with an equal
 doc_id are one node; rows with a null doc_id take the component of their text's other copies, else null; other columns
@@ -149,16 +152,37 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
+def merged(comps: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """comps (node, comp) with the edges (a, b) added: only edges between components are followed, once each."""
+    at = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = scratch.save(between.filter("a <> b").distinct(), f"{name}-between")
+    if between.isEmpty():
+        return comps
+    up = components(between, scratch, f"{name}-up").select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    alone = up.join(comps.select("comp").distinct(), up["was"] == F.col("comp"), "left_anti").select(F.col("was").alias("node"), F.col("was").alias("comp"))
+    every = comps.select("node", "comp").union(alone)
+    return scratch.save(every.join(up, every["comp"] == up["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), f"{name}-merged")
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+    """node, shingles of the ids (doc_id)."""
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
+    return scratch.save(sets, name)
+
+
+def _similar(a: Column, b: Column, percent: int) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both * 100 >= (F.size(a) + F.size(b) - both) * percent
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
-    sets = scratch.save(sets, f"{name}-sets")
+    sets = _sets_of(ids, docs, words, scratch, f"{name}-sets")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(a, "a").join(b, "b").filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
-    links = scratch.save(links, f"{name}-links")
+    links = scratch.save(pairs.join(a, "a").join(b, "b").filter(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b"), f"{name}-links")
     scratch.drop(f"{name}-ids", f"{name}-sets")
     return links
 
@@ -184,29 +208,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (distance(F.col("ga"), F.col("gb")) <= FARTHEST)
     pairs = scratch.save(pairs.join(left, "a").join(right, "b").filter(near).select("a", "b"), "pairs")
     # one link for each node at first: within a group it settles most of what the other pairs would say again
-    first = scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")), "firsts")
-    links = _confirmed(first, docs, words, percent, scratch, "first")
-    comps = components(links, scratch, "comps")
+    first = scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "firsts")
+    comps = components(_confirmed(first, docs, words, percent, scratch, "first"), scratch, "comps")
     at = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
     rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     rest = scratch.save(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        comps = merged(comps, _confirmed(rest, docs, words, percent, scratch, "rest"), scratch, "rest")
 
-    # what two leaders did not settle: buckets of several components, without their leaders
-    placed = keys.join(led, "key").join(comps, "node", "left").select("key", "node", "lead", "lead2", F.coalesce("comp", "node").alias("comp"))
+    families = merged(components(first, scratch, "families"), pairs, scratch, "pairs")
+    placed = keys.join(led, "key").join(families, "node", "left").select("key", "node", "lead", "lead2", F.coalesce("comp", "node").alias("family"))
     placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "low")
-    mixed = scratch.save(mixed, "mixed")
-    open_ = placed.filter("node <> lead and node <> lead2").join(mixed, "key").select("key", "node", "comp", "low").join(nodes, "node")
-    open_ = scratch.save(open_, "open")
-    a = open_.filter("comp <> low").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("sig").alias("ga"))
-    b = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("gb"))
-    more = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & near & _meets_here(a["key"], F.col("ga"), F.col("gb")))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(rest)
-    more = scratch.save(more.distinct(), "more")
+    mixed = scratch.save(placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low < high").select("key", "low"), "mixed")
+    open_ = scratch.save(placed.filter("node <> lead and node <> lead2").join(mixed, "key").select("key", "node", "family", "low").join(nodes, "node"), "open")
+    side = lambda n: [F.col("node").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("sig").alias(f"g{n}")]
+    a = open_.filter("family <> low").select("key", F.col("family").alias("fa"), *side("a"))
+    b = open_.select("key", F.col("family").alias("fb"), *side("b"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("fa") != F.col("fb")) & near & _meets_here(a["key"], F.col("ga"), F.col("gb")))
+    families = merged(families, scratch.save(across.select("a", "b"), "across"), scratch, "across")
     scratch.drop("placed", "mixed", "open")
-    if not more.isEmpty():
-        links = links.union(_confirmed(more, docs, words, percent, scratch, "second"))
-        comps = components(links, scratch, "all")
+
+    kin = families.select("node", F.col("comp").alias("family")).join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
+    kin = scratch.save(kin, "kin")
+    sizes = kin.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    kin = scratch.save(kin.join(scratch.save(split, "split"), "family"), "unsettled")
+    if not kin.isEmpty():
+        sets = _sets_of(kin.select(F.col("node").alias("doc_id")), docs, words, scratch, "kin-sets")
+        kin = scratch.save(kin.join(nodes, "node").join(sets, "node"), "kin-all")
+        a = kin.filter("comp <> main").select("family", F.col("comp").alias("ca"), F.col("shingles").alias("sa"), *side("a"))
+        b = kin.select(F.col("family").alias("fb"), F.col("comp").alias("cb"), F.col("main").alias("mb"), F.col("shingles").alias("sb"), *side("b"))
+        # of two nodes outside the main component, one order is enough
+        late = a.join(b, (a["family"] == F.col("fb")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))) & near & _similar(F.col("sa"), F.col("sb"), percent))
+        comps = merged(comps, scratch.save(late.select("a", "b"), "late"), scratch, "late")
     out = members.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
