@@ -112,6 +112,17 @@ def test_bpe_speculation_is_verified():
     assert t.decode(t.merged(t.symbols("hello" + bpe.END))) == "hello</w>"
 
 
+def test_bpe_of_every_code_point():
+    t, texts = bpe.tokenizer(PATH), []
+    for at in range(0, 0x110000, 64):
+        if not 0xD800 <= at < 0xE000:
+            run = "".join(map(chr, range(at, at + 64)))
+            texts += [run, "a".join(run), run.upper()]
+    library = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    for want, got in zip(library, t.results(texts)):
+        assert want.ids == [i for entry in got for i in entry[0]]
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op5_quality"](spark, sf).collect()

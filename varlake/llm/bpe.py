@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from .shared import table
 
@@ -69,6 +70,7 @@ class WordBPE:
         self.text |= {i: t for t, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words, self.rare, self.rare_words = regex.compile(WORDS), regex.compile(RARE), regex.compile(RARE_WORDS)
+        self.nfc = normalizers.NFC().normalize_str  # orders rare marks by the library's Unicode tables, not by Python's
         self.bytes = {i: s for i, s in enumerate(byte_symbols())}
         ends = lambda t: t[:-len(suffix)] + END if t.endswith(suffix) and t != suffix else t
         vocab = model["vocab"]
@@ -203,7 +205,8 @@ class WordBPE:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                part = self.nfc(part) if self.rare.search(part) else unicodedata.normalize("NFC", part)
+                part = part.replace("Σ", "σ").lower()
                 out.append(self.rare_words.findall(part.translate(LOWERED)) if self.rare.search(part) else self.words.findall(part))
         return out
 
