@@ -9,9 +9,9 @@ links are confirmed on the full shingle sets (64-bit hashes).
 All pairs of a group are never made. Equal sets are one node. Within each index bucket all nodes are held against two
 leaders; of these candidate pairs one per node is confirmed first, then those that lead out of a component. Near signatures
 alone join nodes into families, by leaders and then, where a bucket still spans several, by its other pairs, each in the
-first bucket that it shares. Within a family, nodes outside the largest component are held against the rest by a join whose
-condition is the exact one, so that it returns links and not candidates. Pairs inside a component are left out: they cannot
-change the result.
+first bucket that it shares. Within a family that is not one component yet, pairs of different components are candidates
+if they also share one of their rarest shingles, which similar sets must: documents that have only a common passage do not.
+Pairs inside a component are left out: they cannot change the result.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; rows with an equal
 doc_id are one node; rows with a null doc_id take the component of their text's other copies, else null; other columns
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
@@ -176,17 +176,37 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return both * 100 >= (F.size(a) + F.size(b) - both) * percent
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = _sets_of(ids, docs, words, scratch, f"{name}-sets")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets (node, shingles) are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    links = scratch.save(pairs.join(a, "a").join(b, "b").filter(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b"), f"{name}-links")
+    return scratch.save(pairs.join(a, "a").join(b, "b").filter(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b"), f"{name}-links")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets, made of the texts, are similar enough."""
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    links = _linked(pairs, _sets_of(ids, docs, words, scratch, f"{name}-sets"), percent, scratch, name)
     scratch.drop(f"{name}-ids", f"{name}-sets")
     return links
 
 
+def _rare_shingles(kin: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """family, node, shingle, place, leading: of each node the shingles that come first when those of its family are put
+    in order of how many nodes have them, without those that no other node has. Two similar sets share one among the
+    first (100 - percent) per cent of the larger set, and of the smaller one even among the `leading` first."""
+    every = kin.select("family", "node", "n_shingles").join(sets, "node").select("family", "node", "n_shingles", F.explode("shingles").alias("shingle"))
+    held = every.groupBy("family", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    shared = every.join(held, ["family", "shingle"])
+    # alone: shingles of the node's own, which come before all of these
+    own = Window.partitionBy("node")
+    alone = F.col("n_shingles") - F.count("*").over(own)
+    placed = shared.withColumn("place", alone + F.row_number().over(own.orderBy("holders", "shingle")))
+    part = lambda of, to: F.col("n_shingles") + 1 - F.ceil(F.col("n_shingles") * of / to)
+    first = placed.withColumn("leading", part(2 * percent, 100 + percent)).filter(F.col("place") <= part(percent, 100))
+    return first.select("family", "node", "shingle", "place", "leading")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -230,17 +250,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
 
     kin = families.select("node", F.col("comp").alias("family")).join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
     kin = scratch.save(kin, "kin")
-    sizes = kin.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    kin = scratch.save(kin.join(scratch.save(split, "split"), "family"), "unsettled")
+    split = kin.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("family")
+    kin = scratch.save(kin.join(scratch.save(split, "split"), "family").join(nodes, "node"), "unsettled")
     if not kin.isEmpty():
         sets = _sets_of(kin.select(F.col("node").alias("doc_id")), docs, words, scratch, "kin-sets")
-        kin = scratch.save(kin.join(nodes, "node").join(sets, "node"), "kin-all")
-        a = kin.filter("comp <> main").select("family", F.col("comp").alias("ca"), F.col("shingles").alias("sa"), *side("a"))
-        b = kin.select(F.col("family").alias("fb"), F.col("comp").alias("cb"), F.col("main").alias("mb"), F.col("shingles").alias("sb"), *side("b"))
-        # of two nodes outside the main component, one order is enough
-        late = a.join(b, (a["family"] == F.col("fb")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))) & near & _similar(F.col("sa"), F.col("sb"), percent))
-        comps = merged(comps, scratch.save(late.select("a", "b"), "late"), scratch, "late")
+        rare = scratch.save(_rare_shingles(kin, sets, percent), "rare").join(kin, ["node", "family"])
+        a = rare.filter("place <= leading").select("family", "shingle", F.col("comp").alias("ca"), *side("a"))
+        b = rare.select(F.col("family").alias("fb"), F.col("shingle").alias("tb"), F.col("comp").alias("cb"), *side("b"))
+        apart = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        late = a.join(b, (F.col("family") == F.col("fb")) & (F.col("shingle") == F.col("tb")) & apart & near).select("a", "b").distinct()
+        comps = merged(comps, _linked(scratch.save(late, "late"), sets, percent, scratch, "late"), scratch, "late")
     out = members.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
