@@ -53,6 +53,37 @@ def test_components_equal_brute_force(spark, k):
     assert got == brute(rows, k)
 
 
+def test_common_passages(spark):
+    """Documents that share three quarters of their words are no links by that; copies among them are."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    common, rows = [rng.choice(words) for _ in range(90)], []
+    for _ in range(40):
+        text = common + [rng.choice(words) for _ in range(rng.randrange(10, 30))]
+        for _ in range(rng.choice([1, 1, 1, 2, 4])):
+            copy = text[:]
+            for _ in range(rng.randrange(0, 7)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.near_duplicates(docs, words=2).collect()) == brute(rows, 2)
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    rng = random.Random(5)
+    base = rng.sample(range(10**6), 60)
+    sets = {}
+    for node in range(60):
+        own = set(rng.sample(base, rng.randrange(40, 61))) if node % 2 else set(base)
+        sets[node] = own | set(rng.sample(range(10**6), rng.randrange(0, 12)))
+    kin = spark.createDataFrame([(1, n, len(s)) for n, s in sets.items()], "family long, node long, n_shingles long")
+    rows = neardup._rare_shingles(kin, spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, shingles array<long>"), 80).collect()
+    leading = {n: {r["shingle"] for r in rows if r["node"] == n and r["place"] <= r["leading"]} for n in sets}
+    first = {n: {r["shingle"] for r in rows if r["node"] == n} for n in sets}
+    similar = [(a, b) for a in sets for b in sets if (len(sets[a]), a) < (len(sets[b]), b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert similar and all(leading[a] & first[b] for a, b in similar)
+
+
 def test_whole_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in neardup.neardup_query(spark, "/root/testdata/sf0.001").collect())
