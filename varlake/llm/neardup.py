@@ -250,7 +250,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
 
     kin = families.select("node", F.col("comp").alias("family")).join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
     kin = scratch.save(kin, "kin")
-    split = kin.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("family")
+    # settled are families of one component, and small ones of which every pair has been held against each other
+    split = kin.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high")
+    held = pairs.join(kin.select(F.col("node").alias("a"), "family"), "a").groupBy("family").agg(F.count("*").alias("held"))
+    split = split.join(held, "family", "left").filter("n * (n - 1) > 2 * coalesce(held, 0)").select("family")
     kin = scratch.save(kin.join(scratch.save(split, "split"), "family").join(nodes, "node"), "unsettled")
     if not kin.isEmpty():
         sets = _sets_of(kin.select(F.col("node").alias("doc_id")), docs, words, scratch, "kin-sets")
