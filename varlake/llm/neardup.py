@@ -221,7 +221,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     keys = _index(nodes)
     led = keys.groupBy("key").agg(F.min("node").alias("lead"), F.min(F.col("node").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias("lead2"), F.count("*").alias("n"))
     led = scratch.save(led.filter("n > 1").drop("n"), "led")
-    pairs = keys.join(led, "key").select("node", F.explode(F.array("lead", "lead2")).alias("other")).filter("node <> other")
+    hits = scratch.save(keys.join(led, "key").select("key", "node", "lead", "lead2"), "hits")
+    scratch.drop("led")
+    pairs = hits.select("node", F.explode(F.array("lead", "lead2")).alias("other")).filter("node <> other")
     pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("ga"))
     right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("gb"))
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
         comps = merged(comps, _confirmed(rest, docs, words, percent, scratch, "rest"), scratch, "rest")
 
     families = merged(components(first, scratch, "families"), pairs, scratch, "pairs")
-    placed = keys.join(led, "key").join(families, "node", "left").select("key", "node", "lead", "lead2", F.coalesce("comp", "node").alias("family"))
+    placed = hits.join(families, "node", "left").select("key", "node", "lead", "lead2", F.coalesce("comp", "node").alias("family"))
     placed = scratch.save(placed, "placed")
     mixed = scratch.save(placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low < high").select("key", "low"), "mixed")
     open_ = scratch.save(placed.filter("node <> lead and node <> lead2").join(mixed, "key").select("key", "node", "family", "low").join(nodes, "node"), "open")
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     b = open_.select("key", F.col("family").alias("fb"), *side("b"))
     across = a.join(b, (a["key"] == b["key"]) & (F.col("fa") != F.col("fb")) & near & _meets_here(a["key"], F.col("ga"), F.col("gb")))
     families = merged(families, scratch.save(across.select("a", "b"), "across"), scratch, "across")
-    scratch.drop("placed", "mixed", "open")
+    scratch.drop("hits", "placed", "mixed", "open")
 
     kin = families.select("node", F.col("comp").alias("family")).join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
     kin = scratch.save(kin, "kin")
