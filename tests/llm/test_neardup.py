@@ -1,5 +1,6 @@
 """Near duplicates against all pairs of exact sets."""
 
+import itertools
 import random
 
 import pytest
@@ -82,6 +83,9 @@ def test_similar_sets_share_a_rare_shingle(spark):
     first = {n: {r["shingle"] for r in rows if r["node"] == n} for n in sets}
     similar = [(a, b) for a in sets for b in sets if (len(sets[a]), a) < (len(sets[b]), b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert similar and all(leading[a] & first[b] for a, b in similar)
+    for a, b in itertools.combinations(sets, 2):
+        x, y = (neardup.parity(neardup.np.array(sorted(sets[n]), neardup.np.uint64) << neardup.np.uint64(32)) for n in (a, b))
+        assert sum((i ^ j).bit_count() if (i ^ j) >= 0 else ((i ^ j) + 2**64).bit_count() for i, j in zip(x, y)) <= len(sets[a] ^ sets[b])
 
 
 def test_whole_small_table(spark):

@@ -33,6 +33,7 @@ from .shared import Scratch, table
 WORDS, SIMILARITY = 5, 80  # shingle length; per cent
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
+PARITIES = 512
 FARTHEST = 27  # symbols in which candidates may differ; P(more | similarity 0.8) is about 1e-9
 _RNG = np.random.default_rng(20240501)
 _MUL = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -77,6 +78,13 @@ def signature(shingles: np.ndarray) -> list[int]:
     return (symbols << _SHIFT).sum(axis=1).astype(np.int64).tolist()
 
 
+def parity(shingles: np.ndarray) -> list[int]:
+    """For each of PARITIES groups of hashes, whether the set has an odd number of them. Two sets differ in at least as
+    many shingles as their parities do in bits."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,8 +102,12 @@ def _described(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch["doc_id"],
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
+            ], names=["node", "shingles", "parity"])
 
     return run
 
@@ -166,8 +178,8 @@ def merged(comps: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> D
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
-    """node, shingles of the ids (doc_id)."""
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>")
+    """node, shingles, parity of the ids (doc_id)."""
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>, parity array<long>")
     return scratch.save(sets, name)
 
 
@@ -207,6 +219,16 @@ def _rare_shingles(kin: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return first.select("family", "node", "shingle", "place", "leading")
 
 
+def _may_link(percent: int) -> Column:
+    """Whether two nodes a and b with a shingle in common may be similar, a the smaller one. No similar pair fails at the
+    first shingle that it shares: what follows it must suffice for the overlap, and few enough parities differ."""
+    na, nb = F.col("n_shingles_a"), F.col("n_shingles_b")
+    smaller = (na < nb) | ((na == nb) & (F.col("node_a") < F.col("node_b")))
+    follow = F.least(na - F.col("place_a"), nb - F.col("place_b")) + 1
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return smaller & (follow * (100 + percent) >= (na + nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -259,11 +281,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     kin = scratch.save(kin.join(scratch.save(split, "split"), "family").join(nodes, "node"), "unsettled")
     if not kin.isEmpty():
         sets = _sets_of(kin.select(F.col("node").alias("doc_id")), docs, words, scratch, "kin-sets")
-        rare = scratch.save(_rare_shingles(kin, sets, percent), "rare").join(kin, ["node", "family"])
-        a = rare.filter("place <= leading").select("family", "shingle", F.col("comp").alias("ca"), *side("a"))
-        b = rare.select(F.col("family").alias("fb"), F.col("shingle").alias("tb"), F.col("comp").alias("cb"), *side("b"))
-        apart = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        late = a.join(b, (F.col("family") == F.col("fb")) & (F.col("shingle") == F.col("tb")) & apart & near).select("a", "b").distinct()
+        rare = scratch.save(_rare_shingles(kin, sets, percent), "rare").join(kin.select("node", "comp", "n_shingles"), "node").join(sets.select("node", "parity"), "node")
+        mine = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("node", "comp", "n_shingles", "place", "parity")]
+        a = rare.filter("place <= leading").select("family", "shingle", *mine("a"))
+        b = rare.select(F.col("family").alias("fb"), F.col("shingle").alias("tb"), *mine("b"))
+        met = (F.col("family") == F.col("fb")) & (F.col("shingle") == F.col("tb")) & (F.col("comp_a") != F.col("comp_b"))
+        late = a.join(b, met & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         comps = merged(comps, _linked(scratch.save(late, "late"), sets, percent, scratch, "late"), scratch, "late")
     out = members.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
