@@ -156,6 +156,9 @@ def test_html(spark, sf):
     plain = "<div class=menu><a>Home</a></div><div id=c><p>A long first paragraph of the text.</p><p>short</p><p>Another long paragraph here.</p></div><div class=footer>imprint</div>"
     assert mainhtml.main_text(plain) == "A long first paragraph of the text.\nshort\nAnother long paragraph here."
     assert mainhtml.main_text("<article><p>a</p><p style='display: none'>b</p><div class='discussion'>c</div><div class=note>d</div></article>") == "a\nd"
+    links = "<ul><li><a href=/>Home</a></li><li><a href=/n>News of the day</a></li></ul><p>A long first paragraph of the text.</p><p><a href=/s>A source</a></p><p>The <a>second</a> one.</p><p><a>Next</a></p>"
+    assert mainhtml.main_text(links) == "A long first paragraph of the text.\nA source\nThe second one."
+    assert mainhtml.main_text("<article><p>a</p><p><a>b</a></p><div class=readerComments>c</div></article>") == "a\nb"
     rows = queries.QUERIES["op9_html_text"](spark, sf).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     import html as h

@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's length counts only text outside elements that are
-page furniture by their name, role or class; where a page marks its article, only text inside it counts. The lengths are
+page furniture by their name, role or class; where a page marks its article, only text inside it counts, and where it does
+not, lines of nothing but links do not count, so that they are kept only between lines of text. The lengths are
 summed over a sliding window of lines; the main text starts at the surge, where the sum first passes a share of the
 page's peak, and ends at the dive, after which it falls to nothing. Everything between them is kept; start and end are
 widened over neighbouring lines that also hold text of their own.
@@ -34,6 +35,7 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscribe"
     r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|responses|discussion|share|sharing|social"
     r"|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|disclaimer|skip-link)(?:$|[\s_-]|\d)", re.I)
+CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -54,23 +56,25 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
             elif key == "itemprop":
                 main |= value == "articleBody"
             elif name not in ("html", "body", "article", "main"):
-                furniture |= bool(NAMES.search(value))
+                furniture |= bool(NAMES.search(CAMEL.sub("-", value)))
     return furniture, main
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, furniture, inside an article) for each block of the page that has text."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, and the marks of it and all around it
+def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, furniture, inside an article, nothing but links) for each block of the page that has text."""
+    out: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, the marks of it and all around it, whether inside a link
     held: list[str] = []
+    plain: list[str] = []  # what of it is not inside a link
     state = (False, False)
 
     def close_line() -> None:
         if held:
             text = " ".join("".join(held).split())
-            held.clear()
             if text:
-                out.append((text, *state))
+                out.append((text, *state, not "".join(plain).strip()))
+            held.clear()
+            plain.clear()
 
     def now() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -81,6 +85,8 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         start = m.start() if m else n
         if start > at:
             held.append(html.unescape(page[at:start]))
+            if not (stack and stack[-1][3]):
+                plain.append(held[-1])
         if not m:
             break
         at = m.end()
@@ -88,6 +94,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if not name:
             if m[0].startswith("<![CDATA["):
                 held.append(m[0][9:].removesuffix("]]>"))
+                plain.append(held[-1])
             continue
         if m[1] or m[4]:  # an end tag
             if name == "p" or any(s[0] == name for s in stack):
@@ -127,7 +134,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         inner = (furniture or now()[0], main or now()[1])
         if inner != state:
             close_line()
-        stack.append((name, *inner))
+        stack.append((name, *inner, name == "a" or bool(stack and stack[-1][3])))
         state = inner
     close_line()
     return out
@@ -135,10 +142,9 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if any(inside and not furniture for _, furniture, inside in found):
-        own = [0 if furniture or not inside else len(text) for text, furniture, inside in found]
-    else:
-        own = [0 if furniture else len(text) for text, furniture, _ in found]
+    marked = any(inside and not furniture for _, furniture, inside, _ in found)
+    kept = [not furniture and (inside or not marked) for _, furniture, inside, _ in found]
+    own = [len(text) if keep and (marked or not links) else 0 for keep, (text, _, _, links) in zip(kept, found)]
     if not any(own):
         return ""
     sums = [sum(own[i:i + WINDOW]) for i in range(len(own))]
@@ -153,7 +159,7 @@ def main_text(page: str | None) -> str:
         first -= 1
     while last + 1 < len(own) and any(own[last + 1:last + 1 + WINDOW]):
         last += 1
-    return "\n".join(found[i][0] for i in range(first, last + 1) if own[i])
+    return "\n".join(found[i][0] for i in range(first, last + 1) if kept[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
