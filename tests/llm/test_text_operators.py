@@ -152,6 +152,7 @@ def test_html(spark, sf):
     assert mainhtml.main_text(PAGE) == "Head & line\nFirst bold text.\nSecond line é.\nok"
     assert mainhtml.main_text(None) == mainhtml.main_text("") == mainhtml.main_text("<!-- x") == mainhtml.main_text("<nav>a</nav>") == ""
     assert mainhtml.main_text("plain") == "plain" and mainhtml.main_text("<p>a<script>x") == "a"
+    assert mainhtml.main_text("<b><i>x</u>" * 50000 + "<title>t</title>" * 20000) == "x" * 50000
     assert mainhtml.main_text("<" * 50000 + "<a b='" * 5000) is not None
     plain = "<div class=menu><a>Home</a></div><div id=c><p>A long first paragraph of the text.</p><p>short</p><p>Another long paragraph here.</p></div><div class=footer>imprint</div>"
     assert mainhtml.main_text(plain) == "A long first paragraph of the text.\nshort\nAnother long paragraph here."

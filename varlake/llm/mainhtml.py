@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscribe"
     r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|responses|discussion|share|sharing|social"
     r"|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|disclaimer|skip-link)(?:$|[\s_-]|\d)", re.I)
+TITLE_END = re.compile("</title", re.I)
 CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -64,6 +66,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
     """(text, furniture, inside an article, nothing but links) for each block of the page that has text."""
     out: list[tuple[str, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, the marks of it and all around it, whether inside a link
+    opened: Counter = Counter()  # names on the stack
     held: list[str] = []
     plain: list[str] = []  # what of it is not inside a link
     state = (False, False)
@@ -76,6 +79,11 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
             held.clear()
             plain.clear()
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     def now() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
@@ -97,13 +105,11 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
                 plain.append(held[-1])
             continue
         if m[1] or m[4]:  # an end tag
-            if name == "p" or any(s[0] == name for s in stack):
+            if name == "p" or opened[name]:
                 if name in BLOCKS:
                     close_line()
-                while any(s[0] == name for s in stack):
-                    before = stack.pop()
-                    if before[0] == name:
-                        break
+                while opened[name] and pop() != name:
+                    pass
                 if now() != state:
                     close_line()
                     state = now()
@@ -116,14 +122,14 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
                 at = end.end() if end else n
             continue
         if name == "title":  # outside a head
-            end = page.lower().find("</title", at)
-            at = end if end >= 0 else n
+            end = TITLE_END.search(page, at)
+            at = end.start() if end else n
             continue
-        if name in P_ENDS and any(s[0] == "p" for s in stack):
-            while stack.pop()[0] != "p":
+        if name in P_ENDS and opened["p"]:
+            while pop() != "p":
                 pass
         elif name in ("li", "dd", "dt", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
-            stack.pop()
+            pop()
         if name in BLOCKS:
             close_line()
         elif name == "br":
@@ -134,6 +140,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
         inner = (furniture or now()[0], main or now()[1])
         if inner != state:
             close_line()
+        opened[name] += 1
         stack.append((name, *inner, name == "a" or bool(stack and stack[-1][3])))
         state = inner
     close_line()
