@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line's length counts only text outside elements that are
-page furniture by their name, role or class; where a page marks its article, only text inside it counts, and where it does
-not, lines of nothing but links do not count, so that they are kept only between lines of text. The lengths are
-summed over a sliding window of lines; the main text starts at the surge, where the sum first passes a share of the
-page's peak, and ends at the dive, after which it falls to nothing. Everything between them is kept; start and end are
-widened over neighbouring lines that also hold text of their own.
+Markup is stripped into lines, one for each block element. Lines of elements that are page furniture by their name, role
+or class are left out first, so that they part no text. Where a page marks its article, every other line inside it is its
+main text. Elsewhere lines of nothing but links have no length, so that they are kept only between lines of text, and no
+line counts for more than LINE code points. The lengths are summed over a sliding window of lines; the main text starts
+at the surge, where the sum first passes a share of the page's peak (30 code points at most), and ends at the dive, after
+which it falls to nothing. Everything between them is kept; start and end are widened over neighbouring lines that also
+hold text of their own.
 
 Defined results: a null or empty page has an empty text; text outside any element counts; unclosed elements end with
 their parents, unclosed comments and scripts with the page; repeated rows are repeated; other columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-WINDOW, SURGE = 3, 0.1
+WINDOW, SURGE, LINE = 3, 0.1, 100
 # Elements of HTML by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
@@ -148,25 +149,26 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
-    marked = any(inside and not furniture for _, furniture, inside, _ in found)
-    kept = [not furniture and (inside or not marked) for _, furniture, inside, _ in found]
-    own = [len(text) if keep and (marked or not links) else 0 for keep, (text, _, _, links) in zip(kept, found)]
+    found = [(text, inside, links) for text, furniture, inside, links in lines(page or "") if not furniture]
+    if any(inside for _, inside, _ in found):
+        return "\n".join(text for text, inside, _ in found if inside)
+    own = [0 if links else len(text) for text, _, links in found]
     if not any(own):
         return ""
-    sums = [sum(own[i:i + WINDOW]) for i in range(len(own))]
+    counted = [min(n, LINE) for n in own]
+    sums = [sum(counted[i:i + WINDOW]) for i in range(len(own))]
     least = SURGE * max(sums)
     first = next(i for i, s in enumerate(sums) if s >= least)
-    while first < len(own) and not own[first]:
+    while not own[first]:
         first += 1
-    last = max(i for i in range(len(own)) if sum(own[max(0, i - WINDOW + 1):i + 1]) >= least)
+    last = max(i for i in range(len(own)) if sum(counted[max(0, i - WINDOW + 1):i + 1]) >= least)
     while not own[last]:
         last -= 1
     while first and any(own[max(0, first - WINDOW):first]):  # the surge starts where the text does
         first -= 1
     while last + 1 < len(own) and any(own[last + 1:last + 1 + WINDOW]):
         last += 1
-    return "\n".join(found[i][0] for i in range(first, last + 1) if kept[i])
+    return "\n".join(text for text, _, _ in found[first:last + 1])
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
