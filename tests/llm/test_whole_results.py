@@ -13,3 +13,27 @@ def test_html_short_parts_beside_long_ones():
     early = "A first part of the text that is much shorter."
     assert mainhtml.main_text(f"<p>{early}</p><ul>{linked}</ul><p>{long}</p>") == f"{early}\nA\nB\nC\nD\n{long}"
     assert mainhtml.main_text(f"<p>My site</p><ul>{linked}</ul><p>{long}</p><ul>{linked}</ul>") == long
+
+
+def test_html_names_of_wrappers_and_text():
+    body = "<h1>Title</h1><p>The first paragraph of it.</p><p>The second one.</p>"
+    want = "Title\nThe first paragraph of it.\nThe second one."
+    for name in ("content has-sidebar", "layout-no-sidebar", "elementor-widget-container", "page header-fixed", "page widget", "hasSidebar"):
+        for inner in (body, f"<article>{body}</article>"):
+            for page in (f"<div class='{name}'>{inner}</div>", f"<div id={name.split()[-1]}>{inner}</div>"):
+                assert mainhtml.main_text(page + "<div class='footer'>imprint</div>") == want
+    apart = "".join(f"<div class='elementor-widget-container'>{b}</div>" for b in ("<h1>Title</h1>", "<p>The first paragraph of it.</p>", "<p>The second one.</p>"))
+    assert mainhtml.main_text(apart) == mainhtml.main_text(apart.replace("-container", "")) == want
+    assert mainhtml.main_text("<article><h2 class='section-header'>Part</h2><p class='alert'>Mind this.</p><div class='my-ad'>Buy</div><p>And the rest of it.</p></article>") == "Part\nMind this.\nAnd the rest of it."
+    formula = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><xmp><b>raw</b> &amp;</xmp><p>End.</p></article>"
+    assert mainhtml.main_text(formula) == "So x=1 holds.\n<b>raw</b> &amp;\nEnd."
+
+
+def test_html_names_still_tell_furniture():
+    talk = "<div id=comments>" + "<article class=comment><p>I disagree with every single word of this article.</p></article>" * 20 + "</div>"
+    assert mainhtml.main_text(f"<article><p>The article.</p></article>{talk}") == "The article."
+    assert mainhtml.main_text(f"<div class='page wrap-widget'><article><p>The article.</p></article>{talk}</div>") == "The article."
+    text = "A long paragraph of the text of this page. " * 20
+    aside = "<div class='sidebar'><article>A teaser of another page.</article></div>"
+    assert mainhtml.main_text(f"<div><p>{text}</p></div>{aside}<div class='related-posts'><p>More of it</p></div>") == text.strip()
+    assert mainhtml.main_text("<div class=widget>" * 20000 + "<p>x</p>" * 20000) == "\n".join("x" * 20000)

@@ -8,8 +8,13 @@ at the surge, where the sum first passes a share of the page's peak (30 code poi
 which it falls to nothing. Everything between them is kept; start and end are widened over neighbouring lines that also
 hold text of their own.
 
+A class or id tells by the last word of one of its names (sidebar, not has-sidebar or sidebar-container), and only of
+elements that do not themselves write text, such as headings and paragraphs. It does not count for elements that
+hold, alone or all of one name, most of the marked article, or most of the text of a page without one; comments of readers
+are no part of either.
+
 Defined results: a null or empty page has an empty text; text outside any element counts; unclosed elements end with
-their parents, unclosed comments and scripts with the page; repeated rows are repeated; other columns are ignored.
+their parents, unclosed comments and scripts with the page; formulas are text, annotations of them are not; repeated rows are repeated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,25 +33,39 @@ from .shared import table
 
 WINDOW, SURGE, LINE = 3, 0.1, 100
 # Elements of HTML by what they do to text.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul xmp".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea noframes noembed xmp canvas audio video head".split())
+RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml textarea noframes noembed canvas audio video head".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button select label fieldset search".split())
 P_ENDS = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option optgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog status".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscribe"
-    r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|responses|discussion|share|sharing|social"
-    r"|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|disclaimer|skip-link)(?:$|[\s_-]|\d)", re.I)
-TITLE_END = re.compile("</title", re.I)
+# Elements that a page writes its text in: their names tell how it looks, not that it is furniture.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote caption thead tr th span b i em strong code cite mark sub sup q kbd samp var u s tt font abbr time xmp".split())
+TALK = r"comments?|commentlist|disqus|replies|reply|respond|responses|discussion"
+# The last word of a name, or all of it; a number and a word for its place or parts may follow.
+LAST = r"(?:^|[_-])(?:{})(?:[_-]?\d+|[_-](?:left|right|top|bottom|links?|lists?|items?|buttons?|posts|articles))*$"
+NAMES = re.compile(LAST.format(
+    r"ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscribe"
+    r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|" + TALK + r"|share|sharing|social"
+    r"|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|disclaimer|skip-link"), re.I)
+TALKS = re.compile(LAST.format(TALK), re.I)
+NOT = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without)[_-]", re.I)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("title", "xmp")}
 CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """(page furniture, main article) by element name and attributes."""
-    furniture, main = name in FURNITURE, name in ("article", "main")
+@lru_cache(1 << 14)
+def _named(value: str) -> str:
+    """The first name in a class or id that says page furniture, one of readers' talk before others."""
+    names = [n for n in CAMEL.sub("-", value).split() if NAMES.search(n) and not NOT.search(n)]
+    return next((n for n in names if TALKS.search(n)), names[0] if names else "")
+
+
+def _marks(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """(page furniture, main article, the name that says furniture) by element name and attributes."""
+    furniture, main, named = name in FURNITURE, name in ("article", "main"), ""
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -58,25 +78,63 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
                 furniture |= "display:none" in value.replace(" ", "").lower()
             elif key == "itemprop":
                 main |= value == "articleBody"
-            elif name not in ("html", "body", "article", "main"):
-                furniture |= bool(NAMES.search(CAMEL.sub("-", value)))
-    return furniture, main
+            elif name not in ("html", "body", "article", "main") and name not in TEXTS:
+                other = _named(value)
+                named = other if other and (not named or TALKS.search(other)) else named
+    return furniture, main, named
+
+
+def _by_names(found: list[tuple[str, bool, bool, int, bool]], around: list[int], names: list[str]) -> list[bool]:
+    """Whether each named element is page furniture, by itself or with one around it. It is not if it, or all elements of
+    its name together, holds most of the article, or of the text of a page that marks none; and none with text is if else
+    nothing would be left."""
+    talk: list[bool] = []
+    for k, outer in enumerate(around):
+        talk.append(bool(TALKS.search(names[k])) or (outer >= 0 and talk[outer]))
+    spoken = lambda at: at >= 0 and talk[at]
+    said = [(inside, at, len(text)) for text, furniture, inside, at, links in found if not furniture and (inside or not links)]
+    said = [x for x in said if not spoken(x[1])] or said
+    article = [x for x in said if x[0]]
+    # articles inside named elements alone, of less than a quarter of the text, are teasers
+    if any(at < 0 for _, at, _ in article) or 4 * sum(n for _, _, n in article) >= sum(n for _, _, n in said):
+        said = article or said
+    holds, of_name = [0] * len(around), Counter()
+    for _, at, n in said:
+        if at >= 0:
+            holds[at] += n
+            of_name[names[at]] += n
+    for k in range(len(around) - 1, -1, -1):
+        if around[k] >= 0:
+            holds[around[k]] += holds[k]
+    holds = [max(n, of_name[name]) for n, name in zip(holds, names)]
+    total = sum(n for _, _, n in said)
+
+    def out(kept: Callable[[int], bool]) -> list[bool]:
+        gone = [not kept(n) for n in holds]
+        for k, outer in enumerate(around):
+            gone[k] = gone[k] or (outer >= 0 and gone[outer])
+        return gone
+
+    gone = out(lambda n: 2 * n > total)
+    return out(lambda n: n > 0) if said and all(at >= 0 and gone[at] for _, at, _ in said) else gone
 
 
 def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
     """(text, furniture, inside an article, nothing but links) for each block of the page that has text."""
-    out: list[tuple[str, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, the marks of it and all around it, whether inside a link
+    found: list[tuple[str, bool, bool, int, bool]] = []  # the same, with the innermost named element before the last
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, the marks of it and all around it, whether inside a link
+    around: list[int] = []  # of each named element the named one around it, or -1
+    names: list[str] = []
     opened: Counter = Counter()  # names on the stack
     held: list[str] = []
     plain: list[str] = []  # what of it is not inside a link
-    state = (False, False)
+    state = (False, False, -1)
 
     def close_line() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((text, *state, not "".join(plain).strip()))
+                found.append((text, *state, not "".join(plain).strip()))
             held.clear()
             plain.clear()
 
@@ -85,8 +143,8 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
         opened[name] -= 1
         return name
 
-    def now() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def now() -> tuple[bool, bool, int]:
+        return stack[-1][1:4] if stack else (False, False, -1)
 
     at, n = 0, len(page)
     while at < n:
@@ -94,7 +152,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
         start = m.start() if m else n
         if start > at:
             held.append(html.unescape(page[at:start]))
-            if not (stack and stack[-1][3]):
+            if not (stack and stack[-1][4]):
                 plain.append(held[-1])
         if not m:
             break
@@ -119,11 +177,11 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if name == "head" and not end:
                 end = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
-            if not (m[3] or m[6] or "").rstrip().endswith("/") or name not in ("svg", "math"):
+            if not (m[3] or m[6] or "").rstrip().endswith("/") or name != "svg":
                 at = end.end() if end else n
             continue
         if name == "title":  # outside a head
-            end = TITLE_END.search(page, at)
+            end = ENDS[name].search(page, at)
             at = end.start() if end else n
             continue
         if name in P_ENDS and opened["p"]:
@@ -137,15 +195,25 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
             held.append(" ")
         if name in VOID:
             continue
-        furniture, main = _marks(name, m[3] or m[6] or "")
-        inner = (furniture or now()[0], main or now()[1])
+        furniture, main, named = _marks(name, m[3] or m[6] or "")
+        inner = (furniture or now()[0], main or now()[1], now()[2])
+        if named:
+            around.append(inner[2])
+            names.append(named)
+            inner = (*inner[:2], len(around) - 1)
         if inner != state:
             close_line()
         opened[name] += 1
-        stack.append((name, *inner, name == "a" or bool(stack and stack[-1][3])))
+        stack.append((name, *inner, name == "a" or bool(stack and stack[-1][4])))
         state = inner
+        if name == "xmp":  # its content is text as it stands
+            end = ENDS[name].search(page, at)
+            held.append(page[at:end.start() if end else n])
+            plain.append(held[-1])
+            at = end.start() if end else n
     close_line()
-    return out
+    gone = _by_names(found, around, names)
+    return [(text, furniture or (at >= 0 and gone[at]), inside, links) for text, furniture, inside, at, links in found]
 
 
 def main_text(page: str | None) -> str:
