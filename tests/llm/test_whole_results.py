@@ -1,6 +1,12 @@
 """Text, rows and matches that earlier versions of the operators lost."""
 
-from varlake.llm import mainhtml
+import random
+import re
+import zlib
+
+from varlake.llm import mainhtml, queries, winnow
+
+SPACE = r"\x20\x09-\x0D\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def test_html_short_parts_beside_long_ones():
@@ -37,3 +43,41 @@ def test_html_names_still_tell_furniture():
     aside = "<div class='sidebar'><article>A teaser of another page.</article></div>"
     assert mainhtml.main_text(f"<div><p>{text}</p></div>{aside}<div class='related-posts'><p>More of it</p></div>") == text.strip()
     assert mainhtml.main_text("<div class=widget>" * 20000 + "<p>x</p>" * 20000) == "\n".join("x" * 20000)
+
+
+def points_brute(text):
+    pieces = [run[i:i + winnow.PIECE] for run in re.findall(f"[^{SPACE}]+", text) for i in range(max(1, len(run) - winnow.PIECE + 1))]
+    grams = [zlib.crc32(" ".join(pieces[i:i + winnow.K]).encode()) for i in range(max(1, len(pieces) - winnow.K + 1))] if pieces else []
+    kept = []
+    for i in range(max(1, len(grams) - winnow.WINDOW + 1)) if grams else []:
+        low = min(grams[i:i + winnow.WINDOW])
+        at = max(j for j, h in enumerate(grams[i:i + winnow.WINDOW], i) if h == low)
+        if (low, at) not in kept:
+            kept.append((low, at))
+    return kept
+
+
+def test_winnowing_points_of_unspaced_text(spark, tmp_path):
+    rng = random.Random(5)
+    run = lambda n: "".join(chr(rng.choice([0x4E00, 0x20000]) + rng.randrange(2000)) for _ in range(n))
+    rows = [(-1, None), (-2, ""), (-3, "short words only, and one that is considerably longer 𠀀𠀁𠀂"), (-4, "one two three four five six"), (-5, "x" * 3000)]
+    need = winnow.WINDOW + winnow.K + winnow.PIECE - 2
+    for shift in range(9):
+        shared = run(need)
+        rows += [(2 * shift + 1, run(40) + shared + run(40)), (2 * shift, run(40 + shift) + shared + run(40))]
+    long = run(500)
+    rows += [(101, long), (100, long[:3] + "x" + long[3:])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_winnowing"](spark, str(tmp_path)).collect()}
+    order = sorted(rows, reverse=True)
+    of = lambda text: {h for h, _ in points_brute(text or "")}
+    for (doc, text), (_, follow) in zip(order, order[1:] + order[:1]):
+        text, follow = text or "", follow or ""
+        cut = len(text) // 3
+        edited = text[:len(text) - cut] + follow[:cut]
+        assert got[doc]["point_fingerprint"] == " ".join(f"{h:x}:{i}" for h, i in points_brute(text))
+        assert got[doc]["edited_point_fingerprint"] == " ".join(f"{h:x}:{i}" for h, i in points_brute(edited))
+        for name, other in (("near_edited_points", edited), ("near_next_points", follow)):
+            a, b = of(text), of(other)
+            assert abs(got[doc][name] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+    assert all(got[2 * shift + 1]["near_next_points"] > 0 for shift in range(9)) and got[101]["near_next_points"] > 0.9

@@ -6,6 +6,11 @@ So two texts that share a run of WINDOW + K - 1 pieces share a fingerprint. A te
 window; one with fewer pieces than K is one gram; equal texts have equal fingerprints. The likeness of two fingerprints is
 the Jaccard index of their hashes; two empty fingerprints are alike (1.0), an empty and another are not (0.0).
 
+In runs longer than a piece that holds only for passages at offsets that are equal modulo PIECE. The columns named after
+points therefore take such a run at every code point: its pieces are the PIECE code points from each of its places. So two
+texts without spaces that share WINDOW + K + PIECE - 2 code points, at any offsets, share a point fingerprint. Where no run is longer
+than a piece both fingerprints are equal.
+
 The next document by descending doc_id is found inside ranges of doc_id of bounded size; the last row of a range gets the
 head of the next one from a table of range heads. Every text is shuffled once.
 
@@ -24,9 +29,15 @@ PIECE, K, WINDOW, RANGE_ROWS, FANOUT = 8, 3, 8, 500, 256
 SPACE = r"\x20\x09-\x0D\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
-def grams(text: Column) -> Column:
+LONG = f"[^{SPACE}]{{{PIECE + 1}}}"
+STRIDE = f"([^{SPACE}]{{1,{PIECE}}})"
+# a match of no length at each place but inside a surrogate pair: a whole short run, or the PIECE code points from here
+POINTS = rf"(?![\uDC00-\uDFFF])(?=((?<![^{SPACE}])[^{SPACE}]{{1,{PIECE}}}(?![^{SPACE}])|[^{SPACE}]{{{PIECE}}}))"
+
+
+def grams(text: Column, pattern: str = STRIDE) -> Column:
     """array<long>: the CRC-32 of each run of K pieces."""
-    pieces = F.regexp_extract_all(text, F.lit(f"([^{SPACE}]{{1,{PIECE}}})"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     return F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, F.array().cast("array<long>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - (K - 1), F.lit(1))),
                     lambda i: F.crc32(F.concat_ws(" ", F.slice(p, i, K)).cast("binary")))))[0]
@@ -41,6 +52,11 @@ def winnowed(hashes: Column) -> Column:
     return F.array_distinct(kept)
 
 
+def winnowed_points(text: Column) -> Column:
+    """The same with a piece at every code point of long runs; null where no run is long, as both are equal there."""
+    return F.when(text.rlike(LONG), winnowed(grams(text, POINTS)))
+
+
 def fingerprint_hashes(kept: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, 31)))
 
@@ -91,14 +107,19 @@ def with_next(rows: DataFrame, id_col: str, fields: list[str], ties: list[str],
 
 def winnow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(docs, "doc_id", ["text", "kept"], ["text"], derived={"kept": winnowed(grams(F.col("text")))})
+    rows = with_next(docs, "doc_id", ["text", "kept", "points"], ["text"], derived={"kept": winnowed(grams(F.col("text"))), "points": winnowed_points(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
     rows = rows.withColumn("edited_kept", winnowed(grams(F.col("edited")))).withColumn("hashes", fingerprint_hashes(F.col("kept")))
+    points = lambda of: F.coalesce(F.col(f"{of}points"), F.col(f"{of}kept"))
+    rows = rows.withColumn("edited_points", winnowed_points(F.col("edited"))).withColumn("point_hashes", fingerprint_hashes(points("")))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         fingerprint_text(F.col("kept")).alias("fingerprint"), fingerprint_text(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), fingerprint_hashes(F.col("edited_kept"))).alias("near_edited"),
         likeness(F.col("hashes"), fingerprint_hashes(F.col("next_kept"))).alias("near_next"),
+        fingerprint_text(points("")).alias("point_fingerprint"), fingerprint_text(points("edited_")).alias("edited_point_fingerprint"),
+        likeness(F.col("point_hashes"), fingerprint_hashes(points("edited_"))).alias("near_edited_points"),
+        likeness(F.col("point_hashes"), fingerprint_hashes(points("next_"))).alias("near_next_points"),
     )
