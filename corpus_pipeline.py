@@ -1,7 +1,7 @@
 """Training-data pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
 quality: documents that the classifier rejects go. near_duplicates: of each group of near copies (shingles of five words,
-similarity 0.8) the one with the smallest doc_id stays. personal_data: spans are replaced by their kind, n_chars follows.
+similarity 0.8) one row stays, of the smallest doc_id. personal_data: spans are replaced by their kind, n_chars follows.
 mixing: sources are taken as often as the mixture says, every document at least once. bpe: token ids of every document
 taken. Null and empty texts are kept or rejected like others, have no duplicates, spans or tokens.
 """
@@ -23,9 +23,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = neardup.near_duplicates(docs)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """Exactly one row of each group stays: the first by doc_id (nulls last), text digest and place. Every row has an id of
+    its own, so that repeated rows, null ids and ids with several texts are told apart. Rows without shingles all stay."""
+    rows = Scratch(spark, "rows").save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = groups.select(F.col("doc_id").alias("row_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(F.encode("text", "utf-8"), 256), "row_id")
+    stay = groups.join(rows.select("row_id", order.alias("order")), "row_id").groupBy("component_id").agg(F.min_by("row_id", "order").alias("row_id"))
+    gone = groups.join(stay, ["component_id", "row_id"], "left_anti").select("row_id")
+    return rows.join(gone, "row_id", "left_anti").select(docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,14 @@ def test_winnowing_points_of_unspaced_text(spark, tmp_path):
             a, b = of(text), of(other)
             assert abs(got[doc][name] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
     assert all(got[2 * shift + 1]["near_next_points"] > 0 for shift in range(9)) and got[101]["near_next_points"] > 0.9
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (7, c), (None, d), (None, d), (None, a), (9, None), (9, None), (10, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(3, a), (5, b), (7, c), (None, d), (9, None), (9, None), (10, "")], key=repr)
