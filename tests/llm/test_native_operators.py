@@ -141,18 +141,22 @@ def test_sharding_moves_and_weights(spark):
 
 
 def winnow_brute(text):
-    import re
-
-    pieces = re.findall(r"[^\x20\x09-\x0D\x85\xA0  -     　]{1,8}", text)
-    if not pieces:
+    if not text:
         return []
-    grams = [zlib.crc32(" ".join(pieces[i:i + winnow.K]).encode()) for i in range(max(1, len(pieces) - winnow.K + 1))]
+
+    def hash_of(gram):
+        h = 0
+        for c in gram:
+            h = (h * winnow.BASE + ord(c)) % 2**30
+        return h
+
+    hashes = [hash_of(text[i:i + winnow.K]) for i in range(max(1, len(text) - winnow.K + 1))]
     kept = []
-    for i in range(max(1, len(grams) - winnow.WINDOW + 1)):
-        window = grams[i:i + winnow.WINDOW]
+    for i in range(max(1, len(hashes) - winnow.WINDOW + 1)):
+        window = hashes[i:i + winnow.WINDOW]
         low = min(window)
         at = i + max(j for j, h in enumerate(window) if h == low)
-        if (low, at) not in kept:
+        if (low, at) not in kept[-1:]:
             kept.append((low, at))
     return kept
 
@@ -194,15 +198,44 @@ def test_winnowing_ranges(spark):
     assert got == {i * i: str((i - 1) % 1000) for i in range(1000)}
 
 
-def test_winnowing_guarantee():
+def test_winnowing_chunks_and_ties(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = ["ab" * 300, "x" * 500] + ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 15, 16, 17, 46, 47, 48, 63, 64, 65, 139, 140, 141, 142, 143, 400)]
+    rows = [*enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(winnow, "CHUNK", 50)
+    winnow_check(spark, str(tmp_path), rows)
+
+
+def test_winnowing_null_and_tied_ids(spark, tmp_path):
+    rows = [(None, "last of all " * 9), (4, "b" * 60), (4, "a" * 60), (9, "first of all " * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["edited_sha256"]) for r in queries.QUERIES["op10_winnowing"](spark, str(tmp_path)).collect()]
+    order = [rows[3], rows[2], rows[1], rows[0]]
+    edited = lambda t, n: t[:len(t) - len(t) // 3] + n[:len(t) // 3]
+    assert sorted(got, key=repr) == sorted(((d, hashlib.sha256(edited(t, order[(i + 1) % 4][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order)), key=repr)
+
+
+def test_winnowing_guarantee(spark, tmp_path):
+    """Passages of WINDOW + K - 1 code points, spaced or not, at any offsets, share a print in the query's own result."""
     import random
 
-    rng = random.Random(2)
-    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
-    for _ in range(50):
-        shared = [word() for _ in range(winnow.WINDOW + winnow.K - 1)]
-        a, b = ([word() for _ in range(20)] + shared + [word() for _ in range(20)] for _ in range(2))
-        assert {h for h, _ in winnow_brute(" ".join(a))} & {h for h, _ in winnow_brute(" ".join(b))}
+    rng = random.Random(5)
+    need = winnow.WINDOW + winnow.K - 1
+    scripts = [lambda: chr(0x4E00 + rng.randrange(2000)), lambda: chr(0x20000 + rng.randrange(2000)), lambda: rng.choice("0123456789abcdef"), lambda: rng.choice("some words of it")]
+    run = lambda one, n: "".join(one() for _ in range(n))
+    rows = []
+    for one in scripts:
+        for shift in range(12):
+            shared = run(one, need)
+            rows += [(len(rows) + 1, run(one, 40) + shared + run(one, 40)), (len(rows), run(one, 40 + shift) + shared + run(one, 40))]
+    long = run(scripts[0], 3000)
+    rows += [(1001, long), (1000, "x" + long)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_winnowing"](spark, str(tmp_path)).collect()}
+    assert all(got[i + 1]["near_next"] > 0 for i in range(0, len(rows) - 2, 2)) and got[1001]["near_next"] > 0.97
 
 
 def test_pipeline_stages(spark, sf):
