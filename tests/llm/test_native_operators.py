@@ -37,28 +37,66 @@ def test_ann_recall_and_scores(spark):
         assert all(abs(s - sum(float(a) * float(b) for a, b in zip(vec[q], vec[v]))) < 1e-9 for v, s in found)
 
 
-def test_ann_factor_one_is_exact(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 8)).astype(np.float32)
-    x[700:] = x[700]  # a large group of copies
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    index, shards = ann.build_index(vectors, Scratch(spark, "t"), 400)
+def ann_found(spark, frame, shard_rows=400, k=20, factor=None):
+    vectors = ann.usable(frame, "vec_id", "embedding")
+    scratch = Scratch(spark, "t")
+    index = ann.build_index(vectors, scratch, shard_rows)
     got = {}
-    for r in ann.search(vectors.filter("vec_id % 20 = 0"), index, shards, 10, 1.0, 32).orderBy("query_id", "rank").collect():
+    for r in ann.search(vectors.filter("vec_id % 20 = 0"), index, scratch, k, factor).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert got == exact([(i, v) for i, v in rows], 10)
+        assert len(got[r["query_id"]]) == r["rank"]
+    return index, got
+
+
+def test_ann_factor_one_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = (rng.normal(size=(3000, 8)) * rng.gamma(2.0, size=(3000, 1))).astype(np.float32)
+    x[1000:2500] = x[1000]  # a large group of copies: several shards of one region
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(ann, "QUERY_PART", 60)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index, got = ann_found(spark, frame, 250, 10, 1.0)
+    assert len(index.regions.paths) > 4 and index.trees.count() > len(index.regions.paths)
+    assert got == exact(rows, 10)
+
+
+def test_ann_prunes_and_keeps_recall(spark):
+    """What the regions and trees leave out is a real share of the rows, and clustered vectors need few of them."""
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(40, 16)) * 4)[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    index, got = ann_found(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 800)
+    want = exact(rows, 20)
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.95 * sum(map(len, want.values()))
+    import pickle
+
+    seen, q = 0, [r for r in rows if r[0] % 20 == 0]
+    for r in index.trees.collect():
+        tree = pickle.loads(r["tree"])
+        kth = np.array([want[i][-1][1] for i, _ in q]) / index.lift.largest / index.lift.norm
+        seen += tree.search(np.array([i for i, _ in q]), np.array([v for _, v in q]), kth, 20, index.factor)[3]
+    assert index.factor > 1 and seen < 0.3 * len(q) * len(rows)
+
+
+def test_ann_extreme_sizes(spark):
+    rng = np.random.default_rng(2)
+    for size in (1e-300, 1e150):
+        x = rng.normal(size=(300, 4)) * size
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        _, got = ann_found(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100, 5, 1.0)
+        assert len(got) == 15 and all(len(f) == 5 for f in got.values())
+        if size > 1:
+            assert got == exact(rows, 5)
 
 
 def test_ann_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [1.0, None]), (100, []), (120, [1.0]), (None, [1.0, 1.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
-    vectors = ann.usable(frame, "vec_id", "embedding")
-    index, shards = ann.build_index(vectors, Scratch(spark, "t"))
-    assert [tuple(r) for r in ann.search(vectors.filter("vec_id % 20 = 0"), index, shards).orderBy("rank").collect()] == [(0, 1, 7, 2.0), (0, 2, 7, 2.0)]
-    none = ann.usable(frame.limit(0), "vec_id", "embedding")
-    index, shards = ann.build_index(none, Scratch(spark, "t"))
-    assert ann.search(none, index, shards).count() == 0
+    assert ann_found(spark, frame)[1] == {0: [(7, 2.0), (7, 2.0)]}
+    assert ann_found(spark, frame.limit(0))[1] == {}
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    assert ann_found(spark, same, 10, 3)[1] == {q: [(i, 5.0) for i in range(4) if i != q][:3] for q in range(0, 100, 20)}
 
 
 def brute_exponent(tokens, repeats, target, most):
