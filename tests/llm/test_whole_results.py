@@ -48,3 +48,53 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(3, a), (5, b), (7, c), (None, d), (9, None), (9, None), (10, "")], key=repr)
+
+
+LONG = "A long paragraph with many words about the matter at hand, as articles have them. " * 4
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Part {i} of the site</a></li>" for i in range(6)) + "</ul>"
+# Pages without article markup or telling names: markup, and the main text that a reader would mark.
+PLAIN_PAGES = [
+    (f"<div>My site</div>{MENU}<div><h1>The title</h1><p>{LONG}</p><p>It ends here.</p></div>{MENU}<div>&copy; 2020 My site. All rights reserved.</div>", ["The title", LONG, "It ends here."]),
+    (f"<div>{MENU}</div><div>Accept what we store.</div><div><h1>The title</h1><div>By A. Writer</div><p>{LONG}</p></div><div>{MENU}</div>", ["The title", "By A. Writer", LONG]),
+    (f"<p>{LONG}</p>{MENU}<p>A short last paragraph.</p>", [LONG, *(f"Part {i} of the site" for i in range(6)), "A short last paragraph."]),
+    (f"<table><tr><td>{MENU}</td><td><b>Heading</b><br>{LONG}</td></tr><tr><td>Imprint</td></tr></table>", ["Heading " + LONG]),
+    (f"<div><a href=/>Home</a></div><div><a href=/b>Shop</a></div><div><a href=/c>Help</a></div><div>{LONG}</div><div>{LONG}</div><div><a href=/d>Next page</a></div>", [LONG, LONG]),
+    ("<div>Weather</div><div>Sport</div><div>News</div><div>Cars</div>" + MENU + f"<div>{LONG}</div>" + MENU + "<div>Jobs</div><div>Terms</div>", [LONG]),
+]
+
+
+def wanted(parts):
+    return "\n".join(" ".join(p.split()) for p in parts)
+
+
+def test_html_pages_without_marks():
+    for page, parts in PLAIN_PAGES:
+        assert mainhtml.main_text(page) in (wanted(parts), wanted(parts) + "\nImprint"), page
+
+
+def test_html_result_depends_on_the_window_step(monkeypatch):
+    """Without surge and dive every one of the plain pages, and a page that marks its article, would come out otherwise."""
+    marked = (f"<div>{LONG}</div><article><header><h1>Title</h1></header><p>{LONG}</p>{MENU}<p>End.</p></article><div>{LONG}</div>", ["Title", LONG, *(f"Part {i} of the site" for i in range(6)), "End."])
+    pages = [p for i, p in enumerate(PLAIN_PAGES) if i != 2] + [marked]
+    assert mainhtml.main_text(marked[0]) == wanted(marked[1])
+    monkeypatch.setattr(mainhtml, "surge_and_dive", lambda own: (0, len(own) - 1))
+    assert sum(mainhtml.main_text(p) != wanted(parts) for p, parts in pages) >= len(PLAIN_PAGES) - 1
+
+
+def test_html_comments_and_headers():
+    talk = "<article class='comment'><p>I disagree strongly.</p></article>"
+    assert mainhtml.main_text(f"{talk}<div><p>{LONG}</p></div>{talk}") == wanted([LONG])
+    assert mainhtml.main_text(f"<main><article><p>{LONG}</p></article>{talk * 30}</main>") == wanted([LONG])
+    assert mainhtml.main_text(f"<article><header><h1>T</h1></header><p>{LONG}</p><section class=comments><article><p>reader</p></article></section></article>") == wanted(["T", LONG])
+    assert mainhtml.main_text(f"<header>Site</header><div class='post-header'><h1>T</h1></div><div><p>{LONG}</p></div>") == wanted(["T", LONG])
+    assert mainhtml.main_text(f"<div class='share-holders'><p>Text on the holders.</p></div><p>{LONG}</p>") == wanted(["Text on the holders.", LONG])
+
+
+def test_html_many_empty_graphics_take_linear_time(spark):
+    import time
+
+    began = time.process_time()
+    assert mainhtml.main_text("<svg/>" * 100_000 + "<p>The text.</p>") == "The text."
+    assert time.process_time() - began < 5
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert mainhtml.extract(empty).count() == 0
