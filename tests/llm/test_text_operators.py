@@ -199,6 +199,34 @@ def test_quality_held_out_accuracy(spark):
     assert sum(p == y for p, y in held) >= 0.95 * len(held)
 
 
+def test_quality_fit_equals_brute_force_over_all_pairs():
+    np = pii.np
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(150, 5)) * [1, 2, 3, 0.5, 10]
+    labels = (rows @ [1, -0.5, 0.2, 0, 0.1] + rng.normal(size=150) > 0.7).astype(int)
+    better, worse = rows[labels == 1], rows[labels == 0]
+    diff = (better[:, None] - worse[None]).reshape(-1, 5)
+    w = rng.normal(size=5) * 0.1
+    p = 1 / (1 + np.exp(diff @ w))
+    loss, grad, curve = quality.all_pairs(better, worse, w)
+    assert np.isclose(loss, np.log1p(np.exp(-(diff @ w))).mean()) and np.allclose(grad, -(diff * p[:, None]).mean(axis=0))
+    assert np.allclose(curve, (diff * (p * (1 - p))[:, None]).T @ diff / len(diff))
+    model = quality.fit(rows, labels)
+    z = diff @ model["w"]  # at the fit the ridge's pull is all that is left of the gradient
+    left = (diff / (rows.std(axis=0) + 1e-6) * (1 / (1 + np.exp(z)))[:, None]).mean(axis=0) - 1e-3 * model["w"] * (rows.std(axis=0) + 1e-6)
+    assert np.abs(left).max() < 1e-6
+    assert quality.fit(rows, np.ones(150, int))["empty"] and quality.fit(rows[:0], labels[:0])["empty"]
+
+
+def test_quality_sample_takes_part_in_the_fit(spark):
+    """Ties and clashing names; with fewer rows allowed than are labelled, the bound holds."""
+    docs = spark.createDataFrame([(i, "good words of prose. " * 5 if i % 2 else "XX %% $$ " * 5, 1.0, 2) for i in range(400)], "doc_id long, text string, s double, `a.b` int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    for sample in (50, 10_000):
+        got = quality.with_scores(docs, quality.train(docs, labels, sample), out="found").collect()
+        assert all((r["found"] >= quality.REJECT_BELOW) == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (2, "", 1.0), (None, "x y", 2.0), (4, "w " * 50000, 0.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -104,11 +104,14 @@ def stream(planned: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, planned: DataFrame) -> DataFrame:
-    """docs with each row as often as it is taken."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """docs with each row as often as it is taken; its columns may have any names beside doc_id, source and text."""
+    at = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "source", "text")}
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))
     times = planned.select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("mark").alias("mix_mark"), (F.col("whole") + F.col("extra").cast("int")).alias("mix_times"))
-    met = docs["doc_id"].eqNullSafe(times["mix_doc"]) & docs["source"].cast("string").eqNullSafe(times["mix_source"]) & (F.xxhash64(text) == times["mix_mark"])
-    return docs.join(times.filter("mix_times > 0"), met).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times"))).select(*(docs[c] for c in docs.columns))
+    met = F.col(at["doc_id"]).eqNullSafe(F.col("mix_doc")) & F.col(at["source"]).cast("string").eqNullSafe(F.col("mix_source")) & (F.xxhash64(text) == F.col("mix_mark"))
+    taken = inner.join(times.filter("mix_times > 0"), met).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times")))
+    return taken.select(*inner.columns).toDF(*docs.columns)
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
