@@ -202,3 +202,27 @@ def test_neighbours_are_exact(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         want = [f"{j:02d}" for j in np.argsort(d) if j != i][:5]
         assert [r["neighbour"] for r in sorted((r for r in rows if r["cell"] == f"{i:02d}"), key=lambda r: r["place"])] == want
+
+
+def test_bases_at_sites_are_those_of_all_bases(spark):
+    rows = [(i, "1", 4090 + i, c, "ACGTACGT", "IIIIHHHH") for i, c in enumerate(["8M", "2S6M", "3M2D5M", "2M3I3M", "1M5000N7M"])]
+    reads = spark.createDataFrame(rows, "id int, chrom string, start int, cigar string, seq string, qual string")
+    sites = spark.createDataFrame([("1", p) for p in (4091, 4095, 4096, 4097, 9098, 9099, 50)] + [("2", 4096)], "chrom string, pos int")
+    pick = lambda df: sorted(tuple(r) for r in df.select("id", "chrom", "pos", "base", "base_q").collect())
+    want = pick(rd.exploded_alignments(reads).join(sites, ["chrom", "pos"], "left_semi"))
+    assert pick(rd.bases_at_sites(reads, sites)) == want and len(want) > 8
+
+
+def test_depth_counts_reads_that_later_filters_leave_out(spark):
+    from varlake.config import CallSettings
+    from varlake.plans import dags
+
+    good = [("S1", f"B{i}", f"U{i}", "chr1", p, "G", 40, 60) for p in (10, 20) for i in range(5)]
+    poor = [("S1", None, None, "chr1", 20, "G", 40, 60)] * 4 + [("S1", "B9", "U9", "chr1", 20, "G", 40, 0)] * 4  # untagged, or of low mapping quality
+    reads = spark.createDataFrame(good + poor, "sample string, barcode string, umi string, chrom string, pos int, base string, base_q int, map_q int")
+    record = lambda p: ("S1", 0, p, "chr1", p, ".", "A", "G", ".", "PASS", ".", "GT:FREQ", "0/1:50%")
+    vcfs = spark.createDataFrame([record(10), record(20)], "sample string, sample_ix int, line long, chrom string, pos int, id string, ref string, alt string, qual string, filter string, info string, format string, sample_text string")
+    cells = spark.createDataFrame([("S1", f"B{i}") for i in range(5)], "sample string, barcode string")
+    settings = CallSettings()
+    sites = lambda deepest: {r["snv"] for r in dags.call_matrices(reads, vcfs, cells, settings, deepest=deepest).collect()}
+    assert len(sites(13)) == 2 and len(sites(10)) == 1

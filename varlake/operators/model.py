@@ -7,6 +7,7 @@ calls). All pairs of a cell are in its row, so attention needs no shuffle; resul
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,7 +262,8 @@ def trained(cells: DataFrame, w: Weights, epochs: int = 10, rate: float = 1e-3,
                     loss, g = head_gradient(held.value, [*_cells(b)], margin * ramp, weight * ramp)
                 else:
                     x = np.array(b["x"].to_pylist(), float)
-                    noise = np.random.default_rng([seed, epoch]).normal(size=(len(x), held.value["mu.b"].shape[0]))
+                    size = held.value["mu.b"].shape[0]  # of every cell its own noise, however cells are batched
+                    noise = np.array([np.random.default_rng([seed, epoch, zlib.crc32(c.encode())]).normal(size=size) for c in b["cell"].to_pylist()])
                     loss, g = backbone_gradient(held.value, x, b["batch"].to_numpy(), noise, beta * ramp)
                 for k, a in [("loss", np.array([loss, len(b)])), *g.items()]:
                     total[k] = total.get(k, 0) + a

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SITE = ["chrom", "pos", "ref", "alt"]
@@ -79,9 +79,12 @@ def sidecar(counts: DataFrame, allele: str, payload: str = "barcodes") -> DataFr
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("barcode", n.alias("n")))), lambda e: F.concat(e["barcode"], F.lit(":"), e["n"].cast("string"))), ",").alias("payload"))
 
 
-def exploded_alignments(alignments: DataFrame) -> DataFrame:
-    """(…, chrom, start 1-based, cigar, seq, qual) to a row per aligned base: columns pos, base, base_q (Phred+33). Inserted
-    and clipped bases have no position; deletions and skips have no base."""
+BIN = 4096  # places of the genome that share a key
+
+
+def aligned_blocks(alignments: DataFrame) -> DataFrame:
+    """(…, chrom, start 1-based, cigar, seq, qual) to a row per run of aligned bases: block.r is its first place, block.q the
+    first of its bases in the read, block.n its length. Inserted and clipped bases have no place; deletions and skips no base."""
     ops = F.regexp_extract_all("cigar", F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
     steps = F.transform(ops, lambda o: F.struct(F.regexp_extract(o, "^[0-9]+", 0).cast("int").alias("n"), F.substring(o, -1, 1).alias("op")))
     begin = F.struct(F.col("start").cast("int").alias("r"), F.lit(1).alias("q"), F.array().cast("array<struct<r:int,q:int,n:int>>").alias("out"))
@@ -91,7 +94,25 @@ def exploded_alignments(alignments: DataFrame) -> DataFrame:
         block = F.when(o["op"].isin("M", "=", "X"), F.array(F.struct(s["r"].alias("r"), s["q"].alias("q"), o["n"].alias("n")))).otherwise(F.array().cast("array<struct<r:int,q:int,n:int>>"))
         return F.struct((s["r"] + F.when(on_ref, o["n"]).otherwise(0)).alias("r"), (s["q"] + F.when(on_read, o["n"]).otherwise(0)).alias("q"), F.concat(s["out"], block).alias("out"))
 
-    blocks = F.aggregate(steps, begin, step)["out"]
-    rows = alignments.withColumn("block", F.explode(blocks)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("block.n") - 1)))
-    at = F.col("block.q") + F.col("k")
-    return rows.withColumn("pos", F.col("block.r") + F.col("k")).withColumn("base", F.substring("seq", at, F.lit(1))).withColumn("base_q", F.ascii(F.substring("qual", at, F.lit(1))) - 33).drop("block", "k")
+    return alignments.withColumn("block", F.explode(F.aggregate(steps, begin, step)["out"]))
+
+
+def _base_at(rows: DataFrame, offset: Column) -> DataFrame:
+    """base and base_q (Phred+33) at an offset in the block."""
+    at = F.col("block.q") + offset
+    return rows.withColumn("base", F.substring("seq", at, F.lit(1))).withColumn("base_q", F.ascii(F.substring("qual", at, F.lit(1))) - 33).drop("block")
+
+
+def exploded_alignments(alignments: DataFrame) -> DataFrame:
+    """A row per aligned base: columns pos, base, base_q."""
+    rows = aligned_blocks(alignments).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("block.n") - 1)))
+    return _base_at(rows.withColumn("pos", F.col("block.r") + F.col("k")), F.col("k")).drop("k")
+
+
+def bases_at_sites(alignments: DataFrame, sites: DataFrame) -> DataFrame:
+    """A row per aligned base at one of the sites, as exploded_alignments gives it, without making the others: blocks meet
+    the sites of the bins of the genome that they touch."""
+    places = sites.select("chrom", F.col("pos").cast("int").alias("pos")).distinct().withColumn("bin", F.floor(F.col("pos") / BIN))
+    blocks = aligned_blocks(alignments).withColumn("bin", F.explode(F.sequence(F.floor(F.col("block.r") / BIN), F.floor((F.col("block.r") + F.col("block.n") - 1) / BIN))))
+    met = blocks.join(places, ["chrom", "bin"]).filter((F.col("pos") >= F.col("block.r")) & (F.col("pos") < F.col("block.r") + F.col("block.n"))).drop("bin")
+    return _base_at(met, F.col("pos") - F.col("block.r"))

@@ -147,6 +147,7 @@ def aligned_cells(rna_cells: DataFrame, snv_cells: DataFrame) -> DataFrame:
     return out
 
 
+# Columns of annotation files, the first that is there and not null counts.
 FIELDS = {
     "Func": ["Func.refGeneWithVer", "Func.refGene"], "Gene": ["Gene.refGeneWithVer", "Gene.refGene"], "CLNALLELEID": ["CLNALLELEID"],
     "CLNDN": ["CLNDN"], "CLNSIG": ["CLNSIG"], "GeneDetail": ["GeneDetail.refGeneWithVer", "GeneDetail.refGene"], "ExonicFunc": ["ExonicFunc.refGeneWithVer", "ExonicFunc.refGene"],
@@ -165,15 +166,24 @@ def prepared_annotation(ann: DataFrame) -> DataFrame:
     return ann.select("*", chrom.alias("ann_chrom"), pos.alias("ann_pos"), ref.alias("ann_ref"), alt.alias("ann_alt"), F.coalesce(col("name", "snv", "variant", "id"), built).alias("ann_name"))
 
 
+NAMES = ("name", "snv", "variant", "id")
+
+
 def annotated(snvs: DataFrame, ann: DataFrame, order: str) -> DataFrame:
-    """Each variant with the whole first row, by `order`, that has its name, else of one at its place; seven text fields."""
+    """Each variant with the whole first row, by `order`, that has its text in the first name column in which any row has
+    it, of the columns of ann from left to right; else of one at its place; else of one by its built name. Seven text fields."""
     rows = prepared_annotation(ann)
     pick = [F.coalesce(*[F.col(f"`{c}`").cast("string") for c in names if c in ann.columns], F.lit("")).alias(k) for k, names in FIELDS.items()]
-    rows = rows.select(F.col(order).alias("ann_ord"), "ann_chrom", "ann_pos", "ann_ref", "ann_alt", "ann_name", F.struct(*pick).alias("f"))
-    by_name = rows.groupBy("ann_name").agg(F.min_by("f", "ann_ord").alias("f1"))
+    named = [F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for i, c in enumerate(ann.columns) if c.lower() in NAMES]
+    named.append(F.struct(F.lit(len(ann.columns)).alias("column"), F.col("ann_name").alias("text")))
+    rows = rows.select(F.col(f"`{order}`").alias("ann_ord"), "ann_chrom", "ann_pos", "ann_ref", "ann_alt", F.array(*named).alias("named"), F.struct(*pick).alias("f"))
+    texts = rows.select("ann_ord", "f", F.inline("named")).filter("text is not null")
+    own = F.col("column") < len(ann.columns)
+    first = F.struct("column", "ann_ord")
+    by_name = texts.groupBy("text").agg(F.min_by(F.when(own, F.col("f")), F.when(own, first)).alias("f1"), F.min_by("f", "ann_ord").alias("f3"))
     by_place = rows.groupBy("ann_chrom", "ann_pos", "ann_ref", "ann_alt").agg(F.min_by("f", "ann_ord").alias("f2"))
     key = vt.parse_key(F.col("snv"))
     left = snvs.withColumns({"k_chrom": vt.normal_chromosome(key["chrom"]), "k_pos": key["pos"], "k_ref": key["ref"], "k_alt": key["alt"]})
-    out = left.join(by_name, left["snv"] == F.col("ann_name"), "left").join(by_place, (F.col("k_chrom") == F.col("ann_chrom")) & (F.col("k_pos") == F.col("ann_pos")) & (F.col("k_ref") == F.col("ann_ref")) & (F.col("k_alt") == F.col("ann_alt")), "left")
-    found = F.coalesce("f1", "f2")
+    out = left.join(by_name, left["snv"] == F.col("text"), "left").join(by_place, (F.col("k_chrom") == F.col("ann_chrom")) & (F.col("k_pos") == F.col("ann_pos")) & (F.col("k_ref") == F.col("ann_ref")) & (F.col("k_alt") == F.col("ann_alt")), "left")
+    found = F.coalesce("f1", "f2", "f3")
     return out.select(*snvs.columns, *(F.coalesce(found[k], F.lit("")).alias(k) for k in FIELDS))

@@ -17,13 +17,14 @@ def called_sites(reads: DataFrame, editing: DataFrame) -> DataFrame:
     return vcf.outside_intervals(vcf.called_variants(rd.kept_by_quality(rd.kept_by_flag(reads))), editing)
 
 
-def call_matrices(reads: DataFrame, vcfs: DataFrame, cells: DataFrame, settings: CallSettings, lookup: DataFrame | None = None) -> DataFrame:
+def call_matrices(reads: DataFrame, vcfs: DataFrame, cells: DataFrame, settings: CallSettings, lookup: DataFrame | None = None, deepest: int = 50_000) -> DataFrame:
     """Reads, variant records and listed cells of all samples to one call matrix in long form. Samples are a column, so
     that all of them are one job; priors and read shares stay per sample."""
     kept = vcf.kept_by_frequency(vcfs, settings.percentage)
     sites = vcf.union_of_sites(kept)
-    shallow = rd.without_deep_sites(rd.at_sites(rd.tagged(reads), sites))
-    good = rd.kept_by_quality(shallow, settings.pileup_base_quality_min, settings.pileup_mapping_quality_min)
+    # depth counts every read at a site, also those that the next filters leave out
+    shallow = rd.without_deep_sites(rd.at_sites(reads, sites), deepest)
+    good = rd.kept_by_quality(rd.tagged(shallow), settings.pileup_base_quality_min, settings.pileup_mapping_quality_min)
     counts = rd.in_unit(rd.pileup(rd.listed(good, cells)), settings.count_unit)
     counts = counts.withColumn("snv", vt.snv_key(*(F.col(c) for c in rd.SITE)))
     counts = counts.join(vcf.frequencies(kept), ["snv", "sample"], "left")
@@ -42,9 +43,10 @@ def run_calls(spark: SparkSession, settings: CallSettings) -> DataFrame:
     """From the files of a configuration to the written matrix."""
     reads = cells = None
     vcfs = text.read_vcf(spark, {s: p["vcf"] for s, p in settings.samples.items()})
+    sites = vcf.union_of_sites(vcf.kept_by_frequency(vcfs, settings.percentage))
     for sample, paths in settings.samples.items():
         source = tables.read_bam if str(paths["bam"]).endswith(".bam") else text.read_sam
-        own = rd.exploded_alignments(rd.kept_by_flag(source(spark, paths["bam"]), 1804, settings.pileup_mapping_quality_min)).withColumn("sample", F.lit(sample))
+        own = rd.bases_at_sites(rd.kept_by_flag(source(spark, paths["bam"]), 1804, 0), sites).withColumn("sample", F.lit(sample))
         listed = text.read_barcodes(spark, paths["cb"], settings.data_type).select("barcode").withColumn("sample", F.lit(sample))
         reads = own if reads is None else reads.unionByName(own)
         cells = listed if cells is None else cells.unionByName(listed)

@@ -12,13 +12,18 @@ from .register import query
 GENES = 97
 
 
+def _code():
+    """The place of a variant among those of the model."""
+    chrom = F.when(F.col("snv").startswith("chrX"), 22).when(F.col("snv").startswith("chrM"), 23).otherwise(F.regexp_extract("snv", "^chr([0-9]+)", 1).try_cast("int") - 1)
+    return (chrom * 5 + F.regexp_extract("snv", ":100([0-9])", 1).cast("int")).cast("int")
+
+
 def _cells(spark, sf_dir):
     """Cells with all genes in order and their non-zero calls."""
     rna = d.rna(spark, sf_dir).select("cell", "batch", F.regexp_extract("gene", "([0-9]+)$", 1).cast("int").alias("g"), "cnt")
     dense = rna.groupBy("cell", "batch").agg(F.map_from_entries(F.collect_list(F.struct("g", "cnt"))).alias("m"))
     x = F.transform(F.sequence(F.lit(0), F.lit(GENES - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    snv = F.when(F.col("snv").startswith("chrX"), 22).when(F.col("snv").startswith("chrM"), 23).otherwise(F.regexp_extract("snv", "^chr([0-9]+)", 1).try_cast("int") - 1) * 5 + F.regexp_extract("snv", ":100([0-9])", 1).cast("int")
-    calls = d.matrix(spark, sf_dir).filter("call <> 0").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(snv.cast("int").alias("snv"), "call"))).alias("c"))
+    calls = d.matrix(spark, sf_dir).filter("call <> 0").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(_code().alias("snv"), "call"))).alias("c"))
     rows = dense.join(calls, "cell", "left").select("cell", F.substring("batch", 2, 9).cast("int").alias("batch"), x.alias("x"), F.coalesce("c", F.array().cast("array<struct<snv:int,call:int>>")).alias("c"))
     return rows.select("cell", "batch", "x", F.col("c.snv").alias("snvs"), F.col("c.call").alias("signs"))
 
@@ -66,14 +71,20 @@ def ml_counterfact(spark, sf_dir):
 
 @query("ml_scoreall")
 def ml_scoreall(spark, sf_dir):
-    pairs = m.counterfactuals(_cells(spark, sf_dir), _weights())
-    return s.aggregated(pairs, pairs)
+    cells = _cells(spark, sf_dir)
+    return s.aggregated(m.counterfactuals(cells, _weights()), cells.select(F.explode("snvs").alias("snv")))
 
 
 @query("ml_bycelltype")
 def ml_bycelltype(spark, sf_dir):
-    """Attention and scores by cell type; every cell type at once, not one after the other."""
-    pairs = m.counterfactuals(_cells(spark, sf_dir), _weights()).join(d.cells(spark, sf_dir).select("cell", "celltype"), "cell")
+    """In every cell type at once: the variants with the most attention there, of these the ones with enough calls of both
+    kinds, and only their scores."""
+    cells, w = _cells(spark, sf_dir), _weights()
+    types = d.cells(spark, sf_dir).select("cell", "celltype")
+    seen = m.attention(cells, w).join(types, "cell").groupBy("celltype", "snv").agg(F.avg("attention").alias("attention"))
+    valid = s.valid_in_celltype(d.matrix(spark, sf_dir).withColumn("snv", _code()), types, 4)
+    chosen = s.top_then_valid(seen, valid, QUERY_TOP).select("celltype", "snv")
+    pairs = m.counterfactuals(cells, w, chosen).join(types, "cell").join(chosen, ["celltype", "snv"], "left_semi")
     return pairs.groupBy("celltype", "snv").agg(F.avg("score_euclidean").alias("score_euclidean"), F.avg("score_cosine_distance").alias("score_cosine_distance"), F.count("*").alias("cells"))
 
 

@@ -288,32 +288,39 @@ def set_except(spark, sf_dir):
 
 
 def _annotation(spark, sf_dir):
+    """Two name columns that contradict each other and the place, and fields in both spellings."""
     p = d.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     chrom = F.when(k % 24 < 22, (k % 24 + 1).cast("string")).when(k % 24 == 22, "x").otherwise("chrM")
     name = F.when(k % 10 == 0, F.concat(F.lit("chr"), (k % 22 + 1).cast("string"), F.lit(":1001_A>G")))
-    return p.select(k.alias("row"), name.alias("Name"), chrom.alias("Chr"), (1000 + k % 5 + 0.2).cast("string").alias("Start"), F.lit("a").alias("Ref"), F.lit("G").alias("Alt"), F.col("p_brand").alias("Gene.refGene"), F.when(k % 2 == 0, F.col("p_type")).alias("Func.refGene"), F.col("p_name").alias("CLNDN"))
+    variant = F.when(k % 7 == 0, F.concat(F.lit("chr"), (k * 3 % 22 + 1).cast("string"), F.lit(":100"), (k % 2 + 1).cast("string"), F.lit("_A>G")))
+    return p.select(
+        k.alias("row"), name.alias("Name"), variant.alias("Variant"), chrom.alias("Chr"), (1000 + k % 5 + 0.2).cast("string").alias("Start"), F.lit("a").alias("Ref"), F.lit("G").alias("Alt"), F.col("p_brand").alias("Gene.refGene"),
+        F.when(k % 2 == 0, F.col("p_type")).alias("Func.refGene"), F.col("p_name").alias("CLNDN"), F.when(k % 3 == 0, F.col("p_brand")).alias("GeneDetail.refGeneWithVer"), F.when(k % 2 == 0, F.col("p_name")).alias("GeneDetail.refGene"),
+        F.col("p_type").alias("ExonicFunc.refGeneWithVer"), F.col("p_name").alias("ExonicFunc.refGene"), F.when(k % 4 != 0, k.cast("string")).alias("CLNALLELEID"), F.when(k % 5 != 0, F.col("p_type")).alias("CLNSIG"))
 
 
-_ANN = f"""with {d.AF}, ann as (select p_partkey k, case when p_partkey%10=0 then concat('chr',cast(p_partkey%22+1 as varchar),':1001_A>G') end nm,
- case when p_partkey%24<22 then concat('chr',cast(p_partkey%24+1 as varchar)) when p_partkey%24=22 then 'chrx' else 'chrm' end c, 1000+p_partkey%5 pos, p_brand gene, case when p_partkey%2=0 then p_type end func, p_name dn from part),
-nn as (select *, coalesce(nm, concat(c,':',cast(pos as varchar),'_A>G')) nme from ann),
-b1 as (select nme, min_by(k,k) k from nn group by nme), b2 as (select c, pos, min(k) k from nn group by all),
-m as (select snv, coalesce(b1.k,b2.k) k from snvs left join b1 on b1.nme=snv left join b2 on b2.c=concat('chr',lower(regexp_replace(split_part(snv,':',1),'^chr',''))) and b2.pos=cast(regexp_extract(snv,':([0-9]+)_',1) as int))
-select snv, coalesce(func,'') "Func", coalesce(gene,'') "Gene", coalesce(dn,'') "CLNDN" from m left join nn using (k)"""
+_ANN_ROWS = """ann as (select p_partkey k, case when p_partkey%10=0 then concat('chr',cast(p_partkey%22+1 as varchar),':1001_A>G') end nm,
+ case when p_partkey%7=0 then concat('chr',cast(p_partkey*3%22+1 as varchar),':100',cast(p_partkey%2+1 as varchar),'_A>G') end va,
+ case when p_partkey%24<22 then concat('chr',cast(p_partkey%24+1 as varchar)) when p_partkey%24=22 then 'chrx' else 'chrm' end c, 1000+p_partkey%5 pos, p_brand gene, case when p_partkey%2=0 then p_type end func, p_name dn,
+ coalesce(case when p_partkey%3=0 then p_brand end, case when p_partkey%2=0 then p_name end) detail, p_type exonic, case when p_partkey%4<>0 then cast(p_partkey as varchar) end allele, case when p_partkey%5<>0 then p_type end sig from part)"""
+_ANN = f"""with {d.AF}, {_ANN_ROWS},
+b1 as (select nm, min(k) k from ann group by nm), b2 as (select va, min(k) k from ann group by va), b3 as (select c, pos, min(k) k from ann group by all),
+m as (select snv, coalesce(b1.k,b2.k,b3.k) k from snvs left join b1 on b1.nm=snv left join b2 on b2.va=snv left join b3 on b3.c=concat('chr',lower(regexp_replace(split_part(snv,':',1),'^chr',''))) and b3.pos=cast(regexp_extract(snv,':([0-9]+)_',1) as int))
+select snv, """
 
 
-@query("jn_annot", _ANN)
+@query("jn_annot", _ANN + """coalesce(func,'') "Func", coalesce(gene,'') "Gene", coalesce(dn,'') "CLNDN" from m left join ann using (k)""")
 def jn_annot(spark, sf_dir):
     return s.annotated(d.snvs(spark, sf_dir), _annotation(spark, sf_dir), "row").select("snv", "Func", "Gene", "CLNDN")
 
 
-@query("fn_annfields", _ANN.replace('select snv, coalesce(func,\'\') "Func", coalesce(gene,\'\') "Gene", coalesce(dn,\'\') "CLNDN"', "select snv, '' \"GeneDetail\", '' \"ExonicFunc\", '' \"CLNSIG\", '' \"CLNALLELEID\""))
+@query("fn_annfields", _ANN + """coalesce(detail,'') "GeneDetail", coalesce(exonic,'') "ExonicFunc", coalesce(sig,'') "CLNSIG", coalesce(allele,'') "CLNALLELEID" from m left join ann using (k)""")
 def fn_annfields(spark, sf_dir):
     return s.annotated(d.snvs(spark, sf_dir), _annotation(spark, sf_dir), "row").select("snv", "GeneDetail", "ExonicFunc", "CLNSIG", "CLNALLELEID")
 
 
-@query("fn_annprep", "select p_partkey as row, case when p_partkey%24<22 then concat('chr',cast(p_partkey%24+1 as varchar)) when p_partkey%24=22 then 'chrx' else 'chrm' end ann_chrom, cast(1000+p_partkey%5 as int) ann_pos, case when p_partkey%10=0 then concat('chr',cast(p_partkey%22+1 as varchar),':1001_A>G') else concat(case when p_partkey%24<22 then concat('chr',cast(p_partkey%24+1 as varchar)) when p_partkey%24=22 then 'chrx' else 'chrm' end,':',cast(1000+p_partkey%5 as varchar),'_A>G') end ann_name from part")
+@query("fn_annprep", f"with {_ANN_ROWS} select k as row, c ann_chrom, cast(pos as int) ann_pos, coalesce(nm, concat(c,':',cast(pos as varchar),'_A>G')) ann_name from ann")
 def fn_annprep(spark, sf_dir):
     return s.prepared_annotation(_annotation(spark, sf_dir)).select("row", "ann_chrom", "ann_pos", "ann_name")
 
