@@ -226,3 +226,34 @@ def test_depth_counts_reads_that_later_filters_leave_out(spark):
     settings = CallSettings()
     sites = lambda deepest: {r["snv"] for r in dags.call_matrices(reads, vcfs, cells, settings, deepest=deepest).collect()}
     assert len(sites(13)) == 2 and len(sites(10)) == 1
+
+
+def test_doublets_equal_brute_force(spark):
+    from varlake.operators import expression
+
+    rng = np.random.default_rng(5)
+    base = {"a": rng.poisson([9, 9, 9, 1, 0, 0, 1, 0], (25, 8)), "b": rng.poisson([0, 1, 0, 1, 9, 9, 9, 0], (25, 8))}
+    counts = {f"a{i:02d}": r for i, r in enumerate(base["a"])} | {f"b{i:02d}": r for i, r in enumerate(base["b"])}
+    counts |= {f"d{i}": base["a"][i] + base["b"][i] for i in range(3)}  # planted doublets
+    counts["zero"] = np.zeros(8, int)
+    rows = [("S", c, f"g{g}", float(v)) for c, r in counts.items() for g, v in enumerate(r)] + [(None, "lone", "g0", 2.0), ("T", "one", "g1", 1.0), ("T", "two", "g1", 1.0)]
+    rna = spark.createDataFrame(rows, "batch string, cell string, gene string, cnt double")
+    made = expression.simulated_doublets(rna.select("batch", "cell").distinct()).filter("batch = 'S'").collect()
+    sims: dict = {}
+    for r in made:
+        sims[r["id"]] = sims.get(r["id"], 0) + counts[r["cell"]]
+    assert len(sims) == 2 * len(counts)
+    points = [(c, False, np.log1p(r)) for c, r in counts.items()] + [(c, True, np.log1p(r)) for c, r in sims.items()]
+    want = {}
+    for c, r in counts.items():
+        near = sorted((round(((np.log1p(r) - v) ** 2).sum(), 9), n, m) for n, m, v in points if m or n != c)[:15]
+        want[c] = sum(m for *_, m in near) / 15
+    for elements in (4_000_000, 8):  # one block, and several
+        got = {(r["batch"], r["cell"]): r for r in expression.doublet_scores(rna, elements=elements).collect()}
+        assert {c: got["S", c]["simulated"] for c in counts} == want
+        assert (None, "lone") in got and ("T", "two") in got and len(got) == len(counts) + 3
+    assert min(want[f"d{i}"] for i in range(3)) > np.mean([*want.values()])
+    scores = spark.createDataFrame([("lone", None, True), ("one", "T", True), ("two", "T", False)], "cell string, batch string, doublet boolean")
+    left = {r["cell"] for r in expression.without_doublets(rna, scores).select("cell").distinct().collect()}
+    assert left == {*counts, "two"}
+    assert expression.doublet_scores(rna.limit(0)).count() == 0

@@ -121,24 +121,85 @@ def plain_types(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) if t == "string" else F.col(n) for n, t in rows.dtypes))
 
 
-def doublet_scores(rna: DataFrame, genes: int = 50, factor: int = 2, k: int = 15, seed: int = 7) -> DataFrame:
-    """cell, batch, doublet_score: the share of simulated doublets among a cell's nearest neighbours, per batch, over its
-    most frequent genes. A batch is one sequencing run, whose size the instrument bounds."""
+def simulated_doublets(cells: DataFrame, factor: int = 2, seed: int = 7) -> DataFrame:
+    """batch, id, cell: `factor` doublets per cell, each of two cells of its batch (a row for each). In every round the
+    cells of a batch are dealt into small buckets by a hash, and each is paired with the next of its bucket, the last with
+    the first, so that no window holds a batch. A cell alone in its bucket is paired with itself. cells: (batch, cell)."""
+    sizes = cells.groupBy("batch").agg(F.count("*").alias("n"))
+    dealt = cells.join(sizes.withColumnRenamed("batch", "own"), F.col("batch").eqNullSafe(F.col("own"))).drop("own")
+    dealt = dealt.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(factor))))
+    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "round", "cell")
+    dealt = dealt.withColumns({"bucket": F.pmod(draw("bucket"), F.ceil(F.col("n") / 64)), "place": draw("place")})
+    ring = Window.partitionBy("batch", "round", "bucket").orderBy("place", "cell")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.coalesce(F.lead("cell").over(ring), F.first("cell").over(whole))
+    pairs = dealt.withColumn("other", other)
+    name = F.concat_ws("+", "cell", "other", F.col("round").cast("string"))
+    return pairs.select("batch", name.alias("id"), F.explode(F.array("cell", "other")).alias("cell"))
+
+
+def doublet_scores(rna: DataFrame, genes: DataFrame | None = None, factor: int = 2, k: int = 15, rate: float = 0.05, threshold: float = 0.25, seed: int = 7, elements: int = 4_000_000) -> DataFrame:
+    """cell, batch, simulated (share of simulated doublets among the k nearest neighbours in the cell's batch), doublet_score
+    (the likelihood that follows from that share and the expected rate) and doublet (score above the threshold).
+
+    Neighbours are exact, by Euclidean distance of log1p counts over `genes` (default: every gene of rna), ties by name. The
+    rows of a batch are dealt to blocks of about elements / genes rows, and every pair of blocks is one task that keeps k
+    rows per cell: memory is bounded whatever a batch holds, work grows with the square of the cells of a batch."""
     import numpy as np
-    import pandas as pd
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = pdf.groupby("gene")["cnt"].sum().sort_values(ascending=False, kind="stable").index[:genes]
-        wide = pdf[pdf["gene"].isin(top)].pivot_table(index="cell", columns="gene", values="cnt", aggfunc="sum", fill_value=0.0).sort_index()
-        x = np.log1p(wide.to_numpy())
-        rng = np.random.default_rng(seed)
-        pairs = rng.integers(0, len(x), (factor * len(x), 2))
-        made = np.log1p(wide.to_numpy()[pairs].sum(axis=1))
-        every = np.concatenate([x, made])
-        near = np.empty(len(x))
-        for at in range(0, len(x), 256):
-            d = ((x[at:at + 256, None, :] - every[None]) ** 2).sum(2)
-            near[at:at + 256] = (np.argsort(d, axis=1, kind="stable")[:, 1:k + 1] >= len(x)).mean(axis=1)
-        return pd.DataFrame({"cell": wide.index, "batch": pdf["batch"].iloc[0], "doublet_score": near})
-
-    return rna.groupBy("batch").applyInPandas(score, "cell string, batch string, doublet_score double")
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rna = rna.select("batch", F.col("cell").cast("string").alias("cell"), F.col("gene").cast("string").alias("gene"), "cnt")
+    cells = rna.select("batch", "cell").distinct()
+    genes = (rna if genes is None else genes).select(F.col("gene").cast("string").alias("gene")).distinct()
+    width = genes.count()
+    used = rna.join(genes, "gene", "left_semi")
+    made = simulated_doublets(cells, factor, seed)
+    half = used.select(F.col("batch").alias("own"), F.col("cell").alias("half"), "gene", "cnt")
+    summed = made.join(half, (F.col("cell") == F.col("half")) & F.col("batch").eqNullSafe(F.col("own"))).select("batch", "id", "gene", "cnt")
+    counted = used.select("batch", F.col("cell").alias("id"), "gene", "cnt", F.lit(False).alias("made")).union(summed.withColumn("made", F.lit(True)))
+    # a row without any of the genes is at the origin
+    empty = cells.select("batch", F.col("cell").alias("id"), F.lit(None).cast("string"), F.lit(0.0), F.lit(False)).union(made.select("batch", "id").distinct().select("*", F.lit(None).cast("string"), F.lit(0.0), F.lit(True)))
+    values = counted.union(empty).groupBy("batch", "made", "id", "gene").agg(F.sum("cnt").alias("cnt")).withColumn("v", F.log1p(F.col("cnt").cast("double")))
+    points = values.groupBy("batch", "made", "id").agg(F.sort_array(F.collect_list(F.when(F.col("gene").isNotNull(), F.struct("gene", "v")))).alias("x"))
+    rows_each = max(32, elements // max(1, width))
+    blocks = cells.groupBy("batch").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * (factor + 1) / rows_each)).cast("int").alias("blocks"))
+    dealt = points.join(blocks.withColumnRenamed("batch", "own"), F.col("batch").eqNullSafe(F.col("own")))
+    dealt = dealt.select("batch", "made", "id", F.col("x.gene").alias("g"), F.col("x.v").alias("v"), F.pmod(F.xxhash64("id", "made"), F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = dealt.filter("not made").select(F.col("batch").alias("own"), F.col("id").alias("cell"), F.col("g").alias("cell_g"), F.col("v").alias("cell_v"), F.col("b").alias("i"), F.col("other").alias("j"))
+    right = dealt.select("batch", "made", "id", "g", "v", F.col("other").alias("i"), F.col("b").alias("j"))
+
+    def dense(g: pa.ChunkedArray, v: pa.ChunkedArray, place: dict) -> np.ndarray:
+        out = np.zeros((len(g), len(place)))
+        row = np.repeat(np.arange(len(g)), pc.list_value_length(g).to_numpy())
+        out[row, [place[x] for x in pc.list_flatten(g).to_pylist()]] = pc.list_flatten(v).to_numpy()
+        return out
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, others, fake = a["cell"].to_pylist(), np.array(b["id"].to_pylist(), object), np.array(b["made"].to_pylist(), bool)
+        out: dict = {"batch": [], "cell": [], "id": [], "made": [], "d": []}
+        if len(a) and len(b):
+            place = {g: i for i, g in enumerate(sorted({*pc.list_flatten(a["cell_g"]).to_pylist(), *pc.list_flatten(b["g"]).to_pylist()}))}
+            x, y = dense(a["cell_g"], a["cell_v"], place), dense(b["g"], b["v"], place)
+            square = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * (x @ y.T)
+            distance = np.round(np.maximum(square, 0), 9)
+            batch = a["own"][0].as_py()
+            for i, cell in enumerate(names):
+                pick = [j for j in np.lexsort((fake, others, distance[i]))[:k + 1] if fake[j] or others[j] != cell][:k]
+                for c, v in zip(out, ([batch] * len(pick), [cell] * len(pick), others[pick].tolist(), fake[pick].tolist(), distance[i, pick].tolist())):
+                    out[c] += v
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64()))})
+
+    found = left.groupBy("own", "i", "j").cogroup(right.groupBy("batch", "i", "j")).applyInArrow(near, "batch string, cell string, id string, made boolean, d double")
+    place = F.row_number().over(Window.partitionBy("batch", "cell").orderBy("d", "id", "made"))
+    shares = found.withColumn("place", place).filter(F.col("place") <= k).groupBy("batch", "cell").agg(F.count_if("made").alias("m"), F.count("*").alias("n"))
+    # the estimate of Wolock, Lopez and Klein (2019): a smoothed share, and the odds at the expected rate
+    q = (F.col("m") + 1) / (F.col("n") + 2)
+    odds = q * rate / factor / (1 - rate - q * (1 - rate - rate / factor))
+    return shares.select("cell", "batch", (F.col("m") / F.col("n")).alias("simulated"), odds.alias("doublet_score"), (odds > threshold).alias("doublet"))
+
+
+def without_doublets(rna: DataFrame, scores: DataFrame) -> DataFrame:
+    """rna without the cells that scores call doublets; a cell without a score stays."""
+    gone = scores.filter("doublet").select(F.col("batch").alias("db_batch"), F.col("cell").alias("db_cell"))
+    return rna.join(gone, rna["batch"].eqNullSafe(F.col("db_batch")) & (rna["cell"] == F.col("db_cell")), "left_anti")
