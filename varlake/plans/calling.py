@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import statistics as st
 from ..operators import calls, reads as rd
 from ..sources import derived as d
+from ..sources.folder import shared_folder
 from .register import query
 
 SITE = "chrom, pos, ref, alt"
@@ -70,9 +71,9 @@ def jn_altref(spark, sf_dir):
     return d.counts(spark, sf_dir).filter("alt_reads > 0").select("sample", "barcode", "chrom", "pos", "alt_reads", "ref_reads")
 
 
-@query("agg_cbcount", f"with {d.COUNTS}, {d.CELLS}, s as (select sample,barcode,concat(chrom,':',cast(pos as varchar),'(',ref,'->',alt,')') v from counts where alt_reads>0 and pos<1002) select c.sample,c.barcode,count(v) n, coalesce(string_agg(v,',' order by v),'') variants from cells c left join s using (sample,barcode) group by all")
+@query("agg_cbcount", f"with {d.COUNTS}, {d.LISTED}, s as (select sample,barcode,concat(chrom,':',cast(pos as varchar),'(',ref,'->',alt,')') v from counts where alt_reads>0) select c.sample,c.barcode,count(v) n, coalesce(string_agg(v,',' order by v),'') variants from listed c left join s using (sample,barcode) group by all")
 def agg_cbcount(spark, sf_dir):
-    return rd.variants_per_cell(d.cells(spark, sf_dir), d.counts(spark, sf_dir).filter("pos < 1002"))
+    return rd.variants_per_cell(d.listed(spark, sf_dir), d.counts(spark, sf_dir))
 
 
 @query("snk_sidecar", f"with {d.COUNTS} select sample,{SITE}, string_agg(concat(barcode,':',cast(alt_reads as varchar)),',' order by barcode) payload from counts where alt_reads>0 group by all")
@@ -149,10 +150,13 @@ def agg_hist(spark, sf_dir):
     return calls.histogram(d.matrix(spark, sf_dir), ["sample"])
 
 
-@query("jn_merge", f"with {d.OBS} select sample, cell, snv, call from obs where sample in ('S0','S2')")
+@query("jn_merge", f"with {d.OBS} select sample, cell, snv, call from obs")
 def jn_merge(spark, sf_dir):
-    m = d.matrix(spark, sf_dir).select("sample", "cell", "snv", "call")
-    return calls.merged([m.filter("sample = 'S0'"), m.filter("sample = 'S2'")])
+    """The matrices of all samples, each from its own files."""
+    path = shared_folder(spark, "merge")
+    d.matrix(spark, sf_dir).select("sample", "cell", "snv", "call").write.partitionBy("sample").parquet(path)
+    per = spark.read.parquet(path)
+    return calls.merged([per.filter(F.col("sample") == s).select("sample", "cell", "snv", "call") for s in d.SAMPLES])
 
 
 @query("set_snvs", f"with {d.OBS} select distinct snv from obs order by snv")

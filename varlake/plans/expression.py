@@ -78,16 +78,16 @@ def agg_markers(spark, sf_dir):
     return x.markers(values, labels).select("grp", "gene", F.round("z", 6).alias("z"), "place")
 
 
-@query("jn_genes", f"with {d.RNA} select gene, max(case when batch='S0' and gene<>'G7' then 1 else 0 end)=1 in_a, max(case when batch='S1' and gene<>'G8' then 1 else 0 end)=1 in_b from rna where batch in ('S0','S1') group by gene")
+@query("jn_genes", f"with {d.RNA} select gene, max(case when batch in ('S0','S2') and gene<>'G7' then 1 else 0 end)=1 in_a, max(case when batch in ('S1','S3') and gene<>'G8' then 1 else 0 end)=1 in_b from rna group by gene")
 def jn_genes(spark, sf_dir):
     rna = d.rna(spark, sf_dir)
-    return x.gene_union(rna.filter("batch = 'S0' and gene <> 'G7'"), rna.filter("batch = 'S1' and gene <> 'G8'"))
+    return x.gene_union(rna.filter("batch in ('S0', 'S2') and gene <> 'G7'"), rna.filter("batch in ('S1', 'S3') and gene <> 'G8'"))
 
 
-@query("set_genes", f"with {d.RNA} select distinct gene from rna where batch in ('S0','S1') order by gene")
+@query("set_genes", f"with {d.RNA} select distinct gene from rna order by gene")
 def set_genes(spark, sf_dir):
     rna = d.rna(spark, sf_dir)
-    return x.gene_union(rna.filter("batch = 'S0'"), rna.filter("batch = 'S1'")).select("gene").orderBy("gene")
+    return x.gene_union(rna.filter("batch in ('S0', 'S2')"), rna.filter("batch in ('S1', 'S3')")).select("gene").orderBy("gene")
 
 
 @query("prj_layout", f"with {d.RNA}, g as (select gene, cast(row_number() over (order by gene)-1 as int) ix from (select distinct gene from rna where gene like 'G1%')) select cell, gene, cnt, ix from rna join g using (gene)")
@@ -123,4 +123,6 @@ def jn_cells(spark, sf_dir):
 
 @query("flt_doublet")
 def flt_doublet(spark, sf_dir):
-    return x.doublet_scores(d.rna(spark, sf_dir))
+    """Cells that are not doublets, with their counts, by neighbours over every gene."""
+    rna = d.rna(spark, sf_dir)
+    return x.without_doublets(rna, x.doublet_scores(rna)).groupBy("cell", "batch").agg(F.sum("cnt").alias("total"))

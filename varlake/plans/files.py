@@ -14,28 +14,31 @@ from .register import query
 SITE = "chrom, pos, ref, alt"
 
 
-@query("snk_vcf", f"with {d.VCF} select {SITE}, info, sample_text from vcf where sample='S1'")
+@query("snk_vcf", f"with {d.VCF} select sample, {SITE}, info, sample_text from vcf")
 def snk_vcf(spark, sf_dir):
-    path = shared_folder(spark, "vcf")
-    text.write_vcf(d.vcf(spark, sf_dir).filter("sample = 'S1'"), path, ["##fileformat=VCFv4.2", "#CHROM"])
-    return text.read_vcf(spark, {"S1": path}).select("chrom", "pos", "ref", "alt", "info", "sample_text")
+    """A file for every sample."""
+    paths = {s: shared_folder(spark, "vcf") for s in d.SAMPLES}
+    for s, path in paths.items():
+        text.write_vcf(d.vcf(spark, sf_dir).filter(F.col("sample") == s), path, ["##fileformat=VCFv4.2", "#CHROM"])
+    return text.read_vcf(spark, paths).select("sample", "chrom", "pos", "ref", "alt", "info", "sample_text")
 
 
-@query("snk_cbcount", f"with {d.COUNTS}, {d.CELLS}, s as (select sample,barcode,concat(chrom,':',cast(pos as varchar),'(',ref,'->',alt,')') v from counts where alt_reads>0 and pos<1001) select c.barcode, cast(count(v) as int) n, coalesce(string_agg(v,',' order by v),'') variants from cells c left join s using (sample,barcode) where c.sample='S0' group by c.barcode")
+@query("snk_cbcount", f"with {d.COUNTS}, {d.LISTED}, s as (select sample,barcode,concat(chrom,':',cast(pos as varchar),'(',ref,'->',alt,')') v from counts where alt_reads>0) select c.sample, c.barcode, cast(count(v) as int) n, coalesce(string_agg(v,',' order by v),'') variants from listed c left join s using (sample,barcode) group by c.sample, c.barcode")
 def snk_cbcount(spark, sf_dir):
+    """A folder of lines for every sample."""
     path = shared_folder(spark, "cb")
-    tables.write_cell_counts(rd.variants_per_cell(d.cells(spark, sf_dir).filter("sample = 'S0'"), d.counts(spark, sf_dir).filter("pos < 1001")), path)
+    tables.write_cell_counts(rd.variants_per_cell(d.listed(spark, sf_dir), d.counts(spark, sf_dir)), path, by="sample")
     t = F.split("value", "\t")
-    return spark.read.text(path).select(t[0].alias("barcode"), t[1].cast("int").alias("n"), t[2].alias("variants"))
+    return spark.read.text(path).select("sample", t[0].alias("barcode"), t[1].cast("int").alias("n"), t[2].alias("variants"))
 
 
-@query("snk_h5ad", f"with {d.OBS} select sample, cell, snv, call from obs where sample='S2'")
+@query("snk_h5ad", f"with {d.OBS} select sample, cell, snv, call from obs")
 def snk_h5ad(spark, sf_dir):
-    """The matrix with its cells and variants as tables; a sample is read alone by its partition."""
+    """The matrix with its cells and variants as tables."""
     path = shared_folder(spark, "matrix")
     m = d.matrix(spark, sf_dir)
     tables.write_matrix(m, d.cells(spark, sf_dir), m.select("snv").distinct(), path)
-    return tables.read_matrix(spark, path)[0].filter("sample = 'S2'").select("sample", "cell", "snv", "call")
+    return tables.read_matrix(spark, path)[0].select("sample", "cell", "snv", "call")
 
 
 @query("src_h5ad", f"with {d.OBS}, {d.CELLS} select (select count(*) from obs) x, (select count(*) from cells) obs_, (select count(distinct snv) from obs) var_")

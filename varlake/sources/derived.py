@@ -10,6 +10,7 @@ from ..operators import calls, reads as rd
 
 # Parameters that leave rows on small synthetic tables; the operators' own defaults differ.
 PRIOR, ERROR, P_ALT, THRESHOLD = 0.02, 0.001, 0.5, 0.9925
+SAMPLES = ["S0", "S1", "S2", "S3"]  # all that the reads have
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,7 @@ obs as (select sample, barcode, concat(sample,'_',barcode) cell, concat(chrom,':
   alt_reads alt_count, ref_reads ref_count, p posterior,
   cast(case when alt_reads>0 then 1 when ref_reads>0 and (p is null or p>={THRESHOLD}) then -1 else 0 end as int) call from post)"""
 CELLS = """cells as (select distinct sample, barcode, concat(sample,'_',barcode) cell, concat('T', cast(cast(substr(barcode,3,4) as int)%3 as varchar)) celltype from reads)"""
+LISTED = CELLS + """, listed as (select sample, barcode from cells union select sample, concat('NONE', cast(g as varchar)) from cells, range(2) t(g))"""
 SCORES = """scores as (select celltype, snv, round(avg(cast(alt_count as double)/(alt_count+ref_count)),9) score_euclidean,
   round(avg(cast(ref_count as double)/(alt_count+ref_count)),9) score_cosine_distance,
   row_number() over (order by celltype, snv) ord from obs join cells using (cell) group by celltype, snv)"""
@@ -85,6 +87,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample", "barcode", F.concat("sample", F.lit("_"), "barcode").alias("cell"), F.concat(F.lit("T"), (F.substring("barcode", 3, 4).cast("int") % 3).cast("string")).alias("celltype"))
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All barcodes of the reads, and in every sample two that no read has."""
+    rows = all_reads(spark, sf_dir).select("sample", "barcode").distinct()
+    extra = rows.select("sample").distinct().select("sample", F.explode(F.array(F.lit("NONE0"), F.lit("NONE1"))).alias("barcode"))
+    return rows.union(extra)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

@@ -32,9 +32,11 @@ def read_text_table(spark: SparkSession, path: str, schema: str, sep: str = ",")
     return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
 
 
-def write_cell_counts(counts: DataFrame, path: str) -> None:
-    """barcode, count, list per line, zero counts too."""
-    counts.select(F.concat_ws("\t", "barcode", F.col("n").cast("string"), "variants").alias("value")).write.mode("overwrite").text(path)
+def write_cell_counts(counts: DataFrame, path: str, by: str | None = None) -> None:
+    """barcode, count, list per line, zero counts too; one folder for each value of `by`."""
+    line = F.concat_ws("\t", "barcode", F.col("n").cast("string"), "variants").alias("value")
+    out = counts.select(line, *([by] if by else [])).write.mode("overwrite")
+    (out.partitionBy(by) if by else out).text(path)
 
 
 # Fixed values of the BAM format: operation letters and base codes.
