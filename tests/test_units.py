@@ -257,3 +257,22 @@ def test_doublets_equal_brute_force(spark):
     left = {r["cell"] for r in expression.without_doublets(rna, scores).select("cell").distinct().collect()}
     assert left == {*counts, "two"}
     assert expression.doublet_scores(rna.limit(0)).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    from varlake.operators.quantiles import lower_medians, quantiles
+
+    rng = random.Random(3)
+    rows = [("one", 5.0)] * 7 + [(None, float(i)) for i in range(4)] + [("many", rng.choice([rng.random(), rng.randint(0, 3) / 2])) for _ in range(3000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"q0": 0.0, "q1": 0.01, "q33": 1 / 3, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    got = {r["g"]: r for r in quantiles(df, ["g"], "v", shares).collect()}
+    assert {*got} == {"one", None, "many"}
+    for g, r in got.items():
+        own = [v for h, v in rows if h == g]
+        assert [r[c] for c in shares] == pytest.approx([float(np.quantile(own, q)) for q in shares.values()], abs=1e-12)
+    whole = quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    assert whole == pytest.approx(np.median([v for _, v in rows if v is not None]), abs=1e-12)
+    medians = {r["g"]: r["median"] for r in lower_medians(df, ["g"], "v").collect()}
+    assert medians == {g: sorted(v for h, v in rows if h == g)[(sum(h == g for h, _ in rows) - 1) // 2] for g in got}
+    assert quantiles(df.limit(0), [], "v", {"m": 0.5}).count() == 0

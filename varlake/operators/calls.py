@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import statistics as st
 from ..functions import variants as vt
 from . import reads as rd
+from .quantiles import lower_medians, quantiles
 
 
 def call_matrix(counts: DataFrame, prior: Column | float = 0.001, p_alt: Column | float = 0.5, error: float = 0.001, threshold: float | None = None) -> DataFrame:
@@ -22,11 +23,8 @@ def call_matrix(counts: DataFrame, prior: Column | float = 0.001, p_alt: Column
 
 
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """Lower weighted median per group. Equal values are summed first, so a window holds distinct values only."""
-    sums = rows.filter((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(*by)
-    run = sums.withColumn("run", F.sum("w").over(w.orderBy(value))).withColumn("half", F.sum("w").over(w) / 2)
-    return run.filter("run >= half").groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    """Lower weighted median per group."""
+    return lower_medians(rows, by, value, weight, "weighted_median")
 
 
 def variant_read_share(counts: DataFrame, default: float = 0.5, least_alt: int = 2, least_total: int = 2, least_observations: int = 25, least_snvs: int = 5) -> DataFrame:
@@ -50,9 +48,9 @@ def posterior_summary(matrix: DataFrame, by: list[str]) -> DataFrame:
     """Over the posteriors of -1 calls that are positive: count, mean, population deviation, extremes, exact quantiles."""
     p = F.col("posterior")
     rows = matrix.filter((F.col("call") == -1) & p.isNotNull() & (p > 0))
-    quantiles = F.percentile(p, F.array(*map(F.lit, QUANTILES.values())))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), quantiles.alias("q"), F.max(p).alias("max"))
-    return out.select(*by, "n", "mean", "std", "min", *(F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)), "max")
+    out = rows.groupBy(F.struct(*by).alias("g")).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
+    ranks = quantiles(rows, by, "posterior", QUANTILES).select(F.struct(*by).alias("g"), *QUANTILES)
+    return out.join(ranks, "g").select(*(F.col("g")[c].alias(c) for c in by), "n", "mean", "std", "min", *QUANTILES, "max")
 
 
 def histogram(matrix: DataFrame, by: list[str], bins: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def cells_with_genes(rna: DataFrame, least: int = 100) -> DataFrame:
     kept = rna.groupBy("cell").agg(F.count_if(F.col("cnt") > 0).alias("g")).filter(F.col("g") >= least).select("cell")
@@ -31,7 +33,7 @@ def cells_below_percentile(totals: DataFrame, percentile: float = 99.5) -> DataF
     if not 0 < percentile < 100:
         raise ValueError("percentile must lie between 0 and 100")
     batch = F.coalesce("batch", F.lit("__MISSING__"))
-    limits = totals.groupBy(batch.alias("b")).agg(F.percentile("total", F.lit(percentile / 100)).alias("limit"))
+    limits = quantiles(totals.select(batch.alias("b"), "total"), ["b"], "total", {"limit": percentile / 100})
     return totals.join(limits, batch == F.col("b")).filter("total <= limit").select(totals.columns)
 
 
@@ -44,7 +46,7 @@ def normalised(rna: DataFrame, target: float | None = None) -> DataFrame:
     """value: log1p of the count scaled to the target total per cell; by default the median total of cells with counts."""
     totals = rna.groupBy("cell").agg(F.sum("cnt").alias("total")).filter("total > 0")
     if target is None:
-        totals = totals.join(totals.agg(F.percentile("total", F.lit(0.5)).alias("target")))
+        totals = totals.join(quantiles(totals, [], "total", {"target": 0.5}))
     else:
         totals = totals.withColumn("target", F.lit(float(target)))
     return rna.join(totals, "cell").withColumn("value", F.log1p(F.col("cnt") / F.col("total") * F.col("target"))).drop("total", "target")

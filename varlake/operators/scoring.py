@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants as vt
+from .quantiles import lower_medians, quantiles
 
 
 def call_counts(matrix: DataFrame, by: list[str] = ["snv"]) -> DataFrame:
@@ -110,15 +111,17 @@ def strongly_perturbed(rows: DataFrame, limit: float = 1.0) -> DataFrame:
 
 
 def capped(rows: DataFrame, value: str = "perturbation", share: float = 0.9) -> DataFrame:
-    """value capped at its cell type's quantile (linear interpolation)."""
-    limits = rows.groupBy("celltype").agg(F.percentile(value, F.lit(share)).alias("cap"))
-    return rows.join(limits, "celltype").withColumn("capped", F.least(F.col(value), F.coalesce("cap", F.col(value)))).drop("cap")
+    """value capped at its cell type's quantile (linear interpolation); a cell type without values has no cap."""
+    limits = quantiles(rows, ["celltype"], value, {"cap": share})
+    return rows.join(limits, "celltype", "left").withColumn("capped", F.least(F.col(value), F.coalesce("cap", F.col(value)))).drop("cap")
 
 
 def aggregated(pairs: DataFrame, snvs: DataFrame, use_mean: bool = True) -> DataFrame:
     """snv, cosine, euclidean: mean or lower median over carriers, 0 without any."""
-    how = F.avg if use_mean else (lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})"))
-    out = pairs.groupBy("snv").agg(how("score_cosine_distance").alias("c"), how("score_euclidean").alias("e"))
+    if use_mean:
+        out = pairs.groupBy("snv").agg(F.avg("score_cosine_distance").alias("c"), F.avg("score_euclidean").alias("e"))
+    else:
+        out = lower_medians(pairs, ["snv"], "score_cosine_distance", out="c").join(lower_medians(pairs, ["snv"], "score_euclidean", out="e"), "snv", "full")
     return snvs.select("snv").distinct().join(out, "snv", "left").select("snv", F.coalesce("c", F.lit(0.0)).alias("score_cosine_distance"), F.coalesce("e", F.lit(0.0)).alias("score_euclidean"))
 
 
