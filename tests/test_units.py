@@ -276,3 +276,57 @@ def test_quantiles_are_exact(spark):
     medians = {r["g"]: r["median"] for r in lower_medians(df, ["g"], "v").collect()}
     assert medians == {g: sorted(v for h, v in rows if h == g)[(sum(h == g for h, _ in rows) - 1) // 2] for g in got}
     assert quantiles(df.limit(0), [], "v", {"m": 0.5}).count() == 0
+
+
+def plain_forward(w, x, batch, snvs, signs):
+    """Latent, attention, shift and mean of one cell, with loops over lists only."""
+    w = {k: v.tolist() for k, v in w.items()}
+    through = lambda v, name: [sum(a * row[j] for a, row in zip(v, w[f"{name}.w"])) + b for j, b in enumerate(w[f"{name}.b"])]
+
+    def norm(v, name):
+        m = sum(v) / len(v)
+        sd = math.sqrt(sum((a - m) ** 2 for a in v) / len(v) + 1e-5)
+        return [max(0.0, (a - m) / sd * g + b) for a, g, b in zip(v, w[f"{name}.g"], w[f"{name}.b"])]
+
+    z = through(norm(through(norm(through(x, "enc1"), "ln1"), "enc2"), "ln2"), "mu")
+    es = [through([c / (1 + math.exp(-c)) for c in through(z + w["snv"][s], "cond1")], "cond2") for s in snvs]
+    logits = [through([math.tanh(t) for t in through(z + e, "attn1")], "attn2")[0] for e in es]
+    a = [math.exp(t) / sum(math.exp(u) for u in logits) for t in logits]
+
+    def mean(signs):
+        total = [sum(p * s * e[j] for p, s, e in zip(a, signs, es)) for j in range(len(w["cond2.b"]))]
+        dz = through(total, "proj")
+        h = [max(0.0, t) for t in through([p + q for p, q in zip(z, dz)] + w["batch"][batch], "dec1")]
+        return dz, [math.exp(min(t, 20)) for t in through(h, "dec2")]
+
+    return z, a, *mean(signs), [mean([-s if j == i else s for j, s in enumerate(signs)])[1] for i in range(len(signs))]
+
+
+def test_forward_pass_equals_plain_loops(spark):
+    rng = random.Random(4)
+    w = model.seeded_weights(5, 6, latent=3, embedding=2, batches=2, batch_embedding=2, hidden=(4, 3))
+    w = {k: v + np.random.default_rng(len(k)).normal(0, 0.1, v.shape) for k, v in w.items()}  # biases that are not zero
+    cells = {}
+    for i in range(150):  # more than one step
+        snvs = rng.sample(range(6), rng.choice([0, 1, 3, 6]))
+        cells[f"c{i}"] = ([float(rng.randint(0, 9)) for _ in range(5)], rng.randint(0, 1), snvs, [rng.choice([-1, 1]) for _ in snvs])
+    df = spark.createDataFrame([(c, b, x, s, g) for c, (x, b, s, g) in cells.items()], "cell string, batch int, x array<double>, snvs array<int>, signs array<int>").coalesce(2)
+    want = {c: plain_forward(w, x, b, s, g) for c, (x, b, s, g) in cells.items()}
+    near = lambda v: pytest.approx(v, rel=1e-7, abs=1e-9)
+    got = {r["cell"]: r for r in model.encoded(df, w).collect()}
+    assert {*got} == {*cells} and all(got[c]["z"] == near(want[c][0]) for c in cells)
+    pairs = {(r["cell"], r["snv"]): r["attention"] for r in model.attention(df, w).collect()}
+    assert pairs == near({(c, s): a for c in cells for s, a in zip(cells[c][2], want[c][1])})
+    got = {r["cell"]: r for r in model.reconstructed(df, w).collect()}
+    assert {*got} == {*cells} and all(got[c]["shift"] == near(want[c][2]) and got[c]["mean"] == near(want[c][3]) for c in cells)
+    scores = {}
+    for c, (_, _, _, before, flipped) in want.items():
+        for s, after in zip(cells[c][2], flipped):
+            length = lambda v: math.sqrt(sum(t * t for t in v))
+            scores[c, s] = (1 - sum(p * q for p, q in zip(before, after)) / length(before) / length(after), length([p - q for p, q in zip(before, after)]))
+    for chosen in (None, [1, 4]):
+        given = None if chosen is None else spark.createDataFrame([(s,) for s in chosen], "snv int")
+        rows = {(r["cell"], r["snv"]): (r["score_cosine_distance"], r["score_euclidean"]) for r in model.counterfactuals(df, w, given).collect()}
+        kept = {k: v for k, v in scores.items() if chosen is None or k[1] in chosen}
+        assert {*rows} == {*kept} and all(rows[k] == near(kept[k]) for k in kept)
+    assert model.counterfactuals(df.limit(0), w).count() == 0

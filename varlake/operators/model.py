@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +69,28 @@ def decode(w: Weights, z: np.ndarray, batch: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(h @ w["dec2.w"] + w["dec2.b"], 20))
 
 
-def attend(w: Weights, z: np.ndarray, snvs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For one cell: embeddings of its variants given its state, and their attention (softmax over the cell)."""
-    pair = lambda e: np.concatenate([np.broadcast_to(z, (len(e), len(z))), e], 1)
+def attend_pairs(w: Weights, z: np.ndarray, of: np.ndarray, snvs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of a cell (its row of z) and a variant: the variant's embedding given the cell's state, and its attention
+    (softmax over the cell's pairs)."""
+    pair = lambda e: np.concatenate([z[of], e], 1)
     c = pair(w["snv"][snvs]) @ w["cond1.w"] + w["cond1.b"]
     e = (c / (1 + np.exp(-c))) @ w["cond2.w"] + w["cond2.b"]
     logit = (np.tanh(pair(e) @ w["attn1.w"] + w["attn1.b"]) @ w["attn2.w"] + w["attn2.b"])[:, 0]
-    soft = np.exp(logit - logit.max()) if len(logit) else logit
-    return e, soft / (soft.sum() + 1e-12)
+    top = np.full(len(z), -np.inf)
+    np.maximum.at(top, of, logit)
+    soft = np.exp(logit - top[of])
+    return e, soft / (np.bincount(of, soft, len(z))[of] + 1e-12)
+
+
+def attend(w: Weights, z: np.ndarray, snvs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one cell."""
+    return attend_pairs(w, z[None], np.zeros(len(snvs), int), snvs)
+
+
+def summed(terms: np.ndarray, of: np.ndarray, cells: int) -> np.ndarray:
+    out = np.zeros((cells, terms.shape[1]))
+    np.add.at(out, of, terms)
+    return out
 
 
 def shift(w: Weights, total: np.ndarray) -> np.ndarray:
@@ -83,8 +98,34 @@ def shift(w: Weights, total: np.ndarray) -> np.ndarray:
     return total @ w["proj.w"] + w["proj.b"]
 
 
-def _cells(batch: pa.RecordBatch) -> Iterator[tuple]:
-    yield from zip(batch["cell"].to_pylist(), batch["batch"].to_pylist(), batch["x"].to_pylist(), batch["snvs"].to_pylist(), batch["signs"].to_pylist())
+CELLS_AT_ONCE, FLIPS_AT_ONCE = 64, 1024  # rows of a step, so that memory does not grow with the size of Arrow's batches
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), CELLS_AT_ONCE):
+            yield b.slice(at, CELLS_AT_ONCE)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a list column, and the row of each; a null list has none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False).astype(int)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+
+
+def _state(w: Weights, b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """z of the cells; cell, variant and sign of the pairs, their embeddings and attention."""
+    z = encode(w, _rows(b["x"]))[0]
+    of, snvs = _flat(b["snvs"])
+    return z, of, snvs, _flat(b["signs"])[1], *attend_pairs(w, z, of, snvs)
 
 
 def encoded(cells: DataFrame, w: Weights) -> DataFrame:
@@ -92,10 +133,9 @@ def encoded(cells: DataFrame, w: Weights) -> DataFrame:
     held = cells.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                mu, var = encode(held.value, np.array(b["x"].to_pylist(), float))
-                yield pa.RecordBatch.from_arrays([b["cell"], pa.array(mu.tolist(), pa.list_(pa.float64())), pa.array(var.tolist(), pa.list_(pa.float64()))], names=["cell", "z", "log_variance"])
+        for b in _steps(batches):
+            mu, var = encode(held.value, _rows(b["x"]))
+            yield pa.RecordBatch.from_arrays([b["cell"], _lists(mu), _lists(var)], names=["cell", "z", "log_variance"])
 
     return cells.select("cell", "x").mapInArrow(run, "cell string, z array<double>, log_variance array<double>")
 
@@ -105,14 +145,9 @@ def attention(cells: DataFrame, w: Weights) -> DataFrame:
     held = cells.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for cell, _, x, snvs, signs in _cells(b):
-                a = attend(held.value, encode(held.value, np.array([x], float))[0][0], np.array(snvs, int))[1]
-                rows += zip([cell] * len(snvs), snvs, signs, a.tolist())
-            if rows:
-                cell, snv, sign, a = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(snv, pa.int32()), pa.array(sign, pa.int32()), pa.array(a, pa.float64())], names=["cell", "snv", "sign", "attention"])
+        for b in _steps(batches):
+            _, of, snvs, signs, _, a = _state(held.value, b)
+            yield pa.RecordBatch.from_arrays([b["cell"].take(pa.array(of)), pa.array(snvs, pa.int32()), pa.array(signs, pa.int32()), pa.array(a)], names=["cell", "snv", "sign", "attention"])
 
     return cells.select("cell", "batch", "x", "snvs", "signs").mapInArrow(run, "cell string, snv int, sign int, attention double")
 
@@ -122,16 +157,10 @@ def reconstructed(cells: DataFrame, w: Weights) -> DataFrame:
     held = cells.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for cell, batch, x, snvs, signs in _cells(b):
-                z = encode(held.value, np.array([x], float))[0][0]
-                e, a = attend(held.value, z, np.array(snvs, int))
-                dz = shift(held.value, (a * np.array(signs, float)) @ e)
-                rows.append((cell, dz.tolist(), decode(held.value, (z + dz)[None], np.array([batch]))[0].tolist()))
-            if rows:
-                cell, dz, mean = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(dz, pa.list_(pa.float64())), pa.array(mean, pa.list_(pa.float64()))], names=["cell", "shift", "mean"])
+        for b in _steps(batches):
+            z, of, _, signs, e, a = _state(held.value, b)
+            dz = shift(held.value, summed((a * signs)[:, None] * e, of, len(b)))
+            yield pa.RecordBatch.from_arrays([b["cell"], _lists(dz), _lists(decode(held.value, z + dz, b["batch"].to_numpy(zero_copy_only=False)))], names=["cell", "shift", "mean"])
 
     return cells.select("cell", "batch", "x", "snvs", "signs").mapInArrow(run, "cell string, shift array<double>, mean array<double>")
 
@@ -149,23 +178,22 @@ def counterfactuals(cells: DataFrame, w: Weights, chosen: DataFrame | None = Non
         rows = rows.join(flips, "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for (cell, batch, x, snvs, signs), flip in zip(_cells(b), b["flip"].to_pylist()):
-                ix = np.flatnonzero(np.isin(snvs, flip))
-                if not len(ix):
-                    continue
-                z = encode(held.value, np.array([x], float))[0][0]
-                e, a = attend(held.value, z, np.array(snvs, int))
-                terms = (a * np.array(signs, float))[:, None] * e
-                sums = np.concatenate([terms.sum(0)[None], terms.sum(0) - 2 * terms[ix]])
-                mean = decode(held.value, z + shift(held.value, sums), np.full(len(sums), batch))
-                dots = mean[1:] @ mean[0]
-                norms = np.maximum(np.linalg.norm(mean, axis=1), 1e-6)
-                out += zip([snvs[i] for i in ix], [cell] * len(ix), (1 - dots / (norms[1:] * norms[0])).tolist(), np.linalg.norm(mean[1:] - mean[0], axis=1).tolist())
-            if out:
-                s, c, cos, euc = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c), pa.array(cos, pa.float64()), pa.array(euc, pa.float64())], names=["snv", "cell", "score_cosine_distance", "score_euclidean"])
+        for b in _steps(batches):
+            z, of, snvs, signs, e, a = _state(held.value, b)
+            batch = b["batch"].to_numpy(zero_copy_only=False)
+            terms = (a * signs)[:, None] * e
+            sums = summed(terms, of, len(b))
+            before = decode(held.value, z + shift(held.value, sums), batch)
+            length = np.maximum(np.linalg.norm(before, axis=1), 1e-6)
+            in_cell, wanted = _flat(b["flip"])
+            width = max(snvs.max(initial=0), wanted.max(initial=0)) + 1
+            every = np.flatnonzero(np.isin(of * width + snvs, in_cell * width + wanted))
+            for at in range(0, len(every), FLIPS_AT_ONCE):
+                ix = every[at:at + FLIPS_AT_ONCE]
+                own = of[ix]
+                after = decode(held.value, z[own] + shift(held.value, sums[own] - 2 * terms[ix]), batch[own])
+                dots, norms = (after * before[own]).sum(1), np.maximum(np.linalg.norm(after, axis=1), 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(snvs[ix], pa.int32()), b["cell"].take(pa.array(own)), pa.array(1 - dots / (norms * length[own])), pa.array(np.linalg.norm(after - before[own], axis=1))], names=["snv", "cell", "score_cosine_distance", "score_euclidean"])
 
     return rows.mapInArrow(run, "snv int, cell string, score_cosine_distance double, score_euclidean double")
 
@@ -207,21 +235,15 @@ def backbone_gradient(w: Weights, x: np.ndarray, batch: np.ndarray, noise: np.nd
     return loss, g
 
 
-def head_gradient(w: Weights, rows: list[tuple], margin: float, weight: float) -> tuple[float, Weights]:
+def head_gradient(w: Weights, b: pa.RecordBatch, margin: float, weight: float) -> tuple[float, Weights]:
     """Of the variant heads with encoder and attention frozen: squared error, and a hinge that wants the loss under a
     cell's own calls below that under another cell's calls of the same batch. Trains proj.w, proj.b."""
-    loss, g = 0.0, {k: np.zeros_like(w[k]) for k in ("proj.w", "proj.b")}
-    sums, zs, xs, bs = [], [], [], []
-    for _, batch, x, snvs, signs in rows:
-        z = encode(w, np.array([x], float))[0][0]
-        e, a = attend(w, z, np.array(snvs, int))
-        sums.append((a * np.array(signs, float)) @ e); zs.append(z); xs.append(np.log1p(np.array(x, float))); bs.append(batch)  # noqa: E702
-    if not rows:
-        return loss, g
-    sums, zs, xs, bs = map(np.array, (sums, zs, xs, bs))
-    other = np.arange(len(rows))
-    for b in np.unique(bs):
-        own = np.flatnonzero(bs == b)
+    g = {}
+    zs, of, _, signs, e, a = _state(w, b)
+    sums, xs, bs = summed((a * signs)[:, None] * e, of, len(b)), np.log1p(_rows(b["x"])), b["batch"].to_numpy(zero_copy_only=False)
+    other = np.arange(len(bs))
+    for one_batch in np.unique(bs):
+        own = np.flatnonzero(bs == one_batch)
         other[own] = np.roll(own, 1)  # every cell gets another one's calls where its batch has two
 
     def one(total):
@@ -233,7 +255,7 @@ def head_gradient(w: Weights, rows: list[tuple], margin: float, weight: float) -
 
     own, d_own = one(sums)
     neg, d_neg = one(sums[other])
-    hinge = ((margin + own - neg) > 0) & (other != np.arange(len(rows)))
+    hinge = ((margin + own - neg) > 0) & (other != np.arange(len(bs)))
     loss = float(own.sum() + weight * ((margin + own - neg) * hinge).sum())
     d_own = d_own * (1 + weight * hinge)[:, None]
     d_neg = -d_neg * (weight * hinge)[:, None]
@@ -255,11 +277,9 @@ def trained(cells: DataFrame, w: Weights, epochs: int = 10, rate: float = 1e-3,
 
         def run(batches: Iterator[pa.RecordBatch], held=held, ramp=ramp, epoch=epoch) -> Iterator[pa.RecordBatch]:
             total: dict = {}
-            for b in batches:
-                if not len(b):
-                    continue
+            for b in _steps(batches):
                 if heads:
-                    loss, g = head_gradient(held.value, [*_cells(b)], margin * ramp, weight * ramp)
+                    loss, g = head_gradient(held.value, b, margin * ramp, weight * ramp)
                 else:
                     x = np.array(b["x"].to_pylist(), float)
                     size = held.value["mu.b"].shape[0]  # of every cell its own noise, however cells are batched
