@@ -194,14 +194,24 @@ def test_counterfactual_equals_two_full_passes():
     assert np.allclose(full, short)
 
 
-def test_neighbours_are_exact(spark):
+@pytest.mark.parametrize("clusters", [1, 6])
+def test_neighbours_are_exact(spark, clusters):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(90, 4))
-    rows = graph.nearest_cells(spark.createDataFrame([(f"{i:02d}", v.tolist()) for i, v in enumerate(x)], "cell string, z array<double>"), 5, 40).collect()
-    for i in range(90):
+    x = rng.normal(size=(240, 4)) + 20 * rng.integers(0, clusters, (240, 1))
+    x[:80] = x[0]  # a third of the rows are copies
+    rows = graph.nearest_cells(spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "cell string, z array<double>"), 5, 40).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        got.setdefault(r["cell"], []).append(r["neighbour"])
+    for i in range(240):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        want = [f"{j:02d}" for j in np.argsort(d) if j != i][:5]
-        assert [r["neighbour"] for r in sorted((r for r in rows if r["cell"] == f"{i:02d}"), key=lambda r: r["place"])] == want
+        assert got[f"{i:03d}"] == [f"{j:03d}" for j in np.argsort(d, kind="stable") if j != i][:5]
+
+
+def test_few_or_no_neighbours(spark):
+    rows = lambda *n: spark.createDataFrame([(c, [float(i), 0.0]) for i, c in enumerate(n)], "cell string, z array<double>")
+    assert graph.nearest_cells(rows()).count() == 0 and graph.nearest_cells(rows("a")).count() == 0
+    assert [(r["cell"], r["neighbour"], r["place"]) for r in graph.nearest_cells(rows("a", "b")).orderBy("cell").collect()] == [("a", "b", 1), ("b", "a", 1)]
 
 
 def test_bases_at_sites_are_those_of_all_bases(spark):

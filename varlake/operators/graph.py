@@ -85,32 +85,83 @@ def without(scores: DataFrame, states: DataFrame) -> DataFrame:
     return scores.join(states.filter("state = 'removed'").select("celltype", "snv"), ["celltype", "snv"], "left_anti")
 
 
+PIVOTS = 256  # at most so many; more rows make larger parts, which are cut into blocks
+
+
 def nearest_cells(latents: DataFrame, k: int = 15, block: int = 2000) -> DataFrame:
-    """cell, neighbour, distance, place: exact k nearest by Euclidean distance. Rows are dealt to blocks; every pair of
-    blocks is one bounded task that keeps k rows per cell, so nothing but those is shuffled again."""
+    """cell, neighbour, distance, place: exact k nearest by Euclidean distance, ties by name.
+
+    Rows go to the nearest of a few pivots and, within it, to blocks of about `block` rows. The k-th distance within its own
+    block bounds a cell's neighbourhood; it then visits only the parts that the bound reaches, by the part's radius and by
+    the plane between the pivots. Visitors of a part are dealt out, so that no task holds more than two blocks. Vectors
+    without structure reach every part: work is then that of all pairs of blocks."""
     import numpy as np
     import pyarrow as pa
 
-    blocks = max(1, -(-latents.count() // block))
-    dealt = latents.select(F.col("cell").cast("string").alias("cell"), F.col("z").cast("array<double>").alias("z")).withColumn("b", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left, right = dealt.withColumnRenamed("b", "i").withColumn("j", F.explode(every)), dealt.withColumnRenamed("b", "j").withColumn("i", F.explode(every))
+    rows = _checkpointed(latents.select(F.col("cell").cast("string").alias("cell"), F.col("z").cast("array<double>").alias("z")))
+    found_type = "cell string, neighbour string, distance double"
+    count = rows.count()
+    if not count:
+        return rows.sparkSession.createDataFrame([], found_type + ", place int")
+    heads = rows.withColumn("h", F.xxhash64("cell")).orderBy("h", "cell").limit(max(1, min(PIVOTS, -(-count // block)))).collect()
+    pivots = np.array([r["z"] for r in heads])
+    matrix = lambda t: t["z"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    apart = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+
+    def assign(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                d = apart(part["z"].flatten().to_numpy().reshape(len(part), -1), pivots)
+                yield pa.RecordBatch.from_arrays([part["cell"], part["z"], pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=["cell", "z", "part", "d"])
+
+    dealt = _checkpointed(rows.mapInArrow(assign, "cell string, z array<double>, part int, d double"))
+    sizes = {r["part"]: (r["n"], r["far"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}
+    blocks = [-(-sizes.get(p, (0, 0))[0] // block) for p in range(len(pivots))]
+    radius = np.array([sizes[p][1] if p in sizes else -np.inf for p in range(len(pivots))])
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("cell"), F.get(F.lit(blocks), F.col("part"))).cast("int"))
+    between = apart(pivots, pivots)
+
+    def nearest(names, x, others, y, limit):
+        """Index of a row of x, and of one of y with another name, for the k nearest within the limit, and the distance."""
+        rank = np.argsort(np.argsort(others, kind="stable"), kind="stable")
+        for at in range(0, len(x), 32):
+            for i, d in enumerate(apart(x[at:at + 32], y), at):
+                pick = np.flatnonzero((d <= limit[i]) & (others != names[i]))
+                pick = pick[np.lexsort((rank[pick], d[pick]))[:k]]
+                yield i, pick, d[pick]
+
+    def bounds(t: pa.Table) -> pa.Table:
+        names, x, own, d = np.array(t["cell"].to_pylist(), object), matrix(t), t["part"].to_numpy(), t["d"].to_numpy()
+        limit = np.full(len(t), np.inf)
+        for i, pick, ds in nearest(names, x, names, x, limit.copy()):
+            if len(pick) == k:
+                limit[i] = ds[-1] * (1 + 1e-9) + 1e-12
+        to = apart(x, pivots)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.nan_to_num((to**2 - d[:, None] ** 2) / (2 * between[own]), nan=0.0, posinf=0.0, neginf=0.0)
+        reach = (np.maximum(to - radius, plane) <= limit[:, None] * (1 + 1e-9) + 1e-12) & np.isfinite(radius)
+        return pa.table({"cell": t["cell"], "z": t["z"], "bound": pa.array(limit), "visits": pa.array([np.flatnonzero(r).tolist() for r in reach], pa.list_(pa.int32()))})
+
+    visitors = _checkpointed(dealt.groupBy("part", "sub").applyInArrow(bounds, "cell string, z array<double>, bound double, visits array<int>"))
+    calls = {r["part"]: r["n"] for r in visitors.select(F.explode("visits").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    pieces = [max(1, -(-calls.get(p, 0) // block)) for p in range(len(pivots))]
+    upto = lambda counts: F.sequence(F.lit(0), F.get(F.lit(counts), F.col("part")) - 1)
+    left = visitors.select(F.col("cell").alias("from_cell"), F.col("z").alias("from_z"), "bound", F.explode("visits").alias("part"))
+    left = left.withColumn("piece", F.pmod(F.xxhash64("from_cell", F.lit(1)), F.get(F.lit(pieces), F.col("part"))).cast("int")).withColumn("sub", F.explode(upto(blocks)))
+    right = dealt.select("cell", "z", "part", "sub").withColumn("piece", F.explode(upto(pieces)))
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"cell": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
-        x, y = np.stack(a["z"].to_numpy(zero_copy_only=False)), np.stack(b["z"].to_numpy(zero_copy_only=False))
-        names, others = np.array(a["cell"].to_pylist(), object), np.array(b["cell"].to_pylist(), object)
         cells, found, ds = [], [], []
-        for i in range(len(x)):
-            d = np.sqrt(((y - x[i]) ** 2).sum(1))
-            pick = [j for j in np.lexsort((others, d))[:k + 1] if others[j] != names[i]][:k]
-            cells += [names[i]] * len(pick)
-            found += others[pick].tolist()
-            ds += d[pick].tolist()
+        if len(a) and len(b):
+            names, others = np.array(a["from_cell"].to_pylist(), object), np.array(b["cell"].to_pylist(), object)
+            for i, pick, d in nearest(names, matrix(a.rename_columns(["z" if c == "from_z" else c for c in a.column_names])), others, matrix(b), a["bound"].to_numpy()):
+                cells += [names[i]] * len(pick)
+                found += others[pick].tolist()
+                ds += d.tolist()
         return pa.table({"cell": pa.array(cells, pa.string()), "neighbour": pa.array(found, pa.string()), "distance": pa.array(ds, pa.float64())})
 
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, "cell string, neighbour string, distance double")
+    pairs = left.groupBy("part", "sub", "piece").cogroup(right.groupBy("part", "sub", "piece")).applyInArrow(near, found_type)
     place = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "neighbour"))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
