@@ -79,7 +79,7 @@ def markers(values: DataFrame, labels: DataFrame, top: int = 20) -> DataFrame:
     sizes = labels.groupBy("grp").agg(F.count("*").alias("n_grp"))
     rows = values.filter("value > 0").join(labels, "cell")
     per = rows.groupBy("gene", "value", "grp").agg(F.count("*").alias("k"))
-    ties = rows.groupBy("gene", "value").agg(F.count("*").alias("t"))
+    ties = per.groupBy("gene", "value").agg(F.sum("k").alias("t"))
     nonzero = ties.groupBy("gene").agg(F.sum("t").alias("nz"))
     run = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ties.join(nonzero, "gene").withColumn("zeros", F.lit(n) - F.col("nz"))

@@ -20,13 +20,14 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 def cooccurrence(carriers: DataFrame, least_carriers: int = 20, least_shared: int = 20, jaccard: float = 0.85, overlap: float = 0.95) -> DataFrame:
     """Edges a < b per (celltype, sample) between variants that share carriers. carriers: (celltype, sample, cell, snv).
-    Variants with few carriers go before the self-join, which meets only variants of one cell."""
+    Variants with few carriers go before the self-join, which meets only variants of one cell, and of these only such whose
+    sizes allow the Jaccard index: it is at most the smaller over the larger."""
     carriers = carriers.select(*EDGE, "cell", "snv").distinct()
     sizes = carriers.groupBy(*EDGE, "snv").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, least_carriers))
     kept = carriers.join(sizes, [*EDGE, "snv"])
     a = kept.select(*EDGE, "cell", F.col("snv").alias("a"), F.col("n").alias("na"))
     b = kept.select(*EDGE, "cell", F.col("snv").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, [*EDGE, "cell"]).filter("a < b").groupBy(*EDGE, "a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    pairs = a.join(b, [*EDGE, "cell"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= jaccard * (1 - 1e-9) * F.greatest("na", "nb"))).groupBy(*EDGE, "a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     out = pairs.withColumns({"jaccard": F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), "overlap": F.col("shared") / F.least("na", "nb")})
     return out.filter((F.col("shared") >= least_shared) & (F.col("jaccard") >= jaccard) & (F.col("overlap") >= overlap))
 
