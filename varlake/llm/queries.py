@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_query
 from .ann import ann_query
+from .annular import annular_query, annular_sql
 from .bpe import bpe_query
 from .mainhtml import html_query
 from .mixing import mixing_query
@@ -14,6 +16,7 @@ from .neardup import neardup_query
 from .pii import pii_query
 from .quality import quality_query
 from .sharding import sharding_query, sharding_sql
+from .simhash import simhash_query
 from .warc import WARC_SQL, warc_query
 from .winnow import winnow_query
 
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding_query,
     "op9_html_text": html_query,
     "op10_winnowing": winnow_query,
+    "op11_token_alignment": alignment_query,
+    "op12_vector_codes": annular_query,
+    "op13_simhash": simhash_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": WARC_SQL, "op8_sharding": sharding_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc": WARC_SQL, "op8_sharding": sharding_sql(), "op12_vector_codes": annular_sql()}
