@@ -158,31 +158,6 @@ def test_min_max_of_one_value(spark):
     assert [r["n"] for r in scoring.min_max(rows, "s", "n").collect()] == [0.0, 0.0, None]
 
 
-def test_backbone_gradient_is_the_derivative():
-    w = model.seeded_weights(6, 4, latent=3, hidden=(5, 4), batches=2)
-    rng = np.random.default_rng(1)
-    x, batch, noise = rng.poisson(3, (4, 6)).astype(float), np.array([0, 1, 0, 1]), rng.normal(size=(4, 3))
-    _, g = model.backbone_gradient(w, x, batch, noise, 0.3)
-    for k in g:
-        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        diff = []
-        for e in (1e-6, -1e-6):
-            v = {n: a.copy() for n, a in w.items()}
-            v[k][at] += e
-            diff.append(model.backbone_gradient(v, x, batch, noise, 0.3)[0])
-        assert g[k][at] == pytest.approx((diff[0] - diff[1]) / 2e-6, rel=1e-3, abs=1e-5)
-
-
-def test_training_lowers_the_loss(spark):
-    rng = np.random.default_rng(0)
-    cells = spark.createDataFrame([(f"c{i}", i % 2, rng.poisson(2, 6).astype(float).tolist(), [0, 1], [1, -1]) for i in range(40)], "cell string, batch int, x array<double>, snvs array<int>, signs array<int>")
-    w = model.seeded_weights(6, 4, latent=3, hidden=(5, 4), batches=2)
-    for heads in (False, True):
-        _, losses = model.trained(cells, w, epochs=6, rate=1e-2, heads=heads, warm=1)
-        _, again = model.trained(cells, w, epochs=6, rate=1e-2, heads=heads, warm=1)
-        assert losses[-1] < losses[0] and np.allclose(losses, again)
-
-
 def test_counterfactual_equals_two_full_passes():
     w = model.seeded_weights(6, 4, latent=3, hidden=(5, 4))
     x, snvs, signs = np.array([[1.0, 0, 2, 5, 0, 1]]), np.array([0, 2, 3]), np.array([1.0, -1, 1])
@@ -340,3 +315,67 @@ def test_forward_pass_equals_plain_loops(spark):
         kept = {k: v for k, v in scores.items() if chosen is None or k[1] in chosen}
         assert {*rows} == {*kept} and all(rows[k] == near(kept[k]) for k in kept)
     assert model.counterfactuals(df.limit(0), w).count() == 0
+
+
+def test_by_celltype_equals_a_loop_over_types(spark):
+    """Types one after the other in plain loops: attention, the best of it, then the valid ones, then flips of all their carriers."""
+    from varlake.sources.folder import Tables
+
+    rng = random.Random(11)
+    w = model.seeded_weights(5, 6, latent=3, embedding=2, batches=2, batch_embedding=2, hidden=(4, 3))
+    cells, types = {}, {}
+    for i in range(170):
+        snvs = sorted(rng.sample(range(6), rng.choice([0, 2, 4, 6])))
+        cells[f"c{i}"] = ([float(rng.randint(0, 9)) for _ in range(5)], rng.randint(0, 1), snvs, [rng.choice([-1, 1, 1]) if s != 5 else 1 for s in snvs])
+        types[f"c{i}"] = "small" if i < 7 else None if i < 10 else rng.choice(["A", "A", "B"])
+    plain = {c: plain_forward(w, x, b, s, g) for c, (x, b, s, g) in cells.items()}
+    length = lambda v: math.sqrt(sum(t * t for t in v))
+    want = {}
+    for kind in ("A", "B", "small"):
+        own = [c for c in cells if types[c] == kind]
+        if len(own) < 20:
+            continue
+        seen = {s: [plain[c][1][cells[c][2].index(s)] for c in own if s in cells[c][2]] for s in range(6)}
+        best = sorted((s for s in seen if seen[s]), key=lambda s: (-sum(seen[s]) / len(seen[s]), s))[:4]
+        for s in best:
+            signs = [cells[c][3][cells[c][2].index(s)] for c in own if s in cells[c][2]]
+            if min(signs.count(1), signs.count(-1)) <= 10:
+                continue
+            euclid, cosine = [], []
+            for c in own:
+                if s in cells[c][2]:
+                    before, after = plain[c][3], plain[c][4][cells[c][2].index(s)]
+                    euclid.append(length([p - q for p, q in zip(before, after)]))
+                    cosine.append(1 - sum(p * q for p, q in zip(before, after)) / length(before) / length(after))
+            want[kind, s] = (sum(seen[s]) / len(seen[s]), sum(cosine) / len(cosine), sum(euclid) / len(euclid), len(euclid))
+    assert len(want) > 3
+    df = spark.createDataFrame([(c, b, x, s, g) for c, (x, b, s, g) in cells.items()], "cell string, batch int, x array<double>, snvs array<int>, signs array<int>").repartition(3)
+    of = spark.createDataFrame([*types.items()], "cell string, celltype string")
+    with Tables(spark, "test") as tables:
+        got = {(r["celltype"], r["snv"]): (r["attention"], r["score_cosine_distance"], r["score_euclidean"], r["cells"]) for r in model.by_celltype(df, w, of, tables, 4, 10).collect()}
+        assert {*got} == {*want} and all(got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-9) for k in want)
+        assert model.by_celltype(df.limit(0), w, of, tables, 4, 10).count() == 0
+
+
+def test_stages_are_whole_or_not_there(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from varlake.sources import stages
+
+    path, rows = f"file://{tmp_path}/stage", spark.range(10)
+    bad = spark.range(10).selectExpr("if(id = 7, raise_error('half-way'), id) as id")
+    with pytest.raises(PySparkException):
+        stages.run_stage(spark, path, {"a": 1}, lambda: {"one": rows, "two": bad})
+    assert stages.manifest(spark, path) is None and not stages.finished(spark, path, {"a": 1})
+    with pytest.raises(FileNotFoundError):
+        stages.read_stage(spark, path)
+    (tmp_path / "stage" / "v-killed" / "one").mkdir(parents=True)  # of a driver that was killed
+    made = stages.run_stage(spark, path, {"a": 1, "b": 2}, lambda: {"one": rows, "two": rows.limit(3)})
+    assert {k: v.count() for k, v in made.items()} == {"one": 10, "two": 3}
+    assert len([p for p in (tmp_path / "stage").iterdir() if p.name.startswith("v-")]) == 1
+    # settings in another order are the same; others make the stage anew
+    assert stages.run_stage(spark, path, {"b": 2, "a": 1}, lambda: 1 / 0)["two"].count() == 3
+    with pytest.raises(ZeroDivisionError):
+        stages.run_stage(spark, path, {"a": 2}, lambda: 1 / 0)
+    assert stages.read_stage(spark, path)["two"].count() == 3
+    assert stages.run_stage(spark, path, {"a": 2}, lambda: {"two": rows})["two"].count() == 10

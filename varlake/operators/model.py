@@ -1,4 +1,4 @@
-"""The expression backbone and the variant-effect model: inference over cells, and training by gradient sums.
+"""The expression backbone and the variant-effect model: inference over cells. Training is in `training`.
 
 Weights are a table (name, shape, data), broadcast as arrays: their size is that of the model, not of the data. A cell is
 one row: cell, batch int, x array<double> (genes in layout order), snvs array<int> and signs array<int> (its non-zero
@@ -7,7 +7,6 @@ calls). All pairs of a cell are in its row, so attention needs no shuffle; resul
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folder import Tables
+from ..sources.stages import publish, published
+from . import scoring
+
 Weights = dict[str, np.ndarray]
 
 
@@ -36,6 +39,17 @@ def weights_table(spark: SparkSession, w: Weights) -> DataFrame:
     return spark.createDataFrame([(k, list(map(int, v.shape)), v.astype(float).ravel().tolist()) for k, v in w.items()], "name string, shape array<int>, data array<double>")
 
 
+def save_checkpoint(weights: DataFrame, path: str) -> None:
+    """A table of weights (name, shape, data) under a path that names the version in use: a new version is written whole before a
+    pointer to it replaces the old one, so that a write that fails leaves the old weights."""
+    publish(weights, path)
+
+
+def checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """The weights in use at a path, of save_checkpoint() or a plain table; names lose a leading 'module.'."""
+    return published(spark, path).withColumn("name", F.regexp_replace("name", "^module\\.", ""))
+
+
 def from_table(rows: DataFrame) -> Weights:
     """Names lose a leading 'module.'; the rows are the model's tensors, a fixed number."""
     return {r["name"].removeprefix("module."): np.array(r["data"]).reshape(r["shape"]) for r in rows.collect()}
@@ -69,13 +83,17 @@ def decode(w: Weights, z: np.ndarray, batch: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(h @ w["dec2.w"] + w["dec2.b"], 20))
 
 
+def embedded(w: Weights, z: np.ndarray, of: np.ndarray, snvs: np.ndarray) -> np.ndarray:
+    """The variants' embeddings given the cells' states."""
+    c = np.concatenate([z[of], w["snv"][snvs]], 1) @ w["cond1.w"] + w["cond1.b"]
+    return (c / (1 + np.exp(-c))) @ w["cond2.w"] + w["cond2.b"]
+
+
 def attend_pairs(w: Weights, z: np.ndarray, of: np.ndarray, snvs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of a cell (its row of z) and a variant: the variant's embedding given the cell's state, and its attention
     (softmax over the cell's pairs)."""
-    pair = lambda e: np.concatenate([z[of], e], 1)
-    c = pair(w["snv"][snvs]) @ w["cond1.w"] + w["cond1.b"]
-    e = (c / (1 + np.exp(-c))) @ w["cond2.w"] + w["cond2.b"]
-    logit = (np.tanh(pair(e) @ w["attn1.w"] + w["attn1.b"]) @ w["attn2.w"] + w["attn2.b"])[:, 0]
+    e = embedded(w, z, of, snvs)
+    logit = (np.tanh(np.concatenate([z[of], e], 1) @ w["attn1.w"] + w["attn1.b"]) @ w["attn2.w"] + w["attn2.b"])[:, 0]
     top = np.full(len(z), -np.inf)
     np.maximum.at(top, of, logit)
     soft = np.exp(logit - top[of])
@@ -165,6 +183,26 @@ def reconstructed(cells: DataFrame, w: Weights) -> DataFrame:
     return cells.select("cell", "batch", "x", "snvs", "signs").mapInArrow(run, "cell string, shift array<double>, mean array<double>")
 
 
+def _flips(w: Weights, z: np.ndarray, batch: np.ndarray, sums: np.ndarray, own: np.ndarray, terms: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(which, cosine distance, distance): of the mean expressions of the cells `own` before and after their sum of embeddings
+    loses a term twice. All terms of a cell decode it once before."""
+    before = decode(w, z + shift(w, sums), batch)
+    length = np.maximum(np.linalg.norm(before, axis=1), 1e-6)
+    for at in range(0, len(own), FLIPS_AT_ONCE):
+        which = slice(at, at + FLIPS_AT_ONCE)
+        cell = own[which]
+        after = decode(w, z[cell] + shift(w, sums[cell] - 2 * terms[which]), batch[cell])
+        dots, norms = (after * before[cell]).sum(1), np.maximum(np.linalg.norm(after, axis=1), 1e-6)
+        yield which, 1 - dots / (norms * length[cell]), np.linalg.norm(after - before[cell], axis=1)
+
+
+def _chosen_pairs(of: np.ndarray, snvs: np.ndarray, flip: pa.Array) -> np.ndarray:
+    """Places of the pairs that flip, a list of variants for each cell, names."""
+    in_cell, wanted = _flat(flip)
+    width = max(snvs.max(initial=0), wanted.max(initial=0)) + 1
+    return np.flatnonzero(np.isin(of * width + snvs, in_cell * width + wanted))
+
+
 def counterfactuals(cells: DataFrame, w: Weights, chosen: DataFrame | None = None) -> DataFrame:
     """snv, cell, score_cosine_distance, score_euclidean: for each carrier, of either sign, the distance between mean
     expressions before and after the variant's sign is flipped. Attention does not depend on signs, so only one term of
@@ -180,128 +218,61 @@ def counterfactuals(cells: DataFrame, w: Weights, chosen: DataFrame | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _steps(batches):
             z, of, snvs, signs, e, a = _state(held.value, b)
-            batch = b["batch"].to_numpy(zero_copy_only=False)
             terms = (a * signs)[:, None] * e
-            sums = summed(terms, of, len(b))
-            before = decode(held.value, z + shift(held.value, sums), batch)
-            length = np.maximum(np.linalg.norm(before, axis=1), 1e-6)
-            in_cell, wanted = _flat(b["flip"])
-            width = max(snvs.max(initial=0), wanted.max(initial=0)) + 1
-            every = np.flatnonzero(np.isin(of * width + snvs, in_cell * width + wanted))
-            for at in range(0, len(every), FLIPS_AT_ONCE):
-                ix = every[at:at + FLIPS_AT_ONCE]
-                own = of[ix]
-                after = decode(held.value, z[own] + shift(held.value, sums[own] - 2 * terms[ix]), batch[own])
-                dots, norms = (after * before[own]).sum(1), np.maximum(np.linalg.norm(after, axis=1), 1e-6)
-                yield pa.RecordBatch.from_arrays([pa.array(snvs[ix], pa.int32()), b["cell"].take(pa.array(own)), pa.array(1 - dots / (norms * length[own])), pa.array(np.linalg.norm(after - before[own], axis=1))], names=["snv", "cell", "score_cosine_distance", "score_euclidean"])
+            every = _chosen_pairs(of, snvs, b["flip"])
+            for which, cosine, euclidean in _flips(held.value, z, b["batch"].to_numpy(zero_copy_only=False), summed(terms, of, len(b)), of[every], terms[every]):
+                ix = every[which]
+                yield pa.RecordBatch.from_arrays([pa.array(snvs[ix], pa.int32()), b["cell"].take(pa.array(of[ix])), pa.array(cosine), pa.array(euclidean)], names=["snv", "cell", "score_cosine_distance", "score_euclidean"])
 
     return rows.mapInArrow(run, "snv int, cell string, score_cosine_distance double, score_euclidean double")
 
 
-def _norm_back(dy: np.ndarray, x: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sd = np.sqrt(x.var(1, keepdims=True) + 1e-5)
-    n = (x - x.mean(1, keepdims=True)) / sd
-    d = dy * g
-    return (d - d.mean(1, keepdims=True) - n * (d * n).mean(1, keepdims=True)) / sd, (dy * n).sum(0), dy.sum(0)
-
-
-def backbone_gradient(w: Weights, x: np.ndarray, batch: np.ndarray, noise: np.ndarray, beta: float) -> tuple[float, Weights]:
-    """Summed loss over cells, and its gradient: squared error of log1p of the mean, and the latents' divergence."""
-    p1 = x @ w["enc1.w"] + w["enc1.b"]; h1 = np.maximum(_norm(p1, w["ln1.g"], w["ln1.b"]), 0)  # noqa: E702
-    p2 = h1 @ w["enc2.w"] + w["enc2.b"]; h2 = np.maximum(_norm(p2, w["ln2.g"], w["ln2.b"]), 0)  # noqa: E702
-    mu, lv = h2 @ w["mu.w"] + w["mu.b"], np.clip(h2 @ w["var.w"] + w["var.b"], -10, 10)
-    sd = np.exp(lv / 2); z = mu + sd * noise  # noqa: E702
-    zi = np.concatenate([z, w["batch"][batch]], 1)
-    h3 = np.maximum(zi @ w["dec1.w"] + w["dec1.b"], 0)
-    o = h3 @ w["dec2.w"] + w["dec2.b"]
-    err = o - np.log1p(x)
-    kl = 0.5 * (mu**2 + np.exp(lv) - lv - 1)
-    loss = float((err**2).mean(1).sum() + beta * np.maximum(kl, 0.5).sum())
-    g: Weights = {}
-    do = 2 * err / x.shape[1]
-    g["dec2.w"], g["dec2.b"] = h3.T @ do, do.sum(0)
-    d3 = (do @ w["dec2.w"].T) * (h3 > 0)
-    g["dec1.w"], g["dec1.b"] = zi.T @ d3, d3.sum(0)
-    dzi = d3 @ w["dec1.w"].T
-    k = mu.shape[1]
-    g["batch"] = np.zeros_like(w["batch"]); np.add.at(g["batch"], batch, dzi[:, k:])  # noqa: E702
-    on = (kl > 0.5) * beta
-    dmu, dlv = dzi[:, :k] + on * mu, dzi[:, :k] * noise * sd / 2 + on * 0.5 * (np.exp(lv) - 1)
-    g["mu.w"], g["mu.b"], g["var.w"], g["var.b"] = h2.T @ dmu, dmu.sum(0), h2.T @ dlv, dlv.sum(0)
-    d2, g["ln2.g"], g["ln2.b"] = _norm_back((dmu @ w["mu.w"].T + dlv @ w["var.w"].T) * (h2 > 0), p2, w["ln2.g"])
-    g["enc2.w"], g["enc2.b"] = h1.T @ d2, d2.sum(0)
-    d1, g["ln1.g"], g["ln1.b"] = _norm_back((d2 @ w["enc2.w"].T) * (h1 > 0), p1, w["ln1.g"])
-    g["enc1.w"], g["enc1.b"] = x.T @ d1, d1.sum(0)
-    return loss, g
-
-
-def head_gradient(w: Weights, b: pa.RecordBatch, margin: float, weight: float) -> tuple[float, Weights]:
-    """Of the variant heads with encoder and attention frozen: squared error, and a hinge that wants the loss under a
-    cell's own calls below that under another cell's calls of the same batch. Trains proj.w, proj.b."""
-    g = {}
-    zs, of, _, signs, e, a = _state(w, b)
-    sums, xs, bs = summed((a * signs)[:, None] * e, of, len(b)), np.log1p(_rows(b["x"])), b["batch"].to_numpy(zero_copy_only=False)
-    other = np.arange(len(bs))
-    for one_batch in np.unique(bs):
-        own = np.flatnonzero(bs == one_batch)
-        other[own] = np.roll(own, 1)  # every cell gets another one's calls where its batch has two
-
-    def one(total):
-        zi = np.concatenate([zs + shift(w, total), w["batch"][bs]], 1)
-        h = np.maximum(zi @ w["dec1.w"] + w["dec1.b"], 0)
-        err = h @ w["dec2.w"] + w["dec2.b"] - xs
-        d = ((2 * err / xs.shape[1]) @ w["dec2.w"].T * (h > 0)) @ w["dec1.w"].T
-        return (err**2).mean(1), d[:, :zs.shape[1]]
-
-    own, d_own = one(sums)
-    neg, d_neg = one(sums[other])
-    hinge = ((margin + own - neg) > 0) & (other != np.arange(len(bs)))
-    loss = float(own.sum() + weight * ((margin + own - neg) * hinge).sum())
-    d_own = d_own * (1 + weight * hinge)[:, None]
-    d_neg = -d_neg * (weight * hinge)[:, None]
-    g["proj.w"], g["proj.b"] = sums.T @ d_own + sums[other].T @ d_neg, (d_own + d_neg).sum(0)
-    return loss, g
-
-
-def trained(cells: DataFrame, w: Weights, epochs: int = 10, rate: float = 1e-3, heads: bool = False, warm: int = 20, beta: float = 1.0, margin: float = 0.05, weight: float = 0.05, clip: float = 5.0, seed: int = 42) -> tuple[Weights, list[float]]:
-    """Adam over full passes: every task sums the gradient of its cells, Spark adds them up, the driver takes the step.
-    What moves is of the model's size, once per partition and pass. Returns weights and the mean loss of each epoch."""
-    spark = cells.sparkSession
-    rows = cells.select("cell", "batch", "x", "snvs", "signs")
-    w = {k: v.copy() for k, v in w.items()}
-    names = ["proj.w", "proj.b"] if heads else [k for k in w if not k.startswith(("snv", "cond", "attn", "proj", "theta"))]
-    m, v, losses = {k: np.zeros_like(w[k]) for k in names}, {k: np.zeros_like(w[k]) for k in names}, []
-    for epoch in range(1, epochs + 1):
-        held = spark.sparkContext.broadcast(w)
-        ramp = min(1.0, epoch / max(1, warm))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, ramp=ramp, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            total: dict = {}
-            for b in _steps(batches):
-                if heads:
-                    loss, g = head_gradient(held.value, b, margin * ramp, weight * ramp)
-                else:
-                    x = np.array(b["x"].to_pylist(), float)
-                    size = held.value["mu.b"].shape[0]  # of every cell its own noise, however cells are batched
-                    noise = np.array([np.random.default_rng([seed, epoch, zlib.crc32(c.encode())]).normal(size=size) for c in b["cell"].to_pylist()])
-                    loss, g = backbone_gradient(held.value, x, b["batch"].to_numpy(), noise, beta * ramp)
-                for k, a in [("loss", np.array([loss, len(b)])), *g.items()]:
-                    total[k] = total.get(k, 0) + a
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([*total]), pa.array([a.ravel().tolist() for a in total.values()], pa.list_(pa.float64()))], names=["name", "g"])
-
-        parts = rows.mapInArrow(run, "name string, g array<double>").select("name", F.posexplode("g").alias("i", "v"))
-        sums = parts.groupBy("name", "i").agg(F.sum("v").alias("v")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("g"))
-        got = {r["name"]: np.array([e["v"] for e in r["g"]]) for r in sums.collect()}
-        held.unpersist()
-        if "loss" not in got:
-            return w, losses
-        loss, n = got["loss"]
-        losses.append(float(loss / n))
-        grads = {k: got[k].reshape(w[k].shape) / n for k in names}
-        size = np.sqrt(sum((g**2).sum() for g in grads.values()))
-        for k in names:
-            g = grads[k] * min(1.0, clip / (size + 1e-12))
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
-    return w, losses
+def states(cells: DataFrame, w: Weights) -> DataFrame:
+    """cell, batch, z, total (weighted, signed sum of embeddings), snvs, signs, attention: what is left of a cell when the encoder and the
+    attention have seen it."""
+    held = cells.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _steps(batches):
+            z, of, snvs, signs, e, a = _state(held.value, b)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(b)))])
+            lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, kind))
+            yield pa.RecordBatch.from_arrays(
+                [b["cell"], b["batch"], _lists(z), _lists(summed((a * signs)[:, None] * e, of, len(b))), lists(snvs, pa.int32()), lists(signs, pa.int32()), lists(a, pa.float64())],
+                names=["cell", "batch", "z", "total", "snvs", "signs", "attention"])
+
+    return cells.select("cell", "batch", "x", "snvs", "signs").mapInArrow(run, "cell string, batch int, z array<double>, total array<double>, snvs array<int>, signs array<int>, attention array<double>")
+
+
+def flipped(seen: DataFrame, w: Weights) -> DataFrame:
+    """snv, cell, score_cosine_distance, score_euclidean of states with `flip`, the variants to flip in each cell. Only the embeddings of these
+    are made again; neither encoder nor attention runs."""
+    held = seen.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _steps(batches):
+            z, sums = _rows(b["z"]), _rows(b["total"])
+            of, snvs = _flat(b["snvs"])
+            every = _chosen_pairs(of, snvs, b["flip"])
+            own, weight = of[every], (b["attention"].flatten().to_numpy() * _flat(b["signs"])[1])[every]
+            terms = weight[:, None] * embedded(held.value, z, own, snvs[every])
+            for which, cosine, euclidean in _flips(held.value, z, b["batch"].to_numpy(zero_copy_only=False), sums, own, terms):
+                yield pa.RecordBatch.from_arrays([pa.array(snvs[every[which]], pa.int32()), b["cell"].take(pa.array(own[which])), pa.array(cosine), pa.array(euclidean)], names=["snv", "cell", "score_cosine_distance", "score_euclidean"])
+
+    return seen.mapInArrow(run, "snv int, cell string, score_cosine_distance double, score_euclidean double")
+
+
+def by_celltype(cells: DataFrame, w: Weights, types: DataFrame, tables: Tables, top: int = 2000, more_than: int = 20, least_cells: int = 20) -> DataFrame:
+    """celltype, snv, attention, score_cosine_distance, score_euclidean, cells: in every cell type of enough cells the `top` variants by
+    mean attention there, of these the ones with more than a limit of calls of both kinds, scored over their carriers in the type. Cells go
+    through encoder and attention once; what is flipped is chosen by (cell type, variant) before. types: (cell, celltype); cells without one take no part."""
+    seen = tables.save(states(cells, w).join(types.filter("celltype is not null").select("cell", "celltype"), "cell"), "states")
+    pairs = seen.select("celltype", "cell", F.explode(F.arrays_zip("snvs", "signs", "attention")).alias("p"))
+    pairs = pairs.select("celltype", "cell", F.col("p.snvs").alias("snv"), F.col("p.signs").alias("call"), F.col("p.attention").alias("attention"))
+    valid = scoring.valid_in_celltype(pairs.select("cell", "snv", "call"), seen, more_than, least_cells)
+    mean = pairs.groupBy("celltype", "snv").agg(F.avg("attention").alias("attention"))
+    chosen = tables.save(scoring.top_then_valid(mean, valid, top).select("celltype", "snv", "attention"), "chosen")
+    flips = pairs.select("celltype", "cell", "snv").join(chosen, ["celltype", "snv"], "left_semi").groupBy("cell").agg(F.collect_list("snv").alias("flip"))
+    scored = flipped(seen.drop("celltype").join(flips, "cell"), w).join(seen.select("cell", "celltype"), "cell")
+    sums = scored.groupBy("celltype", "snv").agg(F.avg("score_cosine_distance").alias("score_cosine_distance"), F.avg("score_euclidean").alias("score_euclidean"), F.count("*").alias("cells"))
+    return chosen.join(sums, ["celltype", "snv"])

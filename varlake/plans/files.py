@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calls, reads as rd
 from ..sources import derived as d
-from ..sources import tables, text
+from ..sources import stages, tables, text
 from ..sources.folder import shared_folder
 from .register import query
 
@@ -85,23 +86,29 @@ def snk_npy(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("snk_ckpt", "select 'batch' name, 16 size union all select 'theta', 97")
-def snk_ckpt(spark, sf_dir):
-    from ..operators import model
-
-    path = shared_folder(spark, "weights")
-    model.weights_table(spark, model.seeded_weights(97, 120, batches=4)).write.parquet(path)
-    return spark.read.parquet(path).filter("name in ('batch', 'theta')").select("name", F.size("data").alias("size"))
-
-
-@query("snk_atomic", "select count(*) n from nation")
+@query("snk_atomic", """select 'failed' step, 0 n from customer having count(*) > 0 union all select 'rerun', count(*) from customer union all select 'same settings', count(*) from customer
+ union all select 'failed with other settings', count(*) from customer union all select 'other settings', count(*) from customer where c_custkey % 2 = 0""")
 def snk_atomic(spark, sf_dir):
-    """A finished table stays as it is when its stage runs again."""
-    path = shared_folder(spark, "stage")
-    rows = d.table(spark, sf_dir, "nation")
-    rows.write.mode("ignore").parquet(path)
-    rows.limit(1).write.mode("ignore").parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    """What can be read after each step: a write that fails half-way leaves what was there, and a rerun completes it."""
+    path, rows, seen = shared_folder(spark, "stage"), d.table(spark, sf_dir, "customer").select("c_custkey"), []
+
+    def step(name, settings, make):
+        try:
+            stages.run_stage(spark, path, settings, make)
+        except PySparkException:
+            pass
+        held = stages.read_stage(spark, path)["second"] if stages.manifest(spark, path) else rows.limit(0)
+        # written, for the next step may replace what can be read now
+        held.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n").write.parquet(f"{path}-seen/{len(seen)}")
+        seen.append(name)
+
+    half = {"first": rows, "second": rows.select(F.when(F.col("c_custkey") % 5 == 3, F.raise_error(F.lit("half-way"))).otherwise(F.col("c_custkey")).cast("long").alias("c_custkey"))}
+    step("failed", {"least": 1}, lambda: half)
+    step("rerun", {"least": 1}, lambda: {"first": rows, "second": rows})
+    step("same settings", {"least": 1}, lambda: {"first": rows.limit(1), "second": rows.limit(1)})
+    step("failed with other settings", {"least": 2}, lambda: half)
+    step("other settings", {"least": 2}, lambda: {"first": rows, "second": rows.filter("c_custkey % 2 = 0")})
+    return spark.read.parquet(*(f"{path}-seen/{i}" for i in range(len(seen))))
 
 
 @query("src_cb_sc", "select distinct concat('CB',cast(c_custkey%300 as varchar)) barcode from customer")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.statistics import negative_binomial_nll
 from ..operators import model as m
 from ..operators import scoring as s
+from ..operators import training as t
 from ..sources import derived as d
+from ..sources.folder import Tables, shared_folder
 from .register import query
 
 GENES = 97
@@ -18,12 +21,12 @@ def _code():
     return (chrom * 5 + F.regexp_extract("snv", ":100([0-9])", 1).cast("int")).cast("int")
 
 
-def _cells(spark, sf_dir):
+def _cells(spark, sf_dir, grown=False):
     """Cells with all genes in order and their non-zero calls."""
-    rna = d.rna(spark, sf_dir).select("cell", "batch", F.regexp_extract("gene", "([0-9]+)$", 1).cast("int").alias("g"), "cnt")
+    rna = d.rna(spark, sf_dir, grown).select("cell", "batch", F.regexp_extract("gene", "([0-9]+)$", 1).cast("int").alias("g"), "cnt")
     dense = rna.groupBy("cell", "batch").agg(F.map_from_entries(F.collect_list(F.struct("g", "cnt"))).alias("m"))
     x = F.transform(F.sequence(F.lit(0), F.lit(GENES - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    calls = d.matrix(spark, sf_dir).filter("call <> 0").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(_code().alias("snv"), "call"))).alias("c"))
+    calls = d.matrix(spark, sf_dir, grown).filter("call <> 0").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(_code().alias("snv"), "call"))).alias("c"))
     rows = dense.join(calls, "cell", "left").select("cell", F.substring("batch", 2, 9).cast("int").alias("batch"), x.alias("x"), F.coalesce("c", F.array().cast("array<struct<snv:int,call:int>>")).alias("c"))
     return rows.select("cell", "batch", "x", F.col("c.snv").alias("snvs"), F.col("c.call").alias("signs"))
 
@@ -78,44 +81,105 @@ def ml_scoreall(spark, sf_dir):
 @query("ml_bycelltype")
 def ml_bycelltype(spark, sf_dir):
     """In every cell type at once: the variants with the most attention there, of these the ones with enough calls of both
-    kinds, and only their scores."""
-    cells, w = _cells(spark, sf_dir), _weights()
-    types = d.cells(spark, sf_dir).select("cell", "celltype")
-    seen = m.attention(cells, w).join(types, "cell").groupBy("celltype", "snv").agg(F.avg("attention").alias("attention"))
-    valid = s.valid_in_celltype(d.matrix(spark, sf_dir).withColumn("snv", _code()), types, 4)
-    chosen = s.top_then_valid(seen, valid, QUERY_TOP).select("celltype", "snv")
-    pairs = m.counterfactuals(cells, w, chosen).join(types, "cell").join(chosen, ["celltype", "snv"], "left_semi")
-    return pairs.groupBy("celltype", "snv").agg(F.avg("score_euclidean").alias("score_euclidean"), F.avg("score_cosine_distance").alias("score_cosine_distance"), F.count("*").alias("cells"))
+    kinds, and only their scores. The result is written: its tables go with the work."""
+    with Tables(spark, "bycelltype") as tables:
+        scored = m.by_celltype(_cells(spark, sf_dir, grown=True), _weights(), d.cells(spark, sf_dir, grown=True), tables, QUERY_TOP, 4)
+        path = shared_folder(spark, "bycelltype")
+        scored.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("ml_pretrain")
 def ml_pretrain(spark, sf_dir):
-    _, losses = m.trained(_cells(spark, sf_dir), _weights(), epochs=5)
-    return spark.createDataFrame([*enumerate(losses, 1)], "epoch int, loss double")
+    """The losses of a few epochs over all cells, with every part of the objective."""
+    _, history = t.train_backbone(_cells(spark, sf_dir, grown=True), _weights(), epochs=5, likelihood=True, warm=2, reverse=0.1, reverse_warm=2)
+    return spark.createDataFrame([(r["epoch"], r["split"], r["part"], r["value"]) for r in history], "epoch int, split string, part string, value double")
 
 
 @query("ml_train")
 def ml_train(spark, sf_dir):
-    _, losses = m.trained(_cells(spark, sf_dir), _weights(), epochs=5, heads=True)
-    return spark.createDataFrame([*enumerate(losses, 1)], "epoch int, loss double")
+    """The losses of a few epochs over all cells; the rank term from the third on."""
+    _, history = t.train_effect(_cells(spark, sf_dir, grown=True), _weights(), epochs=5, rank=t.Rank(first=3, warm=2))
+    return spark.createDataFrame([(r["epoch"], r["part"], r["value"]) for r in history], "epoch int, part string, value double")
+
+
+_NULL_LOSS = f"""with {d.GROWN_RNA}, genes as (select distinct gene from rna), n as (select count(*) n from totals), means as (select gene, sum(cnt)/max(n.n) mean from rna, n group by gene),
+ full_rows as (select c.cell, c.batch, g.gene, g.mean, coalesce(r.cnt,0.0) x from totals c cross join means g left join rna r on r.cell=c.cell and r.gene=g.gene),
+ nll as (select cell, batch, -sum(lgamma(1.0+x)-lgamma(1.0)-lgamma(x+1.0)+ln(1.0+0.000001)-ln(1.0+mean+0.000001)+x*(ln(mean+0.000001)-ln(1.0+mean+0.000001))) nll from full_rows group by all)
+select 'recon' part, round(avg(nll),6) value, count(*) cells from nll"""
+
+
+@query("agg_loss", _NULL_LOSS)
+def agg_loss(spark, sf_dir):
+    """The reconstruction loss of a model that gives every cell the genes' means, from losses per batch as steps report them."""
+    rna = d.rna(spark, sf_dir, grown=True)
+    n = rna.agg(F.countDistinct("cell").alias("n"))
+    means = rna.groupBy("gene").agg(F.sum("cnt").alias("s")).join(n).select("gene", (F.col("s") / F.col("n")).alias("mean"))
+    loss = lambda x: negative_binomial_nll(x, F.col("mean"), F.lit(1.0))
+    # a count that is not there is 0: what it costs is added for all genes, and taken away where there is one
+    zero = means.agg(F.sum(loss(F.lit(0.0))).alias("zero"))
+    cells = rna.join(means, "gene").groupBy("cell", "batch").agg(F.sum(loss(F.col("cnt")) - loss(F.lit(0.0))).alias("more")).join(zero)
+    steps = cells.groupBy("batch").agg(F.avg(F.col("zero") + F.col("more")).alias("value"), F.count("*").alias("cells")).withColumn("part", F.lit("recon"))
+    return t.weighted_losses(steps, ["part"]).select("part", F.round("value", 6).alias("value"), "cells")
+
+
+_BLOCK = 64
+_NAMES = ("batch", "enc1.w", "ln1.g", "mu.b", "dec1.w", "theta", "snv", "cond1.w")
+
+
+def _tensors(spark, sf_dir):
+    """A table of weights: blocks of embeddings, each a tensor, with the names of a model's parts in turn."""
+    rows = d.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / _BLOCK).cast("int").alias("block"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("block") % len(_NAMES) + 1).cast("int")), F.when(F.col("block") > 0, F.concat(F.lit("."), F.col("block").cast("string"))).otherwise(""))
+    return blocks.select(name.alias("name"), F.array(F.size("rows"), F.size(F.col("rows")[0]["v"])).alias("shape"), F.flatten(F.col("rows.v")).alias("data"))
+
+
+_TENSORS = f"""e as (select cast(vec_id // {_BLOCK} as int) block, vec_id, len(embedding) width, list_sum(list_transform(embedding, lambda x: cast(x as double))) total from embeddings),
+ tensors as (select concat(case block % {len(_NAMES)} {' '.join(f"when {i} then '{n}'" for i, n in enumerate(_NAMES))} end, case when block > 0 then concat('.', cast(block as varchar)) else '' end) name,
+  block, cast(count(*) as int) height, max(width) width, sum(total) total from e group by block)"""
+
+
+def _total():
+    return F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
 
 
-@query("jn_weights", "select 'dec2.b' name, 'backbone' origin union all select 'theta', 'model' union all select 'batch', 'model'")
+@query("jn_weights", f"with {_TENSORS} select name, case when name <> 'batch' and block % 3 <> 0 then 'backbone' else 'model' end origin, case when name <> 'batch' and block % 3 <> 0 then round(total, 6) else 0.0 end total from tensors")
 def jn_weights(spark, sf_dir):
-    """Names and shapes that agree are taken; a batch embedding never, another shape neither."""
-    rows = lambda *r: spark.createDataFrame(r, "name string, shape array<int>, data array<double>")
-    out = m.transferred(rows(("module.dec2.b", [2], [5.0, 6.0]), ("theta", [3], [1.0, 1.0, 1.0]), ("batch", [1, 2], [9.0, 9.0])), rows(("dec2.b", [2], [0.0, 0.0]), ("theta", [2], [0.0, 0.0]), ("batch", [1, 2], [0.0, 0.0])))
-    return out.select("name", F.when(F.get("data", F.lit(0)) > 0, "backbone").otherwise("model").alias("origin"))
+    """Names and shapes that agree are taken; a batch embedding never, another shape neither: every third tensor of the model has a row
+    more. The model's own values are zeros."""
+    backbone = _tensors(spark, sf_dir).withColumn("name", F.concat(F.lit("module."), "name"))
+    other = F.regexp_extract("name", "([0-9]*)$", 1)
+    more = F.coalesce(F.nullif(other, F.lit("")).cast("int"), F.lit(0)) % 3 == 0
+    model = _tensors(spark, sf_dir).select("name", F.when(more & (F.col("name") != "batch"), F.array(F.col("shape")[0] + 1, F.col("shape")[1])).otherwise(F.col("shape")).alias("shape"), F.transform("data", lambda _: F.lit(0.0)).alias("data"))
+    out = m.transferred(backbone, model)
+    return out.select("name", F.when(F.exists("data", lambda x: x != 0), "backbone").otherwise("model").alias("origin"), _total())
 
 
-@query("ml_freeze", "select * from (values ('enc1.w', false), ('mu.b', false), ('dec1.w', true), ('snv', true)) t(name, trained)")
+@query("ml_freeze", f"with {_TENSORS} select name, block % {len(_NAMES)} in (0, 4, 5, 6, 7) trained, block % {len(_NAMES)} >= 6 heads_alone from tensors")
 def ml_freeze(spark, sf_dir):
-    return m.trainable(m.weights_table(spark, _weights())).filter(F.col("name").isin("enc1.w", "mu.b", "dec1.w", "snv"))
+    """With the encoder frozen, and with the whole backbone frozen."""
+    tensors = _tensors(spark, sf_dir)
+    return m.trainable(tensors).join(m.trainable(tensors, "backbone").withColumnRenamed("trained", "heads_alone"), "name")
 
 
-@query("src_ckpt", "select 'snv' name, 2 dims, 960 size")
+@query("src_ckpt", f"with {_TENSORS} select name, height, width, round(total, 6) total from tensors")
 def src_ckpt(spark, sf_dir):
-    return m.weights_table(spark, _weights()).filter("name = 'snv'").select("name", F.size("shape").alias("dims"), F.size("data").alias("size"))
+    """Weights that were written with a prefix, and read as arrays."""
+    path = shared_folder(spark, "weights")
+    _tensors(spark, sf_dir).withColumn("name", F.concat(F.lit("module."), "name")).write.parquet(path)
+    read = m.checkpoint(spark, path)
+    return read.select("name", F.col("shape")[0].alias("height"), F.col("shape")[1].alias("width"), _total())
+
+
+@query("snk_ckpt", f"with {_TENSORS} select name, height * width size, round(total, 6) total from tensors")
+def snk_ckpt(spark, sf_dir):
+    """Written twice: the second replaces the first as a whole."""
+    path = shared_folder(spark, "weights")
+    tensors = _tensors(spark, sf_dir)
+    m.save_checkpoint(tensors.limit(1), path)
+    m.save_checkpoint(tensors, path)
+    return m.checkpoint(spark, path).select("name", F.size("data").alias("size"), _total())
 
 
 @query("stream_pileup", f"with {d.COUNTS} select sample, barcode, chrom, pos, alt_reads, ref_reads, alt_umis, ref_umis from counts")

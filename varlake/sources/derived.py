@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def all_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads at sites, before any filter. A few have no barcode or no base; flags mark duplicates and secondary ones."""
+def all_reads(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
+    """Reads at sites, before any filter; flags mark duplicates and secondary ones. Barcodes are 50 a sample, or, grown, one for each customer
+    with orders, so that cells grow with the tables."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     c = F.col
     part = c("l_partkey") % 24
     return rows.select(
         (c("l_orderkey") * 8 + c("l_linenumber")).alias("read_id"), F.concat(F.lit("S"), (c("c_nationkey") % 4).cast("string")).alias("sample"),
-        F.concat(F.lit("CB"), F.lpad((c("o_custkey") % 50).cast("string"), 4, "0")).alias("barcode"), F.concat(F.lit("U"), (c("l_suppkey") % 7).cast("string")).alias("umi"),
+        F.concat(F.lit("CB"), F.lpad((c("o_custkey") if grown else c("o_custkey") % 50).cast("string"), 12 if grown else 4, "0")).alias("barcode"), F.concat(F.lit("U"), (c("l_suppkey") % 7).cast("string")).alias("umi"),
         F.when(part < 22, F.concat(F.lit("chr"), (part + 1).cast("string"))).when(part == 22, "chrX").otherwise("chrM").alias("chrom"),
         (F.lit(1000) + c("l_partkey") % 5).cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"),
         F.when(c("l_returnflag") == "R", "G").when(c("l_returnflag") == "N", "A").when(c("l_linestatus") == "O", "A").otherwise("T").alias("base"),
@@ -40,6 +41,7 @@ READS = """reads as (select l_orderkey*8+l_linenumber as read_id, concat('S', ca
   cast(l_quantity as int) as base_q, cast(round(l_discount*600) as int) as map_q,
   case l_linenumber when 7 then 1024 when 6 then 256 when 5 then 16 else 0 end as flag
   from lineitem join orders on o_orderkey=l_orderkey join customer on c_custkey=o_custkey)"""
+GROWN = READS.replace("lpad(cast(o_custkey%50 as varchar),4,'0')", "lpad(cast(o_custkey as varchar),12,'0')")
 COUNTS = READS + """, counts as (select * from (select sample,barcode,chrom,pos,ref,alt,
   count(case when base=alt then 1 end) alt_reads, count(case when base=ref then 1 end) ref_reads,
   count(distinct case when base=alt then umi end) alt_umis, count(distinct case when base=ref then umi end) ref_umis
@@ -69,22 +71,23 @@ tog as (select snv, case when starts_with(snv,'chr') then substr(snv,4) else con
 hits as (select snv, case when a.key is not null then a.key else b.key end matched_key, case when a.key is not null then a.af else b.af end af
   from tog left join lookup a on a.key=snv left join lookup b on b.key=other),
 details as (select *, matched_key is not null found, af is not null as "numeric", coalesce(af>0.001,false) removed from hits)"""
-RNA = READS + """, rna as (select concat(sample,'_',barcode) cell, sample batch, concat(case when l_partkey%97<3 then 'MT-G' else 'G' end, cast(l_partkey%97 as varchar)) gene, cast(sum(l_linenumber) as double) cnt
+_RNA = """, rna as (select concat(sample,'_',barcode) cell, sample batch, concat(case when l_partkey%97<3 then 'MT-G' else 'G' end, cast(l_partkey%97 as varchar)) gene, cast(sum(l_linenumber) as double) cnt
   from reads join lineitem on read_id=l_orderkey*8+l_linenumber group by all),
 totals as (select cell, batch, sum(cnt) total, sum(case when gene like 'MT-%' then cnt else 0.0 end) mt, count(case when cnt>0 then 1 end) genes from rna group by all)"""
+RNA, GROWN_RNA = READS + _RNA, GROWN + _RNA
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rd.in_unit(rd.pileup(rd.kept_by_quality(all_reads(spark, sf_dir))))
+def counts(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
+    return rd.in_unit(rd.pileup(rd.kept_by_quality(all_reads(spark, sf_dir, grown))))
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.call_matrix(counts(spark, sf_dir), PRIOR, P_ALT, ERROR, THRESHOLD)
+def matrix(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
+    return calls.call_matrix(counts(spark, sf_dir, grown), PRIOR, P_ALT, ERROR, THRESHOLD)
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = all_reads(spark, sf_dir).select("sample", "barcode").distinct()
-    return rows.select("sample", "barcode", F.concat("sample", F.lit("_"), "barcode").alias("cell"), F.concat(F.lit("T"), (F.substring("barcode", 3, 4).cast("int") % 3).cast("string")).alias("celltype"))
+def cells(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
+    rows = all_reads(spark, sf_dir, grown).select("sample", "barcode").distinct()
+    return rows.select("sample", "barcode", F.concat("sample", F.lit("_"), "barcode").alias("cell"), F.concat(F.lit("T"), (F.substring("barcode", 3, 12).cast("int") % 3).cast("string")).alias("celltype"))
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +134,10 @@ def snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("snv")).union(bare).distinct()
 
 
-def rna(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rna(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_id"), "l_partkey", "l_linenumber")
     g = F.col("l_partkey") % 97
-    rows = all_reads(spark, sf_dir).join(lines, "read_id")
+    rows = all_reads(spark, sf_dir, grown).join(lines, "read_id")
     return rows.groupBy(F.concat("sample", F.lit("_"), "barcode").alias("cell"), F.col("sample").alias("batch"), F.concat(F.when(g < 3, "MT-G").otherwise("G"), g.cast("string")).alias("gene")).agg(F.sum("l_linenumber").cast("double").alias("cnt"))
 
 

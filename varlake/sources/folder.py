@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,29 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="varlake-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Tables of one piece of work in the shared folder. save() cuts the lineage; all of them go when the work is done."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base, self.count = spark, shared_folder(spark, label), 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.base)
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(f"{self.base}/{name}")
