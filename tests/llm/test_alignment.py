@@ -45,15 +45,17 @@ def brute(rows, sides):
             a, b = [], []
         ends_a, ends_b = ends(a), ends(b)
         both = sorted(set(ends_a) & set(ends_b))
-        groups = ";".join(
-            ",".join(str(i) for (i, _), e in zip(a, ends_a) if lo < e <= hi) + "|" + ",".join(str(i) for (i, _), e in zip(b, ends_b) if lo < e <= hi)
-            for lo, hi in zip([0, *both], both))
+        groups, i, j = [], 0, 0
+        for end in both:
+            x, y = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
+            groups.append(",".join(str(t) for t, _ in a[i:x]) + "|" + ",".join(str(t) for t, _ in b[j:y]))
+            i, j = x, y
         at_b = {}
         for (j, _), f in zip(b, ends_b):
             at_b.setdefault(f, []).append(j)
         links = [(i, j) for (i, _), e in zip(a, ends_a) for j in at_b.get(e, [])]
         count.update(links)
-        done.append((doc, len(a), len(b), len(both), links, hashlib.sha256(groups.encode()).hexdigest() if a else ""))
+        done.append((doc, len(a), len(b), len(both), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
     most = {}
     for (_, j), n in count.items():
         most[j] = max(most.get(j, 0), n)
@@ -95,19 +97,46 @@ def test_empty_table(spark):
 def test_links_stay_within_the_bound(sides):
     own = alignment.Aligner(A, B)
     assert 30_000 < own.link_bound() < 700_000
-    for a, b in own.encoded([t for t in TEXTS if t]):
-        for i, j in own.closings(a, b):
-            x, y = own.bytes_a[a[i - 1]], own.bytes_b[b[j - 1]]
-            assert x.endswith(y) or y.endswith(x)
+    for text in own.aligned([t for t in TEXTS if t]):
+        for stretch in text:
+            for a, b in stretch.groups():
+                x, y = own.bytes_a[a[-1]], own.bytes_b[b[-1]]
+                assert x.endswith(y) or y.endswith(x)
     assert len(own.memo) and own.residuals[0] == (False, b"")
 
 
 def test_transitions_do_not_depend_on_the_memo(monkeypatch):
-    text = ["Hello  wörld, many a word's tokens 日本 don't line up"]
+    text = "Hello  wörld, many a word's tokens 日本 don't line up"
     own = alignment.Aligner(A, B)
-    (a, b), = own.encoded(text)
-    whole = own.closings(a, b)
+    a, b = own.a.encode(" " + text, add_special_tokens=False).ids, own.b.encode(text)
+    whole = own.transduced(a, b)
     steps = len(own.memo)
-    assert own.closings(a, b) == whole and len(own.memo) == steps
+    assert own.transduced(a, b) == whole and len(own.memo) == steps
     monkeypatch.setattr(alignment, "MEMO_MOST", 2)
-    assert alignment.Aligner(A, B).closings(a, b) == whole
+    assert alignment.Aligner(A, B).transduced(a, b) == whole
+
+
+def test_stretches_join_to_whole_texts(sides):
+    """Cut into stretches, texts of all kinds of white space and signs have the ids that they have as a whole."""
+    rng = random.Random(8)
+    chars = ["a", "b", "word", "the", "'s", "'", "ll", "1", "23", ".", "…", "é", "日本", "🙂", "\u0301", "ß"] * 2 + [" "] * 14 + ["\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\x00"]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 50))) for _ in range(4000)]
+    own = alignment.Aligner(A, B)
+    for text, found in zip(texts, own.aligned(texts)):
+        a, b = (side(text) for side in sides)
+        if all(b"".join(x for _, x in side) == (" " + text).encode() for side in (a, b)):
+            assert [i for s in found for g, _ in s.groups() for i in g] == [i for i, _ in a]
+            assert [j for s in found for _, g in s.groups() for j in g] == [j for j, _ in b]
+        else:
+            assert found == []
+    assert any(len(found) > 3 for found in own.aligned(texts))
+
+
+def test_memo_of_stretches_is_bounded(monkeypatch, spark, sides):
+    monkeypatch.setattr(alignment, "STRETCHES_MOST", 3)
+    own = alignment.Aligner(A, B)
+    texts = ["many words that are not the same", "many words that are", None, "x" * 500, "many"] * 40
+    whole = [[s.said for s in found] for found in alignment.Aligner(A, B).aligned(texts[:5])]
+    for _ in range(2):
+        assert [[s.said for s in found] for found in own.aligned(texts)] == whole * 40
+    assert not any(len(s) > alignment.LONG for s in own.known)

@@ -13,6 +13,11 @@ suffixes as bytes, about 600,000 pairs for the two vocabularies of the query (`l
 tokenised once, its groups' digest and its link counts are written, and the corpus-wide count of every pair, a table within
 that bound, goes to the second pass as a broadcast.
 
+Where a space follows something that is not white space, both sides have a cut: if no token holds such a place, none can lie across it,
+and what is on either side is tokenised alike on its own. There the residual is empty, so a text is a sequence of stretches, each from the empty
+residual back to it, and stretches are memoised whole: the transducer runs over new ones only. With vocabularies that do hold such a place,
+a text is one stretch.
+
 Tokenizers are files given by path, A for the tokenizers library (byte-level BPE), B for sentencepiece. Special tokens'
 strings inside texts are plain text.
 
@@ -25,7 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +43,24 @@ from .bpe import byte_symbols
 from .shared import Scratch, table
 
 BATCH = 64  # texts tokenised at a time
-MEMO_MOST = 2_000_000
+MEMO_MOST, STRETCHES_MOST = 2_000_000, 250_000
+LONG = 64  # longer stretches are not memoised
 SHIFT = 32  # a pair of ids is a * 2**SHIFT + b
 PIECE_SPACE = "▁"
 
 
+class Stretch(NamedTuple):
+    """Of a part of a text: how many tokens A and B have, the groups of their ids as `a1,a2|b1;a3|b2,b3`, and the links."""
+
+    n_a: int
+    n_b: int
+    said: str
+    links: list[int]
+
+    def groups(self) -> list[tuple[list[int], list[int]]]:
+        return [tuple([*map(int, side.split(","))] for side in group.split("|")) for group in self.said.split(";")]
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
@@ -62,6 +82,9 @@ class Aligner:
         self.states = {(False, b""): 0}
         self.b_reads = [False]  # by state: whose turn it is
         self.memo: dict[tuple[int, int], int] = {}
+        self.known: dict[str, Stretch | None] = {}
+        apart = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in self.bytes_a) and not any(re.search(rb"[^ ] ", x) for x in self.bytes_b)
+        self.cut = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*" if apart else ".+", re.S).findall
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -75,14 +98,28 @@ class Aligner:
         suffixes = lambda tokens, other, first: sum(n * other.get(t[i:], 0) for t, n in tokens.items() for i in range(first, len(t)))
         return int(suffixes(count_a, count_b, 0) + suffixes(count_b, count_a, 1))
 
-    def encoded(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B for each text; none where the bytes of either are not those of a space and the text."""
+    def aligned(self, texts: list[str | None]) -> Iterator[list[Stretch]]:
+        """The stretches of each text after a space; none where the bytes of either side are not those of a space and the text."""
         for at in range(0, len(texts), BATCH):
-            some = [t or "" for t in texts[at:at + BATCH]]
-            for text, a, b in zip(some, self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                whole, a = (" " + text).encode(), a.ids
-                kept = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-                yield (a, b) if kept else ([], [])
+            some = [self.cut(" " + t) if t else [] for t in texts[at:at + BATCH]]
+            new = set().union(*some).difference(self.known)
+            if len(self.known) + len(new) > STRETCHES_MOST:
+                self.known.clear()
+                new = set().union(*some)
+            once = self.tokenised(list(new))
+            yield from ([] if None in (out := [*map(once.__getitem__, cut)]) else out for cut in some)
+            for stretch in new:
+                if len(stretch) > LONG:
+                    del self.known[stretch]
+
+    def tokenised(self, stretches: list[str]) -> dict[str, Stretch | None]:
+        """All known stretches with new ones, which begin with a space: that of B's own prefix is left to it."""
+        ids_b = self.b.encode([s[1:] for s in stretches], num_threads=1)
+        for stretch, a, b in zip(stretches, self.a.encode_batch_fast(stretches, add_special_tokens=False), ids_b):
+            whole, a, b = stretch.encode(), a.ids, b or [self.b.piece_to_id(PIECE_SPACE)]
+            kept = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            self.known[stretch] = self.transduced(a, b) if kept else None
+        return self.known
 
     def _learn(self, state: int, token: int) -> int:
         """The state after the side whose turn it is has read the token."""
@@ -104,9 +141,8 @@ class Aligner:
         self.memo[state, token] = self.states[after]
         return self.states[after]
 
-    def closings(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """For each group, how many tokens of A and of B have been read when it closes."""
-        out, state, i, j, known, b_reads = [], 0, 0, 0, self.memo.get, self.b_reads
+    def transduced(self, a: list[int], b: list[int]) -> Stretch:
+        said, links, state, i, j, at_a, at_b, known, b_reads, text = [], [], 0, 0, 0, 0, 0, self.memo.get, self.b_reads, self.text
         while i < len(a) or j < len(b):
             if b_reads[state]:
                 token = b[j]
@@ -116,21 +152,13 @@ class Aligner:
                 i += 1
             after = known((state, token))
             state = self._learn(state, token) if after is None else after
-            if not state:
-                out.append((i, j))
-        return out
-
-    def digest(self, a: list[int], b: list[int], closings: list[tuple[int, int]]) -> str:
-        """SHA-256 of `a1,a2|b1;a3|b2,b3`; empty without tokens."""
-        if not closings:
-            return ""
-        text, parts, i, j = self.text, [], 0, 0
-        for x, y in closings:
-            left = text[a[i]] if x == i + 1 else ",".join([text[t] for t in a[i:x]])
-            right = text[b[j]] if y == j + 1 else ",".join([text[t] for t in b[j:y]])
-            parts.append(f"{left}|{right}")
-            i, j = x, y
-        return hashlib.sha256(";".join(parts).encode()).hexdigest()
+            if not state:  # a group closes
+                left = text[a[at_a]] if i == at_a + 1 else ",".join([text[t] for t in a[at_a:i]])
+                right = text[b[at_b]] if j == at_b + 1 else ",".join([text[t] for t in b[at_b:j]])
+                said.append(f"{left}|{right}")
+                links.append((a[i - 1] << SHIFT) + b[j - 1])
+                at_a, at_b = i, j
+        return Stretch(i, j, ";".join(said), links)
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -153,10 +181,7 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
         for batch in batches:
-            out = []
-            for a, b in own.encoded(batch["text"].to_pylist()):
-                ends = own.closings(a, b)
-                out.append([{"a": a[i:x], "b": b[j:y]} for (i, j), (x, y) in zip([(0, 0), *ends], ends)])
+            out = [[{"a": a, "b": b} for s in text for a, b in s.groups()] for text in own.aligned(batch["text"].to_pylist())]
             kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, kind)], names=["id", "groups"])
 
@@ -171,13 +196,11 @@ def linked_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
         own = aligner(path_a, path_b)
         for batch in batches:
             numbers, digests, pairs, times = [], [], [], []
-            for a, b in own.encoded(batch["text"].to_pylist()):
-                ends = own.closings(a, b)
-                at = np.array(ends, np.int64).reshape(-1, 2) - 1
-                codes = (np.array(a, np.int64)[at[:, 0]] << SHIFT) + np.array(b, np.int64)[at[:, 1]]
-                codes, n = np.unique(codes, return_counts=True)
-                numbers.append((len(a), len(b), len(ends), int(n.sum())))
-                digests.append(own.digest(a, b, ends))
+            for text in own.aligned(batch["text"].to_pylist()):
+                codes, n = np.unique(np.array([link for s in text for link in s.links], np.int64), return_counts=True)
+                links = int(n.sum())
+                numbers.append((sum(s.n_a for s in text), sum(s.n_b for s in text), links, links))  # a link for each group
+                digests.append(hashlib.sha256(";".join([s.said for s in text]).encode()).hexdigest() if text else "")
                 pairs.append(codes)
                 times.append(n)
             columns = [pa.array(c, pa.int64()) for c in zip(*numbers)] or [pa.array([], pa.int64())] * 4
