@@ -213,35 +213,90 @@ def test_depth_counts_reads_that_later_filters_leave_out(spark):
     assert len(sites(13)) == 2 and len(sites(10)) == 1
 
 
-def test_doublets_equal_brute_force(spark):
-    from varlake.operators import expression
-
+def doublet_counts():
     rng = np.random.default_rng(5)
-    base = {"a": rng.poisson([9, 9, 9, 1, 0, 0, 1, 0], (25, 8)), "b": rng.poisson([0, 1, 0, 1, 9, 9, 9, 0], (25, 8))}
+    base = {"a": rng.poisson([9, 9, 9, 1, 0, 0, 1, 0], (40, 8)), "b": rng.poisson([0, 1, 0, 1, 9, 9, 9, 0], (40, 8))}
     counts = {f"a{i:02d}": r for i, r in enumerate(base["a"])} | {f"b{i:02d}": r for i, r in enumerate(base["b"])}
-    counts |= {f"d{i}": base["a"][i] + base["b"][i] for i in range(3)}  # planted doublets
+    counts |= {f"d{i}": base["a"][i] + base["b"][i] for i in range(4)}  # planted doublets
     counts["zero"] = np.zeros(8, int)
-    rows = [("S", c, f"g{g}", float(v)) for c, r in counts.items() for g, v in enumerate(r)] + [(None, "lone", "g0", 2.0), ("T", "one", "g1", 1.0), ("T", "two", "g1", 1.0)]
+    return counts, [("S", c, f"g{g}", float(v)) for c, r in counts.items() for g, v in enumerate(r)] + [(None, "lone", "g0", 2.0), ("T", "one", "g1", 1.0), ("T", "two", "g1", 1.0)]
+
+
+def test_doublets_equal_brute_force(spark):
+    """With as many axes as genes distances are exact, so are the shares of simulated neighbours, up to ties."""
+    from varlake.operators import expression
+    from varlake.sources.folder import Tables
+
+    counts, rows = doublet_counts()
     rna = spark.createDataFrame(rows, "batch string, cell string, gene string, cnt double")
     made = expression.simulated_doublets(rna.select("batch", "cell").distinct()).filter("batch = 'S'").collect()
     sims: dict = {}
     for r in made:
         sims[r["id"]] = sims.get(r["id"], 0) + counts[r["cell"]]
     assert len(sims) == 2 * len(counts)
-    points = [(c, False, np.log1p(r)) for c, r in counts.items()] + [(c, True, np.log1p(r)) for c, r in sims.items()]
-    want = {}
+    scaled = lambda r: np.log1p(r * 10_000 / max(1, r.sum()))
+    points = [(c, False, scaled(r)) for c, r in counts.items()] + [(c, True, scaled(r)) for c, r in sims.items()]
+    low, high = {}, {}
     for c, r in counts.items():
-        near = sorted((round(((np.log1p(r) - v) ** 2).sum(), 9), n, m) for n, m, v in points if m or n != c)[:15]
-        want[c] = sum(m for *_, m in near) / 15
-    for elements in (4_000_000, 8):  # one block, and several
-        got = {(r["batch"], r["cell"]): r for r in expression.doublet_scores(rna, elements=elements).collect()}
-        assert {c: got["S", c]["simulated"] for c in counts} == want
-        assert (None, "lone") in got and ("T", "two") in got and len(got) == len(counts) + 3
-    assert min(want[f"d{i}"] for i in range(3)) > np.mean([*want.values()])
+        near = sorted((round(((scaled(r) - v) ** 2).sum(), 6), m) for n, m, v in points if m or n != c)
+        sure = [m for d, m in near if d < near[14][0]]
+        tied = [m for d, m in near if d == near[14][0]]
+        left = 15 - len(sure)
+        low[c] = (sum(sure) + max(0, left - tied.count(False))) / 15
+        high[c] = (sum(sure) + min(left, tied.count(True))) / 15
+    with Tables(spark, "doublets") as tables:
+        got = {(r["batch"], r["cell"]): r for r in expression.doublet_scores(rna, tables, threshold=0.25).collect()}
+    share = {c: got["S", c]["simulated"] for c in counts}
+    assert all(low[c] - 1e-9 <= share[c] <= high[c] + 1e-9 for c in counts)
+    # in a group, all neighbours are of the group: of three cells of T and none, few
+    assert (None, "lone") in got and ("T", "two") in got and len(got) == len(counts) + 3
     scores = spark.createDataFrame([("lone", None, True), ("one", "T", True), ("two", "T", False)], "cell string, batch string, doublet boolean")
     left = {r["cell"] for r in expression.without_doublets(rna, scores).select("cell").distinct().collect()}
     assert left == {*counts, "two"}
-    assert expression.doublet_scores(rna.limit(0)).count() == 0
+    with Tables(spark, "doublets") as tables:
+        assert expression.doublet_scores(rna.limit(0), tables).count() == 0
+
+
+def test_planted_doublets_are_found(spark):
+    """Two kinds of cells in many genes and two batches, and doublets of both kinds; the threshold is the valley's."""
+    from varlake.operators import expression
+    from varlake.sources.folder import Tables
+
+    rng = np.random.default_rng(8)
+    kinds = [np.where(rng.random(60) < 0.5, 8.0, 0.3) for _ in range(2)]
+    rows, planted = [], set()
+    for batch in "ST":
+        cells = [(f"{batch}{k}{i}", rng.poisson(kinds[k])) for k in (0, 1) for i in range(120)]
+        for i in range(10):
+            planted.add(f"{batch}d{i}")
+            cells.append((f"{batch}d{i}", rng.poisson(kinds[0]) + rng.poisson(kinds[1])))
+        rows += [(batch, c, f"g{g}", float(v)) for c, r in cells for g, v in enumerate(r) if v]
+    rna = spark.createDataFrame(rows, "batch string, cell string, gene string, cnt double")
+    with Tables(spark, "planted") as tables:
+        got = expression.doublet_scores(rna, tables, components=8, k=30).collect()
+    called = {r["cell"] for r in got if r["doublet"]}
+    assert planted <= called and len(called - planted) <= 25 and len(got) == 500
+
+
+def test_principal_axes(spark):
+    from varlake.operators import expression
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 20)) * 3 + rng.normal(size=(300, 20)) * 0.1
+    x[rng.random(x.shape) < 0.3] = 0
+    rows = [([int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for r in x]
+    mean, axes = expression.principal_axes(spark.createDataFrame(rows, "ix array<int>, v array<double>"), 20, 3)
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(np.abs((axes * vectors[:, ::-1][:, :3]).sum(0)), 1, atol=1e-3)
+    mean, axes = expression.principal_axes(spark.createDataFrame([], "ix array<int>, v array<double>"), 20, 3)
+    assert axes.shape == (20, 0)
+
+
+def test_valley():
+    from varlake.operators import expression
+
+    assert expression.valley([9, 30, 12, 3, 1, 2, 8, 20, 9, 1]) == pytest.approx(0.45, abs=0.06)
+    assert expression.valley([1, 5, 9, 5, 1]) is None and expression.valley([0] * 10) is None
 
 
 def test_quantiles_are_exact(spark):

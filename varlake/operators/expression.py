@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folder import Tables
+from .blocks import numbered
 from .quantiles import quantiles
 
 
@@ -140,65 +146,119 @@ def simulated_doublets(cells: DataFrame, factor: int = 2, seed: int = 7) -> Data
     return pairs.select("batch", name.alias("id"), F.explode(F.array("cell", "other")).alias("cell"))
 
 
-def doublet_scores(rna: DataFrame, genes: DataFrame | None = None, factor: int = 2, k: int = 15, rate: float = 0.05, threshold: float = 0.25, seed: int = 7, elements: int = 4_000_000) -> DataFrame:
-    """cell, batch, simulated (share of simulated doublets among the k nearest neighbours in the cell's batch), doublet_score
+COMPONENTS, OVERSAMPLED, PASSES = 30, 10, 4
+
+
+def principal_axes(points: DataFrame, width: int, components: int = COMPONENTS, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Means, and the first principal axes as columns, by randomised subspace iteration over sparse rows (ix, v): every pass multiplies a block of
+    components + OVERSAMPLED directions by the covariance. What a task returns, and what the driver holds, has the size width * directions."""
+    from .training import summed_over
+
+    def moments(b: pa.RecordBatch) -> dict:
+        ix, v = b["ix"].flatten().to_numpy(), b["v"].flatten().to_numpy()
+        return {"n": np.float64(len(b)), "sum": np.bincount(ix, v, width)}
+
+    first = summed_over(points, moments)
+    if "n" not in first:
+        return np.zeros(width), np.zeros((width, 0))
+    n, mean = float(first["n"][0]), first["sum"] / float(first["n"][0])
+    directions = min(width, components + OVERSAMPLED)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, directions)))[0]
+    for _ in range(passes):
+
+        def product(b: pa.RecordBatch, q: np.ndarray = q) -> dict:
+            of = np.repeat(np.arange(len(b)), b["ix"].value_lengths().to_numpy())
+            ix, v = b["ix"].flatten().to_numpy(), b["v"].flatten().to_numpy()
+            along = np.zeros((len(b), directions))
+            np.add.at(along, of, v[:, None] * q[ix])
+            out = np.zeros((width, directions))
+            np.add.at(out, ix, v[:, None] * along[of])
+            return {"p": out}
+
+        p = summed_over(points, product)["p"].reshape(width, directions) / n - np.outer(mean, mean @ q)
+        inner = q.T @ p
+        q_next, _ = np.linalg.qr(p)
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        axes = (q @ turn)[:, ::-1][:, :components]
+        q = q_next
+    return mean, axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
+
+
+def valley(counts: np.ndarray, most: int = 10_000) -> float | None:
+    """Where a histogram over 0..1, smoothed until it has two peaks, is lowest between them; None if it never has two."""
+    smooth = np.asarray(counts, float)
+    for _ in range(most):
+        around = np.concatenate([[-1], smooth, [-1]])
+        flat = [i for i in range(len(smooth)) if around[i + 1] > around[i] and around[i + 1] >= around[i + 2]]
+        peaks = [i for i in flat if smooth[i] > 0]
+        if len(peaks) == 2:
+            low = peaks[0] + int(np.argmin(smooth[peaks[0]:peaks[1] + 1]))
+            return (low + 0.5) / len(smooth)
+        if len(peaks) < 2:
+            return None
+        smooth = np.convolve(np.concatenate([smooth[:1], smooth, smooth[-1:]]), np.ones(3) / 3, "valid")
+    return None
+
+
+def doublet_scores(rna: DataFrame, tables: Tables, genes: DataFrame | None = None, factor: int = 2, k: int = 15, rate: float = 0.05, threshold: float | None = None, seed: int = 7, components: int = COMPONENTS) -> DataFrame:
+    """cell, batch, simulated (share of simulated doublets among about the k nearest neighbours in the cell's batch), doublet_score
     (the likelihood that follows from that share and the expected rate) and doublet (score above the threshold).
 
-    Neighbours are exact, by Euclidean distance of log1p counts over `genes` (default: every gene of rna), ties by name. The
-    rows of a batch are dealt to blocks of about elements / genes rows, and every pair of blocks is one task that keeps k
-    rows per cell: memory is bounded whatever a batch holds, work grows with the square of the cells of a batch."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
+    Simulated doublets are sums of two cells. Counts over `genes` (default: every gene of rna) are scaled to the same total, so that two cells of one
+    kind look like one, and their logarithms are projected on the principal axes of
+    the cells; neighbours are those of the descent in that space. Without a threshold, shares above the valley between the two peaks of the simulated
+    doublets' own shares are doublets: some of them resemble single cells and some do not. Where there is no valley, DEFAULT is the threshold. The result is one of `tables`."""
+    from .neighbours import approximate_neighbours
 
     rna = rna.select("batch", F.col("cell").cast("string").alias("cell"), F.col("gene").cast("string").alias("gene"), "cnt")
-    cells = rna.select("batch", "cell").distinct()
+    cells = tables.save(rna.select("batch", "cell").distinct(), "doublet-cells")
     genes = (rna if genes is None else genes).select(F.col("gene").cast("string").alias("gene")).distinct()
-    width = genes.count()
-    used = rna.join(genes, "gene", "left_semi")
+    places = tables.save(numbered(genes, [F.col("gene")], "ix", tables, "doublet-order"), "doublet-genes")
+    width = places.count()
+    used = rna.join(places, "gene").select("batch", "cell", F.col("ix").cast("int").alias("ix"), "cnt")
     made = simulated_doublets(cells, factor, seed)
-    half = used.select(F.col("batch").alias("own"), F.col("cell").alias("half"), "gene", "cnt")
-    summed = made.join(half, (F.col("cell") == F.col("half")) & F.col("batch").eqNullSafe(F.col("own"))).select("batch", "id", "gene", "cnt")
-    counted = used.select("batch", F.col("cell").alias("id"), "gene", "cnt", F.lit(False).alias("made")).union(summed.withColumn("made", F.lit(True)))
+    half = used.select(F.col("batch").alias("own"), F.col("cell").alias("half"), "ix", "cnt")
+    summed = made.join(half, (F.col("cell") == F.col("half")) & F.col("batch").eqNullSafe(F.col("own"))).select("batch", "id", "ix", "cnt")
+    counted = used.select("batch", F.col("cell").alias("id"), F.lit(False).alias("made"), "ix", "cnt").union(summed.select("batch", "id", F.lit(True), "ix", "cnt"))
     # a row without any of the genes is at the origin
-    empty = cells.select("batch", F.col("cell").alias("id"), F.lit(None).cast("string"), F.lit(0.0), F.lit(False)).union(made.select("batch", "id").distinct().select("*", F.lit(None).cast("string"), F.lit(0.0), F.lit(True)))
-    values = counted.union(empty).groupBy("batch", "made", "id", "gene").agg(F.sum("cnt").alias("cnt")).withColumn("v", F.log1p(F.col("cnt").cast("double")))
-    points = values.groupBy("batch", "made", "id").agg(F.sort_array(F.collect_list(F.when(F.col("gene").isNotNull(), F.struct("gene", "v")))).alias("x"))
-    rows_each = max(32, elements // max(1, width))
-    blocks = cells.groupBy("batch").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * (factor + 1) / rows_each)).cast("int").alias("blocks"))
-    dealt = points.join(blocks.withColumnRenamed("batch", "own"), F.col("batch").eqNullSafe(F.col("own")))
-    dealt = dealt.select("batch", "made", "id", F.col("x.gene").alias("g"), F.col("x.v").alias("v"), F.pmod(F.xxhash64("id", "made"), F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = dealt.filter("not made").select(F.col("batch").alias("own"), F.col("id").alias("cell"), F.col("g").alias("cell_g"), F.col("v").alias("cell_v"), F.col("b").alias("i"), F.col("other").alias("j"))
-    right = dealt.select("batch", "made", "id", "g", "v", F.col("other").alias("i"), F.col("b").alias("j"))
-
-    def dense(g: pa.ChunkedArray, v: pa.ChunkedArray, place: dict) -> np.ndarray:
-        out = np.zeros((len(g), len(place)))
-        row = np.repeat(np.arange(len(g)), pc.list_value_length(g).to_numpy())
-        out[row, [place[x] for x in pc.list_flatten(g).to_pylist()]] = pc.list_flatten(v).to_numpy()
-        return out
-
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        names, others, fake = a["cell"].to_pylist(), np.array(b["id"].to_pylist(), object), np.array(b["made"].to_pylist(), bool)
-        out: dict = {"batch": [], "cell": [], "id": [], "made": [], "d": []}
-        if len(a) and len(b):
-            place = {g: i for i, g in enumerate(sorted({*pc.list_flatten(a["cell_g"]).to_pylist(), *pc.list_flatten(b["g"]).to_pylist()}))}
-            x, y = dense(a["cell_g"], a["cell_v"], place), dense(b["g"], b["v"], place)
-            square = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * (x @ y.T)
-            distance = np.round(np.maximum(square, 0), 9)
-            batch = a["own"][0].as_py()
-            for i, cell in enumerate(names):
-                pick = [j for j in np.lexsort((fake, others, distance[i]))[:k + 1] if fake[j] or others[j] != cell][:k]
-                for c, v in zip(out, ([batch] * len(pick), [cell] * len(pick), others[pick].tolist(), fake[pick].tolist(), distance[i, pick].tolist())):
-                    out[c] += v
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.float64()))})
-
-    found = left.groupBy("own", "i", "j").cogroup(right.groupBy("batch", "i", "j")).applyInArrow(near, "batch string, cell string, id string, made boolean, d double")
-    place = F.row_number().over(Window.partitionBy("batch", "cell").orderBy("d", "id", "made"))
-    shares = found.withColumn("place", place).filter(F.col("place") <= k).groupBy("batch", "cell").agg(F.count_if("made").alias("m"), F.count("*").alias("n"))
+    empty = cells.select("batch", F.col("cell").alias("id"), F.lit(False), F.lit(None).cast("int"), F.lit(0.0)).union(made.select("batch", "id").distinct().select("batch", "id", F.lit(True), F.lit(None).cast("int"), F.lit(0.0)))
+    values = counted.union(empty).groupBy("batch", "made", "id", "ix").agg(F.sum("cnt").alias("cnt")).filter("ix is null or cnt <> 0")
+    lists = values.groupBy("batch", "made", "id").agg(F.array_sort(F.collect_list(F.when(F.col("ix").isNotNull(), F.struct("ix", F.col("cnt").cast("double").alias("v"))))).alias("x"))
+    total = F.aggregate("x.v", F.lit(0.0), lambda a, v: a + v)
+    points = tables.save(lists.select("batch", "made", "id", F.col("x.ix").alias("ix"), F.transform("x.v", lambda v: F.log1p(v * TARGET / F.greatest(total, F.lit(1e-12)))).alias("v")), "doublet-points")
+    mean, axes = principal_axes(points.filter("not made").select("ix", "v"), max(1, width), components, seed=seed)
+    held = rna.sparkSession.sparkContext.broadcast((mean @ axes, axes))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, axes = held.value
+        for b in batches:
+            of = np.repeat(np.arange(len(b)), b["ix"].value_lengths().to_numpy())
+            z = np.tile(-centre, (len(b), 1))
+            for at in range(0, len(of), 65_536):  # memory does not grow with the batch's counts
+                some = slice(at, at + 65_536)
+                np.add.at(z, of[some], b["v"].flatten().to_numpy()[some, None] * axes[b["ix"].flatten().to_numpy()[some]])
+            yield pa.RecordBatch.from_arrays([b["cell"], b["grp"], pa.array([*z], pa.list_(pa.float64()))], names=["cell", "grp", "z"])
+
+    # names that tell batches and simulated doublets apart; a batch is a group of neighbours
+    name = F.to_json(F.struct("batch", "made", "id"), {"ignoreNullFields": "false"})
+    grouped = points.select(name.alias("cell"), F.xxhash64("batch").alias("grp"), "ix", "v")
+    near = approximate_neighbours(grouped.mapInArrow(project, "cell string, grp long, z array<double>"), tables, k)
+    kind = "batch string, made boolean, id string"
+    parsed = near.select(F.from_json("cell", kind).alias("c"), F.from_json("neighbour", kind).alias("o"))
+    shares = parsed.groupBy("c.batch", "c.made", "c.id").agg(F.count_if("o.made").alias("m"), F.count("*").alias("n"))
     # the estimate of Wolock, Lopez and Klein (2019): a smoothed share, and the odds at the expected rate
     q = (F.col("m") + 1) / (F.col("n") + 2)
     odds = q * rate / factor / (1 - rate - q * (1 - rate - rate / factor))
-    return shares.select("cell", "batch", (F.col("m") / F.col("n")).alias("simulated"), odds.alias("doublet_score"), (odds > threshold).alias("doublet"))
+    scored = tables.save(shares.select("batch", "made", F.col("id").alias("cell"), (F.col("m") / F.col("n")).alias("simulated"), odds.alias("doublet_score")), "doublet-scored")
+    above = F.col("doublet_score") > (DEFAULT if threshold is None else threshold)
+    if threshold is None:
+        counts = {r["b"]: r["n"] for r in scored.filter("made").groupBy(F.round(F.col("simulated") * k).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
+        low = valley(np.array([counts.get(b, 0) for b in range(k + 1)]))
+        above = above if low is None else F.col("simulated") > low
+    return scored.filter("not made").select("cell", "batch", "simulated", "doublet_score", above.alias("doublet"))
+
+
+DEFAULT, TARGET = 0.25, 10_000.0  # the threshold of scores without a valley; the total of scaled counts
 
 
 def without_doublets(rna: DataFrame, scores: DataFrame) -> DataFrame:

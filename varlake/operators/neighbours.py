@@ -55,16 +55,18 @@ class ProjectionTree:
         self.children[at] = (self._build(x[left], depth - 1, rng), self._build(x[~left], depth - 1, rng))
         return at
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        out, stack = np.zeros(len(x), np.int64), [(self.root, np.arange(len(x)))]
+    def of(self, x: np.ndarray, depths: np.ndarray) -> np.ndarray:
+        """A number for the node that each row reaches at its own depth, or the leaf above that."""
+        out, stack = np.zeros(len(x), np.int64), [(self.root, 0, np.arange(len(x)))]
         while stack:
-            node, rows = stack.pop()
-            if node < 0:
-                out[rows] = -1 - node
-            elif len(rows):
+            node, depth, rows = stack.pop()
+            ends = depths[rows] <= depth if node >= 0 else np.ones(len(rows), bool)
+            out[rows[ends]] = node + self.leaves
+            rows = rows[~ends]
+            if len(rows):
                 plane, cut = self.planes[node]
                 left = x[rows] @ plane < cut
-                stack += [(self.children[node][0], rows[left]), (self.children[node][1], rows[~left])]
+                stack += [(self.children[node][0], depth + 1, rows[left]), (self.children[node][1], depth + 1, rows[~left])]
         return out
 
 
@@ -99,29 +101,31 @@ def _batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
 def _first_pools(points: DataFrame, n: int, pool: int, seed: int) -> DataFrame:
     sample = points.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**31)) < int(2**31 * min(1.0, TREE_SAMPLE / n))).select("z").limit(2 * TREE_SAMPLE).toArrow()
     x, rng = vectors(sample["z"]) if len(sample) else np.zeros((0, 1)), np.random.default_rng(seed)
-    depth = max(0, int(np.ceil(np.log2(max(1, min(LEAVES, n / LEAF_ROWS))))))
-    trees = [ProjectionTree(x, depth, rng) for _ in range(TREES)]
-    sizes = max(t.leaves for t in trees)
-    subs = max(1, -(-n // (sizes * 2 * LEAF_ROWS)))  # beyond LEAVES leaves, their rows are dealt out
+    deepest = max(0, int(np.ceil(np.log2(max(1, min(LEAVES, n / LEAF_ROWS))))))
+    trees = [ProjectionTree(x, deepest, rng) for _ in range(TREES)]
+    # every group goes down as far as its own size allows
+    sizes = points.groupBy(F.col("grp").alias("of")).agg(F.count("*").alias("rows"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / LEAF_ROWS))).cast("long")
+    points = points.join(sizes, F.col("grp") == F.col("of")).select("id", "grp", depth.alias("depth"), "z")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                z = vectors(pa.chunked_array([b["z"]]))
+                z, depths = vectors(pa.chunked_array([b["z"]])), b["depth"].to_numpy()
                 for t, tree in enumerate(trees):
-                    yield pa.RecordBatch.from_arrays([b["id"], b["z"], pa.array(tree.of(z) * TREES + t)], names=["id", "z", "leaf"])
+                    yield pa.RecordBatch.from_arrays([b["id"], b["grp"], b["z"], pa.array(tree.of(z, depths) * TREES + t)], names=["id", "grp", "z", "leaf"])
 
-    dealt = points.select("id", "z").mapInArrow(deal, "id long, z array<double>, leaf long").withColumn("sub", F.pmod(F.xxhash64("id", "leaf"), F.lit(subs)))
-    # copies may make one leaf large: it is dealt out by its own size
-    large = dealt.groupBy("leaf", "sub").agg(F.ceil(F.count("*") / (4 * LEAF_ROWS)).alias("pieces")).filter("pieces > 1")
-    dealt = dealt.join(large, ["leaf", "sub"], "left").withColumn("piece", F.pmod(F.xxhash64("id", "leaf", "sub"), F.coalesce("pieces", F.lit(1))))
+    dealt = points.mapInArrow(deal, "id long, grp long, z array<double>, leaf long")
+    # leaves beyond LEAVES, and copies, are dealt out by their own size
+    large = dealt.groupBy("grp", "leaf").agg(F.ceil(F.count("*") / (4 * LEAF_ROWS)).alias("pieces")).filter("pieces > 1")
+    dealt = dealt.join(large, ["grp", "leaf"], "left").withColumn("piece", F.pmod(F.xxhash64("id", "leaf"), F.coalesce("pieces", F.lit(1))))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, at in whole_groups(batches, "leaf", "sub", "piece"):
+        for rows, at in whole_groups(batches, "grp", "leaf", "piece"):
             ids, z = rows["id"].to_numpy(), vectors(rows["z"])
             yield _batch([_nearest_in(ids[i:j], squared_distances(z[i:j]), np.full(j - i, np.inf), pool) for i, j in zip(at, at[1:])])
 
-    return by_group(dealt.select("leaf", "sub", "piece", "id", "z"), "leaf", "sub", "piece").mapInArrow(near, _FOUND)
+    return by_group(dealt.select("grp", "leaf", "piece", "id", "z"), "grp", "leaf", "piece").mapInArrow(near, _FOUND)
 
 
 def _best(found: DataFrame, pool: int) -> DataFrame:
@@ -138,7 +142,7 @@ def _round(graph: DataFrame, points: DataFrame, pool: int, sample: int, seed: in
     kept = links.filter((F.col("draw") < F.lit(float(sample)) / F.greatest("wanted", F.lit(sample))) & (F.pmod(F.xxhash64("b", "a", F.lit(seed)), F.lit(pool)) < sample))
     members = kept.select(F.col("a").alias("v"), F.col("b").alias("u")).union(kept.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct()
     last = graph.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= pool, F.max("d")).alias("limit"))
-    known = points.join(last, "id", "left").select(F.col("id").alias("u"), "z", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+    known = points.drop("grp").join(last, "id", "left").select(F.col("id").alias("u"), "z", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in whole_groups(batches, "v"):
@@ -149,10 +153,11 @@ def _round(graph: DataFrame, points: DataFrame, pool: int, sample: int, seed: in
 
 
 def approximate_neighbours(latents: DataFrame, tables: Tables, k: int = 15, pool: int = POOL, sample: int = SAMPLE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
-    """cell, neighbour, distance, place: about the k nearest by Euclidean distance. latents: (cell, z), names once each; null vectors take
-    no part. The result is one of `tables`."""
+    """cell, neighbour, distance, place: about the k nearest by Euclidean distance. latents: (cell, z), names once each, and, if there is one,
+    grp, a long: only cells of one group are neighbours then. Null vectors take no part. The result is one of `tables`."""
     pool = max(pool, k)
-    named = latents.filter("z is not null").select(F.col("cell").cast("string").alias("cell"), F.col("z").cast("array<double>").alias("z"))
+    grp = F.coalesce(F.col("grp").cast("long"), F.lit(0)) if "grp" in latents.columns else F.lit(0).cast("long")
+    named = latents.filter("z is not null").select(F.col("cell").cast("string").alias("cell"), grp.alias("grp"), F.col("z").cast("array<double>").alias("z"))
     points = tables.save(named.withColumn("id", F.monotonically_increasing_id()), "points")
     n = points.count()
     if not n:

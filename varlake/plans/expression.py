@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import expression as x
 from ..sources import derived as d
+from ..sources.folder import kept
 from .register import query
 
 
@@ -123,6 +124,11 @@ def jn_cells(spark, sf_dir):
 
 @query("flt_doublet")
 def flt_doublet(spark, sf_dir):
-    """Cells that are not doublets, with their counts, by neighbours over every gene."""
-    rna = d.rna(spark, sf_dir)
-    return x.without_doublets(rna, x.doublet_scores(rna)).groupBy("cell", "batch").agg(F.sum("cnt").alias("total"))
+    """Cells that are not doublets, with their counts; cells grow with the tables."""
+    rna = d.rna(spark, sf_dir, grown=True)
+
+    def left(tables):
+        scores = x.doublet_scores(rna, tables, components=10)
+        return x.without_doublets(rna, scores).groupBy("cell", "batch").agg(F.sum("cnt").alias("total"))
+
+    return kept(spark, "doublets", left)

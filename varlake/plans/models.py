@@ -9,7 +9,7 @@ from ..operators import model as m
 from ..operators import scoring as s
 from ..operators import training as t
 from ..sources import derived as d
-from ..sources.folder import Tables, shared_folder
+from ..sources.folder import kept, shared_folder
 from .register import query
 
 GENES = 97
@@ -81,12 +81,9 @@ def ml_scoreall(spark, sf_dir):
 @query("ml_bycelltype")
 def ml_bycelltype(spark, sf_dir):
     """In every cell type at once: the variants with the most attention there, of these the ones with enough calls of both
-    kinds, and only their scores. The result is written: its tables go with the work."""
-    with Tables(spark, "bycelltype") as tables:
-        scored = m.by_celltype(_cells(spark, sf_dir, grown=True), _weights(), d.cells(spark, sf_dir, grown=True), tables, QUERY_TOP, 4)
-        path = shared_folder(spark, "bycelltype")
-        scored.write.parquet(path)
-    return spark.read.parquet(path)
+    kinds, and only their scores."""
+    cells, types = _cells(spark, sf_dir, grown=True), d.cells(spark, sf_dir, grown=True)
+    return kept(spark, "bycelltype", lambda tables: m.by_celltype(cells, _weights(), types, tables, QUERY_TOP, 1))
 
 
 @query("ml_pretrain")

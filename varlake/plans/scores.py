@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import communities as cm
 from ..operators import graph as g
+from ..operators import layout as lo
+from ..operators import neighbours as nb
 from ..operators import scoring as s
 from ..sources import derived as d
+from ..sources.folder import kept
 from .register import query
 
 LIMITS = dict(least_carriers=4, least_shared=4, jaccard=0.5, overlap=0.6)
@@ -335,11 +339,39 @@ def _latents(spark, sf_dir):
     return d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("cell"), F.col("embedding").alias("z"))
 
 
+@query("gr_knn_descent")
+def gr_knn_descent(spark, sf_dir):
+    """About the same, without comparing all cells with each other."""
+    return kept(spark, "descent", lambda tables: nb.approximate_neighbours(_latents(spark, sf_dir), tables))
+
+
+def _fuzzy(spark, sf_dir, tables):
+    return tables.save(lo.fuzzy_graph(nb.approximate_neighbours(_latents(spark, sf_dir), tables)), "fuzzy")
+
+
 @query("gr_leiden")
 def gr_leiden(spark, sf_dir):
-    return g.propagated_labels(g.nearest_cells(_latents(spark, sf_dir)))
+    return kept(spark, "leiden", lambda tables: cm.communities(_fuzzy(spark, sf_dir, tables), tables))
 
 
 @query("gr_umap")
 def gr_umap(spark, sf_dir):
-    return g.principal_plane(_latents(spark, sf_dir))
+    return kept(spark, "umap", lambda tables: lo.layout(_fuzzy(spark, sf_dir, tables), g.principal_plane(_latents(spark, sf_dir)), tables, epochs=30))
+
+
+_LINKS = """l as (select l_orderkey, cast(l_suppkey as varchar) s, l_linenumber from lineitem), e as (select a.s a, b.s b from l a join l b on a.l_orderkey=b.l_orderkey and b.l_linenumber=a.l_linenumber+1 and a.s<>b.s),
+ w as (select a, b, cast(count(*) as double) w from (select a, b from e union all select b, a from e) group by a, b), n as (select a, cast(s_nationkey as int) c, sum(w) k from w join supplier on cast(s_suppkey as varchar)=a group by all)"""
+
+
+@query("gr_modularity", f"""with {_LINKS} select cast(count(*) as bigint) nodes, round((select sum(w) from w join n x on x.a=w.a join n y on y.a=w.b where x.c=y.c)/sum(k)
+ - 0.4*(select sum(t*t) from (select sum(k) t from n group by c))/(sum(k)*sum(k)), 9) modularity from n""")
+def gr_modularity(spark, sf_dir):
+    """Of suppliers by nation, where those of neighbouring lines of an order are linked."""
+    lines = d.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("cell"), "l_linenumber")
+    after = lines.select(F.col("l_orderkey").alias("o"), F.col("cell").alias("neighbour"), (F.col("l_linenumber") - 1).alias("before"))
+    pairs = lines.join(after, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("before"))).filter("cell <> neighbour")
+    both = pairs.select("cell", "neighbour").union(pairs.select("neighbour", "cell")).groupBy("cell", "neighbour").agg(F.count("*").alias("weight"))
+    edges = cm.undirected(both)
+    labels = d.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("cell"), F.col("s_nationkey").alias("cluster"))
+    value = cm.modularity(edges, labels, 0.4)
+    return edges.agg(F.countDistinct("a").alias("nodes")).withColumn("modularity", F.round(F.lit(value), 9))

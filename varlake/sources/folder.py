@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,12 @@ class Tables:
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(f"{self.base}/{name}")
+
+
+def kept(spark: SparkSession, label: str, make: Callable[[Tables], DataFrame]) -> DataFrame:
+    """What make() returns, written; the tables that it needed on the way are gone."""
+    path = shared_folder(spark, label)
+    with Tables(spark, f"{label}-work") as tables:
+        out = make(tables)
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
