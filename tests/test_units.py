@@ -299,9 +299,14 @@ def test_valley():
     assert expression.valley([1, 5, 9, 5, 1]) is None and expression.valley([0] * 10) is None
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("piece", [1_000_000, 100])
+def test_quantiles_are_exact(spark, monkeypatch, piece):
+    """In one piece, and in many of which some hold several groups and some groups several pieces."""
+    from varlake.operators import quantiles as module
     from varlake.operators.quantiles import lower_medians, quantiles
 
+    monkeypatch.setattr(module, "PIECE_ROWS", piece)
+
     rng = random.Random(3)
     rows = [("one", 5.0)] * 7 + [(None, float(i)) for i in range(4)] + [("many", rng.choice([rng.random(), rng.randint(0, 3) / 2])) for _ in range(3000)] + [("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")

@@ -27,7 +27,7 @@ def calls(args: argparse.Namespace) -> None:
 def variants(args: argparse.Namespace) -> None:
     from .operators import reads as rd
     from .plans import dags
-    from .sources import tables, text
+    from .sources import bam, text
 
     prefixes = [os.path.basename(p).split(".")[0] for p in args.alignments]
     if len(set(prefixes)) < len(prefixes):
@@ -37,7 +37,7 @@ def variants(args: argparse.Namespace) -> None:
     spark = _session()
     fasta, bed = text.read_fasta(spark, args.reference), text.read_bed(spark, args.editing)
     for sample, path in zip(prefixes, args.alignments):
-        rows = (tables.read_bam if path.endswith(".bam") else text.read_sam)(spark, path)
+        rows = (bam.read_bam if path.endswith(".bam") else text.read_sam)(spark, path)
         bases = rd.exploded_alignments(rd.kept_by_flag(rows)).withColumn("sample", F.lit(sample)).select("sample", "chrom", "pos", "base", "base_q", "map_q", "flag")
         dags.called_sites(text.with_reference(bases, fasta), bed).write.mode("ignore").parquet(f"{args.out}/{sample}")
 

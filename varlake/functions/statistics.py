@@ -85,3 +85,27 @@ def cosine_distance(a: Column, b: Column, epsilon: float = 1e-6) -> Column:
 
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
+
+
+def exact_test(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Fisher's exact test, one-sided, of the table ((a, b), (c, d)): the probability of a or more in its place with the same margins. Terms are
+    hypergeometric, from logarithms of factorials; there are at most min(b, c) + 1 of them."""
+    chosen = lambda n, k: lgamma(n.cast("double") + 1) - lgamma(k.cast("double") + 1) - lgamma((n - k).cast("double") + 1)
+    first, whole, hits = a + b, a + b + c + d, a + c
+    term = lambda k: F.exp(chosen(hits, k) + chosen(whole - hits, first - k) - chosen(whole, first))
+    return F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(a, a + F.least(b, c)), term), F.lit(0.0), lambda s, x: s + x))
+
+
+SERIES, FRACTION = 40, 60  # terms; exact to the last few bits
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) for z of 0 or more: a series near 0, a continued fraction beyond 2."""
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    series = F.lit(0.0)
+    for k in range(SERIES, 0, -1):
+        series = (series + 1) * z * z / (2 * k + 1)
+    fraction = z
+    for k in range(FRACTION, 0, -1):
+        fraction = z + F.lit(float(k)) / fraction
+    return F.when(z < 2, 0.5 - density * z * (1 + series)).otherwise(density / fraction)

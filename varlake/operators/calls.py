@@ -60,6 +60,14 @@ def histogram(matrix: DataFrame, by: list[str], bins: int = 60) -> DataFrame:
     return rows.groupBy(*by, F.least(F.floor(F.col("posterior") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_table(matrix: DataFrame, by: str, bins: int = 60) -> DataFrame:
+    """by, bin, low, high, n: what a plot of each group draws, with empty bins, in order."""
+    bins = max(5, bins)
+    every = matrix.select(by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    rows = every.join(histogram(matrix, [by], bins), [by, "bin"], "left")
+    return rows.select(by, "bin", (F.col("bin") / bins).alias("low"), ((F.col("bin") + 1) / bins).alias("high"), F.coalesce("n", F.lit(0)).alias("n")).orderBy(by, "bin")
+
+
 def merged(matrices: list[DataFrame]) -> DataFrame:
     """Samples below each other; cells are prefixed with their sample already, and what a sample lacks stays 0."""
     out = matrices[0]

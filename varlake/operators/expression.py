@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folder import Tables
+from ..functions.statistics import normal_tail
+from ..sources.folder import Tables, kept
 from .blocks import numbered
 from .quantiles import quantiles
 
@@ -77,30 +78,44 @@ def variable_genes(values: DataFrame, cells: int, top: int = 10_000, bins: int =
     return ranked.filter(F.col("rank") <= top).select("gene", "mean", "dispersion", "z", "rank")
 
 
-def markers(values: DataFrame, labels: DataFrame, top: int = 20) -> DataFrame:
-    """Per group the genes with the highest Wilcoxon rank-sum z against all other cells: group, gene, z, place. values:
+def markers(values: DataFrame, labels: DataFrame, top: int | None = 20) -> DataFrame:
+    """Per group the genes with the highest Wilcoxon rank-sum z against all other cells: grp, gene, z, p_value (both tails), p_adjusted (step-up, over
+    all genes of the group), log2_change (of mean counts, expm1 of the values, against the other cells) and place; top None returns all genes. values:
     (cell, gene, value) of non-zero values; zeros tie below them and are counted, not stored. labels: (cell, grp).
-    Ranks are taken over the distinct values of a gene, so that no window holds a gene's cells."""
-    n = labels.count()
-    sizes = labels.groupBy("grp").agg(F.count("*").alias("n_grp"))
-    rows = values.filter("value > 0").join(labels, "cell")
-    per = rows.groupBy("gene", "value", "grp").agg(F.count("*").alias("k"))
-    ties = per.groupBy("gene", "value").agg(F.sum("k").alias("t"))
-    nonzero = ties.groupBy("gene").agg(F.sum("t").alias("nz"))
-    run = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.join(nonzero, "gene").withColumn("zeros", F.lit(n) - F.col("nz"))
-    ranked = ranked.withColumn("mid", F.col("zeros") + F.sum("t").over(run) - F.col("t") + (F.col("t") + 1) / 2)
-    cube = lambda t: F.pow(t.cast("double"), F.lit(3.0)) - t
-    tie = ranked.groupBy("gene", "zeros").agg(F.sum(cube(F.col("t"))).alias("ties")).withColumn("ties", F.col("ties") + cube(F.col("zeros"))).select("gene", "ties", "zeros")
-    upper = per.join(ranked.select("gene", "value", "mid"), ["gene", "value"]).groupBy("gene", "grp").agg(F.sum(F.col("k") * F.col("mid")).alias("rank_sum"), F.sum("k").alias("nz_grp"))
-    out = upper.join(tie, "gene").join(sizes, "grp")
-    rank_sum = F.col("rank_sum") + (F.col("n_grp") - F.col("nz_grp")) * (F.col("zeros") + 1) / 2
-    rest = F.lit(n) - F.col("n_grp")
-    mean = F.col("n_grp") * (n + 1) / 2.0
-    variance = F.col("n_grp") * rest / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1.0)))
-    out = out.withColumn("z", F.when(variance > 0, (rank_sum - mean) / F.sqrt(variance)).otherwise(F.lit(0.0)))
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(F.round("z", 9)), "gene"))
-    return out.withColumn("place", place).filter(F.col("place") <= top).select("grp", "gene", "z", "place")
+    Ranks are taken over the distinct values of a gene, counted and written once, so that no window holds a gene's cells."""
+
+    def make(tables: Tables) -> DataFrame:
+        n = labels.count()
+        sizes = labels.groupBy("grp").agg(F.count("*").alias("n_grp"))
+        per = tables.save(values.filter("value > 0").join(labels, "cell").groupBy("gene", "value", "grp").agg(F.count("*").alias("k")), "per")
+        ties = per.groupBy("gene", "value").agg(F.sum("k").alias("t"))
+        whole = per.groupBy("gene").agg(F.sum("k").alias("nz"), F.sum(F.col("k") * F.expm1("value")).alias("sum_all"))
+        run = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ties.join(whole, "gene").withColumn("zeros", F.lit(n) - F.col("nz"))
+        ranked = ranked.withColumn("mid", F.col("zeros") + F.sum("t").over(run) - F.col("t") + (F.col("t") + 1) / 2)
+        cube = lambda t: F.pow(t.cast("double"), F.lit(3.0)) - t
+        tie = ranked.groupBy("gene", "zeros", "sum_all").agg((F.sum(cube(F.col("t"))) + cube(F.col("zeros"))).alias("ties"))
+        upper = per.join(ranked.select("gene", "value", "mid"), ["gene", "value"]).groupBy("gene", "grp").agg(F.sum(F.col("k") * F.col("mid")).alias("rank_sum"), F.sum("k").alias("nz_grp"), F.sum(F.col("k") * F.expm1("value")).alias("sum_grp"))
+        # every gene in every group, also where it has no count; groups are few
+        groups = sizes.agg(F.collect_list(F.struct("grp", "n_grp")).alias("groups"))
+        each = tie.join(groups).select("gene", "zeros", "sum_all", "ties", F.explode("groups").alias("g")).select("gene", "zeros", "sum_all", "ties", "g.*")
+        out = each.join(upper, ["gene", "grp"], "left").na.fill({"rank_sum": 0.0, "nz_grp": 0, "sum_grp": 0.0})
+        rank_sum = F.col("rank_sum") + (F.col("n_grp") - F.col("nz_grp")) * (F.col("zeros") + 1) / 2
+        rest = F.lit(n) - F.col("n_grp")
+        variance = F.col("n_grp") * rest / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1.0)))
+        out = out.withColumn("z", F.when(variance > 0, (rank_sum - F.col("n_grp") * (n + 1) / 2.0) / F.sqrt(variance)).otherwise(F.lit(0.0)))
+        mean, other = F.col("sum_grp") / F.col("n_grp"), F.when(rest > 0, (F.col("sum_all") - F.col("sum_grp")) / rest).otherwise(0.0)
+        out = out.select("grp", "gene", "z", F.least(F.lit(1.0), 2 * normal_tail(F.abs("z"))).alias("p_value"), F.log2((mean + 1e-9) / (F.greatest(other, F.lit(0.0)) + 1e-9)).alias("log2_change"))
+        # a group has at most as many rows as there are genes; p-values that rounding tells apart are tied
+        order = Window.partitionBy("grp").orderBy(F.round("p_value", 12), "gene")
+        step = F.least(F.lit(1.0), F.col("p_value") * F.count("*").over(Window.partitionBy("grp")) / F.row_number().over(order))
+        back = Window.partitionBy("grp").orderBy(F.desc(F.round("p_value", 12)), F.desc("gene")).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("step", step).withColumn("p_adjusted", F.min("step").over(back))
+        place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(F.round("z", 9)), "gene"))
+        out = out.withColumn("place", place).select("grp", "gene", "z", "p_value", "p_adjusted", "log2_change", "place")
+        return out if top is None else out.filter(F.col("place") <= top)
+
+    return kept(values.sparkSession, "markers", make)
 
 
 def gene_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Exact quantiles of groups of any size.
 
-Values are counted first. Edges from a sketch of bounded size cut the distinct values of a group into buckets; counts per
-bucket tell which of them hold a wanted rank, and only those are put in order. The result is exact whatever the edges are;
-they only decide how much a task has to sort: a group's distinct values by the number of buckets, not the group.
+Values are counted and written once. The counts are dealt by ranges of (group, value) into pieces of about PIECE_ROWS rows; the sums of the pieces tell
+in which piece of a group a wanted rank lies, and only there a running sum is taken. No task holds more than a piece, whatever a group has.
 """
 
 from __future__ import annotations
@@ -12,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+from ..sources.folder import Tables, kept
+
+PIECE_ROWS = 1_000_000
 
 
 def _key(by: list[str]) -> Column:
@@ -23,20 +24,24 @@ def _key(by: list[str]) -> Column:
 def _reached(counts: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
     """g, n, name, part, v: the smallest value of a group at which the running weight reaches `part`. counts: (g, v, k), a row
     per value of a group. wanted: from the group's whole weight to an array of structs (name, part)."""
-    cuts = F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS)))
-    groups = counts.groupBy("g").agg(F.sum("k").alias("n"), F.percentile_approx("v", cuts, 1000).alias("edges"))
-    edges = groups.select(F.col("g").alias("edge_g"), F.array_distinct("edges").alias("edges"))
-    placed = counts.join(edges, F.col("g") == F.col("edge_g")).select("g", "v", "k", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bucket"))
-    # at most BUCKETS rows of a group
-    run = Window.partitionBy("g").orderBy("bucket")
-    sizes = placed.groupBy("g", "bucket").agg(F.sum("k").alias("own")).withColumn("upto", F.sum("own").over(run))
-    parts = groups.select(F.col("g").alias("part_g"), "n", F.explode(wanted(F.col("n"))).alias("w"))
-    hit = (F.col("g") == F.col("part_g")) & (F.col("w.part") <= F.col("upto")) & (F.col("w.part") > F.col("upto") - F.col("own"))
-    found = sizes.join(parts, hit).groupBy(F.col("g").alias("hit_g"), F.col("bucket").alias("hit_bucket")).agg(F.first(F.col("upto") - F.col("own")).alias("before"), F.collect_list(F.struct("w.name", "w.part")).alias("parts"), F.first("n").alias("n"))
-    inner = placed.join(found, (F.col("g") == F.col("hit_g")) & (F.col("bucket") == F.col("hit_bucket")))
-    inner = inner.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("g", "bucket").orderBy("v")))
-    each = inner.select("g", "n", "v", "upto", F.explode("parts").alias("p")).filter(F.col("p.part") <= F.col("upto"))
-    return each.groupBy("g", "n", F.col("p.name").alias("name"), F.col("p.part").alias("part")).agg(F.min("v").alias("v"))
+
+    def make(tables: Tables) -> DataFrame:
+        held = tables.save(counts, "counts")
+        pieces = max(1, -(-held.count() // PIECE_ROWS))
+        placed = held.withColumn("piece", F.lit(0))
+        if pieces > 1:
+            placed = tables.save(held.repartitionByRange(pieces, "g", "v").withColumn("piece", F.spark_partition_id()), "placed")
+        # at most as many rows of a group as there are pieces
+        run = Window.partitionBy("g").orderBy("piece")
+        sizes = placed.groupBy("g", "piece").agg(F.sum("k").alias("own")).withColumn("upto", F.sum("own").over(run)).withColumn("n", F.sum("own").over(Window.partitionBy("g")))
+        parts = sizes.withColumn("w", F.explode(wanted(F.col("n")))).filter((F.col("w.part") <= F.col("upto")) & ((F.col("w.part") > F.col("upto") - F.col("own")) | (F.col("upto") == F.col("own"))))
+        found = parts.groupBy(F.col("g").alias("hit_g"), F.col("piece").alias("hit_piece"), "n", (F.col("upto") - F.col("own")).alias("before")).agg(F.collect_list("w").alias("parts"))
+        inner = placed.join(found, (F.col("g") == F.col("hit_g")) & (F.col("piece") == F.col("hit_piece")))
+        inner = inner.withColumn("reached", F.col("before") + F.sum("k").over(Window.partitionBy("g", "piece").orderBy("v")))
+        each = inner.select("g", "n", "v", "reached", F.explode("parts").alias("p")).filter(F.col("p.part") <= F.col("reached"))
+        return each.groupBy("g", "n", F.col("p.name").alias("name"), F.col("p.part").alias("part")).agg(F.min("v").alias("v"))
+
+    return kept(counts.sparkSession, "quantiles", make)
 
 
 def _counted(rows: DataFrame, by: list[str], value: str | Column, weight: str | Column | None = None) -> DataFrame:

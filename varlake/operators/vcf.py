@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants as vt
+from ..functions.statistics import exact_test
 
 SITE = ["chrom", "pos", "ref", "alt"]
 
@@ -33,9 +34,20 @@ def frequencies(vcfs: DataFrame) -> DataFrame:
     return rows.groupBy("snv", "sample").agg(F.max_by("freq", "line").alias("freq"))
 
 
+def four_places(x):
+    """Text of a share, 0 or more, with four decimals: the binary number itself is rounded, not its shortest decimal form, and exact halves go to
+    the even digit. x is split into two parts whose products with 20000 are exact, so that the comparison with the middle between two
+    ten-thousandths is."""
+    low = F.floor(x * 10_000)
+    high_part = x * 134217729.0 - (x * 134217729.0 - x)
+    above = (high_part * 20_000.0 - (2 * low + 1)) + (x - high_part) * 20_000.0
+    units = low + F.when((above > 0) | ((above == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(units / 10_000).cast("string"), F.lit("."), F.lpad((units % 10_000).cast("string"), 4, "0"))
+
+
 def frequency_text(freqs: DataFrame) -> DataFrame:
     """snv, freqs: sample:0.1234 joined by ';' in the order of samples."""
-    one = F.concat("sample", F.lit(":"), F.format_string("%.4f", "freq"))
+    one = F.concat("sample", F.lit(":"), four_places(F.col("freq")))
     return freqs.groupBy("snv").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", one.alias("t")))), lambda e: e["t"]), ";").alias("freqs"))
 
 
@@ -88,15 +100,29 @@ def outside_intervals(vcf: DataFrame, bed: DataFrame, width: int = 1 << 14) -> D
     return vcf.join(struck, ["chrom", "pos", "ref"], "left_anti")
 
 
-def called_variants(reads: DataFrame, least_coverage: int = 8, least_share: float = 0.01, least_reads: int = 3) -> DataFrame:
-    """Thresholds of a pileup caller over (sample, chrom, pos, ref, base): depth, variant reads and their share. Strand and
-    p-value filters of particular callers are not part of it."""
+def called_variants(reads: DataFrame, least_coverage: int = 8, least_share: float = 0.01, least_reads: int = 3, error: float = 0.001, most_p: float = 0.99, one_strand: float | None = 0.9) -> DataFrame:
+    """Variants over (sample, chrom, pos, ref, base, flag): depth, variant reads, their share, p_value and forward, the variant's reads on the
+    forward strand. Coverage, share and reads are least values.
+
+    p_value is of Fisher's exact test, one-sided: as many variant reads or more, against as many reads of which `error` are variants. Variants with a
+    p-value above most_p go, and, by the strand filter, those with more than one_strand of their reads on one strand (flag 16) though no more
+    than that share of the reference's reads are. The limits of the test and of the strand filter are this library's own choice."""
     by = ["sample", "chrom", "pos", "ref"]
-    bases = reads.groupBy(*by, "base").agg(F.count("*").alias("n"))
-    depth = Window.partitionBy(*by)
-    rows = bases.withColumn("depth", F.sum("n").over(depth)).filter((F.col("base") != F.col("ref")) & F.col("base").isin("A", "C", "G", "T"))
-    share = F.col("n") / F.col("depth")
-    return rows.filter((F.col("depth") >= least_coverage) & (F.col("n") >= least_reads) & (share >= least_share)).select(*by, F.col("base").alias("alt"), "depth", F.col("n").alias("alt_reads"), share.alias("share"))
+    forward = F.count_if(F.col("flag").bitwiseAND(16) == 0)
+    bases = reads.groupBy(*by, "base").agg(F.count("*").alias("n"), forward.alias("forward"))
+    site, is_ref = Window.partitionBy(*by), F.col("base") == F.col("ref")
+    total = lambda c, name: F.sum(F.when(is_ref, F.col(c)).otherwise(0)).over(site).alias(name)
+    rows = bases.select(*by, "base", "n", "forward", F.sum("n").over(site).alias("depth"), total("n", "ref_n"), total("forward", "ref_forward"))
+    rows = rows.filter(~is_ref & F.col("base").isin("A", "C", "G", "T"))
+    share, most = F.col("n") / F.col("depth"), lambda a, n: F.greatest(a, n - a) / n
+    rows = rows.filter((F.col("depth") >= least_coverage) & (F.col("n") >= least_reads) & (share >= least_share))
+    expected = F.floor(F.col("ref_n") * error + F.col("n") * error).cast("long")
+    rows = rows.withColumn("p_value", exact_test(F.col("n"), F.col("ref_n"), expected, F.col("ref_n") + F.col("n") - expected)).filter(F.col("p_value") <= most_p)
+    if one_strand is not None:
+        skewed = most(F.col("forward"), F.col("n")) > one_strand
+        whole = (F.col("ref_n") > 0) & (most(F.col("ref_forward"), F.col("ref_n")) > one_strand)
+        rows = rows.filter(~skewed | whole)
+    return rows.select(*by, F.col("base").alias("alt"), "depth", F.col("n").alias("alt_reads"), share.alias("share"), "p_value", "forward")
 
 
 def chromosome_styles(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -165,17 +165,33 @@ def set_snvs(spark, sf_dir):
     return m.filter("alt_count > 0").select("snv").union(m.filter("ref_count > 0").select("snv")).distinct().orderBy("snv")
 
 
-@query("vc_call", f"with {d.READS}, b as (select sample,chrom,pos,ref,base,count(*) n from reads group by all), t as (select *, sum(n) over (partition by sample,chrom,pos,ref) depth from b) select sample,chrom,pos,ref,base alt,cast(depth as bigint) depth,n alt_reads,round(cast(n as double)/depth,9) as share from t where base<>ref and depth>=8 and n>=3 and cast(n as double)/depth>=0.01")
+# variant reads and more against the same number with the error's share of variants, summed over the hypergeometric terms
+_CALL = f"""with {d.READS}, b as (select sample,chrom,pos,ref,base,count(*) n, sum(case when (flag & 16) = 0 then 1 else 0 end) fw from reads group by all),
+t as (select *, sum(n) over (partition by sample,chrom,pos,ref) depth, sum(case when base=ref then n else 0 end) over (partition by sample,chrom,pos,ref) rn, sum(case when base=ref then fw else 0 end) over (partition by sample,chrom,pos,ref) rf from b),
+c as (select *, cast(floor(rn*0.001+n*0.001) as bigint) e from t where base<>ref and base in ('A','C','G','T') and depth>=8 and n>=3 and cast(n as double)/depth>=0.01),
+k as (select *, unnest(range(cast(n as bigint), cast(n+least(rn,e)+1 as bigint))) x from c),
+h as (select sample,chrom,pos,ref,base,n,fw,depth,rn,rf, least(1.0, sum(exp(lgamma(n+e+1.0)-lgamma(x+1.0)-lgamma(n+e-x+1.0) + lgamma(2.0*(n+rn)-n-e+1.0)-lgamma(n+rn-x+1.0)-lgamma((n+rn)*2.0-n-e-(n+rn-x)+1.0) - lgamma(2.0*(n+rn)+1.0)+2*lgamma(n+rn+1.0)))) p from k group by all)
+select sample,chrom,pos,ref,base alt,cast(depth as bigint) depth,cast(n as bigint) alt_reads,round(cast(n as double)/depth,9) as share,round(p,9) p_value,cast(fw as bigint) forward from h
+where p<=0.99 and (greatest(fw,n-fw)/cast(n as double)<=0.9 or (rn>0 and greatest(rf,rn-rf)/cast(rn as double)>0.9))"""
+
+
+@query("vc_call", _CALL)
 def vc_call(spark, sf_dir):
     from ..operators.vcf import called_variants
 
-    return called_variants(d.all_reads(spark, sf_dir)).withColumn("share", F.round("share", 9))
+    return called_variants(d.all_reads(spark, sf_dir)).withColumn("share", F.round("share", 9)).withColumn("p_value", F.round("p_value", 9))
+
+
+_CIGARS = """r as (select l_orderkey*8+l_linenumber id, cast(l_partkey as int) st, cast(l_linenumber as int) k from lineitem),
+ops as (select * from (values (1,0,4,0,0),(1,1,3,5,6), (2,0,8,0,0), (3,0,5,2,0),(3,1,1,7,1009), (4,0,2,3,0),(4,1,3,5,2),(4,2,3,8,105), (5,0,4,0,0),(5,1,4,4,4), (6,0,1,1,0),(6,1,3,2,4),(6,2,3,5,7)) t(k, piece, len, q, r))"""
 
 
-@query("vc_mpileup", """with r as (select o_orderkey id, cast(o_custkey as int) st from orders), b as (
- select id, st, 0 q, st+k pos, k qq from r, range(4) t(k) union all select id, st, 0, st+4+2+k, 5+k from r, range(3) t(k))
-select id read_id, 'chr1' chrom, cast(pos as int) pos, substr('ACGTTGCA', cast(qq+1 as int), 1) base, cast(ascii(substr('IIII5IJK', cast(qq+1 as int), 1))-33 as int) base_q from b""")
+@query("vc_mpileup", f"""with {_CIGARS}, b as (select id, st, ops.r, q, len, unnest(range(len)) o from r join ops on ops.k=r.k)
+select id read_id, 'chr1' chrom, cast(st+r+o as int) pos, substr('ACGTTGCAACG', cast(q+o+1 as int), 1) base, cast(ascii(substr('IIII5IJKFGH', cast(q+o+1 as int), 1))-33 as int) base_q from b""")
 def vc_mpileup(spark, sf_dir):
-    """Alignments 4M1I2D3M2S along their CIGAR: one row per aligned base."""
-    rows = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.lit("chr1").alias("chrom"), F.col("o_custkey").cast("int").alias("start"), F.lit("4M1I2D3M").alias("cigar"), F.lit("ACGTTGCA").alias("seq"), F.lit("IIII5IJK").alias("qual"))
+    """Alignments of several kinds along their CIGARs, one row per aligned base: insertion, deletion, skip, clips, matches and mismatches apart, and none."""
+    cigars = ["4M1I2D3M", "8M", "2S5M1004N1M3H", "3S2M3=100N3X", "4=4X", "1S1M3D3M3M", "*"]
+    k = F.col("l_linenumber")
+    cigar = F.element_at(F.array(*map(F.lit, cigars)), k)
+    rows = d.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + k).alias("read_id"), F.lit("chr1").alias("chrom"), F.col("l_partkey").cast("int").alias("start"), cigar.alias("cigar"), F.lit("ACGTTGCAACG").alias("seq"), F.lit("IIII5IJKFGH").alias("qual"))
     return rd.exploded_alignments(rows).select("read_id", "chrom", "pos", "base", "base_q")

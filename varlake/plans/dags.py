@@ -9,7 +9,7 @@ from ..config import CallSettings
 from ..functions import statistics as st
 from ..functions import variants as vt
 from ..operators import calls, graph, reads as rd, scoring, vcf
-from ..sources import tables, text
+from ..sources import bam, tables, text
 
 
 def called_sites(reads: DataFrame, editing: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def run_calls(spark: SparkSession, settings: CallSettings) -> DataFrame:
     vcfs = text.read_vcf(spark, {s: p["vcf"] for s, p in settings.samples.items()})
     sites = vcf.union_of_sites(vcf.kept_by_frequency(vcfs, settings.percentage))
     for sample, paths in settings.samples.items():
-        source = tables.read_bam if str(paths["bam"]).endswith(".bam") else text.read_sam
+        source = bam.read_bam if str(paths["bam"]).endswith(".bam") else text.read_sam
         own = rd.bases_at_sites(rd.kept_by_flag(source(spark, paths["bam"]), 1804, 0), sites).withColumn("sample", F.lit(sample))
         listed = text.read_barcodes(spark, paths["cb"], settings.data_type).select("barcode").withColumn("sample", F.lit(sample))
         reads = own if reads is None else reads.unionByName(own)

@@ -64,19 +64,35 @@ def flt_hvg(spark, sf_dir):
     return agg_hvg(spark, sf_dir).select("gene")
 
 
+def _tail_sql(z):
+    """The upper tail of the normal distribution, as a series below 2 and a continued fraction above."""
+    series, fraction = "0.0", z
+    for k in range(40, 0, -1):
+        series = f"(({series}+1)*{z}*{z}/{2 * k + 1})"
+    for k in range(60, 0, -1):
+        fraction = f"({z}+{float(k)}/{fraction})"
+    density = f"(exp(-{z}*{z}/2)/sqrt(2*pi()))"
+    return f"(case when {z}<2 then 0.5-{density}*{z}*(1+{series}) else {density}/{fraction} end)"
+
+
+_TAIL = _tail_sql("abs(z)")
 _MARK = f"""with {_NORM}, {d.CELLS}, lab as (select cell, celltype grp from cells), c as (select * from lab cross join (select distinct gene from norm)),
 v as (select c.gene, c.grp, c.cell, round(coalesce(value,0),9) v from c left join norm using (cell,gene)), r as (select *, rank() over (partition by gene order by v)+(count(*) over (partition by gene, v)-1)/2.0 rk from v),
 n as (select count(*) n from lab), g as (select grp, count(*) ng from lab group by grp), t as (select gene, sum(pow(k,3)-k) ties from (select gene, v, cast(count(*) as double) k from v group by all) group by gene),
 s as (select gene, grp, sum(rk) rs from r group by all), z as (select gene, grp, (rs-ng*(n+1)/2.0)/sqrt(ng*(n-ng)/12.0*((n+1)-ties/(n*(n-1.0)))) z from s join g using (grp) join t using (gene), n),
-o as (select *, row_number() over (partition by grp order by round(z,9) desc, gene) place from z)
-select grp, gene, round(z,6) z, cast(place as int) place from o where place<=20"""
+f as (select gene, grp, avg(exp(v)-1) m from v group by all), w as (select gene, a.grp, a.m, (select sum(b.m*g.ng) from f b join g on g.grp=b.grp where b.gene=a.gene and b.grp<>a.grp)/(select sum(ng) from g where g.grp<>a.grp) other from f a),
+p as (select z.gene, z.grp, z, least(1.0, 2*{_TAIL}) p, ln((m+1e-9)/(other+1e-9))/ln(2.0) change from z join w on w.gene=z.gene and w.grp=z.grp),
+a as (select *, least(1.0, p*count(*) over (partition by grp)/row_number() over (partition by grp order by round(p,12), gene)) step from p),
+o as (select *, min(step) over (partition by grp order by round(p,12) desc, gene desc rows unbounded preceding) adjusted, row_number() over (partition by grp order by round(z,9) desc, gene) place from a)
+select grp, gene, round(z,6) z, round(p,9) p_value, round(adjusted,9) p_adjusted, round(change,6) log2_change, cast(place as int) place from o where place<=20"""
 
 
 @query("agg_markers", _MARK)
 def agg_markers(spark, sf_dir):
     values = x.normalised(d.rna(spark, sf_dir)).withColumn("value", F.round("value", 9))
     labels = d.cells(spark, sf_dir).select("cell", F.col("celltype").alias("grp"))
-    return x.markers(values, labels).select("grp", "gene", F.round("z", 6).alias("z"), "place")
+    six = lambda c, k=6: F.round(c, k).alias(c)
+    return x.markers(values, labels).select("grp", "gene", six("z"), six("p_value", 9), six("p_adjusted", 9), six("log2_change"), "place")
 
 
 @query("jn_genes", f"with {d.RNA} select gene, max(case when batch in ('S0','S2') and gene<>'G7' then 1 else 0 end)=1 in_a, max(case when batch in ('S1','S3') and gene<>'G8' then 1 else 0 end)=1 in_b from rna group by gene")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calls, reads as rd
 from ..sources import derived as d
-from ..sources import stages, tables, text
+from ..sources import bam, stages, tables, text
 from ..sources.folder import shared_folder
 from .register import query
 
@@ -71,11 +71,25 @@ def snk_tsv(spark, sf_dir):
     return tables.read_text_table(spark, path, "sample string, n long, min double, max double", "\t")
 
 
-@query("snk_plot", f"with {d.OBS}, h as (select cast(least(floor(posterior*60),59) as int) bin, count(*) n from obs where call=-1 and posterior>0 group by 1) select cast(b as int) bin, coalesce(n,0) n from range(60) t(b) left join h on h.bin=b")
+@query("snk_plot", f"with {d.OBS}, h as (select sample, cast(least(floor(posterior*60),59) as int) bin, count(*) n from obs where call=-1 and posterior>0 group by all) select s.sample, cast(b as int) bin, coalesce(n,0) n, b/60.0 low, (b+1)/60.0 high from (select distinct sample from obs) s cross join range(60) t(b) left join h on h.bin=b and h.sample=s.sample")
 def snk_plot(spark, sf_dir):
-    """The data behind the histogram: every bin, empty ones too."""
-    bins = calls.histogram(d.matrix(spark, sf_dir).withColumn("all", F.lit(1)), ["all"]).drop("all")
-    return spark.range(60).select(F.col("id").cast("int").alias("bin")).join(bins, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    """The table behind the histogram of each sample, written as text: every bin with its bounds, empty ones too."""
+    path = shared_folder(spark, "plot")
+    m = d.matrix(spark, sf_dir)
+    tables.write_text_table(calls.histogram_table(m, "sample"), path, "\t")
+    return tables.read_text_table(spark, path, "sample string, bin int, low double, high double, n long", "\t")
+
+
+@query("src_bam", f"""with {d.READS} select cast(read_id as varchar) as name, cast(flag as int) flag, chrom, pos as start, cast(map_q as int) map_q, '1M' cigar, base as seq, chr(cast(base_q+33 as int)) qual, concat(sample,'_',barcode) barcode, umi from reads""")
+def src_bam(spark, sf_dir):
+    """BAM files that are written from all reads: each is read by as many tasks as it has splits."""
+    path = shared_folder(spark, "bam")
+    reads = d.all_reads(spark, sf_dir).select(
+        F.col("read_id").cast("string").alias("name"), F.col("flag").cast("int").alias("flag"), "chrom", F.col("pos").alias("start"), F.col("map_q").cast("int").alias("map_q"), F.lit("1M").alias("cigar"),
+        F.col("base").alias("seq"), F.char(F.col("base_q") + 33).alias("qual"), F.concat_ws("_", "sample", "barcode").alias("barcode"), "umi")
+    contigs = [(f"chr{c}", 10_000) for c in [*range(1, 23), "X", "M"]]
+    bam.write_bam(reads.repartitionByRange(2, "chrom", "start").sortWithinPartitions("chrom", "start"), path, contigs)
+    return bam.read_bam(spark, path)
 
 
 @query("snk_npy", f"with {d.OBS} select snv, cast(row_number() over (order by snv)-1 as int) ix from (select distinct snv from obs)")

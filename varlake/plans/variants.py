@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import vcf as v
 from ..sources import derived as d
+from ..sources import text
+from ..sources.folder import shared_folder
 from .register import query
 
 SITE = "chrom, pos, ref, alt"
@@ -36,7 +38,10 @@ def set_union(spark, sf_dir):
 
 @query("snk_union", f"with {d.VCF} select distinct {SITE} from vcf")
 def snk_union(spark, sf_dir):
-    return v.union_of_sites(d.vcf(spark, sf_dir)).select(*v.SITE)
+    """Four columns without a header, in the order in which sites are first seen; read as a list of sites."""
+    path = shared_folder(spark, "union")
+    text.write_sites(v.union_of_sites(d.vcf(spark, sf_dir)), path)
+    return text.read_sites(spark, path)
 
 
 @query("agg_freqmap", f"with {d.VCF} select concat(chrom,':',cast(pos as varchar),'_',ref,'>',alt) snv, sample, round(max_by(freq,line),9) freq from freqs where freq is not null group by all")
@@ -44,9 +49,9 @@ def agg_freqmap(spark, sf_dir):
     return v.frequencies(d.vcf(spark, sf_dir)).withColumn("freq", F.round("freq", 9))
 
 
-@query("agg_mergedfreq", f"with {d.VCF} select concat(chrom,':',cast(pos as varchar),'_',ref,'>',alt) snv, string_agg(concat(sample,':',printf('%.4f',cast(cast(floor(100.0*a/n) as int) as double)/100.0)),';' order by sample) freqs from freqs where (n+pos)%7<>0 group by 1")
+@query("agg_mergedfreq", f"with {d.VCF} select concat(chrom,':',cast(pos as varchar),'_',ref,'>',alt) snv, string_agg(concat(sample,':',printf('%.4f',freq)),';' order by sample) freqs from freqs where freq is not null group by 1")
 def agg_mergedfreq(spark, sf_dir):
-    rows = v.with_frequency(d.vcf(spark, sf_dir)).filter("sample_text like '%\\%'").withColumn("snv", F.concat("chrom", F.lit(":"), F.col("pos").cast("string"), F.lit("_"), "ref", F.lit(">"), "alt"))
+    rows = v.with_frequency(d.vcf(spark, sf_dir)).filter("freq is not null").withColumn("snv", F.concat("chrom", F.lit(":"), F.col("pos").cast("string"), F.lit("_"), "ref", F.lit(">"), "alt"))
     return v.frequency_text(rows.select("snv", "sample", "freq"))
 
 
@@ -101,9 +106,19 @@ def fn_chrcompat(spark, sf_dir):
     return v.chromosome_styles(rows, rows.select(F.substring("chrom", 4, 9).alias("chrom")))
 
 
-@query("src_bed", f'with {d.READS}, {d.BED} select chrom, cast("start" as int) as "start", cast("end" as int) as "end" from bed')
+@query("src_bed", f"""with {d.READS}, {d.BED} select chrom, cast("start" as int) as "start", cast("end" as int) as "end" from bed union all
+ select concat('e', cast(event_id as varchar)), cast(event_id%1000 as int), cast(event_id%1000+50 as int) from events where event_id%4<>3""")
 def src_bed(spark, sf_dir):
-    return d.bed(spark, sf_dir).select("chrom", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    """Lines with three and with more columns, comments, track lines, blank lines, and lines whose places are no numbers, as other tools leave them."""
+    path = shared_folder(spark, "bed")
+    three = d.bed(spark, sf_dir).select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("value"))
+    e = F.col("event_id")
+    text_of = lambda c: c.cast("string")
+    more = d.table(spark, sf_dir, "events").select(
+        F.when(e % 4 != 3, F.concat_ws("\t", F.concat(F.lit("e"), text_of(e)), text_of(e % 1000), text_of(e % 1000 + 50), F.lit("name"), F.lit("0"), F.lit("+")))
+        .when(e % 16 == 3, F.concat(F.lit("#e"), text_of(e))).when(e % 16 == 7, F.concat(F.lit("track name="), text_of(e))).when(e % 16 == 11, F.lit("")).otherwise(F.concat_ws("\t", F.lit("e"), F.lit("start"), F.lit("end"))).alias("value"))
+    three.union(more).write.text(path)
+    return text.read_bed(spark, path)
 
 
 @query("src_sites", f"with {d.READS}, s as (select distinct {SITE} from reads) select {SITE} from s where pos<1003")

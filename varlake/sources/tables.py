@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,73 +32,3 @@ def write_cell_counts(counts: DataFrame, path: str, by: str | None = None) -> No
     line = F.concat_ws("\t", "barcode", F.col("n").cast("string"), "variants").alias("value")
     out = counts.select(line, *([by] if by else [])).write.mode("overwrite")
     (out.partitionBy(by) if by else out).text(path)
-
-
-# Fixed values of the BAM format: operation letters and base codes.
-CIGAR, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-
-
-def _inflated(data: bytes) -> Iterator[bytes]:
-    """The members of a BGZF file one after the other; a member is at most 64 KB."""
-    at = 0
-    while at < len(data):
-        member = zlib.decompressobj(31)
-        yield member.decompress(data[at:at + 65536 + 64]) + member.flush()
-        at = min(len(data), at + 65536 + 64) - len(member.unused_data)
-
-
-def _records(data: bytes) -> Iterator[tuple]:
-    """Alignments of a BAM file, holding no more than one record and one member."""
-    held, parts = b"", _inflated(data)
-
-    def take(n: int) -> bytes:
-        nonlocal held
-        while len(held) < n:
-            more = next(parts, None)
-            if more is None:
-                return b""
-            held += more
-        out, held = held[:n], held[n:]
-        return out
-
-    number = lambda: struct.unpack("<i", take(4))[0]
-    if take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    take(number())
-    names = [(take(number())[:-1].decode(), number())[0] for _ in range(number())]
-    while size := take(4):
-        body = take(struct.unpack("<i", size)[0])
-        ref, pos, n_name, map_q, _, n_ops, flag, n_seq = struct.unpack("<iiBBHHHi", body[:20])
-        at = 32 + n_name
-        name = body[32:at - 1].decode()
-        ops = struct.unpack(f"<{n_ops}I", body[at:at + 4 * n_ops])
-        at += 4 * n_ops
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in body[at:at + (n_seq + 1) // 2])[:n_seq]
-        at += (n_seq + 1) // 2
-        qual = body[at:at + n_seq]
-        tags = body[at + n_seq:]
-        tag = lambda t, tags=tags: (i := tags.find(t + b"Z")) >= 0 and tags[i + 3:tags.index(b"\0", i + 3)].decode() or None
-        yield (name, flag, names[ref] if ref >= 0 else None, pos + 1, map_q, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", seq,
-               None if qual[:1] == b"\xff" else "".join(chr(q + 33) for q in qual), tag(b"CB"), tag(b"UB"))
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of read_sam(). A file is one task and up to 2 GB, the limit of Spark's binary files; larger inputs come as
-    several files or as SAM text, which splits."""
-    names = ["name", "flag", "chrom", "start", "map_q", "cigar", "seq", "qual", "barcode", "umi"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch["content"]:
-                rows: list = []
-                for r in _records(data.as_py()):
-                    rows.append(r)
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "name string, flag int, chrom string, start int, map_q int, cigar string, seq string, qual string, barcode string, umi string")

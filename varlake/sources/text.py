@@ -26,6 +26,12 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return sites_from_lines(spark.read.text(path))
 
 
+def write_sites(sites: DataFrame, path: str) -> None:
+    """chrom, pos, ref, alt, tab-separated and without a header, in the order of (sample_ix, line)."""
+    rows = sites.orderBy("sample_ix", "line").select("chrom", F.col("pos").cast("string"), "ref", "alt")
+    rows.select(F.concat_ws("\t", *rows.columns).alias("value")).write.mode("overwrite").text(path)
+
+
 def vcf_from_lines(lines: DataFrame, least: int = 10) -> DataFrame:
     """Records of at least `least` tab-separated fields; missing ones are null. Other columns of `lines` stay."""
     rows = lines.filter("value <> '' and not startswith(value, '#')").withColumn("t", F.split("value", "\t")).filter(F.size("t") >= least)
