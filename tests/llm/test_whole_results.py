@@ -1,5 +1,7 @@
 """Text, rows and matches that earlier versions of the operators lost."""
 
+import re
+
 from varlake.llm import mainhtml
 
 
@@ -98,3 +100,36 @@ def test_html_many_empty_graphics_take_linear_time(spark):
     assert time.process_time() - began < 5
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert mainhtml.extract(empty).count() == 0
+
+
+def test_html_takes_linear_time():
+    """A million characters of what used to be scanned again from every place."""
+    import time
+
+    for page in ("<script" * 140_000, "<" + "a" * 10**6, "<a title=\"x" * 90_000, "<script>" + "</script " * 120_000, "<p" * 500_000, "<!--" * 250_000, "<textarea>" + "</textarea" * 100_000):
+        began = time.perf_counter()
+        mainhtml.main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def test_html_notices_of_paragraphs():
+    long = "A long paragraph of the text of this page, which says what it has to say. " * 3
+    notices = "".join(f"<p class={c}>Buy this now, and tell all of your friends about it.</p>" for c in ("notice", "newsletter", "cookie-notice", "ad", "share"))
+    assert mainhtml.main_text(f"<article><h1>Title</h1><p>{long}</p>{notices}<p class=alert>Mind this.</p><p class=intro>{long}</p></article>") == "\n".join(["Title", long.strip(), "Mind this.", long.strip()])
+
+
+def bare(page):
+    """A page without anything that names a part of it: elements of furniture are divisions, and no attributes are left."""
+    page = re.sub(r"<(/?)(nav|header|footer|aside|article|main|section|form|menu|dialog)\b", r"<\1div", page, flags=re.I)
+    return re.sub(r"\s(class|id|role|itemprop|aria-\w+|hidden|style)(=(\"[^\"]*\"|'[^']*'|[^\s>]+))?", "", page, flags=re.I)
+
+
+def test_html_lines_decide_on_the_given_pages(spark):
+    """Without any names the window step still finds the text of nearly all given pages, and without that step of none."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r["html"]]
+    assert len(pages) > 100
+    want = [mainhtml.main_text(p) for p in pages]
+    found = [mainhtml.main_text(bare(p)) for p in pages]
+    joined = ["\n".join(line[0] for line in mainhtml.lines(bare(p)) if not line[1]) for p in pages]
+    right = lambda got: sum(g == w for g, w in zip(got, want)) / len(pages)
+    assert right(found) >= 0.9 and right(joined) <= 0.1

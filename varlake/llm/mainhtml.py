@@ -10,7 +10,7 @@ they stand outside a marked article; start and end are widened over neighbouring
 a marked article, text ahead of the only title is left out if it weighs less than what follows.
 
 A class or id tells by the last word of one of its names (sidebar, not has-sidebar or sidebar-container), and only of
-elements that do not themselves write text, such as headings and paragraphs; of an article it tells readers' comments only.
+elements that do not themselves write text, such as headings; of a paragraph it tells adverts, notices and offers, of an article readers' comments only.
 The header of an article is part of it. A name does not count for elements that hold, alone or all of one name, most of the
 marked article, or most of the text of a page without one; comments of readers are no part of either.
 
@@ -49,6 +49,8 @@ NAMES = re.compile(LAST.format(
     r"ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscribe"
     r"|signup|login|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|" + TALK + r"|share|sharing|social"
     r"|related|recommended|popup|modal|overlay|widget|pagination|pager|toolbar|copyright|disclaimer|skip-link"), re.I)
+# What even a paragraph is not text by.
+OFFERS = re.compile(LAST.format(r"ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|share|sharing"), re.I)
 TALKS = re.compile(LAST.format(TALK), re.I)
 NOT = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without)[_-]|(?:^|[_-])(?:post|article|entry|story|content|section|chapter|blog|news|title)[_-]header$", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 title caption legend summary dt th".split())
@@ -56,7 +58,7 @@ SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964][\"'\u2
 LEGAL = re.compile(r"^\s*(?:\u00a9|\(c\) |copyright\b)|\ball rights reserved\b|\balle rechte vorbehalten\b|\btodos los derechos reservados\b|\btous droits r\u00e9serv\u00e9s\b", re.I)
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("title", "xmp")}
 CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -82,9 +84,9 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool, str]:
                 furniture |= "display:none" in value.replace(" ", "").lower()
             elif key == "itemprop":
                 main |= value == "articleBody"
-            elif name not in ("html", "body") and name not in TEXTS:
+            elif name not in ("html", "body") and (name not in TEXTS or name == "p"):
                 other = _named(value)
-                if name in ("article", "main") and not TALKS.search(other):
+                if name in ("article", "main") and not TALKS.search(other) or name == "p" and not OFFERS.search(other):
                     continue
                 named = other if other and (not named or TALKS.search(other)) else named
     return furniture, main, named
@@ -183,7 +185,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int, int]]:
             continue
         if name in RAW:
             if name != "svg" or not (m[3] or m[6] or "").rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, at)
                 if name == "head" and not end:
                     end = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
                 at = end.end() if end else n
