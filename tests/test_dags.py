@@ -46,8 +46,8 @@ def write_bam(path):
 def test_bam_equals_sam(spark, tmp_path):
     write_sam(tmp_path / "a.sam")
     write_bam(tmp_path / "a.bam")
-    sam, bam = (sorted((tuple(r) for r in f(spark, f"{tmp_path}/a.{e}").collect()), key=repr) for f, e in ((text.read_sam, "sam"), (bam.read_bam, "bam")))
-    assert sam == bam and len(sam) == 15
+    plain, packed = (sorted((tuple(r) for r in f(spark, f"{tmp_path}/a.{e}").collect()), key=repr) for f, e in ((text.read_sam, "sam"), (bam.read_bam, "bam")))
+    assert plain == packed and len(plain) == 15
 
 
 def test_calls_from_files(spark, tmp_path):

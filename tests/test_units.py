@@ -439,3 +439,77 @@ def test_stages_are_whole_or_not_there(spark, tmp_path):
         stages.run_stage(spark, path, {"a": 2}, lambda: 1 / 0)
     assert stages.read_stage(spark, path)["two"].count() == 3
     assert stages.run_stage(spark, path, {"a": 2}, lambda: {"two": rows})["two"].count() == 10
+
+
+def test_four_places_are_those_of_the_binary_number(spark):
+    from varlake.operators.vcf import four_places
+
+    rng = random.Random(12)
+    values = [0.0, 1.0, 0.5, 0.00015, 0.00025, 0.00005, 0.99995, 0.12345, 2.00005, 123.45675, 1 / 3, 0.0001, 0.00009999999999999999]
+    values += [k / 20_000 for k in range(0, 2000)] + [rng.random() for _ in range(2000)] + [rng.randrange(1, 400) / rng.randrange(1, 400) for _ in range(2000)] + [k / 2**14 for k in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", four_places(model.F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [f"{r['v']:.4f}" for r in rows]
+
+
+def test_exact_test_and_normal_tail(spark):
+    from varlake.functions.statistics import exact_test, normal_tail
+
+    rng = random.Random(13)
+    tables = [(rng.randrange(0, 12), rng.randrange(0, 40), rng.randrange(0, 9), rng.randrange(0, 60)) for _ in range(80)] + [(0, 0, 0, 5), (3, 0, 0, 3), (5, 5, 0, 10)]
+    c = model.F.col
+    rows = spark.createDataFrame(tables, "a long, b long, c long, d long").withColumn("p", exact_test(c("a"), c("b"), c("c"), c("d"))).collect()
+    for r in rows:
+        n, hits, first = r["a"] + r["b"] + r["c"] + r["d"], r["a"] + r["c"], r["a"] + r["b"]
+        want = sum(math.comb(hits, k) * math.comb(n - hits, first - k) for k in range(r["a"], min(hits, first) + 1)) / math.comb(n, first)
+        assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-14)
+    z = [0.0, 0.3, 1.0, 1.9999, 2.0, 3.3, 8.0, 30.0]
+    rows = spark.createDataFrame([(v,) for v in z], "z double").withColumn("p", normal_tail(c("z"))).collect()
+    assert [r["p"] for r in rows] == pytest.approx([0.5 * math.erfc(v / math.sqrt(2)) for v in z], rel=1e-10)
+
+
+def test_strand_and_p_value_filters(spark):
+    from varlake.operators.vcf import called_variants
+
+    def site(pos, ref, ref_back, alt, alt_back, base="G"):
+        return [("S", "c", pos, "A", "A", 16 if i < ref_back else 0) for i in range(ref)] + [("S", "c", pos, "A", base, 16 if i < alt_back else 0) for i in range(alt)]
+
+    rows = site(1, 20, 10, 10, 5) + site(2, 20, 10, 10, 0) + site(3, 20, 0, 10, 0) + site(4, 0, 0, 9, 9) + site(5, 4, 2, 3, 1) + site(6, 20, 10, 2, 1) + site(7, 990, 500, 10, 5) + site(8, 30, 10, 10, 1) + site(9, 20, 10, 9, 4, "N")
+    reads = spark.createDataFrame(rows, "sample string, chrom string, pos int, ref string, base string, flag int")
+    got = {r["pos"]: r for r in called_variants(reads).collect()}
+    assert {*got} == {1, 3, 7, 8} and got[1]["forward"] == 5  # 2 and 4: one strand only, though the reference's reads are not, or are none
+    assert {r["pos"] for r in called_variants(reads, one_strand=None).collect()} == {1, 2, 3, 4, 7, 8}
+    assert {r["pos"] for r in called_variants(reads, most_p=0.001).collect()} == {1, 3, 8}
+
+
+def test_markers_equal_plain_loops(spark):
+    """All genes of all groups, those without a count in a group too: z, tails, step-up adjustment, and change of means."""
+    from varlake.operators import expression
+
+    rng = np.random.default_rng(14)
+    labels = {f"c{i}": "AAB"[i % 3] if i % 7 else "D" for i in range(60)}
+    dense = {c: np.round(np.log1p(rng.poisson([0.3, 4, 4, 0.0, 1] if g != "B" else [0.3, 9, 2, 0.8, 1])), 6) for c, g in labels.items()}
+    values = spark.createDataFrame([(c, f"g{j}", float(v)) for c, r in dense.items() for j, v in enumerate(r) if v], "cell string, gene string, value double")
+    rows = expression.markers(values, spark.createDataFrame([*labels.items()], "cell string, grp string"), top=None).collect()
+    got = {(r["grp"], r["gene"]): r for r in rows}
+    cells, n = [*labels], len(labels)
+    want = {}
+    for j in range(5):
+        x = [dense[c][j] for c in cells]
+        ranks = [sum(v < u for v in x) + (sum(v == u for v in x) + 1) / 2 for u in x]
+        ties = sum(x.count(v) ** 3 - x.count(v) for v in {*x})
+        for g in "ABD":
+            own = [i for i, c in enumerate(cells) if labels[c] == g]
+            spread = len(own) * (n - len(own)) / 12 * ((n + 1) - ties / (n * (n - 1)))
+            z = (sum(ranks[i] for i in own) - len(own) * (n + 1) / 2) / math.sqrt(spread) if spread > 0 else 0.0
+            mean = lambda ix: sum(math.expm1(x[i]) for i in ix) / len(ix)
+            change = math.log2((mean(own) + 1e-9) / (mean([i for i in range(n) if i not in own]) + 1e-9))
+            want[g, f"g{j}"] = (z, math.erfc(abs(z) / math.sqrt(2)), change)
+    assert {*got} == {*want}
+    for g in "ABD":
+        order = sorted((k for k in want if k[0] == g), key=lambda k: (round(want[k][1], 12), k[1]))
+        least = 1.0
+        for place in range(len(order), 0, -1):
+            k = order[place - 1]
+            least = min(least, want[k][1] * len(order) / place)
+            assert (got[k]["z"], got[k]["p_value"], got[k]["log2_change"], got[k]["p_adjusted"]) == pytest.approx((*want[k], least), rel=1e-8, abs=1e-10)
+        assert [k[1] for k in sorted((k for k in got if k[0] == g), key=lambda k: got[k]["place"])] == [k[1] for k in sorted((k for k in want if k[0] == g), key=lambda k: (-round(want[k][0], 9), k[1]))]
