@@ -102,8 +102,8 @@ def test_template_and_query(spark, tmp_path):
     with pytest.raises(SystemExit):
         cli.main(["template", f"{tmp_path}/t.json"])
     cli.main(["template", f"{tmp_path}/t.json", "--force"])
-    cli.main(["query", "snk_atomic", "/root/testdata/sf0.001", "--out", f"{tmp_path}/q"])
-    assert spark.read.parquet(f"{tmp_path}/q").first()["n"] == 25
+    cli.main(["query", "src_fasta", "/root/testdata/sf0.001", "--out", f"{tmp_path}/q"])
+    assert spark.read.parquet(f"{tmp_path}/q").count() == 25
 
 
 def test_all_problems_in_one_error():
