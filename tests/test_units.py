@@ -513,3 +513,23 @@ def test_markers_equal_plain_loops(spark):
             least = min(least, want[k][1] * len(order) / place)
             assert (got[k]["z"], got[k]["p_value"], got[k]["log2_change"], got[k]["p_adjusted"]) == pytest.approx((*want[k], least), rel=1e-8, abs=1e-10)
         assert [k[1] for k in sorted((k for k in got if k[0] == g), key=lambda k: got[k]["place"])] == [k[1] for k in sorted((k for k in want if k[0] == g), key=lambda k: (-round(want[k][0], 9), k[1]))]
+
+
+def test_preflight(spark, tmp_path):
+    from varlake.operators import preflight
+
+    for name in ("a/x.bam", "b/x.bam", "y.vcf", "c.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    files = preflight.files_below(spark, f"file://{tmp_path}")
+    assert files.count() == 4
+    at = lambda n: f"{tmp_path}/{n}"
+    rows = [("S1", at("a/x.bam"), at("y.vcf"), at("c.csv"), None), ("S2", at("b/x.bam"), "  ", at("none.csv"), at("y.vcf"))]
+    samples = spark.createDataFrame(rows, "sample string, bam string, vcf string, cb string, annotated_vcf string")
+    got = {(r["sample"], r["input"]): r["problem"] for r in preflight.missing_inputs(samples, files, annotated=True).collect()}
+    assert got == {("S1", "annotated_vcf"): "not given", ("S2", "vcf"): "not given", ("S2", "cb"): f"no file {at('none.csv')}"}
+    assert [tuple(r) for r in preflight.repeated_prefixes(samples).collect()] == [("x", 2)]
+    with pytest.raises(FileNotFoundError, match="3 problems.*S2: cb no file.*several samples write x"):
+        preflight.checked(samples, files)
+    assert preflight.checked(samples.limit(1), files).count() == 1
+    assert preflight.missing_inputs(samples.limit(0), files).count() == 0

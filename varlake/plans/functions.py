@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import settings
 from ..functions import statistics as st
 from ..functions import variants as vt
+from ..operators import preflight
 from ..sources import derived as d
 from .register import query
 
@@ -154,3 +156,73 @@ def fn_cosine(spark, sf_dir):
 @query("fn_euclid", f"with {_VEC} select a, b, round(list_distance(x,y),9) d from v")
 def fn_euclid(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", F.round(st.euclidean(F.col("x"), F.col("y")), 9).alias("d"))
+
+
+# Texts of settings by turns: words of all kinds around numbers of the table.
+_WORDS = ("true", " YES ", "On", "1", "FALSE", "no", "\toff", "0", "", "  ", "maybe", "yes!", "2")
+_WORD_SQL = "case o_orderkey%14 " + " ".join(f"when {i} then '{w}'" for i, w in enumerate(_WORDS)) + " end"
+
+
+def _words(spark, sf_dir):
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("o_orderkey") % 14 + 1).cast("int"))
+    return d.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 14 < len(_WORDS), word).alias("word"))
+
+
+@query("fn_bool", f"with w as (select o_orderkey, lower(regexp_replace({_WORD_SQL}, '^\\s+|\\s+$', '', 'g')) w from orders) select o_orderkey, case when w in ('1','true','yes','on') then true when w in ('0','false','no','off','') then false end as value from w")
+def fn_bool(spark, sf_dir):
+    return _words(spark, sf_dir).select("o_orderkey", settings.boolean(F.col("word")).alias("value"))
+
+
+_NUMBER_SQL = "case l_linenumber when 1 then cast(l_partkey as varchar) when 2 then concat(' ',cast(l_partkey as varchar),' ') when 3 then concat('0',cast(l_partkey as varchar)) when 4 then concat('-',cast(l_partkey as varchar)) when 5 then concat(cast(l_partkey as varchar),'.0') when 6 then '' end"
+
+
+@query("fn_posint", f"with n as (select l_orderkey, l_linenumber, trim({_NUMBER_SQL}) t from lineitem) select l_orderkey, l_linenumber, case when regexp_full_match(t, '[1-9][0-9]*') then cast(t as bigint) end as value from n")
+def fn_posint(spark, sf_dir):
+    k = F.col("l_partkey").cast("string")
+    text = F.element_at(F.array(k, F.concat(F.lit(" "), k, F.lit(" ")), F.concat(F.lit("0"), k), F.concat(F.lit("-"), k), F.concat(k, F.lit(".0")), F.lit("")), F.col("l_linenumber"))
+    return d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", settings.positive_integer(F.when(F.col("l_linenumber") <= 6, text)).alias("value"))
+
+
+@query("fn_alias", """select p_partkey, case p_partkey%4 when 0 then 'euclidean' when 1 then 'cosine' else lower(regexp_replace(regexp_replace(concat(p_brand,' (',p_type,')'),'[^0-9A-Za-z_]+','_','g'),'^_+|_+$','','g')) end as alias from part""")
+def fn_alias(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, "score_euclidean").when(k == 1, "score_cosine_distance").otherwise(F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")")))
+    return d.table(spark, sf_dir, "part").select("p_partkey", settings.score_alias(name).alias("alias"))
+
+
+# Samples are customers, files are those of every order; some paths are missing, blank, or of no file.
+_SAMPLES = """samples as (select concat('C',cast(c_custkey as varchar)) sample, concat('/d/',cast(c_custkey%97 as varchar),'/o',cast(c_custkey as varchar),'.bam') bam,
+  case c_custkey%5 when 0 then null when 1 then '  ' else concat('/d/o',cast(c_custkey*3 as varchar),'.vcf') end vcf, concat('/d/o',cast(c_custkey as varchar),'.csv') cb, case when c_custkey%2=0 then concat('/d/o',cast(c_custkey as varchar),'.csv') end annotated_vcf from customer),
+ files as (select concat('/d/',cast(o_custkey%97 as varchar),'/o',cast(o_custkey as varchar),'.bam') path from orders union select concat('/d/o',cast(o_orderkey as varchar),'.vcf') from orders union select concat('/d/o',cast(o_custkey as varchar),'.csv') from orders),
+ inputs as (select sample, 'bam' as input, bam path from samples union all select sample, 'vcf', vcf from samples union all select sample, 'cb', cb from samples union all select sample, 'annotated_vcf', annotated_vcf from samples)"""
+
+
+def _samples(spark, sf_dir):
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    c, o = F.col("c_custkey"), d.table(spark, sf_dir, "orders")
+    samples = d.table(spark, sf_dir, "customer").select(
+        text("C", c).alias("sample"), text("/d/", c % 97, "/o", c, ".bam").alias("bam"), F.when(c % 5 == 0, None).when(c % 5 == 1, "  ").otherwise(text("/d/o", c * 3, ".vcf")).alias("vcf"),
+        text("/d/o", c, ".csv").alias("cb"), F.when(c % 2 == 0, text("/d/o", c, ".csv")).alias("annotated_vcf"))
+    k = F.col("o_custkey")
+    files = o.select(text("/d/", k % 97, "/o", k, ".bam").alias("path")).union(o.select(text("/d/o", F.col("o_orderkey"), ".vcf"))).union(o.select(text("/d/o", k, ".csv")))
+    return samples, files
+
+
+@query("cfg_validate", f"with {_SAMPLES} select sample, input, case when path is null or trim(path)='' then 'not given' else concat('no file ',path) end problem from inputs where path is null or path not in (select path from files)")
+def cfg_validate(spark, sf_dir):
+    samples, files = _samples(spark, sf_dir)
+    return preflight.missing_inputs(samples, files, annotated=True)
+
+
+@query("fn_path", f"with {_SAMPLES} select sample, case when trim(vcf)<>'' then vcf end as path from samples")
+def fn_path(spark, sf_dir):
+    return _samples(spark, sf_dir)[0].select("sample", settings.required_path(F.col("vcf")).alias("path"))
+
+
+@query("vc_preflight", "with p as (select concat('c', cast(c_custkey%(select greatest(2, count(*)//2) from customer) as varchar)) prefix, c_custkey from customer) select prefix, count(*) samples from p group by prefix having count(*)>1")
+def vc_preflight(spark, sf_dir):
+    """Half as many file names as samples, in folders that differ."""
+    customers = d.table(spark, sf_dir, "customer")
+    half = customers.agg(F.greatest(F.lit(2), F.floor(F.count("*") / 2)).alias("half"))
+    named = customers.join(half).select(F.col("c_custkey").cast("string").alias("sample"), F.concat(F.lit("/in/"), F.col("c_nationkey").cast("string"), F.lit("/c"), (F.col("c_custkey") % F.col("half")).cast("string"), F.lit(".bam")).alias("bam"))
+    return preflight.repeated_prefixes(named)
