@@ -291,3 +291,42 @@ def test_pipeline_stages(spark, sf):
     assert seen[0] > seen[1] > seen[2] == seen[3] <= seen[4]
     assert docs.select("doc_id").distinct().count() == seen[3]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == seen[4]
+
+
+def test_mixing_of_a_row_that_is_most_of_the_table(spark):
+    """Copies beyond what one task makes, ties and nulls: places without gaps, every copy as often as the others."""
+    rows = [(7, "the same row", "hot")] * 2600 + [(i, "w " * (i % 5), f"s{i % 3}") for i in range(200)] + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rows", F.lit("clash")).withColumn("place", F.lit(1))
+    out = mixing.stream(mixing.plan(docs, Scratch(spark, "t"), max_repeats=3.0)).collect()
+    places, hot = {}, {}
+    for r in out:
+        places.setdefault((r["source"], r["block"], r["epoch"]), []).append(r["place"])
+        if r["doc_id"] == 7 and r["source"] == "hot":
+            hot[r["epoch"]] = hot.get(r["epoch"], 0) + 1
+    assert all(sorted(p) == [*range(len(p))] for p in places.values())
+    assert hot and set(hot.values()) == {2600}
+
+
+def test_mixing_query_places(spark, sf):
+    rows = queries.QUERIES["op7_mixing"](spark, sf).collect()
+    places = {}
+    for r in rows:
+        places.setdefault((r["source"], r["block"], r["epoch"]), []).append(r["place"])
+    assert len(rows) > 100 and all(sorted(p) == [*range(len(p))] for p in places.values())
+
+
+def test_sharding_of_repeated_rows_and_ids(spark, tmp_path):
+    """Repeated rows, one id with many texts, null ids and texts, columns with clashing names, and an empty table."""
+    rows = [(5, "same", "x")] * 2300 + [(6, f"text {i}", "y") for i in range(300)] + [(None, None, None)] * 4 + [(None, f"t{i}", "z") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, slot string").withColumn("copies", F.lit("a")).withColumn("shard", F.lit("b"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.sharding_query(spark, str(tmp_path)).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(s) == [*range(len(s))] for s in slots.values())
+    count = lambda xs: {x: xs.count(x) for x in set(xs)}
+    assert count([(r["doc_id"], r["size"]) for r in got]) == count([(d, len(t or "") + 1) for d, t, _ in rows])
+    assert len({r["shard"] for r in got if r["doc_id"] == 6}) == 1
+    frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sharding.sharding_query(spark, f"{tmp_path}/none").count() == 0

@@ -7,7 +7,7 @@ sources; nothing but these 16 rows reaches the driver, however many sources ther
 
 Weights are realised per source in blocks of about BLOCK_ROWS documents dealt by hash. Every epoch orders a block anew;
 whole epochs take all of it, the last one a prefix of its permutation worth the remaining budget. So no window holds more
-than a block, and a hot source is many blocks.
+than a block, and a hot source is many blocks; a row that is repeated very often is one row there, and its copies are dealt out.
 
 A document's tokens are its white-space separated words and one end mark. Defined results: a null text has no words; a
 null source is a source; repeated rows are repeated and count each; an empty table gives no rows; a null doc_id is a
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, copied, table
 
 BLOCK_ROWS, GRID, PASSES, SEED = 1000, 16, 6, 17
 TARGET_ENTROPY, MAX_REPEATS = 0.98, 4.0
@@ -98,9 +98,11 @@ def stream(planned: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per taken document and epoch: doc_id, source, tokens, weight, exponent, epoch, block, place in the block's
     permutation (from 0). Blocks of an epoch may be read in any order, such as by hash."""
     taken = planned.withColumn("times", F.col("whole") + F.col("extra").cast("int")).filter("times > 0")
-    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    order = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("doc_id", "mark", F.col("epoch") + seed), "doc_id", "mark", "tokens", "copy")
-    return taken.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select("doc_id", "source", "tokens", "weight", "exponent", "epoch", "block", "place")
+    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    order = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("doc_id", "mark", F.col("epoch") + seed), "doc_id", "mark", "tokens")
+    # rows that agree follow each other, so that their places are numbers; they become rows only after the window
+    before = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    return copied(taken.withColumn("place", before), "rows", "place").select("doc_id", "source", "tokens", "weight", "exponent", "epoch", "block", F.col("place").cast("long").alias("place"))
 
 
 def mixed(docs: DataFrame, planned: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ the weight of a child grows, its draw shrinks and the others' stay: rows move on
 a shard in a region of its own, so that one more shard takes rows into itself alone; a shard added inside a region
 confines the moves to that region.
 
-Slots number a shard's rows from 0 without gaps: rows are dealt to ranges of their hash, counted per range, and numbered
-within the range from the range's offset, so no task sorts a whole shard.
+Slots number a shard's rows from 0 without gaps: rows are dealt to ranges of a hash of all that they have, counted per range, and numbered
+within the range from the range's offset, so no task sorts a whole shard. Rows that agree in everything are one until they have their slots, so
+that neither an id nor a row that is repeated very often fills a range.
 
 Defined results: a null key draws as an empty string; a null text has no bytes; repeated rows get slots of their own; an
 empty table gives no rows; other columns are ignored.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, copied, table
 
 SHARDS, REGION, RACK, RANGE_ROWS = 16, 8, 4, 2000
 Layout = dict[int, dict[int, dict[int, float]]]  # region, rack, shard: weight
@@ -60,25 +61,30 @@ def with_shard(rows: DataFrame, key: Column, tree: Layout, out: str) -> DataFram
     return rows.withColumn(out, shard.cast("int")).drop("tree_region", "tree_rack")
 
 
-def with_slots(rows: DataFrame, scratch: Scratch, shard: str, place: Column, ties: list[str]) -> DataFrame:
-    """rows with slot: their place in the shard by `place` (a number in (0, 1)) and ties."""
+def with_slots(rows: DataFrame, scratch: Scratch, shard: str, place: Column, ties: list[str], copies: str | None = None) -> DataFrame:
+    """rows with slot: their place in the shard by `place` (a number in (0, 1)) and ties. copies: a column that says how many rows each one stands
+    for; it is expanded, and goes."""
+    times = F.col(copies) if copies else F.lit(1)
     ranges = max(1, -(-rows.count() // (SHARDS * RANGE_ROWS)))
     rows = scratch.save(rows.withColumn("slot_place", place).withColumn("slot_range", F.floor(F.col("slot_place") * ranges).cast("long")), "placed")
-    counts = rows.groupBy(shard, "slot_range").agg(F.count("*").alias("slot_n"))
+    counts = rows.groupBy(shard, "slot_range").agg(F.sum(times).alias("slot_n"))
     before = F.sum("slot_n").over(Window.partitionBy(shard).orderBy("slot_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slot_n")
     offsets = counts.select(shard, "slot_range", before.alias("slot_before"))
     offsets = scratch.save(offsets, "offsets")
-    within = F.row_number().over(Window.partitionBy(shard, "slot_range").orderBy("slot_place", *ties)) - 1
-    return rows.withColumn("slot_within", within).join(offsets, [shard, "slot_range"]).withColumn("slot", (F.col("slot_before") + F.col("slot_within")).cast("long")).drop("slot_place", "slot_range", "slot_within", "slot_n", "slot_before")
+    upto = F.sum(times).over(Window.partitionBy(shard, "slot_range").orderBy("slot_place", *ties).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("slot_within", upto - times).join(offsets, [shard, "slot_range"]).withColumn("slot", (F.col("slot_before") + F.col("slot_within")).cast("long")).drop("slot_place", "slot_range", "slot_within", "slot_n", "slot_before")
+    return copied(out, copies, "slot").drop(copies) if copies else out
 
 
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))  # rows that agree are one until they have their slots
     tree = layout(SHARDS)
     rows = with_shard(with_shard(rows, F.col("doc_id"), tree, "shard"), F.col("doc_id"), grow(tree), "grown_shard")
-    placed = with_slots(rows, Scratch(spark, "sharding"), "shard", uniform(F.concat(F.lit("slot|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), ["doc_id", "text_crc32", "size"])
+    place = uniform(F.concat_ws("|", F.lit("slot"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    placed = with_slots(rows, Scratch(spark, "sharding"), "shard", place, ["doc_id", "text_crc32", "size"], "copies")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -107,7 +113,8 @@ h as (select doc_id, octet_length(encode(x)) + 1 size, hex(encode(x)) b,
   list_reduce(list_concat([4294967295], list_transform(range(1, octet_length(encode(x)) + 1), lambda i: cast('0x' || substr(hex(encode(x)), cast(2 * i - 1 as int), 2) as bigint))),
     lambda a, v: xor(a >> 8, t[cast(xor(a, v) & 255 as int) + 1])) r
   from d, crc),
-s as (select doc_id, size, xor(r, 4294967295) text_crc32, {shard(tree)} shard, {shard(grow(tree))} grown_shard, {uni(f"'slot|' || {key}")} place from h)
+s as (select doc_id, size, xor(r, 4294967295) text_crc32, {shard(tree)} shard, {shard(grow(tree))} grown_shard,
+  {uni(f"'slot|' || {key} || '|' || cast(xor(r, 4294967295) as varchar) || '|' || cast(size as varchar)")} place from h)
 select doc_id, cast(size as bigint) size, cast(text_crc32 as bigint) text_crc32, 'key' law, cast(shard as int) shard,
   cast(row_number() over (partition by shard order by place, doc_id, text_crc32, size) - 1 as bigint) slot, cast(grown_shard as int) grown_shard
 from s"""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +53,16 @@ class Scratch:
     def _end(self) -> None:
         if SparkSession.getActiveSession() is not None and self.spark.sparkContext._jsc is not None:
             remove(self.spark, self.base)
+
+
+COPIES_AT_ONCE = 1000
+
+
+def copied(units: DataFrame, times: str, first: str) -> DataFrame:
+    """Each unit as `times` rows, `first` counted up from its value. Units of many copies are cut into pieces that are dealt out before they become
+    rows, so that no task makes all copies of one."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("long")))
+    few = units.filter(F.col(times) <= COPIES_AT_ONCE).withColumn("copy_", upto(F.col(times)))
+    many = units.filter(F.col(times) > COPIES_AT_ONCE).withColumn("piece_", upto(F.ceil(F.col(times) / COPIES_AT_ONCE)))
+    many = many.repartition(first, "piece_").withColumn("copy_", F.explode(F.sequence(F.col("piece_") * COPIES_AT_ONCE, F.least((F.col("piece_") + 1) * COPIES_AT_ONCE, F.col(times)) - 1))).drop("piece_")
+    return few.unionByName(many).withColumn(first, F.col(first) + F.col("copy_")).drop("copy_")
