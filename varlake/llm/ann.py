@@ -11,8 +11,9 @@ The upper tree is built on the driver from a sample of at most 2 * SAMPLE rows;
 the space. Every row is indexed: it descends the upper tree to its region, and a region of more than SHARD_ROWS rows, say of
 many copies of one vector, is dealt out to several shards of that size, each with a tree of its own. Exact ranges of all
 rows of a region to the vantage points above it are kept beside the trees. A query first searches its own region; the k-th
-best found there then decides, by the same rule, which other regions it is sent to. Trees move once to the first and once to
-the second search (and once more for every QUERY_PART queries); queries are streamed past them in Arrow batches.
+best found there then decides, by the same rule, which other regions it is sent to: once to each group of shards, with the list of those in
+reach, not once to each shard. Trees move once to the first and once to the second search (and once more for every QUERY_PART queries) and are
+streamed past the queries of a group, which keep their k best and tighten their bounds from tree to tree.
 
 Defined results: vectors that are null, empty, zero, of another dimension than most, or hold nulls or non-finite
 components take no part, nor do rows with a null id; queries without candidates return no rows; ties go to the smaller
@@ -35,7 +36,7 @@ from .shared import Scratch, table
 K, SHARD_ROWS, LEAF = 20, 8192, 128
 FACTORS, TARGET = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 12.0, 16.0), 0.97
 SAMPLE, LEAVES = 65_536, 4096
-QUERY_PART, CHUNK = 262_144, 256
+QUERY_PART, CHUNK = 65_536, 256
 SLACK = 1e-7  # distances within rounding of a bound are not pruned
 
 
@@ -108,22 +109,22 @@ class Regions:
         self.children[at] = (self._build(lifted[near], depth - 1, [*path, at]), self._build(lifted[~near], depth - 1, [*path, at]))
         return at
 
-    def distances(self, y: np.ndarray) -> np.ndarray:
-        return _distance(y @ self.points.T)
+    def distances(self, y: np.ndarray, to: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return _distance(y @ self.points[to].T)
 
-    def of(self, d: np.ndarray) -> np.ndarray:
-        """The region of each row, by its distances to all vantage points."""
-        out = np.zeros(len(d), np.int32)
+    def of(self, y: np.ndarray) -> np.ndarray:
+        """The region of each row: it descends, and is held against the vantage points on its way alone."""
+        out = np.zeros(len(y), np.int32)
 
         def go(node: int, rows: np.ndarray) -> None:
             if node < 0:
                 out[rows] = -1 - node
             elif len(rows):
-                near = d[rows, node] < self.cuts[node]
+                near = _distance(y[rows] @ self.points[node]) < self.cuts[node]
                 go(self.children[node][0], rows[near])
                 go(self.children[node][1], rows[~near])
 
-        go(self.root, np.arange(len(d)))
+        go(self.root, np.arange(len(y)))
         return out
 
 
@@ -265,14 +266,14 @@ def build_index(vectors: DataFrame, scratch: Scratch, shard_rows: int = SHARD_RO
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                of = regions.of(regions.distances(lift(_stack(batch["v"]))))
+                of = regions.of(lift(_stack(batch["v"])))
                 shard = first[of] + batch["salt"].to_numpy() % count[of]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(of, pa.int32()), batch["vec_id"], batch["v"]], names=["shard", "region", "vec_id", "v"])
 
     def build(rows: pa.Table) -> pa.Table:
         x = np.stack(rows["v"].to_numpy(zero_copy_only=False))
         region = rows["region"][0].as_py()
-        d = regions.distances(lift(x.astype(np.float64)))[:, regions.paths[region]]
+        d = regions.distances(lift(x.astype(np.float64)), regions.paths[region])
         tree = Tree(rows["vec_id"].to_numpy(), x, lift)
         return pa.table({"shard": rows["shard"][:1], "region": rows["region"][:1], "low": pa.array([d.min(axis=0)], pa.list_(pa.float64())), "high": pa.array([d.max(axis=0)], pa.list_(pa.float64())), "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
 
@@ -282,35 +283,94 @@ def build_index(vectors: DataFrame, scratch: Scratch, shard_rows: int = SHARD_RO
     return Index(scratch.save(trees, "trees"), lift, regions, first, tuned_factor(sample, lift) if len(sample) else FACTORS[0])
 
 
+class _Asked:
+    """The queries of one cell, what they have found, and which of them each shard is asked by."""
+
+    def __init__(self, lift: Lift, k: int, factor: float):
+        self.lift, self.k, self.factor, self.parts, self.rows = lift, k, factor, [], None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if len(batch):
+            shards = batch["shards"].flatten().to_numpy()
+            self.parts.append((batch["query_id"].to_numpy(), np.stack(batch["q"].to_numpy(zero_copy_only=False)), batch["bound"].to_numpy(), shards, batch["shards"].value_lengths().to_numpy()))
+
+    def _ready(self) -> None:
+        self.ids, self.q, self.bound, shards, sizes = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts = []
+        self.rows = np.repeat(np.arange(len(self.ids)), sizes)
+        order = shards.argsort(kind="stable")
+        self.rows, self.shards = self.rows[order], shards[order]
+        self.norms = np.sqrt(((self.q.astype(np.float64) / self.lift.largest) ** 2).sum(axis=1))
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def ask(self, shard: int, tree: Tree) -> None:
+        if self.rows is None:
+            if not self.parts:
+                return
+            self._ready()
+        asking = self.rows[np.searchsorted(self.shards, shard, "left"):np.searchsorted(self.shards, shard, "right")]
+        for a in range(0, len(asking), CHUNK):
+            some = asking[a:a + CHUNK]
+            of, near, scores, _ = tree.search(self.ids[some], self.q[some].astype(np.float64), self.bound[some], self.k, self.factor)
+            self._merge(some[of], near, scores)
+
+    def _merge(self, of: np.ndarray, near: np.ndarray, scores: np.ndarray) -> None:
+        """The best of what has been found; a query that has k asks the next shards with the last of these as its bound."""
+        held, touched = self.found, np.isin(self.found[0], of)
+        rows, ids, values = (np.concatenate([h[touched], new]) for h, new in zip(held, (of, near, scores)))
+        order = np.lexsort((ids, np.where(np.isnan(values), np.inf, -values), rows))
+        rows, ids, values = rows[order], ids[order], values[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == self.k - 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = values[last] / self.lift.largest / self.lift.largest / self.lift.norm / self.norms[rows[last]] - 1e-9
+        self.bound[rows[last]] = np.fmax(self.bound[rows[last]], np.where(np.isfinite(bound), bound, -np.inf))
+        kept = place < self.k
+        self.found = tuple(np.concatenate([h[~touched], new[kept]]) for h, new in zip(held, (rows, ids, values)))
+
+    def result(self) -> pa.RecordBatch | None:
+        if self.rows is None or not len(self.found[0]):
+            return None
+        of, near, scores = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[of], pa.int64()), pa.array(near, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
 def _past_trees(index: Index, sent: DataFrame, n_queries: int, k: int, factor: float) -> DataFrame:
-    """(query_id, vec_id, score): what each query finds in the shards it is sent to. sent: query_id, q, bound, shard."""
-    parts = max(1, -(-n_queries // QUERY_PART))
-    cells = int(index.first[-1]) * parts
-    found = "query_id long, vec_id long, score double"
-    trees = index.trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), "tree")
-    asked = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(1))
+    """(query_id, vec_id, score): the k best that each query finds in each group of the shards it is sent to. sent: query_id, q, bound, shards. Shards
+    are dealt into as many groups as there are shuffle partitions, and a query goes once to each group, not to each shard. A task holds one
+    part of the queries of a group while the group's trees pass by, and asks each with bounds that the ones before have tightened."""
+    parts, shards = max(1, -(-n_queries // QUERY_PART)), int(index.first[-1])
+    groups = max(1, min(shards, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    lift, found = index.lift, "query_id long, vec_id long, score double"
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    trees = index.trees.select("shard", F.pmod("shard", F.lit(groups)).cast("int").alias("grp"), part.alias("part"), F.lit(1).alias("kind"), "tree")
+    asked = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(0))
+    asked = asked.withColumn("grp", F.explode(F.array_distinct(F.transform("shards", lambda s: F.pmod(s, F.lit(groups)).cast("int")))))
+    asked = asked.withColumn("shards", F.filter("shards", lambda s: F.pmod(s, F.lit(groups)) == F.col("grp")))
     both = trees.unionByName(asked, allowMissingColumns=True)
-    by_cell = both.repartition(max(2 * cells, 1), "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    by_cell = both.repartition(2 * groups * parts, "grp", "part").sortWithinPartitions("grp", "part", "kind", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree = None, None
+        at, own = None, None
         for batch in batches:
-            cell = np.stack([batch["shard"].to_numpy(), batch["part"].to_numpy()], axis=1)
+            cell = np.stack([batch["grp"].to_numpy(), batch["part"].to_numpy()], axis=1)
             kinds = batch["kind"].to_numpy()
             cuts = [0, *(1 + np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1) | (kinds[1:] != kinds[:-1]))), len(batch)]
             for start, end in zip(cuts, cuts[1:]):
                 if start == end:
                     continue
+                if at != tuple(cell[start]):
+                    if own is not None and (done := own.result()) is not None:
+                        yield done
+                    at, own = tuple(cell[start]), _Asked(lift, k, factor)
+                rows = batch.slice(start, end - start)
                 if kinds[start] == 0:
-                    at, tree = tuple(cell[start]), pickle.loads(batch["tree"][start].as_py())
+                    own.add(rows)
                     continue
-                if at != tuple(cell[start]):
-                    continue  # a shard that got no row
-                for a in range(start, end, CHUNK):
-                    rows = batch.slice(a, min(CHUNK, end - a))
-                    ids = rows["query_id"].to_numpy()
-                    of, near, scores, _ = tree.search(ids, _stack(rows["q"]), rows["bound"].to_numpy(), k, factor)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[of], pa.int64()), pa.array(near, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "vec_id", "score"])
+                for shard, tree in zip(rows["shard"].to_numpy(), rows["tree"]):
+                    own.ask(shard, pickle.loads(tree.as_py()))
+        if own is not None and (done := own.result()) is not None:
+            yield done
 
     return by_cell.mapInArrow(run, found)
 
@@ -330,16 +390,17 @@ def search(queries: DataFrame, index: Index, scratch: Scratch, k: int = K, facto
     kind = asked.schema["q"].dataType.simpleString()
 
     def sent(rows: DataFrame, others: bool) -> DataFrame:
-        """Each query and its bound, for every shard of its own region or of others in reach."""
+        """Each query, its bound, and every shard of its own region or of others in reach."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not len(batch):
                     continue
                 unit = _unit(_stack(batch["q"]))
-                d = regions.distances(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1)) if len(regions.cuts) else np.zeros((len(unit), 0))
-                home = regions.of(d)
+                lifted = np.concatenate([unit, np.zeros((len(unit), 1))], axis=1)
+                home = regions.of(lifted)
                 if others:
+                    d = regions.distances(lifted) if len(regions.cuts) else np.zeros((len(unit), 0))
                     go = _reach(regions, low, high, d, _distance(batch["bound"].to_numpy()), factor)
                     go[np.arange(len(go)), home] = False
                     where = [[s for r in np.flatnonzero(g) for s in groups[r]] for g in go]
@@ -347,7 +408,7 @@ def search(queries: DataFrame, index: Index, scratch: Scratch, k: int = K, facto
                     where = [groups[r] for r in home]
                 yield pa.RecordBatch.from_arrays([batch["query_id"], batch["q"], batch["bound"], pa.array(where, pa.list_(pa.int64()))], names=["query_id", "q", "bound", "shards"])
 
-        return rows.mapInArrow(run, f"query_id long, q {kind}, bound double, shards array<long>").withColumn("shard", F.explode("shards")).drop("shards")
+        return rows.mapInArrow(run, f"query_id long, q {kind}, bound double, shards array<long>").filter(F.size("shards") > 0)
 
     n = asked.count()
     first = scratch.save(_best(_past_trees(index, sent(asked.withColumn("bound", F.lit(float("-inf"))), False), n, k, factor), k), "first")
