@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field, fields
 
+# Words for booleans, and below the names and defaults of the settings.
 TRUE, FALSE = {"1", "true", "yes", "on"}, {"0", "false", "no", "off", ""}
 
 

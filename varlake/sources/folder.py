@@ -9,14 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset a temporary one, only in local mode, where one
+    machine does all."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="varlake-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below it."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 class Tables:
