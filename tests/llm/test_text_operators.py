@@ -265,3 +265,18 @@ def test_html(spark, sf):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
     odd = spark.createDataFrame([(None, None, None, 1), (2, "u", "<p>a", 1), (2, "u", "<p>a", 1)], "page_id long, url string, html string, n_chars int")
     assert sorted(((r["page_id"], r["text"]) for r in mainhtml.extract(odd).collect()), key=repr) == [(2, "a"), (2, "a"), (None, "")]
+
+
+def test_bpe_of_an_empty_table_and_clashing_columns(spark):
+    import public_tokenizers
+
+    from varlake.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "Some words, here.", 9, "x"), (1, "Some words, here.", 9, "x"), (None, None, None, None), (2, "", 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string")
+    got = sorted(tuple(r) for r in bpe.bpe_digests(docs, path).fillna(-1).collect())
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert got[0] == (-1, 0, empty, empty) and got[3] == (2, 0, empty, empty) and got[1] == got[2] and got[1][1] > 3
+    assert bpe.bpe_digests(docs.limit(0), path).count() == 0 and bpe.bpe_encode(docs.limit(0), path).count() == 0
+    assert bpe.bpe_decode(bpe.bpe_encode(docs, path), path).count() == 4

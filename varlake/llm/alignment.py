@@ -83,6 +83,7 @@ class Aligner:
         self.b_reads = [False]  # by state: whose turn it is
         self.memo: dict[tuple[int, int], int] = {}
         self.known: dict[str, Stretch | None] = {}
+        self.older: dict[str, Stretch | None] = {}
         apart = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in self.bytes_a) and not any(re.search(rb"[^ ] ", x) for x in self.bytes_b)
         self.cut = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*" if apart else ".+", re.S).findall
 
@@ -103,14 +104,15 @@ class Aligner:
         for at in range(0, len(texts), BATCH):
             some = [self.cut(" " + t) if t else [] for t in texts[at:at + BATCH]]
             new = set().union(*some).difference(self.known)
-            if len(self.known) + len(new) > STRETCHES_MOST:
-                self.known.clear()
-                new = set().union(*some)
-            once = self.tokenised(list(new))
+            again = new & self.older.keys()
+            self.known.update((s, self.older[s]) for s in again)
+            once = self.tokenised(list(new - again))
             yield from ([] if None in (out := [*map(once.__getitem__, cut)]) else out for cut in some)
             for stretch in new:
                 if len(stretch) > LONG:
                     del self.known[stretch]
+            if len(self.known) > STRETCHES_MOST // 2:  # what is not used again goes with the next generation
+                self.older, self.known = self.known, {}
 
     def tokenised(self, stretches: list[str]) -> dict[str, Stretch | None]:
         """All known stretches with new ones, which begin with a space: that of B's own prefix is left to it."""
