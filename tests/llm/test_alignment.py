@@ -98,8 +98,8 @@ def test_links_stay_within_the_bound(sides):
     own = alignment.Aligner(A, B)
     assert 30_000 < own.link_bound() < 700_000
     for text in own.aligned([t for t in TEXTS if t]):
-        for stretch in text:
-            for a, b in stretch.groups():
+        for _, said, _ in text:
+            for a, b in alignment.groups(said):
                 x, y = own.bytes_a[a[-1]], own.bytes_b[b[-1]]
                 assert x.endswith(y) or y.endswith(x)
     assert len(own.memo) and own.residuals[0] == (False, b"")
@@ -125,8 +125,8 @@ def test_stretches_join_to_whole_texts(sides):
     for text, found in zip(texts, own.aligned(texts)):
         a, b = (side(text) for side in sides)
         if all(b"".join(x for _, x in side) == (" " + text).encode() for side in (a, b)):
-            assert [i for s in found for g, _ in s.groups() for i in g] == [i for i, _ in a]
-            assert [j for s in found for _, g in s.groups() for j in g] == [j for j, _ in b]
+            assert [i for s in found for g, _ in alignment.groups(s[1]) for i in g] == [i for i, _ in a]
+            assert [j for s in found for _, g in alignment.groups(s[1]) for j in g] == [j for j, _ in b]
         else:
             assert found == []
     assert any(len(found) > 3 for found in own.aligned(texts))
@@ -136,7 +136,7 @@ def test_memo_of_stretches_is_bounded(monkeypatch, spark, sides):
     monkeypatch.setattr(alignment, "STRETCHES_MOST", 3)
     own = alignment.Aligner(A, B)
     texts = ["many words that are not the same", "many words that are", None, "x" * 500, "many"] * 40
-    whole = [[s.said for s in found] for found in alignment.Aligner(A, B).aligned(texts[:5])]
+    whole = [[s[1] for s in found] for found in alignment.Aligner(A, B).aligned(texts[:5])]
     for _ in range(2):
-        assert [[s.said for s in found] for found in own.aligned(texts)] == whole * 40
-    assert not any(len(s) > alignment.LONG for s in own.known)
+        assert [[s[1] for s in found] for found in own.aligned(texts)] == whole * 40
+    assert not any(len(s) > alignment.LONG for s in own.known) and len(own.known) <= 40

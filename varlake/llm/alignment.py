@@ -32,7 +32,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,22 +42,19 @@ from .bpe import byte_symbols
 from .shared import Scratch, table
 
 BATCH = 64  # texts tokenised at a time
-MEMO_MOST, STRETCHES_MOST = 2_000_000, 250_000
+MEMO_MOST, STRETCHES_MOST = 2_000_000, 400_000
 LONG = 64  # longer stretches are not memoised
 SHIFT = 32  # a pair of ids is a * 2**SHIFT + b
+STATE_SHIFT = 20  # bits of a token in the key of a transition
 PIECE_SPACE = "▁"
 
 
-class Stretch(NamedTuple):
-    """Of a part of a text: how many tokens A and B have, the groups of their ids as `a1,a2|b1;a3|b2,b3`, and the links."""
+# Of a part of a text: n_a | n_b << SHIFT, the groups of ids as `a1,a2|b1;a3|b2,b3`, and its links, codes of eight bytes each.
+Stretch = tuple[int, str, bytes]
 
-    n_a: int
-    n_b: int
-    said: str
-    links: list[int]
 
-    def groups(self) -> list[tuple[list[int], list[int]]]:
-        return [tuple([*map(int, side.split(","))] for side in group.split("|")) for group in self.said.split(";")]
+def groups(said: str) -> list[tuple[list[int], list[int]]]:
+    return [tuple([*map(int, side.split(","))] for side in group.split("|")) for group in said.split(";")]
 
 
 class Aligner:
@@ -81,7 +77,8 @@ class Aligner:
         self.residuals: list[tuple[bool, bytes]] = [(False, b"")]  # state: whether A leads, by which bytes
         self.states = {(False, b""): 0}
         self.b_reads = [False]  # by state: whose turn it is
-        self.memo: dict[tuple[int, int], int] = {}
+        self.memo: dict[int, int] = {}  # by state and token
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.known: dict[str, Stretch | None] = {}
         self.older: dict[str, Stretch | None] = {}
         apart = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in self.bytes_a) and not any(re.search(rb"[^ ] ", x) for x in self.bytes_b)
@@ -115,16 +112,36 @@ class Aligner:
                 self.older, self.known = self.known, {}
 
     def tokenised(self, stretches: list[str]) -> dict[str, Stretch | None]:
-        """All known stretches with new ones, which begin with a space: that of B's own prefix is left to it."""
-        ids_b = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        for stretch, a, b in zip(stretches, self.a.encode_batch_fast(stretches, add_special_tokens=False), ids_b):
+        """All known stretches with new ones, which begin with a space: that of B's own prefix is left to it. Stretches that end with a sign are
+        tokenised as one text, which is cut where they end; should the bytes not be the text's, each on its own."""
+        text = "".join([s for s in stretches if s[-1:].strip() and len(s) <= LONG])
+        apart = [s for s in stretches if not s[-1:].strip() or len(s) > LONG]
+        if text:
+            together = [s for s in stretches if s[-1:].strip() and len(s) <= LONG]
+            ends = np.cumsum([len(s.encode()) for s in together])
+            ids = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+            cuts = []
+            for side, tokens in zip(ids, (self.bytes_a, self.bytes_b)):
+                upto = np.cumsum([len(tokens[i]) for i in side])
+                cut = np.searchsorted(upto, ends)
+                same = len(upto) and upto[-1] == ends[-1] and (upto[cut] == ends).all() and b"".join([tokens[i] for i in side]) == text.encode()
+                cuts.append([0, *(cut + 1).tolist()] if same else None)
+            if None in cuts:
+                apart = stretches
+            else:
+                (a, b), (ca, cb) = ids, cuts
+                for n, stretch in enumerate(together):
+                    self.known[stretch] = self.transduced(a[ca[n]:ca[n + 1]], b[cb[n]:cb[n + 1]])
+        ids_b = self.b.encode([s[1:] for s in apart], num_threads=1)
+        for stretch, a, b in zip(apart, self.a.encode_batch_fast(apart, add_special_tokens=False), ids_b):
             whole, a, b = stretch.encode(), a.ids, b or [self.b.piece_to_id(PIECE_SPACE)]
-            kept = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            kept = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
             self.known[stretch] = self.transduced(a, b) if kept else None
         return self.known
 
-    def _learn(self, state: int, token: int) -> int:
+    def _learn(self, key: int) -> int:
         """The state after the side whose turn it is has read the token."""
+        state, token = key >> STATE_SHIFT, key & ((1 << STATE_SHIFT) - 1)
         a_leads, residual = self.residuals[state]
         read = (self.bytes_b if a_leads else self.bytes_a)[token]
         if residual.startswith(read):
@@ -140,27 +157,31 @@ class Aligner:
             self.b_reads.append(after[0])
         if len(self.memo) > MEMO_MOST:
             self.memo.clear()
-        self.memo[state, token] = self.states[after]
+        self.memo[key] = self.states[after]
         return self.states[after]
 
     def transduced(self, a: list[int], b: list[int]) -> Stretch:
-        said, links, state, i, j, at_a, at_b, known, b_reads, text = [], [], 0, 0, 0, 0, 0, self.memo.get, self.b_reads, self.text
-        while i < len(a) or j < len(b):
+        said, links, state, i, j, at_a, at_b = [], [], 0, 0, 0, 0, 0
+        known, b_reads, text, four = self.memo.get, self.b_reads, self.text, self.four
+        n_a, n_b = len(a), len(b)
+        while i < n_a or j < n_b:
             if b_reads[state]:
                 token = b[j]
                 j += 1
             else:
                 token = a[i]
                 i += 1
-            after = known((state, token))
-            state = self._learn(state, token) if after is None else after
+            key = state << STATE_SHIFT | token
+            state = known(key, -1)
+            if state < 0:
+                state = self._learn(key)
             if not state:  # a group closes
                 left = text[a[at_a]] if i == at_a + 1 else ",".join([text[t] for t in a[at_a:i]])
                 right = text[b[at_b]] if j == at_b + 1 else ",".join([text[t] for t in b[at_b:j]])
                 said.append(f"{left}|{right}")
-                links.append((a[i - 1] << SHIFT) + b[j - 1])
+                links.append(four[b[j - 1]] + four[a[i - 1]])
                 at_a, at_b = i, j
-        return Stretch(i, j, ";".join(said), links)
+        return i | j << SHIFT, ";".join(said), b"".join(links)
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -183,7 +204,7 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
         for batch in batches:
-            out = [[{"a": a, "b": b} for s in text for a, b in s.groups()] for text in own.aligned(batch["text"].to_pylist())]
+            out = [[{"a": a, "b": b} for _, said, _ in text for a, b in groups(said)] for text in own.aligned(batch["text"].to_pylist())]
             kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, kind)], names=["id", "groups"])
 
@@ -199,10 +220,10 @@ def linked_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
         for batch in batches:
             numbers, digests, pairs, times = [], [], [], []
             for text in own.aligned(batch["text"].to_pylist()):
-                codes, n = np.unique(np.array([link for s in text for link in s.links], np.int64), return_counts=True)
-                links = int(n.sum())
-                numbers.append((sum(s.n_a for s in text), sum(s.n_b for s in text), links, links))  # a link for each group
-                digests.append(hashlib.sha256(";".join([s.said for s in text]).encode()).hexdigest() if text else "")
+                codes, n = np.unique(np.frombuffer(b"".join([s[2] for s in text]), np.int64), return_counts=True)
+                both, links = sum([s[0] for s in text]), int(n.sum())
+                numbers.append((both & ((1 << SHIFT) - 1), both >> SHIFT, links, links))  # a link for each group
+                digests.append(hashlib.sha256(";".join([s[1] for s in text]).encode()).hexdigest() if text else "")
                 pairs.append(codes)
                 times.append(n)
             columns = [pa.array(c, pa.int64()) for c in zip(*numbers)] or [pa.array([], pa.int64())] * 4
