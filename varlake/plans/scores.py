@@ -363,7 +363,7 @@ _LINKS = """l as (select l_orderkey, cast(l_suppkey as varchar) s, l_linenumber
  w as (select a, b, cast(count(*) as double) w from (select a, b from e union all select b, a from e) group by a, b), n as (select a, cast(s_nationkey as int) c, sum(w) k from w join supplier on cast(s_suppkey as varchar)=a group by all)"""
 
 
-@query("gr_modularity", f"""with {_LINKS} select cast(count(*) as bigint) nodes, round((select sum(w) from w join n x on x.a=w.a join n y on y.a=w.b where x.c=y.c)/sum(k)
+@query("gr_modularity", f"""with {_LINKS} select cast(count(*) as bigint) nodes, round(coalesce((select sum(w) from w join n x on x.a=w.a join n y on y.a=w.b where x.c=y.c),0)/sum(k)
  - 0.4*(select sum(t*t) from (select sum(k) t from n group by c))/(sum(k)*sum(k)), 9) modularity from n""")
 def gr_modularity(spark, sf_dir):
     """Of suppliers by nation, where those of neighbouring lines of an order are linked."""
