@@ -533,3 +533,19 @@ def test_preflight(spark, tmp_path):
         preflight.checked(samples, files)
     assert preflight.checked(samples.limit(1), files).count() == 1
     assert preflight.missing_inputs(samples.limit(0), files).count() == 0
+
+
+def test_name_lists(spark, tmp_path):
+    from varlake.sources import tables
+
+    rows = [("a", 2, "zwei"), ("a", 1, "eins"), ("b", 5, "größer"), ("b", 7, ""), ("c d", 0, "x" * 300)]
+    tables.write_name_lists(spark.createDataFrame(rows, "list string, ix int, name string"), f"{tmp_path}/lists")
+    got = sorted(tuple(r) for r in tables.read_name_lists(spark, f"{tmp_path}/lists").collect())
+    assert got == [("a", 0, "eins"), ("a", 1, "zwei"), ("b", 0, "größer"), ("b", 1, ""), ("c d", 0, "x" * 300)]
+    np.save(tmp_path / "genes.npy", np.array(["g1", "g22"]))
+    np.save(tmp_path / "bytes.npy", np.array([b"g1", "ü".encode()]))
+    for name, want in (("genes", ["g1", "g22"]), ("bytes", ["g1", "ü"])):
+        assert [(r["list"], r["name"]) for r in tables.read_name_lists(spark, f"{tmp_path}/{name}.npy").orderBy("ix").collect()] == [(None, w) for w in want]
+    np.save(tmp_path / "numbers.npy", np.array([1, 2]))
+    with pytest.raises(Exception, match="not a list of names"):
+        tables.read_name_lists(spark, f"{tmp_path}/numbers.npy").collect()

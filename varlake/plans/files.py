@@ -100,6 +100,15 @@ def snk_npy(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("src_npy", f"with {d.OBS} select sample as list, cast(row_number() over (partition by sample order by snv)-1 as int) ix, snv as name from (select distinct sample, snv from obs)")
+def src_npy(spark, sf_dir):
+    """The variants of each sample as an array file, read as names with their places."""
+    path = shared_folder(spark, "lists")
+    names = d.matrix(spark, sf_dir).select(F.col("sample").alias("list"), F.col("snv").alias("name")).distinct()
+    tables.write_name_lists(names.withColumn("ix", F.row_number().over(Window.partitionBy("list").orderBy("name"))), path)
+    return tables.read_name_lists(spark, path)
+
+
 @query("snk_atomic", """select 'failed' step, 0 n from customer having count(*) > 0 union all select 'rerun', count(*) from customer union all select 'same settings', count(*) from customer
  union all select 'failed with other settings', count(*) from customer union all select 'other settings', count(*) from customer where c_custkey % 2 = 0""")
 def snk_atomic(spark, sf_dir):
