@@ -72,3 +72,10 @@ def lower_medians(rows: DataFrame, by: list[str], value: str, weight: str | None
     """by, out: the smallest value at which half of the weight (by default: of the rows) is reached."""
     half = lambda n: F.array(F.struct(F.lit("half").alias("name"), (n / 2).cast("double").alias("part")))
     return _reached(_counted(rows, by, value, weight), half).select(*(F.col("g")[c].alias(c) for c in by), F.col("v").alias(out))
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], weight: str, out: str = "running") -> DataFrame:
+    """rows with the weight that has been reached at each of them, in its group and order; rows that are alike in the order follow each other in
+    that of all columns, so that each has a weight of its own. A group is in one task; lower_medians() and quantiles() need none."""
+    window = Window.partitionBy(*by).orderBy(*order, *(c for c in rows.columns if c not in (*by, *order))).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out, F.sum(weight).over(window))

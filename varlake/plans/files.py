@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calls, reads as rd
+from ..operators.quantiles import running
 from ..sources import derived as d
 from ..sources import bam, stages, tables, text
 from ..sources.folder import shared_folder
@@ -167,7 +168,10 @@ def src_fasta(spark, sf_dir):
     return text.read_fasta(spark, path)
 
 
-@query("win_cumw", "select l_orderkey, l_linenumber, cast(sum(l_linenumber) over (partition by l_orderkey order by l_linenumber) as bigint) running from lineitem")
+@query("win_cumw", f"with {d.COUNTS}, r as (select sample, {SITE}, sum(alt_reads) a, sum(alt_reads+ref_reads) w from counts where alt_reads>=2 group by all) select sample, {SITE}, cast(sum(w) over (partition by sample order by cast(a as double)/w, {SITE} rows unbounded preceding) as bigint) running from r")
 def win_cumw(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_linenumber").over(w).cast("long").alias("running"))
+    """The weight up to each variant's share of reads, the step before a weighted median."""
+    c = d.counts(spark, sf_dir).filter("alt_reads >= 2")
+    per = c.groupBy("sample", *rd.SITE).agg(F.sum("alt_reads").alias("a"), F.sum(F.col("alt_reads") + F.col("ref_reads")).alias("w"))
+    rows = per.select("sample", (F.col("a") / F.col("w")).alias("share"), *rd.SITE, "w")
+    return running(rows, ["sample"], ["share"], "w").select("sample", *rd.SITE, F.col("running").cast("long").alias("running"))

@@ -100,10 +100,18 @@ def jn_rnaedit_events(spark, sf_dir):
     return v.outside_intervals(rows, spans, 64).select("event_id", "pos", "chrom")
 
 
-@query("fn_chrcompat", f"with {d.VCF} select true a_chr, false b_chr, false agree from (select 1 from vcf limit 1)")
+@query("fn_chrcompat", f"""with {d.AF}, sides as (select cast(substr(snv, length(snv)-4, 1) as varchar) as side, bool_or(starts_with(snv,'chr')) a, bool_or(not starts_with(snv,'chr')) bare from snvs group by 1),
+ n as (select bool_or(starts_with(chrom,'chr')) r from reads) select side, r a_chr, not bare as b_chr, r = (not bare) as agree from sides, n""")
 def fn_chrcompat(spark, sf_dir):
-    rows = d.vcf(spark, sf_dir).select("chrom")
-    return v.chromosome_styles(rows, rows.select(F.substring("chrom", 4, 9).alias("chrom")))
+    """The reads' contigs against lists of variants by position; one of the lists is taken without chr, the others with it."""
+    reads, out = d.all_reads(spark, sf_dir).select("chrom"), None
+    names = d.snvs(spark, sf_dir).withColumn("side", F.expr("substr(snv, length(snv) - 4, 1)"))
+    for side in "01234":
+        own = names.filter(F.col("side") == side)
+        listed = own.filter("not startswith(snv, 'chr')") if side == "3" else own
+        one = v.chromosome_styles(reads, listed.select(F.substring_index("snv", ":", 1).alias("chrom"))).withColumn("side", F.lit(side))
+        out = one if out is None else out.unionByName(one)
+    return out.select("side", "a_chr", "b_chr", "agree")
 
 
 @query("src_bed", f"""with {d.READS}, {d.BED} select chrom, cast("start" as int) as "start", cast("end" as int) as "end" from bed union all
