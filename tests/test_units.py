@@ -158,6 +158,14 @@ def test_min_max_of_one_value(spark):
     assert [r["n"] for r in scoring.min_max(rows, "s", "n").collect()] == [0.0, 0.0, None]
 
 
+def test_rounding_is_no_spread(spark):
+    """Cells that carry the same variants have one mean score, whatever the order of its sum."""
+    same = [(f"C{i}", "T0", x) for i, x in enumerate([0.34028499653768346, 0.34028499653768384, 0.3402849965376839])]
+    rows = spark.createDataFrame([*same, ("C3", "T1", 1e-9), ("C4", "T1", 3e-9), ("C5", "T2", 0.0)], "cell string, celltype string, perturbation double")
+    got = {r["cell"]: r["z"] for r in scoring.within_celltype_z(rows).collect()}
+    assert got == pytest.approx({"C0": 0, "C1": 0, "C2": 0, "C3": -1, "C4": 1, "C5": 0})
+
+
 def test_counterfactual_equals_two_full_passes():
     w = model.seeded_weights(6, 4, latent=3, hidden=(5, 4))
     x, snvs, signs = np.array([[1.0, 0, 2, 5, 0, 1]]), np.array([0, 2, 3]), np.array([1.0, -1, 1])

@@ -98,12 +98,15 @@ def cell_perturbation(matrix: DataFrame, cells: DataFrame, scores: DataFrame, sc
     return cells.select("cell", "celltype").join(means, "cell", "left").select("cell", "celltype", value.alias("perturbation"))
 
 
+ROUNDING = 1e-12  # a spread that is smaller against the values is left by the order of sums
+
+
 def within_celltype_z(rows: DataFrame, value: str = "perturbation", out: str = "z") -> DataFrame:
-    """Population z-score within the cell type; 0 where there is no spread. Two numbers per cell type are joined back, so
+    """Population z-score within the cell type; 0 where there is no spread but that of rounding. Two numbers per cell type are joined back, so
     that no window holds a cell type."""
-    stats = rows.groupBy("celltype").agg(F.avg(value).alias("zs_m"), F.stddev_pop(value).alias("zs_s"))
-    z = F.when(F.col("zs_s") > 0, (F.col(value) - F.col("zs_m")) / F.col("zs_s")).otherwise(0.0)
-    return rows.join(stats, "celltype").withColumn(out, z).drop("zs_m", "zs_s")
+    stats = rows.groupBy("celltype").agg(F.avg(value).alias("zs_m"), F.stddev_pop(value).alias("zs_s"), F.max(F.abs(value)).alias("zs_most"))
+    z = F.when(F.col("zs_s") > ROUNDING * F.col("zs_most"), (F.col(value) - F.col("zs_m")) / F.col("zs_s")).otherwise(0.0)
+    return rows.join(stats, "celltype").withColumn(out, z).drop("zs_m", "zs_s", "zs_most")
 
 
 def strongly_perturbed(rows: DataFrame, limit: float = 1.0) -> DataFrame:
