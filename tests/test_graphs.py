@@ -70,6 +70,14 @@ def test_members_of_a_round_are_bounded(spark):
     assert 0 < len({r["a"] for r in found}) <= 60
 
 
+def test_rows_that_have_met_do_not_move_again(spark):
+    """Of three rows around one, only pairs with a fresh entry are compared; without any nothing is."""
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id long, z array<double>")
+    graph = lambda fresh: spark.createDataFrame([(0, b, float(b * b), 1, b in fresh, True) for b in (1, 2, 3)], "a long, b long, d double, place int, fresh boolean, drawn boolean")
+    assert nb._round(graph(()), points, 30, 20, 1).collect() == []
+    assert {(r["a"], r["b"]) for r in nb._round(graph((3,)), points, 30, 20, 1).collect()} == {(1, 3), (3, 1), (2, 3), (3, 2)}
+
+
 def test_whole_groups_are_whole(spark):
     import pyarrow as pa
 

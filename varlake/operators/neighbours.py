@@ -2,7 +2,8 @@
 
 Random projection trees, built on a bounded sample, deal the rows into blocks; the nearest within a row's blocks are its first pool of
 neighbours. A round then brings together, for every row, rows of its pool and rows that have it in theirs, at most SAMPLE of either
-in expectation and chosen by hash, and compares all of these with each other: what is nearer than the last of a row's pool is taken up. Rounds end when
+in expectation and chosen by hash, and compares these with each other: what is nearer than the last of a row's pool is taken up. An entry is fresh until
+it has been chosen once, and pairs of which neither is fresh are not compared again, so that later rounds move fewer vectors. Rounds end when
 few rows change. Each round moves a bounded number of vectors per row, so its shuffle grows with the rows, not with their square.
 
 Rows that many others point to are sampled by the number that do, so that no group grows with the table. Among equal distances a hash of both
@@ -115,7 +116,7 @@ def _first_pools(points: DataFrame, n: int, pool: int, seed: int) -> DataFrame:
                 for t, tree in enumerate(trees):
                     yield pa.RecordBatch.from_arrays([b["id"], b["grp"], b["z"], pa.array(tree.of(z, depths) * TREES + t)], names=["id", "grp", "z", "leaf"])
 
-    dealt = points.mapInArrow(deal, "id long, grp long, z array<double>, leaf long")
+    dealt = points.mapInArrow(deal, f"id long, grp long, z {dict(points.dtypes)['z']}, leaf long")
     # leaves beyond LEAVES, and copies, are dealt out by their own size
     large = dealt.groupBy("grp", "leaf").agg(F.ceil(F.count("*") / (4 * LEAF_ROWS)).alias("pieces")).filter("pieces > 1")
     dealt = dealt.join(large, ["grp", "leaf"], "left").withColumn("piece", F.pmod(F.xxhash64("id", "leaf"), F.coalesce("pieces", F.lit(1))))
@@ -129,27 +130,38 @@ def _first_pools(points: DataFrame, n: int, pool: int, seed: int) -> DataFrame:
 
 
 def _best(found: DataFrame, pool: int) -> DataFrame:
-    """The pool of each row: (a, b, d), the nearest of what was found, each other row once."""
-    once = found.groupBy("a", "b").agg(F.min("d").alias("d"))
+    """The pool of each row: (a, b, d, fresh, born), the nearest of what was found, each other row once. One shuffle, by row, serves both steps."""
+    once = found.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"), F.min("born").alias("born"))
     place = F.row_number().over(Window.partitionBy("a").orderBy("d", F.xxhash64("a", "b"), "b"))
     return once.withColumn("place", place).filter(F.col("place") <= pool)
 
 
-def _round(graph: DataFrame, points: DataFrame, pool: int, sample: int, seed: int) -> DataFrame:
-    """(a, b, d): what rows that meet through a third one find in each other."""
+def _drawn(graph: DataFrame, pool: int, sample: int, seed: int) -> DataFrame:
+    """graph with drawn: whether an entry takes part in this round."""
     wanted = graph.groupBy(F.col("b").alias("to")).agg(F.count("*").alias("wanted"))
     links = graph.join(wanted, F.col("b") == F.col("to")).withColumn("draw", F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20))
-    kept = links.filter((F.col("draw") < F.lit(float(sample)) / F.greatest("wanted", F.lit(sample))) & (F.pmod(F.xxhash64("b", "a", F.lit(seed)), F.lit(pool)) < sample))
-    members = kept.select(F.col("a").alias("v"), F.col("b").alias("u")).union(kept.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct()
+    drawn = (F.col("draw") < F.lit(float(sample)) / F.greatest("wanted", F.lit(sample))) & (F.pmod(F.xxhash64("b", "a", F.lit(seed)), F.lit(pool)) < sample)
+    return links.select(*graph.columns, drawn.alias("drawn"))
+
+
+def _round(graph: DataFrame, points: DataFrame, pool: int, sample: int, seed: int) -> DataFrame:
+    """(a, b, d): what rows that meet through a third one find in each other. Rows of which neither is fresh have met before, or had their chance;
+    where no row is fresh, none moves. Without a column `drawn` entries are drawn here, and all are fresh."""
+    if "drawn" not in graph.columns:
+        graph = _drawn(graph.withColumn("fresh", F.lit(True)), pool, sample, seed)
+    kept = graph.filter("drawn")
+    members = kept.select(F.col("a").alias("v"), F.col("b").alias("u"), "fresh").union(kept.select(F.col("b").alias("v"), F.col("a").alias("u"), "fresh"))
+    members = members.repartition("v").groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
+    members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("v"))).filter("any").drop("any")
     last = graph.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= pool, F.max("d")).alias("limit"))
-    known = points.drop("grp").join(last, "id", "left").select(F.col("id").alias("u"), "z", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+    known = points.drop("grp", "cell").join(last, "id", "left").select(F.col("id").alias("u"), "z", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in whole_groups(batches, "v"):
-            ids, limit, z = rows["u"].to_numpy(), rows["limit"].to_numpy(), vectors(rows["z"])
-            yield _batch([_nearest_in(ids[i:j], squared_distances(z[i:j]), limit[i:j], pool) for i, j in zip(at, at[1:])])
+            ids, limit, z, fresh = rows["u"].to_numpy(), rows["limit"].to_numpy(), vectors(rows["z"]), rows["fresh"].to_numpy()
+            yield _batch([_nearest_in(ids[i:j], np.where(fresh[i:j, None] | fresh[None, i:j], squared_distances(z[i:j]), np.inf), limit[i:j], pool) for i, j in zip(at, at[1:])])
 
-    return by_group(members.join(known, "u").select("v", "u", "z", "limit"), "v").mapInArrow(meet, _FOUND)
+    return by_group(members.join(known, "u").select("v", "u", "z", "limit", "fresh"), "v").mapInArrow(meet, _FOUND)
 
 
 def approximate_neighbours(latents: DataFrame, tables: Tables, k: int = 15, pool: int = POOL, sample: int = SAMPLE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
@@ -157,18 +169,20 @@ def approximate_neighbours(latents: DataFrame, tables: Tables, k: int = 15, pool
     grp, a long: only cells of one group are neighbours then. Null vectors take no part. The result is one of `tables`."""
     pool = max(pool, k)
     grp = F.coalesce(F.col("grp").cast("long"), F.lit(0)) if "grp" in latents.columns else F.lit(0).cast("long")
-    named = latents.filter("z is not null").select(F.col("cell").cast("string").alias("cell"), grp.alias("grp"), F.col("z").cast("array<double>").alias("z"))
+    kind = "array<float>" if dict(latents.dtypes)["z"] == "array<float>" else "array<double>"  # distances are taken in double precision from either
+    named = latents.filter("z is not null").select(F.col("cell").cast("string").alias("cell"), grp.alias("grp"), F.col("z").cast(kind).alias("z"))
     points = tables.save(named.withColumn("id", F.monotonically_increasing_id()), "points")
     n = points.count()
     if not n:
         return points.select("cell", F.col("cell").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("place"))
-    graph = tables.save(_best(_first_pools(points, n, pool, seed), pool), "graph-0")
+    in_turn = lambda found, turn: found.select("a", "b", "d", F.lit(True).alias("fresh"), F.lit(turn).alias("born"))
+    graph = tables.save(_best(in_turn(_first_pools(points, n, pool, seed), 0), pool), "graph-0")
     for turn in range(1, rounds + 1):
-        found = _round(graph, points, pool, sample, seed + turn)
-        after = tables.save(_best(graph.select("a", "b", "d").union(found), pool), f"graph-{turn}")
-        new = after.join(graph, ["a", "b"], "left_anti").count()
-        tables.drop(f"graph-{turn - 1}")
-        graph = after
+        drawn = tables.save(_drawn(graph.drop("place"), pool, sample, seed + turn), f"drawn-{turn}")
+        known = drawn.select("a", "b", "d", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), "born")
+        graph = tables.save(_best(known.union(in_turn(_round(drawn, points, pool, sample, seed + turn), turn)), pool), f"graph-{turn}")
+        new = graph.filter(F.col("born") == turn).count()
+        tables.drop(f"graph-{turn - 1}", f"drawn-{turn}")
         if new <= FEW * n * pool:
             break
     names = points.select("id", "cell")
