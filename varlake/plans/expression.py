@@ -133,9 +133,13 @@ def jn_cells(spark, sf_dir):
     """Names that no row shares at first; batch_barcode then matches."""
     from ..operators.scoring import aligned_cells
 
-    rna_cells = d.rna(spark, sf_dir).select("cell", "batch").distinct()
-    snv_cells = d.matrix(spark, sf_dir).select(F.regexp_replace("cell", "^.*_", "").alias("cell"), F.col("sample").alias("batch"), F.regexp_replace("cell", "^.*_", "").alias("barcode")).distinct()
-    return aligned_cells(rna_cells, snv_cells).select("cell", "batch")
+    def aligned(tables):
+        """The names are written once: several steps read them."""
+        rna_cells = tables.save(d.rna(spark, sf_dir).select("cell", "batch").distinct(), "rna")
+        snv_cells = d.matrix(spark, sf_dir).select(F.regexp_replace("cell", "^.*_", "").alias("cell"), F.col("sample").alias("batch"), F.regexp_replace("cell", "^.*_", "").alias("barcode")).distinct()
+        return aligned_cells(rna_cells, tables.save(snv_cells, "snv")).select("cell", "batch")
+
+    return kept(spark, "aligned", aligned)
 
 
 @query("flt_doublet")
