@@ -370,8 +370,12 @@ def gr_modularity(spark, sf_dir):
     lines = d.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("cell"), "l_linenumber")
     after = lines.select(F.col("l_orderkey").alias("o"), F.col("cell").alias("neighbour"), (F.col("l_linenumber") - 1).alias("before"))
     pairs = lines.join(after, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("before"))).filter("cell <> neighbour")
-    both = pairs.select("cell", "neighbour").union(pairs.select("neighbour", "cell")).groupBy("cell", "neighbour").agg(F.count("*").alias("weight"))
-    edges = cm.undirected(both)
+    linked = pairs.groupBy(F.least("cell", "neighbour").alias("cell"), F.greatest("cell", "neighbour").alias("neighbour")).agg(F.count("*").alias("weight"))
     labels = d.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("cell"), F.col("s_nationkey").alias("cluster"))
-    value = cm.modularity(edges, labels, 0.4)
-    return edges.agg(F.countDistinct("a").alias("nodes")).withColumn("modularity", F.round(F.lit(value), 9))
+
+    def valued(tables):
+        edges = tables.save(cm.undirected(tables.save(linked, "linked")), "edges")  # read by every sum below
+        value = cm.modularity(edges, labels, 0.4)
+        return edges.agg(F.countDistinct("a").alias("nodes")).withColumn("modularity", F.round(F.lit(value), 9))
+
+    return kept(spark, "modularity", valued)
