@@ -10,7 +10,7 @@ from ..operators import calls, reads as rd
 from ..operators.quantiles import running
 from ..sources import derived as d
 from ..sources import bam, stages, tables, text
-from ..sources.folder import shared_folder
+from ..sources.folder import Tables, shared_folder
 from .register import query
 
 SITE = "chrom, pos, ref, alt"
@@ -20,8 +20,10 @@ SITE = "chrom, pos, ref, alt"
 def snk_vcf(spark, sf_dir):
     """A file for every sample."""
     paths = {s: shared_folder(spark, "vcf") for s in d.SAMPLES}
-    for s, path in paths.items():
-        text.write_vcf(d.vcf(spark, sf_dir).filter(F.col("sample") == s), path, ["##fileformat=VCFv4.2", "#CHROM"])
+    with Tables(spark, "vcf-work") as held:
+        lines = held.save(d.vcf(spark, sf_dir), "lines")  # once for all samples
+        for s, path in paths.items():
+            text.write_vcf(lines.filter(F.col("sample") == s), path, ["##fileformat=VCFv4.2", "#CHROM"])
     return text.read_vcf(spark, paths).select("sample", "chrom", "pos", "ref", "alt", "info", "sample_text")
 
 
