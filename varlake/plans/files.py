@@ -91,7 +91,8 @@ def src_bam(spark, sf_dir):
         F.col("read_id").cast("string").alias("name"), F.col("flag").cast("int").alias("flag"), "chrom", F.col("pos").alias("start"), F.col("map_q").cast("int").alias("map_q"), F.lit("1M").alias("cigar"),
         F.col("base").alias("seq"), F.char(F.col("base_q") + 33).alias("qual"), F.concat_ws("_", "sample", "barcode").alias("barcode"), "umi")
     contigs = [(f"chr{c}", 10_000) for c in [*range(1, 23), "X", "M"]]
-    bam.write_bam(reads.repartitionByRange(2, "chrom", "start").sortWithinPartitions("chrom", "start"), path, contigs)
+    # by name, too: reads of one site may be more than a file's
+    bam.write_bam(reads.repartitionByRange(d.read_files(spark, sf_dir, 2), "chrom", "start", "name").sortWithinPartitions("chrom", "start"), path, contigs)
     return bam.read_bam(spark, path)
 
 

@@ -11,6 +11,7 @@ from ..operators import calls, reads as rd
 # Parameters that leave rows on small synthetic tables; the operators' own defaults differ.
 PRIOR, ERROR, P_ALT, THRESHOLD = 0.02, 0.001, 0.5, 0.9925
 SAMPLES = ["S0", "S1", "S2", "S3"]  # all that the reads have
+FILE_READS = 1_000_000  # about as many reads go into a file, so that no task's share grows with the tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,11 @@ def all_reads(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFram
         F.when(c("l_linenumber") == 7, 1024).when(c("l_linenumber") == 6, 256).when(c("l_linenumber") == 5, 16).otherwise(0).alias("flag"))
 
 
+def read_files(spark: SparkSession, sf_dir: str, least: int) -> int:
+    """How many files the reads are dealt to."""
+    return max(least, -(-table(spark, sf_dir, "lineitem").count() // FILE_READS))
+
+
 READS = """reads as (select l_orderkey*8+l_linenumber as read_id, concat('S', cast(c_nationkey%4 as varchar)) as sample,
   concat('CB', lpad(cast(o_custkey%50 as varchar),4,'0')) as barcode, concat('U', cast(l_suppkey%7 as varchar)) as umi,
   case when l_partkey%24<22 then concat('chr',cast(l_partkey%24+1 as varchar)) when l_partkey%24=22 then 'chrX' else 'chrM' end as chrom,
