@@ -184,4 +184,4 @@ def stream_pileup(spark, sf_dir):
     """Over reads that arrive in files, the same counts as in one batch."""
     from ..streaming.pileup import counts_of_stream
 
-    return counts_of_stream(spark, d.all_reads(spark, sf_dir)).select("sample", "barcode", "chrom", "pos", "alt_reads", "ref_reads", "alt_umis", "ref_umis")
+    return counts_of_stream(spark, d.all_reads(spark, sf_dir), d.read_files(spark, sf_dir, 4), 4).select("sample", "barcode", "chrom", "pos", "alt_reads", "ref_reads", "alt_umis", "ref_umis")

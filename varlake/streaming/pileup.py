@@ -23,13 +23,13 @@ def streamed_counts(reads: DataFrame) -> DataFrame:
     return first
 
 
-def counts_of_stream(spark: SparkSession, reads: DataFrame, files: int = 4) -> DataFrame:
-    """Deal reads to files, read them as a stream file by file, and return the final counts. A micro-batch writes only the
+def counts_of_stream(spark: SparkSession, reads: DataFrame, files: int = 4, batches: int | None = None) -> DataFrame:
+    """Deal reads to files, read them as a stream in so many batches (by default file by file), and return the final counts. A micro-batch writes only the
     counts that it changed, below its own number, so that a repeated one replaces itself; counts only grow, so the largest
     of a key is its last."""
     base = shared_folder(spark, "stream")
     reads.repartition(files).write.parquet(f"{base}/in")
-    source = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    source = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", -(-files // (batches or files))).parquet(f"{base}/in")
 
     def replace(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
