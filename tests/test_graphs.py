@@ -231,3 +231,37 @@ def test_layout_of_copies_and_lone_cells(spark):
     with Tables(spark, "layout") as tables:
         rows = layout.layout(edges, start, tables, epochs=5).collect()
     assert len(rows) == 4 and np.isfinite([v for r in rows for v in (r["x"], r["y"])]).all() and len({(r["x"], r["y"]) for r in rows}) == 4
+
+
+@pytest.mark.parametrize("kind, offset", [(np.float64, 0.0), (np.float32, 0.0), (np.float64, 1e4)])
+def test_few_exact_distances_find_the_nearest(monkeypatch, kind, offset):
+    """With copies and equal distances, around a far centre too: what the products leave is a small share of the pairs."""
+    rng, taken = np.random.default_rng(5), []
+    y = np.round(rng.normal(size=(3000, 8)) * 16) / 16
+    y[2000:2100] = y[:100]
+    y = (y + offset).astype(kind)
+    x, rank = y[:300], rng.permutation(len(y))
+    take = graph.Nearest._take
+    monkeypatch.setattr(graph.Nearest, "_take", lambda self, r, c: (taken.append(len(r)), take(self, r, c))[1])
+    found = graph.Nearest(x, y, np.arange(300), np.arange(3000), rank, np.full(300, np.inf), 7)
+    for first in (0, 1000, 2000):
+        found.visit(np.arange(300), first, first + 1000, y[first].astype(float))
+    d = np.sqrt(((x[:, None].astype(float) - y[None].astype(float)) ** 2).sum(2))
+    d[np.arange(300), np.arange(300)] = np.inf
+    want = np.stack([np.lexsort((rank, r))[:7] for r in d])
+    assert (found.at == want).all() and (found.d == np.take_along_axis(d, want, 1)).all()
+    assert sum(taken) < 0.03 * d.size
+
+
+def test_nearest_cells_in_large_parts(spark, monkeypatch):
+    """Parts of several units, bundles of several parts, and names that meet themselves."""
+    monkeypatch.setattr(graph, "PIVOTS", 3)
+    monkeypatch.setattr(graph, "VALUES", 40 * 4)
+    x = np.concatenate([np.random.default_rng(2).normal(size=(150, 4)), np.random.default_rng(3).normal(size=(20, 4)) + 30])
+    x[5] = x[6] = x[7]
+    rows = graph.nearest_cells(latents(spark, x), 5, 20).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[np.arange(170), np.arange(170)] = np.inf
+    names = [f"c{i:05d}" for i in range(170)]
+    want = {(names[i], names[j], p + 1) for i in range(170) for p, j in enumerate(np.argsort(d[i], kind="stable")[:5])}
+    assert {(r["cell"], r["neighbour"], r["place"]) for r in rows} == want

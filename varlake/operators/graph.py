@@ -86,83 +86,169 @@ def without(scores: DataFrame, states: DataFrame) -> DataFrame:
     return scores.join(states.filter("state = 'removed'").select("celltype", "snv"), ["celltype", "snv"], "left_anti")
 
 
-PIVOTS = 256  # at most so many; more rows make larger parts, which are cut into blocks
+PIVOTS = 256  # at most so many; more rows make larger parts, which are cut into units
+VALUES = 1 << 22  # numbers in the vectors of a unit, at most: 65,536 rows of 64 dimensions
+TILE, EXACT = 1024, 1 << 14  # rows of a product of matrices, and pairs whose exact distances are taken at once
+
+
+class Nearest:
+    """The k nearest so far of each row of x, within a limit, as indices of rows of y, and their distances; ties by rank. A product of
+    matrices in single precision, around a centre nearby, only tells which pairs may be near enough; what counts is their exact distance."""
+
+    def __init__(self, x, y, own, others, rank, limit, k: int):
+        import numpy as np
+
+        self.x, self.y, self.own, self.others, self.rank, self.limit, self.k = x, y, own, others, rank, limit.copy(), k
+        self.d, self.at = np.full((len(x), k), np.inf), np.full((len(x), k), -1)
+        self.once = len(np.unique(others)) == len(others)
+
+    def _take(self, r, c) -> None:
+        """Candidates: rows r of x, c of y."""
+        import numpy as np
+
+        keep = self.own[r] != self.others[c]
+        r, c = r[keep], c[keep]
+        d = np.empty(len(r))
+        for at in range(0, len(r), EXACT):
+            which = slice(at, at + EXACT)
+            d[which] = np.sqrt(((self.x[r[which]].astype(float) - self.y[c[which]].astype(float)) ** 2).sum(1))
+        keep = d <= self.limit[r]
+        r, c, d = r[keep], c[keep], d[keep]
+        if not len(r):
+            return
+        rows = np.unique(r)
+        old_r, old_k = np.nonzero(self.at[rows] >= 0)
+        old_r = rows[old_r]
+        old_c, old_d = self.at[rows][self.at[rows] >= 0], self.d[old_r, old_k]
+        r, c, d = np.concatenate([old_r, r]), np.concatenate([old_c, c]), np.concatenate([old_d, d])
+        order = np.lexsort((self.rank[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+        keep = place < self.k
+        self.at[r[keep], place[keep]], self.d[r[keep], place[keep]] = c[keep], d[keep]
+        self.limit[rows] = np.minimum(self.limit[rows], self.d[rows, -1])
+
+    def visit(self, rows, first: int, end: int, centre) -> None:
+        """Rows of x meet the rows of y from first to end."""
+        import numpy as np
+
+        slack = (self.x.shape[1] + 8) * 2.0**-22  # of the norms: more than rounding can do to a squared distance in single precision
+        for lo in range(first, end, 4 * TILE):
+            y = (self.y[lo:min(end, lo + 4 * TILE)] - centre).astype(np.float32)
+            ny = (y**2).sum(1)
+            right = np.concatenate([y, ny[:, None], np.ones((len(y), 1), np.float32)], 1).T.copy()
+            for at in range(0, len(rows), TILE):
+                some = rows[at:at + TILE]
+                x = (self.x[some] - centre).astype(np.float32)
+                nx = (x**2).sum(1)
+                d = np.concatenate([-2 * x, np.ones((len(x), 1), np.float32), nx[:, None]], 1) @ right
+                more = slack * (nx + ny.max())
+                most = self.limit[some] ** 2 * (1 + 1e-6) + more
+                free = np.isinf(most)
+                if self.once and d.shape[1] > self.k + 1 and free.any():  # k others are as near as the next one
+                    most[free] = np.partition(d[free], self.k, axis=1)[:, self.k] + 2 * more[free]
+                near = np.flatnonzero(~(d > most.astype(np.float32)[:, None]))
+                if len(near):
+                    self._take(some[near // d.shape[1]], lo + near % d.shape[1])
 
 
 def nearest_cells(latents: DataFrame, k: int = 15, block: int = 2000) -> DataFrame:
     """cell, neighbour, distance, place: exact k nearest by Euclidean distance, ties by name.
 
-    Rows go to the nearest of a few pivots and, within it, to blocks of about `block` rows. The k-th distance within its own
-    block bounds a cell's neighbourhood; it then visits only the parts that the bound reaches, by the part's radius and by
-    the plane between the pivots. Visitors of a part are dealt out, so that no task holds more than two blocks. Vectors
-    without structure reach every part: work is then that of all pairs of blocks."""
+    Rows go to the nearest of a few pivots, which makes parts of about `block` rows, or more; very large parts are cut into units. The k-th
+    distance within its own unit bounds a cell's neighbourhood; it then visits only the parts that the bound reaches, by the part's radius
+    and by the plane between the pivots. Units are bundled, so that a visitor goes to a task with many of them and leaves with its k nearest
+    there, and the visitors of a bundle are dealt out: a task holds one bundle and as many visitors, both bounded. Vectors without
+    structure reach every part: work is then that of all pairs, as products of matrices."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    rows = _checkpointed(latents.select(F.col("cell").cast("string").alias("cell"), F.col("z").cast("array<double>").alias("z")))
+    kind = "array<float>" if dict(latents.dtypes)["z"] == "array<float>" else "array<double>"  # distances are taken in double precision from either
+    rows = _checkpointed(latents.select(F.col("cell").cast("string").alias("cell"), F.col("z").cast(kind).alias("z")))
     found_type = "cell string, neighbour string, distance double"
     count = rows.count()
     if not count:
         return rows.sparkSession.createDataFrame([], found_type + ", place int")
     heads = rows.withColumn("h", F.xxhash64("cell")).orderBy("h", "cell").limit(max(1, min(PIVOTS, -(-count // block)))).collect()
-    pivots = np.array([r["z"] for r in heads])
+    pivots = np.array([r["z"] for r in heads], float)
+    unit = max(1, VALUES // max(1, pivots.shape[1]))
+    bundle_rows, visitor_rows = (min(unit, max(block, count // share)) for share in (8, 16))
     matrix = lambda t: t["z"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
     apart = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
 
     def assign(batches):
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
+            for at in range(0, len(b), 32):
+                part = b.slice(at, 32)
                 d = apart(part["z"].flatten().to_numpy().reshape(len(part), -1), pivots)
                 yield pa.RecordBatch.from_arrays([part["cell"], part["z"], pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=["cell", "z", "part", "d"])
 
-    dealt = _checkpointed(rows.mapInArrow(assign, "cell string, z array<double>, part int, d double"))
+    dealt = _checkpointed(rows.mapInArrow(assign, f"cell string, z {kind}, part int, d double"))
     sizes = {r["part"]: (r["n"], r["far"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}
-    blocks = [-(-sizes.get(p, (0, 0))[0] // block) for p in range(len(pivots))]
+    units = [max(1, -(-sizes.get(p, (0, 0))[0] // unit)) for p in range(len(pivots))]
     radius = np.array([sizes[p][1] if p in sizes else -np.inf for p in range(len(pivots))])
-    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("cell"), F.get(F.lit(blocks), F.col("part"))).cast("int"))
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("cell"), F.get(F.lit(units), F.col("part"))).cast("int"))
     between = apart(pivots, pivots)
-
-    def nearest(names, x, others, y, limit):
-        """Index of a row of x, and of one of y with another name, for the k nearest within the limit, and the distance."""
-        rank = np.argsort(np.argsort(others, kind="stable"), kind="stable")
-        for at in range(0, len(x), 32):
-            for i, d in enumerate(apart(x[at:at + 32], y), at):
-                pick = np.flatnonzero((d <= limit[i]) & (others != names[i]))
-                pick = pick[np.lexsort((rank[pick], d[pick]))[:k]]
-                yield i, pick, d[pick]
+    first, bundles, held = [], 0, 0  # the bundle of each part, or of its first unit: a part of several units has a bundle for each
+    for p in range(len(pivots)):
+        n = sizes.get(p, (0, 0))[0]
+        if held and (units[p] > 1 or held + n > bundle_rows):
+            bundles, held = bundles + 1, 0
+        first.append(bundles)
+        held += n
+        if units[p] > 1:
+            bundles, held = bundles + units[p], 0
+
+    def codes(*columns):
+        """Numbers for names, and the order of the last column's."""
+        names = pa.chunked_array([c for column in columns for c in column.chunks], pa.string()).dictionary_encode().unify_dictionaries()
+        numbers = np.concatenate([c.indices.to_numpy() for c in names.chunks] or [np.zeros(0, int)])
+        rank = np.empty(len(columns[-1]), int)
+        rank[pc.sort_indices(columns[-1]).to_numpy()] = np.arange(len(rank))
+        return np.split(numbers, np.cumsum([len(c) for c in columns])[:-1]), rank
 
     def bounds(t: pa.Table) -> pa.Table:
-        names, x, own, d = np.array(t["cell"].to_pylist(), object), matrix(t), t["part"].to_numpy(), t["d"].to_numpy()
-        limit = np.full(len(t), np.inf)
-        for i, pick, ds in nearest(names, x, names, x, limit.copy()):
-            if len(pick) == k:
-                limit[i] = ds[-1] * (1 + 1e-9) + 1e-12
-        to = apart(x, pivots)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.nan_to_num((to**2 - d[:, None] ** 2) / (2 * between[own]), nan=0.0, posinf=0.0, neginf=0.0)
-        reach = (np.maximum(to - radius, plane) <= limit[:, None] * (1 + 1e-9) + 1e-12) & np.isfinite(radius)
-        return pa.table({"cell": t["cell"], "z": t["z"], "bound": pa.array(limit), "visits": pa.array([np.flatnonzero(r).tolist() for r in reach], pa.list_(pa.int32()))})
-
-    visitors = _checkpointed(dealt.groupBy("part", "sub").applyInArrow(bounds, "cell string, z array<double>, bound double, visits array<int>"))
-    calls = {r["part"]: r["n"] for r in visitors.select(F.explode("visits").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
-    pieces = [max(1, -(-calls.get(p, 0) // block)) for p in range(len(pivots))]
-    upto = lambda counts: F.sequence(F.lit(0), F.get(F.lit(counts), F.col("part")) - 1)
-    left = visitors.select(F.col("cell").alias("from_cell"), F.col("z").alias("from_z"), "bound", F.explode("visits").alias("part"))
-    left = left.withColumn("piece", F.pmod(F.xxhash64("from_cell", F.lit(1)), F.get(F.lit(pieces), F.col("part"))).cast("int")).withColumn("sub", F.explode(upto(blocks)))
-    right = dealt.select("cell", "z", "part", "sub").withColumn("piece", F.explode(upto(pieces)))
+        (own,), rank = codes(t["cell"])
+        x, part, d = matrix(t), t["part"].to_numpy(), t["d"].to_numpy()
+        near = Nearest(x, x, own, own, rank, np.full(len(t), np.inf), k)
+        near.visit(np.arange(len(t)), 0, len(t), pivots[part[0]])
+        limit = near.d[:, -1] * (1 + 1e-9) + 1e-12
+        visits = []
+        for at in range(0, len(t), 32):
+            some = slice(at, at + 32)
+            to = apart(x[some], pivots)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.nan_to_num((to**2 - d[some, None] ** 2) / (2 * between[part[some]]), nan=0.0, posinf=0.0, neginf=0.0)
+            reach = (np.maximum(to - radius, plane) <= limit[some, None] * (1 + 1e-9) + 1e-12) & np.isfinite(radius)
+            visits += [np.flatnonzero(r).tolist() for r in reach]
+        return pa.table({"cell": t["cell"], "z": t["z"], "bound": pa.array(limit), "visits": pa.array(visits, pa.list_(pa.int32()))})
+
+    visitors = _checkpointed(dealt.groupBy("part", "sub").applyInArrow(bounds, f"cell string, z {kind}, bound double, visits array<int>"))
+    of_part = lambda p: F.sequence(F.get(F.lit(first), p), F.get(F.lit(first), p) + F.get(F.lit(units), p) - 1)
+    goes = visitors.withColumn("bundle", F.explode(F.array_distinct(F.flatten(F.transform("visits", of_part)))))
+    calls = {r["bundle"]: r["n"] for r in goes.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
+    pieces = [max(1, -(-calls.get(b, 0) // visitor_rows)) for b in range(bundles + 1)]
+    left = goes.select(F.col("cell").alias("from_cell"), F.col("z").alias("from_z"), "bound", F.filter("visits", lambda p: F.array_contains(of_part(p), F.col("bundle"))).alias("visits"), "bundle")
+    left = left.withColumn("piece", F.pmod(F.xxhash64("from_cell", F.lit(1)), F.get(F.lit(pieces), F.col("bundle"))).cast("int"))
+    right = dealt.select("cell", "z", "part", (F.get(F.lit(first), F.col("part")) + F.col("sub")).alias("bundle"))
+    right = right.withColumn("piece", F.explode(F.sequence(F.lit(0), F.get(F.lit(pieces), F.col("bundle")) - 1)))
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        cells, found, ds = [], [], []
-        if len(a) and len(b):
-            names, others = np.array(a["from_cell"].to_pylist(), object), np.array(b["cell"].to_pylist(), object)
-            for i, pick, d in nearest(names, matrix(a.rename_columns(["z" if c == "from_z" else c for c in a.column_names])), others, matrix(b), a["bound"].to_numpy()):
-                cells += [names[i]] * len(pick)
-                found += others[pick].tolist()
-                ds += d.tolist()
-        return pa.table({"cell": pa.array(cells, pa.string()), "neighbour": pa.array(found, pa.string()), "distance": pa.array(ds, pa.float64())})
-
-    pairs = left.groupBy("part", "sub", "piece").cogroup(right.groupBy("part", "sub", "piece")).applyInArrow(near, found_type)
+        if not len(a) or not len(b):
+            return pa.table({"cell": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
+        b = b.sort_by("part")
+        (own, others), rank = codes(a["from_cell"], b["cell"])
+        parts, visits = b["part"].to_numpy(), a["visits"].combine_chunks()
+        of, to = pc.list_parent_indices(visits).to_numpy(), visits.flatten().to_numpy()
+        found = Nearest(matrix(a.select(["from_z"]).rename_columns(["z"])), matrix(b), own, others, rank, a["bound"].to_numpy(), k)
+        for p in np.unique(parts):
+            found.visit(of[to == p], np.searchsorted(parts, p), np.searchsorted(parts, p, "right"), pivots[p])
+        r, place = np.nonzero(found.at >= 0)
+        return pa.table({"cell": a["from_cell"].take(pa.array(r)), "neighbour": b["cell"].take(pa.array(found.at[r, place])), "distance": pa.array(found.d[r, place])})
+
+    pairs = left.groupBy("bundle", "piece").cogroup(right.groupBy("bundle", "piece")).applyInArrow(near, found_type)
     place = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "neighbour"))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
