@@ -231,3 +231,30 @@ def test_frozen_weights_stay(spark):
     for frozen in ("encoder", "backbone", ""):
         out, _ = t.train_effect(cells, w, epochs=1, frozen=frozen, rate=1e-2, rank=None)
         assert {k for k in w if np.array_equal(w[k], out[k])} == {k for k in w if k.startswith(t.FROZEN[frozen] or "-")}
+
+
+def test_whole_counts_are_looked_up(monkeypatch):
+    rng, seen = np.random.default_rng(3), []
+    th, c = np.exp(rng.normal(size=7)), rng.poisson(2.0, (200, 7)).astype(float)
+    plain = t.lgamma(th + c), t.lgamma(c + 1), t.digamma(th + c)
+    for name in ("lgamma", "digamma"):
+        monkeypatch.setattr(t, name, lambda x, f=getattr(t, name): (seen.append(x.size), f(x))[1])
+    mean, raw = np.exp(rng.normal(size=c.shape)), np.log(np.expm1(th))
+    t.negative_binomial(c, mean, raw, t.EFFECT)
+    assert max(seen) <= 7 * (c.max() + 1) < c.size / 5
+    assert all((a == b).all() for a, b in zip(t._gamma_terms(th, c), plain))
+    half = c + 0.5  # parts of counts, and counts without end, are not
+    assert (t._gamma_terms(th, half)[0] == t.lgamma(th + half)).all()
+    c[0, 0] = 1e6
+    assert t._gamma_terms(th, c)[2][0, 0] == t.digamma(th + c)[0, 0]
+
+
+def test_one_encoder_serves_all_terms():
+    rows = tiny_cells(9)
+    x, batch, *own = arrays(rows)
+    _, _, *other = arrays(rows[1:] + rows[:1])
+    valid, w = np.arange(9) % 3 > 0, tiny_weights(4)
+    losses, g = t.rank_sums(w, x, batch, own, other, valid)
+    again, some = t.rank_sums(w, x, batch, own, other, valid, t.Encoder(w, x), False)
+    assert {*g} - {*some} == {k for k in w if k.startswith(t.FROZEN["encoder"])}
+    assert all(losses[k] == pytest.approx(again[k]) for k in losses) and all(np.allclose(g[k], some[k]) for k in some)

@@ -119,10 +119,13 @@ def shift(w: Weights, total: np.ndarray) -> np.ndarray:
 CELLS_AT_ONCE, FLIPS_AT_ONCE = 64, 1024  # rows of a step, so that memory does not grow with the size of Arrow's batches
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch], values: int = 0) -> Iterator[pa.RecordBatch]:
+    """values: more cells than CELLS_AT_ONCE are taken while their lists have no more elements, on the batch's average."""
     for b in batches:
-        for at in range(0, len(b), CELLS_AT_ONCE):
-            yield b.slice(at, CELLS_AT_ONCE)
+        held = sum(len(c.flatten()) for c in b.columns if pa.types.is_list(c.type)) if values else 0
+        rows = max(CELLS_AT_ONCE, values * len(b) // max(1, held) if values else 0)
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
 
 
 def _rows(column: pa.Array) -> np.ndarray:

@@ -16,6 +16,7 @@ whose negatives differ in too few variants take no part in the rank term; withou
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,6 +31,7 @@ from ..sources.folder import Tables
 from .model import Weights, _flat, _norm, _rows, _steps
 
 PIECE = 1024  # values of a gradient in one row
+STEP_VALUES = 1 << 17  # counts and calls that a step takes at once, so that it has the more cells the fewer they have
 GROUP, NEGATIVES = 256, 8  # cells among which negatives are dealt, and how many of them each cell has
 Sums = dict[str, np.ndarray]
 
@@ -73,6 +75,11 @@ def _linear_back(g: Sums, name: str, w: Weights, x: np.ndarray, dy: np.ndarray)
     return dy @ w[f"{name}.w"].T
 
 
+def _added(terms: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of the terms of each row."""
+    return np.stack([np.bincount(of, column, rows) for column in terms.T], 1)
+
+
 def _through(w: Weights, name: str, x: np.ndarray) -> np.ndarray:
     return x @ w[f"{name}.w"] + w[f"{name}.b"]
 
@@ -86,6 +93,13 @@ class Encoder:
         self.h2 = np.maximum(_norm(self.p2, w["ln2.g"], w["ln2.b"]), 0)
         self.mean, self.log_variance = _through(w, "mu", self.h2), _through(w, "var", self.h2)
 
+    def of(self, cells: np.ndarray) -> Encoder:
+        """What it has made of some of its cells."""
+        some = copy.copy(self)
+        for k in ("x", "p1", "h1", "p2", "h2", "mean", "log_variance"):
+            setattr(some, k, getattr(self, k)[cells])
+        return some
+
     def back(self, g: Sums, d_mean: np.ndarray, d_log_variance: np.ndarray) -> None:
         d = _linear_back(g, "mu", self.w, self.h2, d_mean) + _linear_back(g, "var", self.w, self.h2, d_log_variance)
         d, g["ln2.g"], g["ln2.b"] = _norm_back(d * (self.h2 > 0), self.p2, self.w["ln2.g"])
@@ -109,8 +123,7 @@ class Decoder:
         d = _linear_back(g, "dec2", self.w, self.h, d_mean * slope) * (self.h > 0)
         d = _linear_back(g, "dec1", self.w, self.x, d)
         latent = d.shape[1] - self.w["batch"].shape[1]
-        g["batch"] = np.zeros_like(self.w["batch"])
-        np.add.at(g["batch"], self.batch, d[:, latent:])
+        g["batch"] = _added(d[:, latent:], self.batch, len(self.w["batch"]))
         return d[:, :latent]
 
 
@@ -121,7 +134,8 @@ class Heads:
         self.w, self.of, self.snvs, self.signs = w, of, snvs, signs
         self.in1 = np.concatenate([z[of], w["snv"][snvs]], 1)
         self.c = _through(w, "cond1", self.in1)
-        self.s = self.c * _sigmoid(self.c)
+        self.open = _sigmoid(self.c)
+        self.s = self.c * self.open
         self.e = _through(w, "cond2", self.s)
         self.in2 = np.concatenate([z[of], self.e], 1)
         self.t = np.tanh(_through(w, "attn1", self.in2))
@@ -130,8 +144,7 @@ class Heads:
         np.maximum.at(top, of, logit)
         soft = np.exp(logit - top[of])
         self.a = soft / (np.bincount(of, soft, len(z))[of] + 1e-12)
-        self.total = np.zeros((len(z), self.e.shape[1]))
-        np.add.at(self.total, of, (self.a * signs)[:, None] * self.e)
+        self.total = _added((self.a * signs)[:, None] * self.e, of, len(z))
         self.shift = _through(w, "proj", self.total)
 
     def back(self, g: Sums, d_shift: np.ndarray) -> np.ndarray:
@@ -145,13 +158,10 @@ class Heads:
         d_in2 = _linear_back(g, "attn1", w, self.in2, d_t * (1 - self.t**2))
         k = d_shift.shape[1]
         d_s = _linear_back(g, "cond2", w, self.s, d_e + d_in2[:, k:])
-        sig = _sigmoid(self.c)
+        sig = self.open
         d_in1 = _linear_back(g, "cond1", w, self.in1, d_s * sig * (1 + self.c * (1 - sig)))
-        g["snv"] = np.zeros_like(w["snv"])
-        np.add.at(g["snv"], self.snvs, d_in1[:, k:])
-        d_z = np.zeros_like(d_shift)
-        np.add.at(d_z, of, d_in1[:, :k] + d_in2[:, :k])
-        return d_z
+        g["snv"] = _added(d_in1[:, k:], self.snvs, len(w["snv"]))
+        return _added(d_in1[:, :k] + d_in2[:, :k], of, len(d_shift))
 
 
 @dataclass(frozen=True)
@@ -166,15 +176,26 @@ class Clamp:
 BACKBONE, EFFECT = Clamp(1e-6, np.inf, 1e-6), Clamp(1e-5, 1e6, 0.0)
 
 
+def _gamma_terms(th: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lgamma(th + c), lgamma(c + 1) and digamma(th + c), th for each column. Whole counts, of which there are fewer than rows, are looked up."""
+    most = int(c.max(initial=0)) + 1 if c.size and c.max() < len(c) else len(c)
+    if most < len(c) and (c == np.floor(c)).all():
+        whole, at = np.arange(most, dtype=float)[:, None], c.astype(np.intp)
+        column = np.arange(c.shape[1])
+        return lgamma(th + whole)[at, column], lgamma(whole + 1)[at, 0], digamma(th + whole)[at, column]
+    return lgamma(th + c), lgamma(c + 1), digamma(th + c)
+
+
 def negative_binomial(counts: np.ndarray, mean: np.ndarray, raw_theta: np.ndarray, clamp: Clamp) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Negative log-likelihood of each cell, and its gradient by the means and by raw_theta (dispersion: softplus + 1e-5)."""
     soft = _softplus(raw_theta) + 1e-5
     c, mu, th = np.clip(counts, 0, clamp.most), np.clip(mean, clamp.least, clamp.most), np.clip(soft, clamp.least, clamp.most)
     i, both = clamp.inside, th + mu + clamp.inside
     log_both = np.log(both)
-    nll = -(lgamma(th + c) - lgamma(th) - lgamma(c + 1) + th * (np.log(th + i) - log_both) + c * (np.log(mu + i) - log_both))
+    gamma, factorial, slope = _gamma_terms(th, c)
+    nll = -(gamma - lgamma(th) - factorial + th * (np.log(th + i) - log_both) + c * (np.log(mu + i) - log_both))
     d_mean = ((th + c) / both - c / (mu + i)) * ((mean >= clamp.least) & (mean <= clamp.most))
-    d_theta = -(digamma(th + c) - digamma(th) + np.log(th + i) + th / (th + i) - log_both - (th + c) / both)
+    d_theta = -(slope - digamma(th) + np.log(th + i) + th / (th + i) - log_both - (th + c) / both)
     return nll.sum(1), d_mean, d_theta.sum(0) * ((soft >= clamp.least) & (soft <= clamp.most)) * _sigmoid(raw_theta)
 
 
@@ -218,9 +239,10 @@ def backbone_sums(w: Weights, x: np.ndarray, batch: np.ndarray, noise: np.ndarra
     return {"cells": np.float64(len(x)), "recon": recon.sum(), "kl": kl.sum(), "adv": adv.sum()}, g
 
 
-def effect_sums(w: Weights, x: np.ndarray, batch: np.ndarray, of: np.ndarray, snvs: np.ndarray, signs: np.ndarray, noise: np.ndarray | None) -> tuple[Sums, Sums]:
-    """Losses (nll, kl) and norms of shifts and states, and the gradient of nll + kl. Without noise from the mean latent."""
-    enc, g = Encoder(w, x), {}
+def effect_sums(w: Weights, x: np.ndarray, batch: np.ndarray, of: np.ndarray, snvs: np.ndarray, signs: np.ndarray, noise: np.ndarray | None, enc: Encoder | None = None, encoder: bool = True) -> tuple[Sums, Sums]:
+    """Losses (nll, kl) and norms of shifts and states, and the gradient of nll + kl. Without noise from the mean latent. enc: that of x, if there is
+    one already. encoder: whether the gradient by the encoder's weights is wanted, too."""
+    enc, g = enc or Encoder(w, x), {}
     sd = np.exp(enc.log_variance / 2)
     z = enc.mean if noise is None else enc.mean + sd * noise
     heads = Heads(w, z, of, snvs, signs)
@@ -229,7 +251,8 @@ def effect_sums(w: Weights, x: np.ndarray, batch: np.ndarray, of: np.ndarray, sn
     kl, kl_mean, kl_variance = divergence(enc.mean, enc.log_variance)
     d = dec.back(g, d_mean)
     d_z = d + heads.back(g, d)
-    enc.back(g, d_z + kl_mean, (0 if noise is None else d_z * noise * sd / 2) + kl_variance)
+    if encoder:
+        enc.back(g, d_z + kl_mean, (0 if noise is None else d_z * noise * sd / 2) + kl_variance)
     shifts, states = np.linalg.norm(heads.shift, axis=1), np.linalg.norm(z, axis=1)
     return {"cells": np.float64(len(x)), "nll": nll.sum(), "kl": kl.sum(), "shift": shifts.sum(), "state": states.sum(), "ratio": (shifts / np.maximum(states, 1e-12)).sum()}, g
 
@@ -243,12 +266,13 @@ def differing(of: np.ndarray, snvs: np.ndarray, signs: np.ndarray, of2: np.ndarr
     return np.bincount(of, minlength=cells) + np.bincount(of2, minlength=cells) - count(both, width) - count(alike, width * 3)
 
 
-def rank_sums(w: Weights, x: np.ndarray, batch: np.ndarray, own: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], valid: np.ndarray) -> tuple[Sums, Sums]:
+def rank_sums(w: Weights, x: np.ndarray, batch: np.ndarray, own: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], valid: np.ndarray, enc: Encoder | None = None, encoder: bool = True) -> tuple[Sums, Sums]:
     """Losses (below: own calls, above: others' calls) of the valid cells, and the gradient of their difference."""
     at = np.cumsum(valid) - 1
     pick = lambda c: (at[c[0][valid[c[0]]]], c[1][valid[c[0]]], c[2][valid[c[0]]])
-    below, g_below = effect_sums(w, x[valid], batch[valid], *pick(own), None)
-    above, g_above = effect_sums(w, x[valid], batch[valid], *pick(other), None)
+    enc = enc.of(valid) if enc else Encoder(w, x[valid])
+    below, g_below = effect_sums(w, x[valid], batch[valid], *pick(own), None, enc, encoder)
+    above, g_above = effect_sums(w, x[valid], batch[valid], *pick(other), None, enc, encoder)
     return {"valid": below["cells"], "below": below["nll"] + below["kl"], "above": above["nll"] + above["kl"]}, {k: g_below[k] - g_above[k] for k in g_below}
 
 
@@ -265,7 +289,7 @@ def summed_over(cells: DataFrame, work: Callable[[pa.RecordBatch], Sums]) -> Sum
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Sums = {}
-        for b in _steps(batches):
+        for b in _steps(batches, STEP_VALUES):
             if len(b):
                 for k, v in work(b).items():
                     total[k] = total.get(k, 0) + v
@@ -439,13 +463,14 @@ def train_effect(cells: DataFrame, w: Weights, epochs: int = 500, frozen: str =
                     w, x, batch = held.value, _rows(b["x"]), b["batch"].to_numpy(zero_copy_only=False)
                     of, snvs = _flat(b["snvs"])
                     own = (of, snvs, _flat(b["signs"])[1])
-                    losses, g = effect_sums(w, x, batch, *own, _noise(b["cell"], w["mu.b"].shape[0], seed, epoch))
+                    enc, encoder = Encoder(w, x), frozen == ""
+                    losses, g = effect_sums(w, x, batch, *own, _noise(b["cell"], w["mu.b"].shape[0], seed, epoch), enc, encoder)
                     out = losses | {f"g.{k}": v for k, v in g.items()}
                     if ranked:
                         of, snvs = _flat(b["other_snvs"])
                         other = (of, snvs, _flat(b["other_signs"])[1])
                         valid = b["other_snvs"].is_valid().to_numpy(zero_copy_only=False) & (differing(*own, *other, len(b)) >= rank.least_differing)
-                        losses, g = rank_sums(w, x, batch, own, other, valid)
+                        losses, g = rank_sums(w, x, batch, own, other, valid, enc, encoder)
                         out |= losses | {f"r.{k}": v for k, v in g.items()}
                     return {k: v for k, v in out.items() if "." not in k or k in keep}
 
