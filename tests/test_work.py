@@ -2,7 +2,7 @@
 
 import pytest
 
-from varlake.plans import registry
+from varlake.plans import models, registry
 from varlake.sources import bam, derived
 from varlake.streaming import pileup
 
@@ -40,3 +40,8 @@ def test_streamed_files_grow_with_the_reads(spark, sf, monkeypatch):
     monkeypatch.setattr(pileup, "counts_of_stream", lambda spark, reads, *how: (seen.append(how), dealt(spark, reads, *how))[1])
     assert registry.QUERIES["stream_pileup"](spark, sf).count() == derived.counts(spark, sf).count()
     assert seen == [(-(-derived.table(spark, sf, "lineitem").count() // 1000), 4)]
+
+
+def test_the_map_of_a_cell_is_made_once(spark, sf):
+    plan = models._cells(spark, sf, grown=True).select("cell", "batch", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan and "coalesce(map_from_entries" not in plan

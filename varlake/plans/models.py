@@ -25,7 +25,8 @@ def _cells(spark, sf_dir, grown=False):
     """Cells with all genes in order and their non-zero calls."""
     rna = d.rna(spark, sf_dir, grown).select("cell", "batch", F.regexp_extract("gene", "([0-9]+)$", 1).cast("int").alias("g"), "cnt")
     dense = rna.groupBy("cell", "batch").agg(F.map_from_entries(F.collect_list(F.struct("g", "cnt"))).alias("m"))
-    x = F.transform(F.sequence(F.lit(0), F.lit(GENES - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    # in an array of one, so that the map is made once a cell and not for every gene
+    x = F.transform(F.array("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(GENES - 1)), lambda i: F.coalesce(m[i], F.lit(0.0))))[0]
     calls = d.matrix(spark, sf_dir, grown).filter("call <> 0").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(_code().alias("snv"), "call"))).alias("c"))
     rows = dense.join(calls, "cell", "left").select("cell", F.substring("batch", 2, 9).cast("int").alias("batch"), x.alias("x"), F.coalesce("c", F.array().cast("array<struct<snv:int,call:int>>")).alias("c"))
     return rows.select("cell", "batch", "x", F.col("c.snv").alias("snvs"), F.col("c.call").alias("signs"))
