@@ -19,6 +19,7 @@ from .blocks import numbered
 
 LEVELS, MOVES, JOINS = 16, 24, 12
 LEAST_GAIN = 1e-9
+ROWS = 1 << 16  # edges of a task, about
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -46,50 +47,84 @@ def _moves(salt: int, turn: int):
     return F.pmod(F.xxhash64("node", F.lit(salt), F.lit(turn)), F.lit(2)) == 0
 
 
+def _dealt(edges: DataFrame, rows: int) -> DataFrame:
+    """edges, kept dealt by b and in its order while a level lasts, so that each round moves what it joins to them and not the edges."""
+    held = edges.select("a", "b", "w").repartition(max(1, -(-rows // ROWS)), "b").sortWithinPartitions("b").persist()
+    held.count()
+    return held
+
+
+def _around(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """node, to, w, to_total: the weight between each node and each community or part next to it. edges: dealt; to: (b, to, to_total). One shuffle,
+    by node, serves this sum and what is done by node next."""
+    near = edges.join(to, "b").select(F.col("a").alias("node"), "to", "to_total", "w").repartition("node")
+    return near.groupBy("node", "to").agg(F.sum("w").alias("w"), F.first("to_total").alias("to_total"))
+
+
+def _best(rows: DataFrame, *own: str, wanted, gain, **more) -> DataFrame:
+    """own columns of each node and go: (gain, o, to) of the largest gain among the wanted, the smallest of equals."""
+    go = F.max(F.when(wanted, F.struct(gain.alias("gain"), (-F.col("to")).alias("o"), "to"))).alias("go")
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in own), go, *(c.alias(k) for k, c in more.items()))
+
+
+def _round_of_moves(edges: DataFrame, nodes: DataFrame, whole: float, resolution: float, seed: int, turn: int) -> DataFrame:
+    """node, k, c after a round; was, own and total: the community before it, a node's weight to that, and the strength of that."""
+    state = nodes.join(nodes.groupBy("c").agg(F.sum("k").alias("total")), "c").select("node", "k", "c", "total")
+    rows = state.join(_around(edges, state.select(F.col("node").alias("b"), F.col("c").alias("to"), F.col("total").alias("to_total"))), "node", "left")
+    share, here = F.lit(resolution / whole) * F.col("k"), F.col("to") == F.col("c")
+    # what a node loses where it is, and gains elsewhere; its own strength does not count against it
+    each = _best(rows, "k", "c", "total", wanted=F.col("to") != F.col("c"), gain=F.col("w") - share * F.col("to_total"), own=F.coalesce(F.sum(F.when(here, F.col("w"))), F.lit(0.0)))
+    stay = F.col("own") - share * (F.col("total") - F.col("k"))
+    goes = _moves(seed, turn) & (F.col("go.gain") > stay + LEAST_GAIN)
+    return each.select("node", "k", F.when(goes, F.col("go.to")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"), "own", "total")
+
+
 def _local_moving(edges: DataFrame, nodes: DataFrame, loops: DataFrame, whole: float, resolution: float, tables: Tables, name: str, seed: int) -> DataFrame:
-    """nodes (node, k, c) after rounds of moves."""
-    best, misses = _modularity(edges, nodes, loops, resolution), 0
-    for turn in range(MOVES):
-        totals = nodes.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("total"))
-        around = edges.join(nodes.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
-        gains = around.join(nodes.filter(_moves(seed, turn)), "node").join(totals, "to")
-        # what a node loses where it is, and gains elsewhere; its own strength does not count against it
-        gain = F.col("w") - F.lit(resolution / whole) * F.col("k") * (F.col("total") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0))
-        each = gains.withColumn("gain", gain).groupBy("node").agg(
-            F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("to") != F.col("c"), F.struct("gain", (-F.col("to")).alias("o"), "to"))).alias("go"), F.first("k").alias("kk"), F.first("c").alias("cc"))
-        each = each.join(totals.select(F.col("to").alias("cc"), "total"), "cc")
-        stay = F.coalesce("stay", -F.lit(resolution / whole) * F.col("kk") * (F.col("total") - F.col("kk")))
-        goes = each.filter(F.col("go.gain") > stay + LEAST_GAIN).select("node", F.col("go.to").alias("new"))
-        after = tables.save(nodes.join(goes, "node", "left").select("node", "k", F.coalesce("new", "c").alias("c")), f"{name}-moved-{turn}")
-        reached = _modularity(edges, after, loops, resolution)
-        if reached > best + LEAST_GAIN:
-            nodes, best, misses = after, reached, 0
+    """nodes (node, k, c) after rounds of moves. A round tells the modularity of what it starts from: so a round from the nodes that have moved
+    decides on the move, too."""
+    inside = loops.agg(F.coalesce(F.sum("l"), F.lit(0.0))).first()[0]
+    best, misses, turn, passes, tried = None, 0, 0, 0, nodes
+    while True:
+        after = tables.save(_round_of_moves(edges, tried, whole, resolution, seed, turn), f"{name}-moved-{passes}")
+        r = after.agg(F.sum("own").alias("w"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("total")).alias("s"), F.count_if(F.col("c") != F.col("was")).alias("moved")).first()
+        passes, reached = passes + 1, (r["w"] + inside) / r["m"] - resolution * r["s"] / r["m"] ** 2
+        if best is None or reached > best + LEAST_GAIN:
+            nodes, best, misses = tried, reached, 0
+        elif tried is not nodes:
+            misses, tried = misses + 1, nodes
+            if misses == 2 or turn == MOVES:
+                return nodes
+            continue  # the same turn, from where the nodes were
+        turn += 1
+        if turn > MOVES:
+            return nodes
+        if r["moved"]:
+            tried = after.select("node", "k", "c")
         else:
             misses += 1
-            if misses == 2:
-                break
-    return nodes
+            if misses == 2 or turn == MOVES:
+                return nodes
 
 
 def _refined(edges: DataFrame, nodes: DataFrame, whole: float, resolution: float, tables: Tables, name: str, seed: int) -> DataFrame:
     """nodes (node, k, c) with part: connected parts of the communities. The name of a part is that of a node in it."""
     nodes, misses = nodes.withColumn("part", F.col("node")), 0
-    inner = edges.join(nodes.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(nodes.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").filter("ca = cb").select("a", "b", "w")
+    inner = edges.join(nodes.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").join(nodes.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").filter("ca = cb").select("a", "b", "w")
     inner = tables.save(inner, f"{name}-inner")
+    held = _dealt(inner, inner.count())
     for turn in range(JOINS):
         parts = nodes.groupBy("part").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
-        state = nodes.join(parts, "part").withColumn("mover", (F.col("n") == 1) & _moves(seed + 1, turn))
+        state = nodes.join(parts, "part").withColumn("mover", (F.col("n") == 1) & _moves(seed + 1, turn)).select("node", "k", "c", "part", "total", "mover")
         # only parts that no node leaves in this round are joined
         to = state.filter(~F.col("mover")).select(F.col("node").alias("b"), F.col("part").alias("to"), F.col("total").alias("to_total"))
-        around = inner.join(to, "b").groupBy(F.col("a").alias("node"), "to", "to_total").agg(F.sum("w").alias("w"))
         gain = F.col("w") - F.lit(resolution / whole) * F.col("k") * F.col("to_total")
-        best = around.join(state.filter("mover").select("node", "k"), "node").withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
-        best = best.groupBy("node").agg(F.max(F.struct("gain", (-F.col("to")).alias("o"), "to")).alias("go")).select("node", F.col("go.to").alias("new"))
-        after = tables.save(nodes.join(best, "node", "left").select("node", "k", "c", F.coalesce("new", "part").alias("part")), f"{name}-parts-{turn}")
-        misses = 0 if not after.join(nodes.select("node", F.col("part").alias("was")), "node").filter("part <> was").isEmpty() else misses + 1
-        nodes = after
+        each = _best(state.join(_around(held, to), "node", "left"), "k", "c", "part", wanted=F.col("mover") & (gain > LEAST_GAIN), gain=gain)
+        after = tables.save(each.select("node", "k", "c", F.coalesce("go.to", "part").alias("part"), F.col("go").isNotNull().alias("joined")), f"{name}-parts-{turn}")
+        misses = 0 if not after.filter("joined").isEmpty() else misses + 1
+        nodes = after.drop("joined")
         if misses == 2:
             break
+    held.unpersist()
     return nodes
 
 
@@ -124,13 +159,15 @@ def communities(edges: DataFrame, tables: Tables, resolution: float = 0.4, level
     members = nodes.select(F.col("node").alias("cell_id"), "node", "c")
     for level in range(levels):
         name = f"level-{level}"
+        graph = _dealt(graph, graph.count())
         nodes = _local_moving(graph, nodes, loops, whole, resolution, tables, name, seed + 10 * level)
         members = tables.save(members.select("cell_id", "node").join(nodes.select("node", "c"), "node"), f"{name}-members")
         parts = _refined(graph, nodes, whole, resolution, tables, name, seed + 10 * level)
         of = parts.select("node", "part")
         members = tables.save(members.join(of, "node").select("cell_id", F.col("part").alias("node"), "c"), f"{name}-parts")
-        joined = graph.join(of.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(of.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").groupBy("pa", "pb").agg(F.sum("w").alias("w"))
+        joined = graph.join(of.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").join(of.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").groupBy("pa", "pb").agg(F.sum("w").alias("w"))
         joined = tables.save(joined, f"{name}-contracted")
+        graph.unpersist()
         inner = joined.filter("pa = pb").select(F.col("pa").alias("node"), F.col("w").alias("l"))
         loops = tables.save(inner.union(loops.join(of, "node").select(F.col("part").alias("node"), "l")).groupBy("node").agg(F.sum("l").alias("l")), f"{name}-loops")
         graph = joined.filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "w")
