@@ -2,6 +2,7 @@
 
 import pytest
 
+from varlake.operators import model
 from varlake.plans import models, registry
 from varlake.sources import bam, derived
 from varlake.streaming import pileup
@@ -45,3 +46,16 @@ def test_streamed_files_grow_with_the_reads(spark, sf, monkeypatch):
 def test_the_map_of_a_cell_is_made_once(spark, sf):
     plan = models._cells(spark, sf, grown=True).select("cell", "batch", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" in plan and "coalesce(map_from_entries" not in plan
+
+
+def test_reads_of_a_join_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """And the states of cells are not dealt again to find what flips in them."""
+    before, lines = {tuple(r) for r in derived.rna(spark, sf, True).collect()}, derived.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(derived, "JOINED_READS", 1000)
+    rows, parts = derived.rna(spark, sf, True), -(-lines // 1000)
+    assert parts > spark.sparkContext.defaultParallelism
+    assert rows._jdf.queryExecution().executedPlan().toString().count(f", {parts}), REPARTITION_BY_NUM") == 2 and {tuple(r) for r in rows.collect()} == before
+    flipped, plans = model.flipped, []
+    monkeypatch.setattr(model, "flipped", lambda seen, w: (plans.append(seen._jdf.queryExecution().executedPlan().toString()), flipped(seen, w))[1])
+    assert registry.QUERIES["ml_bycelltype"](spark, sf).count() > 0
+    assert len(plans) == 1 and "hashpartitioning(cell" not in plans[0]

@@ -248,8 +248,8 @@ def states(cells: DataFrame, w: Weights) -> DataFrame:
 
 
 def flipped(seen: DataFrame, w: Weights) -> DataFrame:
-    """snv, cell, score_cosine_distance, score_euclidean of states with `flip`, the variants to flip in each cell. Only the embeddings of these
-    are made again; neither encoder nor attention runs."""
+    """celltype, snv, score_cosine_distance, score_euclidean of states with celltype and `flip`, the variants to flip in each cell. Only the
+    embeddings of these are made again; neither encoder nor attention runs."""
     held = seen.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +260,9 @@ def flipped(seen: DataFrame, w: Weights) -> DataFrame:
             own, weight = of[every], (b["attention"].flatten().to_numpy() * _flat(b["signs"])[1])[every]
             terms = weight[:, None] * embedded(held.value, z, own, snvs[every])
             for which, cosine, euclidean in _flips(held.value, z, b["batch"].to_numpy(zero_copy_only=False), sums, own, terms):
-                yield pa.RecordBatch.from_arrays([pa.array(snvs[every[which]], pa.int32()), b["cell"].take(pa.array(own[which])), pa.array(cosine), pa.array(euclidean)], names=["snv", "cell", "score_cosine_distance", "score_euclidean"])
+                yield pa.RecordBatch.from_arrays([b["celltype"].take(pa.array(own[which])), pa.array(snvs[every[which]], pa.int32()), pa.array(cosine), pa.array(euclidean)], names=["celltype", "snv", "score_cosine_distance", "score_euclidean"])
 
-    return seen.mapInArrow(run, "snv int, cell string, score_cosine_distance double, score_euclidean double")
+    return seen.mapInArrow(run, "celltype string, snv int, score_cosine_distance double, score_euclidean double")
 
 
 def by_celltype(cells: DataFrame, w: Weights, types: DataFrame, tables: Tables, top: int = 2000, more_than: int = 20, least_cells: int = 20) -> DataFrame:
@@ -272,10 +272,12 @@ def by_celltype(cells: DataFrame, w: Weights, types: DataFrame, tables: Tables,
     seen = tables.save(states(cells, w).join(types.filter("celltype is not null").select("cell", "celltype"), "cell"), "states")
     pairs = seen.select("celltype", "cell", F.explode(F.arrays_zip("snvs", "signs", "attention")).alias("p"))
     pairs = pairs.select("celltype", "cell", F.col("p.snvs").alias("snv"), F.col("p.signs").alias("call"), F.col("p.attention").alias("attention"))
-    valid = scoring.valid_in_celltype(pairs.select("cell", "snv", "call"), seen, more_than, least_cells)
+    valid = scoring.valid_in_celltype(pairs, seen, more_than, least_cells)
     mean = pairs.groupBy("celltype", "snv").agg(F.avg("attention").alias("attention"))
     chosen = tables.save(scoring.top_then_valid(mean, valid, top).select("celltype", "snv", "attention"), "chosen")
-    flips = pairs.select("celltype", "cell", "snv").join(chosen, ["celltype", "snv"], "left_semi").groupBy("cell").agg(F.collect_list("snv").alias("flip"))
-    scored = flipped(seen.drop("celltype").join(flips, "cell"), w).join(seen.select("cell", "celltype"), "cell")
+    # one list for each cell type meets the states where they are: no state is shuffled or sorted again
+    wanted = tables.save(chosen.groupBy("celltype").agg(F.collect_list("snv").alias("wanted")), "wanted")
+    flips = seen.join(wanted, "celltype").withColumn("flip", F.array_intersect("snvs", "wanted")).filter(F.size("flip") > 0)
+    scored = flipped(flips.select("celltype", "batch", "z", "total", "snvs", "signs", "attention", "flip"), w)
     sums = scored.groupBy("celltype", "snv").agg(F.avg("score_cosine_distance").alias("score_cosine_distance"), F.avg("score_euclidean").alias("score_euclidean"), F.count("*").alias("cells"))
     return chosen.join(sums, ["celltype", "snv"])

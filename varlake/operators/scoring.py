@@ -21,10 +21,11 @@ def frequent_snvs(matrix: DataFrame, least_pos: int = 100, least_neg: int | None
 
 
 def valid_in_celltype(matrix: DataFrame, cells: DataFrame, more_than: int = 20, least_cells: int = 20) -> DataFrame:
-    """celltype, snv, n_pos, n_neg with more than the limit of both calls, in cell types of enough cells."""
+    """celltype, snv, n_pos, n_neg with more than the limit of both calls, in cell types of enough cells. A matrix with celltype is not joined."""
     large = cells.groupBy("celltype").agg(F.count("*").alias("cells")).filter(F.col("cells") >= least_cells).select("celltype")
-    rows = matrix.join(cells.select("cell", "celltype"), "cell").join(large, "celltype", "left_semi")
-    return call_counts(rows, ["celltype", "snv"]).filter((F.col("n_pos") > more_than) & (F.col("n_neg") > more_than))
+    rows = matrix if "celltype" in matrix.columns else matrix.join(cells.select("cell", "celltype"), "cell")
+    counts = call_counts(rows, ["celltype", "snv"]).filter((F.col("n_pos") > more_than) & (F.col("n_neg") > more_than))
+    return counts.join(large, "celltype", "left_semi")
 
 
 def on_standard_chromosomes(snvs: DataFrame) -> DataFrame:

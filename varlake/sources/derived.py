@@ -11,6 +11,7 @@ from ..operators import calls, reads as rd
 # Parameters that leave rows on small synthetic tables; the operators' own defaults differ.
 PRIOR, ERROR, P_ALT, THRESHOLD = 0.02, 0.001, 0.5, 0.9925
 SAMPLES = ["S0", "S1", "S2", "S3"]  # all that the reads have
+JOINED_READS = 250_000  # about as many reads, and their lines, meet in a task
 FILE_READS = 1_000_000  # about as many reads go into a file, so that no task's share grows with the tables
 
 
@@ -143,7 +144,12 @@ def snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rna(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_id"), "l_partkey", "l_linenumber")
     g = F.col("l_partkey") % 97
-    rows = all_reads(spark, sf_dir, grown).join(lines, "read_id")
+    rows = all_reads(spark, sf_dir, grown)
+    if grown:
+        parts = -(-table(spark, sf_dir, "lineitem").count() // JOINED_READS)
+        if parts > spark.sparkContext.defaultParallelism:  # few partitions, or such that are merged by their compressed size, grow with the tables
+            rows, lines = rows.select("read_id", "sample", "barcode").repartition(parts, "read_id"), lines.repartition(parts, "read_id")
+    rows = rows.join(lines, "read_id")
     return rows.groupBy(F.concat("sample", F.lit("_"), "barcode").alias("cell"), F.col("sample").alias("batch"), F.concat(F.when(g < 3, "MT-G").otherwise("G"), g.cast("string")).alias("gene")).agg(F.sum("l_linenumber").cast("double").alias("cnt"))
 
 
