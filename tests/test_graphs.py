@@ -299,3 +299,38 @@ def test_nearest_cells_in_large_parts(spark, monkeypatch):
     names = [f"c{i:05d}" for i in range(170)]
     want = {(names[i], names[j], p + 1) for i in range(170) for p, j in enumerate(np.argsort(d[i], kind="stable")[:5])}
     assert {(r["cell"], r["neighbour"], r["place"]) for r in rows} == want
+
+
+def test_forest_finds_the_nearest_within_groups(spark):
+    """Of points in few dimensions, copies among them, in groups of unequal size and place; what is found is right and nearly all."""
+    rng = np.random.default_rng(11)
+    z = rng.normal(size=(7000, 6)) * np.linspace(3, 1, 6)
+    grp = np.where(np.arange(7000) < 6000, 1, 2)
+    z[grp == 2] += 40
+    z[:80] = z[0]
+    rows = [(int(i) * 5, int(g), v.tolist()) for i, (g, v) in enumerate(zip(grp, z))] + [(1, 3, z[5].tolist()), (2, 4, z[5].tolist()), (3, 4, z[6].tolist())]
+    points = spark.createDataFrame(rows, "id long, grp long, z array<double>")
+    with Tables(spark, "forest") as tables:
+        got = {r["id"]: (r["near"], r["d"]) for r in nb.forest_neighbours(points, tables, 10).collect()}
+        nothing = nb.forest_neighbours(points.limit(0), tables, 10).count()
+    assert nothing == 0 and 1 not in got and got[2] == ([3], [0.0]) and len(got) == 7002
+    hits = 0
+    for i in rng.choice(7000, 300, replace=False):
+        near, d = np.array(got[i * 5][0]) // 5, np.array(got[i * 5][1])
+        true = ((z - z[i]) ** 2).sum(1)
+        assert i not in near and len(set(near)) == 10 and (grp[near] == grp[i]).all() and np.allclose(true[near], d) and (np.diff(d) >= 0).all()
+        true[(grp != grp[i]) | (np.arange(7000) == i)] = np.inf
+        hits += (d <= np.sort(true)[9] + 1e-9).sum()
+    assert hits >= 0.98 * 3000
+    assert all(max(got[i * 5][1]) == 0 for i in range(80)) and len({b for i in range(80) for b in got[i * 5][0]}) > 60  # copies are spread
+
+
+def test_forest_without_structure_is_left_to_the_descent(spark, monkeypatch):
+    monkeypatch.setattr(nb, "MOST_TREES", 1)
+    monkeypatch.setattr(nb, "FOREST_LEAF", 64)
+    z = np.random.default_rng(12).normal(size=(600, 24))
+    points = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(z)], "id long, grp long, z array<double>")
+    with Tables(spark, "forest") as tables:
+        got = {r["id"]: r["near"] for r in nb.forest_neighbours(points, tables, 10).collect()}
+    true = ((z[:, None] - z[None]) ** 2).sum(-1) + np.diag([np.inf] * 600)
+    assert np.mean([len(set(got[i]) & set(np.argsort(true[i])[:10])) / 10 for i in range(600)]) > 0.95

@@ -184,11 +184,8 @@ def principal_axes(points: DataFrame, width: int, components: int = COMPONENTS,
         def product(b: pa.RecordBatch, q: np.ndarray = q) -> dict:
             of = np.repeat(np.arange(len(b)), b["ix"].value_lengths().to_numpy())
             ix, v = b["ix"].flatten().to_numpy(), b["v"].flatten().to_numpy()
-            along = np.zeros((len(b), directions))
-            np.add.at(along, of, v[:, None] * q[ix])
-            out = np.zeros((width, directions))
-            np.add.at(out, ix, v[:, None] * along[of])
-            return {"p": out}
+            along = np.stack([np.bincount(of, v * q[ix, j], len(b)) for j in range(directions)], 1)
+            return {"p": np.stack([np.bincount(ix, v * along[of, j], width) for j in range(directions)], 1)}
 
         p = summed_over(points, product)["p"].reshape(width, directions) / n - np.outer(mean, mean @ q)
         inner = q.T @ p
@@ -215,6 +212,23 @@ def valley(counts: np.ndarray, most: int = 10_000) -> float | None:
     return None
 
 
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batch, id, ix, v of (batch, id, x), where x lists (ix, v) in any order: v of equal ix is added up, scaled to one total, and its logarithm taken."""
+    for whole in batches:
+        for start in range(0, len(whole), 1024):  # memory does not grow with the batch's counts
+            b = whole.slice(start, 1024)
+            of, x = np.repeat(np.arange(len(b)), b["x"].value_lengths().to_numpy()), b["x"].flatten()
+            ix, v = x.field("ix").to_numpy(), x.field("v").to_numpy()
+            order = np.lexsort((ix, of))
+            of, ix, v = of[order], ix[order], v[order]
+            at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (ix[1:] != ix[:-1]))) if len(of) else np.zeros(0, int)
+            of, ix, v = of[at], ix[at], np.add.reduceat(v, at) if len(at) else v
+            of, ix, v = of[v != 0], ix[v != 0], v[v != 0]
+            v = np.log1p(v * TARGET / np.maximum(np.bincount(of, v, len(b)), 1e-12)[of])
+            ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(b)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b["batch"], b["id"], pa.ListArray.from_arrays(ends, pa.array(ix, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(v))], names=["batch", "id", "ix", "v"])
+
+
 def doublet_scores(rna: DataFrame, tables: Tables, genes: DataFrame | None = None, factor: int = 2, k: int = 15, rate: float = 0.05, threshold: float | None = None, seed: int = 7, components: int = COMPONENTS) -> DataFrame:
     """cell, batch, simulated (share of simulated doublets among about the k nearest neighbours in the cell's batch), doublet_score
     (the likelihood that follows from that share and the expected rate) and doublet (score above the threshold).
@@ -223,48 +237,43 @@ def doublet_scores(rna: DataFrame, tables: Tables, genes: DataFrame | None = Non
     kind look like one, and their logarithms are projected on the principal axes of
     the cells; neighbours are those of the descent in that space. Without a threshold, shares above the valley between the two peaks of the simulated
     doublets' own shares are doublets: some of them resemble single cells and some do not. Where there is no valley, DEFAULT is the threshold. The result is one of `tables`."""
-    from .neighbours import approximate_neighbours
+    from .neighbours import forest_neighbours
 
     rna = rna.select("batch", F.col("cell").cast("string").alias("cell"), F.col("gene").cast("string").alias("gene"), "cnt")
-    cells = tables.save(rna.select("batch", "cell").distinct(), "doublet-cells")
     genes = (rna if genes is None else genes).select(F.col("gene").cast("string").alias("gene")).distinct()
     places = tables.save(numbered(genes, [F.col("gene")], "ix", tables, "doublet-order"), "doublet-genes")
     width = places.count()
-    used = rna.join(places, "gene").select("batch", "cell", F.col("ix").cast("int").alias("ix"), "cnt")
-    made = simulated_doublets(cells, factor, seed)
-    half = used.select(F.col("batch").alias("own"), F.col("cell").alias("half"), "ix", "cnt")
-    summed = made.join(half, (F.col("cell") == F.col("half")) & F.col("batch").eqNullSafe(F.col("own"))).select("batch", "id", "ix", "cnt")
-    counted = used.select("batch", F.col("cell").alias("id"), F.lit(False).alias("made"), "ix", "cnt").union(summed.select("batch", "id", F.lit(True), "ix", "cnt"))
-    # a row without any of the genes is at the origin
-    empty = cells.select("batch", F.col("cell").alias("id"), F.lit(False), F.lit(None).cast("int"), F.lit(0.0)).union(made.select("batch", "id").distinct().select("batch", "id", F.lit(True), F.lit(None).cast("int"), F.lit(0.0)))
-    values = counted.union(empty).groupBy("batch", "made", "id", "ix").agg(F.sum("cnt").alias("cnt")).filter("ix is null or cnt <> 0")
-    lists = values.groupBy("batch", "made", "id").agg(F.array_sort(F.collect_list(F.when(F.col("ix").isNotNull(), F.struct("ix", F.col("cnt").cast("double").alias("v"))))).alias("x"))
-    total = F.aggregate("x.v", F.lit(0.0), lambda a, v: a + v)
-    points = tables.save(lists.select("batch", "made", "id", F.col("x.ix").alias("ix"), F.transform("x.v", lambda v: F.log1p(v * TARGET / F.greatest(total, F.lit(1e-12)))).alias("v")), "doublet-points")
-    mean, axes = principal_axes(points.filter("not made").select("ix", "v"), max(1, width), components, seed=seed)
+    # a cell is one row from here on; without any of the genes it is at the origin
+    entry = F.when(F.col("ix").isNotNull() & F.col("cnt").isNotNull(), F.struct(F.col("ix").cast("int").alias("ix"), F.col("cnt").cast("double").alias("v")))
+    lists = tables.save(rna.join(places, "gene", "left").groupBy("batch", "cell").agg(F.collect_list(entry).alias("x")), "doublet-cells")
+    half = lists.select(F.col("batch").alias("own"), F.col("cell").alias("half"), "x")
+    made = simulated_doublets(lists.select("batch", "cell"), factor, seed)
+    summed = made.join(half, (F.col("cell") == F.col("half")) & F.col("batch").eqNullSafe(F.col("own"))).groupBy("batch", "id").agg(F.flatten(F.collect_list("x")).alias("x"))
+    kind = f"batch {dict(rna.dtypes)['batch']}, id string, ix array<int>, v array<double>"
+    single = tables.save(lists.select("batch", F.col("cell").alias("id"), "x").mapInArrow(_scaled, kind), "doublet-points")
+    mean, axes = principal_axes(single.select("ix", "v"), max(1, width), components, seed=seed)
     held = rna.sparkSession.sparkContext.broadcast((mean @ axes, axes))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, axes = held.value
         for b in batches:
             of = np.repeat(np.arange(len(b)), b["ix"].value_lengths().to_numpy())
-            z = np.tile(-centre, (len(b), 1))
-            for at in range(0, len(of), 65_536):  # memory does not grow with the batch's counts
-                some = slice(at, at + 65_536)
-                np.add.at(z, of[some], b["v"].flatten().to_numpy()[some, None] * axes[b["ix"].flatten().to_numpy()[some]])
-            yield pa.RecordBatch.from_arrays([b["cell"], b["grp"], pa.array([*z], pa.list_(pa.float64()))], names=["cell", "grp", "z"])
-
-    # names that tell batches and simulated doublets apart; a batch is a group of neighbours
-    name = F.to_json(F.struct("batch", "made", "id"), {"ignoreNullFields": "false"})
-    grouped = points.select(name.alias("cell"), F.xxhash64("batch").alias("grp"), "ix", "v")
-    near = approximate_neighbours(grouped.mapInArrow(project, "cell string, grp long, z array<double>"), tables, k)
-    kind = "batch string, made boolean, id string"
-    parsed = near.select(F.from_json("cell", kind).alias("c"), F.from_json("neighbour", kind).alias("o"))
-    shares = parsed.groupBy("c.batch", "c.made", "c.id").agg(F.count_if("o.made").alias("m"), F.count("*").alias("n"))
+            ix, v = b["ix"].flatten().to_numpy(), b["v"].flatten().to_numpy()
+            z = np.stack([np.bincount(of, v * axis[ix], len(b)) for axis in axes.T], 1) if axes.size else np.zeros((len(b), 1))
+            yield pa.RecordBatch.from_arrays([b["batch"], b["made"], b["id"], pa.array([*(z - centre if axes.size else z)], pa.list_(pa.float64()))], names=["batch", "made", "cell", "z"])
+
+    both = single.withColumn("made", F.lit(False)).unionByName(summed.mapInArrow(_scaled, kind).withColumn("made", F.lit(True)))
+    placed = both.mapInArrow(project, f"batch {dict(rna.dtypes)['batch']}, made boolean, cell string, z array<double>")
+    # a batch is a group of neighbours; the lowest bit of a point's number tells simulated doublets
+    number = F.monotonically_increasing_id() * 2 + F.col("made").cast("long")
+    points = tables.save(placed.select(number.alias("id"), F.xxhash64("batch").alias("grp"), "batch", "made", "cell", "z"), "points")
+    near = forest_neighbours(points.select("id", "grp", "z"), tables, k)
+    simulated = F.aggregate("near", F.lit(0), lambda n, b: n + b.bitwiseAND(1).cast("int"))
+    shares = points.select("id", "batch", "made", "cell").join(near.select("id", simulated.alias("m"), F.size("near").alias("n")), "id").filter("n > 0")
     # the estimate of Wolock, Lopez and Klein (2019): a smoothed share, and the odds at the expected rate
     q = (F.col("m") + 1) / (F.col("n") + 2)
     odds = q * rate / factor / (1 - rate - q * (1 - rate - rate / factor))
-    scored = tables.save(shares.select("batch", "made", F.col("id").alias("cell"), (F.col("m") / F.col("n")).alias("simulated"), odds.alias("doublet_score")), "doublet-scored")
+    scored = tables.save(shares.select("batch", "made", "cell", (F.col("m") / F.col("n")).alias("simulated"), odds.alias("doublet_score")), "doublet-scored")
     above = F.col("doublet_score") > (DEFAULT if threshold is None else threshold)
     if threshold is None:
         counts = {r["b"]: r["n"] for r in scored.filter("made").groupBy(F.round(F.col("simulated") * k).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}

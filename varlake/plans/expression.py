@@ -145,9 +145,9 @@ def jn_cells(spark, sf_dir):
 @query("flt_doublet")
 def flt_doublet(spark, sf_dir):
     """Cells that are not doublets, with their counts; cells grow with the tables."""
-    rna = d.rna(spark, sf_dir, grown=True)
 
     def left(tables):
+        rna = tables.save(d.rna(spark, sf_dir, grown=True), "rna")  # read by several steps
         scores = x.doublet_scores(rna, tables, components=10)
         return x.without_doublets(rna, scores).groupBy("cell", "batch").agg(F.sum("cnt").alias("total"))
 
