@@ -235,7 +235,7 @@ def doublet_scores(rna: DataFrame, tables: Tables, genes: DataFrame | None = Non
 
     Simulated doublets are sums of two cells. Counts over `genes` (default: every gene of rna) are scaled to the same total, so that two cells of one
     kind look like one, and their logarithms are projected on the principal axes of
-    the cells; neighbours are those of the descent in that space. Without a threshold, shares above the valley between the two peaks of the simulated
+    the cells; neighbours are those of the forest in that space. Without a threshold, shares above the valley between the two peaks of the simulated
     doublets' own shares are doublets: some of them resemble single cells and some do not. Where there is no valley, DEFAULT is the threshold. The result is one of `tables`."""
     from .neighbours import forest_neighbours
 
